@@ -141,7 +141,9 @@ class FittedDonors(Fitted):
             pick = F.pmod(F.xxhash64(*drawn, F.lit(seed), F.lit(v)), F.lit(m)) + 1
             # filled rows get a negative number: no match, and no single hot join key
             spread = -F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.lit(m)) - 1
-            donors = self.state.where(F.col("variable") == v).select("donor", F.col("value").alias("_value"))
+            donors = self.state.where(F.col("variable") == v).select(
+                "donor", F.col("value").cast(df.schema[v].dataType).alias("_value")
+            )
             df = (
                 df.withColumn("donor", F.when(F.col(v).isNull(), pick).otherwise(spread))
                 .join(donors, "donor", "left")
@@ -163,7 +165,7 @@ class RandomSample(Stage):
         cols = list(self.variables)
         state = None
         for v in cols:
-            have = df.where(F.col(v).isNotNull()).select(*key, F.col(v).alias("value"))
+            have = df.where(F.col(v).isNotNull()).select(*key, F.col(v).cast("string").alias("value"))
             part = hash_positions(have, [], key, self.seed).select(
                 F.lit(v).alias("variable"), F.col("pos").alias("donor"), "value"
             )

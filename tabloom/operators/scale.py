@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from itertools import combinations_with_replacement
 
@@ -10,7 +11,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.maths import box_cox, inverse_normal, ln_or_null, power, reciprocal
 from .core import TASK_ROWS, numeric_columns
 from .ordered import positions, quantiles
-from .profile import EXPRS_PER_PASS
 from .stages import Fitted, Stage
 
 
@@ -120,25 +120,27 @@ LAMBDAS = tuple(round(-5 + i * 0.1, 1) for i in range(101))
 
 
 def box_cox_profile(df: DataFrame, col: str, lambdas: Sequence[float] = LAMBDAS) -> dict[float, float]:
-    """Profile log-likelihood of each lambda; all sums come from one aggregate."""
+    """Profile log-likelihood of each lambda from one grouped aggregate.
+
+    Each row meets every lambda inside its task and is combined before the shuffle,
+    which then carries one partial sum per lambda and task.
+    """
     x = F.when(F.col(col) > 0, F.col(col).cast("double"))
     # a common scale keeps x^lambda in range; it shifts every likelihood equally
     scale = df.agg(F.exp(F.avg(F.ln(x)))).first()[0]
-    y = x / F.lit(scale)
-    out: dict[float, float] = {}
-    import math
-
-    for i in range(0, len(lambdas), EXPRS_PER_PASS):
-        part = lambdas[i : i + EXPRS_PER_PASS]
-        row = df.agg(
-            F.count(y).alias("n"),
-            F.sum(F.ln(y)).alias("s"),
-            *[F.var_pop(box_cox(y, lam)).alias(f"v{j}") for j, lam in enumerate(part)],
-        ).first()
-        for j, lam in enumerate(part):
-            v = row[f"v{j}"]
-            out[lam] = -math.inf if not v else -row["n"] / 2 * math.log(v) + (lam - 1) * row["s"]
-    return out
+    y, lam = F.col("y"), F.col("lam")
+    moved = F.when(lam == 0, F.ln(y)).otherwise((F.pow(y, lam) - 1.0) / lam)
+    sums = (
+        df.select((x / F.lit(scale)).alias("y"))
+        .where("y is not null")
+        .select("y", F.explode(F.array(*[F.lit(float(k)) for k in lambdas])).alias("lam"))
+        .groupBy("lam")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.ln("y")).alias("s"), F.var_pop(moved).alias("v"))
+        .collect()
+    )
+    return {
+        r["lam"]: -r["n"] / 2 * math.log(r["v"]) + (r["lam"] - 1) * r["s"] if r["v"] else -math.inf for r in sums
+    }
 
 
 def box_cox_lambda(df: DataFrame, col: str, lambdas: Sequence[float] = LAMBDAS) -> float:
