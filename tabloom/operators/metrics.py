@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.evaluation import Evaluator
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .core import TASK_ROWS, share
+from .core import STATE_ROWS, TASK_ROWS, share
 from .ordered import hash_uniform, running_sums
 from .profile import describe
 
@@ -88,7 +89,10 @@ def class_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
                     F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0).alias("hit"),
                 ),
                 F.struct(
-                    F.col("predicted").alias("class"), F.lit(0).cast("long"), F.col("n"), F.lit(0).cast("long")
+                    F.col("predicted").alias("class"),
+                    F.lit(0).cast("long").alias("support"),
+                    F.col("n").alias("called"),
+                    F.lit(0).cast("long").alias("hit"),
                 ),
             )
         ).alias("s")
@@ -223,7 +227,7 @@ HIGHER_IS_BETTER = {"auc": True, "accuracy": True, "f1": True, "precision": True
 def metric_value(df: DataFrame, metric: str, label: str, score: str = "score", prediction: str = "prediction") -> float:
     """One number from a scored table."""
     if metric == "auc":
-        return roc_auc(df, label, score).first()["auc"]
+        return _auc_value(df, label, score)
     if metric in ("mse", "rmse", "r2"):
         return regression_scores(df, label, prediction).first()[metric]
     if metric == "accuracy":
@@ -238,6 +242,21 @@ def metric_value(df: DataFrame, metric: str, label: str, score: str = "score", p
     return df.agg(_or_zero(forms[metric]).alias("v")).first()["v"]
 
 
+def _auc_value(df: DataFrame, label: str, score: str) -> float:
+    """Score the rows once; few distinct scores are finished on the driver."""
+    counts = _by_score(df, label, score, []).persist()
+    try:
+        rows = counts.limit(STATE_ROWS + 1).toArrow()
+        if rows.num_rows > STATE_ROWS:
+            return auc_of_counts(counts).first()["auc"]
+        at = np.argsort(rows["score"].to_numpy())
+        pos, neg = rows["pos"].to_numpy()[at], rows["neg"].to_numpy()[at]
+        pairs = float(pos.sum()) * float(neg.sum())
+        return float((pos * (np.cumsum(neg) - neg / 2.0)).sum()) / pairs if pairs else float("nan")
+    finally:
+        counts.unpersist()
+
+
 class AggregateEvaluator(Evaluator):
     """Spark ML evaluator over `metric_value`, for tuning with the exact metrics."""
 

@@ -142,7 +142,7 @@ def cross_validate(
 ) -> DataFrame:
     """(fold, metric, train, test) for every fold of a fold column."""
     with held(df.select(*dict.fromkeys([*features, label, fold]))) as (data,):
-        folds = [r[0] for r in data.select(fold).distinct().orderBy(fold).collect()]
+        folds = fold_values(data, fold)
 
         def one(f):
             model = fit(data.where(F.col(fold) != f), features, label, estimator)
@@ -154,14 +154,23 @@ def cross_validate(
     return rows_table(df, [r for part in rows for r in part], "fold int, metric string, train double, test double")
 
 
+def fold_values(df: DataFrame, fold: str = "fold") -> list:
+    return [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
+
+
 def cv_score(
-    df: DataFrame, features: Sequence[str], label: str, estimator: Estimator, metric: str, fold: str = "fold"
+    df: DataFrame,
+    features: Sequence[str],
+    label: str,
+    estimator: Estimator,
+    metric: str,
+    fold: str = "fold",
+    folds: Sequence | None = None,
 ) -> float:
     """Mean validation metric over the folds."""
-    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
     values = [
         evaluate(df.where(F.col(fold) != f), df.where(F.col(fold) == f), features, label, estimator, metric)
-        for f in folds
+        for f in (folds if folds is not None else fold_values(df, fold))
     ]
     return sum(values) / len(values)
 
@@ -259,7 +268,7 @@ def out_of_fold(
 ) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """Out-of-fold scores of the labelled rows, mean score of the unlabelled rows over
     the fold models, and the (feature, importance, fold) table."""
-    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
+    folds = fold_values(df, fold)
     models = in_parallel([lambda f=f: fit(df.where(F.col(fold) != f), features, label, make(f)) for f in folds])
     oof, given, rows = None, None, []
     for f, model in zip(folds, models):

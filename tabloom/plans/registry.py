@@ -118,6 +118,8 @@ def with_fixtures(sql: str) -> str:
         return sql
     views = ", ".join(f"{n} AS ({FIXTURES[n]})" for n in order)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {views}, {body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {views}, {body[5:]}"
     return f"WITH {views} {body}"
