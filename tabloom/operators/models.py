@@ -107,6 +107,8 @@ def held(*dfs: DataFrame) -> Iterator[tuple[DataFrame, ...]]:
     """Keep the training projection in memory (spilling to disk) around repeated fits."""
     kept = tuple(d.persist(StorageLevel.MEMORY_AND_DISK) for d in dfs)
     try:
+        for d in kept:
+            d.count()  # fill the cache once, before parallel fits would each compute it
         yield kept
     finally:
         for d in kept:

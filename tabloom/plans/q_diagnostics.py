@@ -191,10 +191,10 @@ def _(spark, sf):
 
 @query(
     "t05_influence",
-    """WITH f AS (SELECT regr_slope(p, q) AS b, regr_intercept(p, q) AS a, count(*) AS n, avg(q) AS mq, regr_sxx(p, q) AS sxx,
+    """WITH f AS (SELECT regr_slope(p, q) AS b, regr_intercept(p, q) AS a, count(*) AS m, avg(q) AS mq, regr_sxx(p, q) AS sxx,
                          regr_syy(p, q) * (1 - regr_r2(p, q)) AS sse FROM fx_num),
-            e AS (SELECT id, p - a - b * q AS e, 1.0 / n + pow(q - mq, 2) / sxx AS h, q - mq AS x, sxx, n, sse FROM fx_num, f),
-            g AS (SELECT id, e, h, n, x / sxx * e / (1 - h) / sqrt((sse - e * e / (1 - h)) / (n - 3)) * sqrt(sxx) AS db FROM e)
+            e AS (SELECT id, p - a - b * q AS e, 1.0 / m + pow(q - mq, 2) / sxx AS h, q - mq AS x, sxx, m, sse FROM fx_num, f),
+            g AS (SELECT id, e, h, x / sxx * e / (1 - h) / sqrt((sse - e * e / (1 - h)) / (m - 3)) * sqrt(sxx) AS db FROM e)
        SELECT id, RND2(e) AS residual, RND6(h) AS leverage, RND(db) AS dfbetas_q FROM g""",
 )
 def _(spark, sf):
