@@ -14,7 +14,7 @@ from pyspark.ml.base import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .metrics import HIGHER_IS_BETTER, AggregateEvaluator, metric_value
 from .ordered import hash_positions, hash_uniform
@@ -119,8 +119,9 @@ def in_parallel(tasks: Sequence[Callable[[], object]], threads: int = THREADS) -
     """Run independent fits from driver threads; Spark schedules their jobs side by side."""
     if not tasks:
         return []
+    run = inheritable_thread_target(SparkSession.getActiveSession())(lambda t: t())
     with ThreadPool(min(threads, len(tasks))) as pool:
-        return pool.map(inheritable_thread_target(lambda t: t()), tasks)
+        return pool.map(run, tasks)
 
 
 def importances(model: Model, features: Sequence[str]) -> list[tuple[str, float]]:

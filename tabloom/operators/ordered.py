@@ -222,11 +222,9 @@ def group_quantiles(
         return df.groupBy(*keys).agg(
             *[F.percentile(F.col(col).cast("double"), F.lit(float(p))).alias(n) for n, p in probs.items()]
         )
+    # nulls count 0, so a group holding only nulls stays with null quantiles
     counted = (
-        df.select(*keys, F.col(col).cast("double").alias("_v"))
-        .where("_v is not null")
-        .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        df.select(*keys, F.col(col).cast("double").alias("_v")).groupBy(*keys, "_v").agg(F.count("_v").alias("_n"))
     )
     ranked = running_sums(counted, keys, "_v", {"c": F.col("_n")}, limit=limit)
     aggs = []
@@ -241,16 +239,7 @@ def group_quantiles(
         spot = F.lit(float(p)) * (F.col("_m") - 1)
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         exprs.append((lo + (spot - F.floor(spot)) * (hi - lo)).alias(name))
-    # groups holding only nulls stay, with null quantiles
-    return _left_on(df.groupBy(*keys).agg(), picked.select(*keys, *exprs), keys)
-
-
-def _left_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    renamed = right
-    for k in keys:
-        renamed = renamed.withColumnRenamed(k, f"_r_{k}")
-    cond = [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys]
-    return left.join(renamed, cond, "left").drop(*[f"_r_{k}" for k in keys])
+    return picked.select(*keys, *exprs)
 
 
 # ---------------------------------------------------------------- neighbours in order
