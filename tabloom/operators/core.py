@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # A fitted state of up to this many rows is held on the driver as an Arrow
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 STATE_ROWS = 20_000
 # Up to this many rows a single task may sort or hold a group; above it the
 # bucketed forms in `ordered` are used.
-TASK_ROWS = 4_000_000
+TASK_ROWS = 1_000_000
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -49,6 +51,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def held(*dfs: DataFrame) -> Iterator[tuple[DataFrame, ...]]:
+    """Keep narrow tables in memory (spilling to disk) while they are read several times."""
+    kept = tuple(d.persist(StorageLevel.MEMORY_AND_DISK) for d in dfs)
+    try:
+        for d in kept:
+            d.count()  # fill the cache once, before parallel fits would each compute it
+        yield kept
+    finally:
+        for d in kept:
+            d.unpersist()
+
+
 def settle(df: DataFrame, limit: int = STATE_ROWS) -> DataFrame:
     """Run a fit once. Small results become a local relation, large ones a checkpoint."""
     rows = df.limit(limit + 1).toArrow()

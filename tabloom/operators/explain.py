@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .core import TASK_ROWS, small_rows
 from .metrics import HIGHER_IS_BETTER, metric_value
@@ -64,8 +64,9 @@ def individual_effects(
     the first point. A row has as many copies as there are grid points."""
     spread = df.withColumn(col, F.explode(F.array(*[F.lit(float(g)) for g in grid])))
     curves = scorer(spread).select(*key, F.col(col).alias("value"), F.col(score).alias("score"))
-    first = curves.where(F.col("value") == float(min(grid))).select(*key, F.col("score").alias("_at_first"))
-    return curves.join(first, list(key)).withColumn("centred", F.col("score") - F.col("_at_first")).drop("_at_first")
+    # a window holds the grid points of one row
+    at_first = F.first("score").over(Window.partitionBy(*key).orderBy("value"))
+    return curves.withColumn("centred", F.col("score") - at_first)
 
 
 def partial_dependence(
@@ -145,7 +146,8 @@ def sampled_shapley(
     )
     steps = F.array(*[F.lit(i) for i in range(len(cols) + 1)])
     hybrids = df.select(*key, *cols).withColumn("_p", F.explode(paths)).withColumn("_step", F.explode(steps))
-    mixed = hybrids.withColumns(
+    own = F.array(*[F.col(c).cast("double") for c in cols])
+    mixed = hybrids.withColumn("_own", own).withColumns(
         {
             c: F.when(F.col("_p.rank")[i] <= F.col("_step"), F.col(c).cast("double")).otherwise(F.col("_p.base")[i])
             for i, c in enumerate(cols)
@@ -157,6 +159,7 @@ def sampled_shapley(
         *[
             F.struct(
                 F.lit(c).alias("feature"),
+                F.col("_own")[i].alias("value"),
                 F.when(F.col("_p.rank")[i] == F.col("_step"), F.col(score))
                 .when(F.col("_p.rank")[i] == F.col("_step") + 1, -F.col(score))
                 .alias("part"),
@@ -164,16 +167,12 @@ def sampled_shapley(
             for i, c in enumerate(cols)
         ]
     )
-    phi = (
+    return (
         out.select(*key, F.explode(credit).alias("c"))
         .where("c.part is not null")
         .groupBy(*key, F.col("c.feature").alias("feature"))
-        .agg((F.sum("c.part") * weight).alias("phi"))
-    )
-    values = df.select(*key, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        list(key), list(cols), "feature", "value"
+        .agg(F.max("c.value").alias("value"), (F.sum("c.part") * weight).alias("phi"))
     )
-    return phi.join(values, [*key, "feature"])
 
 
 def shapley_summary(phi: DataFrame) -> DataFrame:

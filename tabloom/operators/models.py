@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
-from contextlib import contextmanager
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.ml import classification as C, clustering, regression as R
 from pyspark.ml.base import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
@@ -16,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .core import held
 from .metrics import HIGHER_IS_BETTER, AggregateEvaluator, metric_value
 from .ordered import hash_positions, hash_uniform
 
@@ -81,7 +81,19 @@ def with_label(estimator: Estimator, label: str) -> Estimator:
 
 
 def fit(df: DataFrame, features: Sequence[str], label: str, estimator: Estimator) -> Model:
-    return with_label(estimator, label).fit(assemble(df, features))
+    """Fit on the needed columns. Learners read their input several times, so unless the
+    caller holds the table its vectors are kept for the length of the fit."""
+    est = with_label(estimator, label)
+    extra = [
+        est.getOrDefault(p)
+        for p in ("weightCol", "validationIndicatorCol")
+        if est.hasParam(p) and est.isDefined(p) and est.getOrDefault(p)
+    ]
+    vectors = assemble(df, features).select("features", label, *extra)
+    if df.storageLevel.useMemory or df.storageLevel.useDisk:
+        return est.fit(vectors)
+    with held(vectors) as (data,):
+        return est.fit(data)
 
 
 def scored(model: Model, df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -102,19 +114,6 @@ def evaluate(
     return metric_value(scored(fit(train, features, label, estimator), test, features), metric, label)
 
 
-@contextmanager
-def held(*dfs: DataFrame) -> Iterator[tuple[DataFrame, ...]]:
-    """Keep the training projection in memory (spilling to disk) around repeated fits."""
-    kept = tuple(d.persist(StorageLevel.MEMORY_AND_DISK) for d in dfs)
-    try:
-        for d in kept:
-            d.count()  # fill the cache once, before parallel fits would each compute it
-        yield kept
-    finally:
-        for d in kept:
-            d.unpersist()
-
-
 def in_parallel(tasks: Sequence[Callable[[], object]], threads: int = THREADS) -> list:
     """Run independent fits from driver threads; Spark schedules their jobs side by side."""
     if not tasks:

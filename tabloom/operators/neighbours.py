@@ -17,6 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from .core import checkpointed
+
 SHIPPED_VALUES = 8_000_000  # rows x dimensions held by every executor
 PIVOTS = 128
 RINGS = 8
@@ -105,7 +107,8 @@ def _against_blocks(
                 cell[rows], far[rows] = pivot, dist
             yield b.assign(cell=cell, far=far)
 
-    placed = train.mapInPandas(place, f"id {id_type}, vec array<double>, cell int, far double")
+    # read four times below; placing compares every row with every pivot
+    placed = checkpointed(train.mapInPandas(place, f"id {id_type}, vec array<double>, cell int, far double"))
     reach = placed.groupBy("cell").agg(F.max("far").alias("reach"))
     ringed = placed.join(reach, "cell").withColumn(
         "ring", F.least(F.floor(F.try_divide(F.col("far"), F.col("reach")) * RINGS), F.lit(RINGS - 1)).cast("int")

@@ -242,6 +242,25 @@ def group_quantiles(
     return picked.select(*keys, *exprs)
 
 
+def group_stats(
+    df: DataFrame,
+    keys: Sequence[str],
+    aggs: Sequence[Column],
+    cuts: dict[str, tuple[str, float]],
+    limit: int = TASK_ROWS,
+) -> DataFrame:
+    """Aggregates and named (column, prob) quantiles per group: one aggregation while the
+    table is small, otherwise the plain aggregates joined with the ranked quantiles."""
+    if df.count() <= limit:
+        exact = [F.percentile(F.col(c).cast("double"), F.lit(float(p))).alias(n) for n, (c, p) in cuts.items()]
+        return df.groupBy(*keys).agg(*aggs, *exact)
+    out = df.groupBy(*keys).agg(*aggs)
+    for col in dict.fromkeys(c for c, _ in cuts.values()):
+        named = {n: p for n, (c, p) in cuts.items() if c == col}
+        out = _join_on(out, group_quantiles(df, keys, col, named, limit), keys)
+    return out
+
+
 # ---------------------------------------------------------------- neighbours in order
 
 

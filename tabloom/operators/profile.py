@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .core import TASK_ROWS, label_counts, long_values, one_row_to_long, settle
-from .ordered import group_quantiles, quantiles
+from .ordered import group_quantiles, group_stats, quantiles
 
 EXPRS_PER_PASS = 400
 
@@ -170,10 +170,8 @@ def cluster_report(df: DataFrame, cluster: str, cols: Sequence[str], limit: int
     """Size and median of each feature per cluster."""
     if cluster not in df.columns:
         raise ValueError(f"no cluster column {cluster!r}")
-    out = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"))
-    for c in cols:
-        out = out.join(group_quantiles(df.select(cluster, c), [cluster], c, {f"{c}_median": 0.5}, limit), cluster)
-    return out
+    cuts = {f"{c}_median": (c, 0.5) for c in cols}
+    return group_stats(df.select(cluster, *cols), [cluster], [F.count(F.lit(1)).alias("size")], cuts, limit)
 
 
 def cardinality(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -184,8 +182,8 @@ def cardinality(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def label_target_profile(df: DataFrame, label: str, target: str, limit: int = TASK_ROWS) -> DataFrame:
-    means = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.avg(target).alias("target_mean"))
-    return means.join(group_quantiles(df.select(label, target), [label], target, {"target_median": 0.5}, limit), label)
+    means = [F.count(F.lit(1)).alias("n"), F.avg(target).alias("target_mean")]
+    return group_stats(df.select(label, target), [label], means, {"target_median": (target, 0.5)}, limit)
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:

@@ -9,7 +9,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.maths import box_cox, inverse_normal, ln_or_null, power, reciprocal
-from .core import TASK_ROWS, numeric_columns
+from .core import TASK_ROWS, held, numeric_columns
 from .ordered import positions, quantiles
 from .stages import Fitted, Stage
 
@@ -116,36 +116,42 @@ class Transform(Stage):
         return FittedFormula({"variables": cols, "kind": self.kind, "suffix": self.suffix}, state)
 
 
-LAMBDAS = tuple(round(-5 + i * 0.1, 1) for i in range(101))
-
-
-def box_cox_profile(df: DataFrame, col: str, lambdas: Sequence[float] = LAMBDAS) -> dict[float, float]:
-    """Profile log-likelihood of each lambda from one grouped aggregate.
+def box_cox_profile(logs: DataFrame, lambdas: Sequence[float]) -> dict[float, float]:
+    """Profile log-likelihood of each lambda from one grouped aggregate of z = ln x.
 
     Each row meets every lambda inside its task and is combined before the shuffle,
     which then carries one partial sum per lambda and task.
     """
-    x = F.when(F.col(col) > 0, F.col(col).cast("double"))
-    # a common scale keeps x^lambda in range; it shifts every likelihood equally
-    scale = df.agg(F.exp(F.avg(F.ln(x)))).first()[0]
-    y, lam = F.col("y"), F.col("lam")
-    moved = F.when(lam == 0, F.ln(y)).otherwise((F.pow(y, lam) - 1.0) / lam)
+    lam, z = F.col("lam"), F.col("z")
+    # the variance of (y^lam - 1) / lam is that of y^lam over lam squared
+    moved = F.when(lam == 0, z).otherwise(F.exp(lam * z))
     sums = (
-        df.select((x / F.lit(scale)).alias("y"))
-        .where("y is not null")
-        .select("y", F.explode(F.array(*[F.lit(float(k)) for k in lambdas])).alias("lam"))
+        logs.select("z", F.explode(F.array(*[F.lit(float(k)) for k in lambdas])).alias("lam"))
         .groupBy("lam")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.ln("y")).alias("s"), F.var_pop(moved).alias("v"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("z").alias("s"), F.var_pop(moved).alias("v"))
         .collect()
     )
-    return {
-        r["lam"]: -r["n"] / 2 * math.log(r["v"]) + (r["lam"] - 1) * r["s"] if r["v"] else -math.inf for r in sums
-    }
-
-
-def box_cox_lambda(df: DataFrame, col: str, lambdas: Sequence[float] = LAMBDAS) -> float:
-    ll = box_cox_profile(df, col, lambdas)
-    return max(ll, key=lambda k: (ll[k], -abs(k)))
+    out = {}
+    for r in sums:
+        k, v = r["lam"], r["v"] / (r["lam"] ** 2 or 1.0)
+        out[k] = -r["n"] / 2 * math.log(v) + (k - 1) * r["s"] if v > 0 else -math.inf
+    return out
+
+
+def box_cox_lambda(df: DataFrame, col: str, low: int = -5, high: int = 5) -> float:
+    """Lambda of the largest likelihood to one decimal: whole numbers first, then
+    tenths around the best one (the likelihood has a single peak)."""
+
+    def peak(logs: DataFrame, grid: Sequence[float]) -> float:
+        ll = box_cox_profile(logs, grid)
+        return max(ll, key=lambda k: (ll[k], -abs(k)))
+
+    with held(df.where(F.col(col) > 0).select(F.ln(col).alias("z"))) as (logs,):
+        # a common scale keeps x^lambda in range; it shifts every likelihood equally
+        centred = logs.select((F.col("z") - logs.agg(F.avg("z")).first()[0]).alias("z"))
+        best = peak(centred, [float(k) for k in range(low, high + 1)])
+        around = [round(best + i / 10, 1) for i in range(-9, 10)]
+        return peak(centred, [k for k in around if low <= k <= high])
 
 
 def qq_table(df: DataFrame, col: str, key: str, limit: int = TASK_ROWS) -> DataFrame:

@@ -326,8 +326,8 @@ def _(spark, sf):
 
 def fold_models(spark, sf):
     df = folded(spark, sf)
-    given = fixture(spark, sf, "fx_num").where("id % 20 = 3")
-    return m.out_of_fold(df, given, XS, "y", "id", lambda f: m.learner("boosted", maxIter=3, maxDepth=3, seed=f))
+    train, given = df.where("split = 'train'"), df.where("split <> 'train'").drop("y", "fold")
+    return m.out_of_fold(train, given, XS, "y", "id", lambda f: m.learner("boosted", maxIter=3, maxDepth=3, seed=f))
 
 
 @query("p27_out_of_fold")

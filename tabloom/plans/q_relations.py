@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, maths
 from ..operators import discretise, joins, neighbours, profile as prof, windows as win
 from ..operators.core import settle, share
-from ..operators.ordered import group_quantiles
+from ..operators.ordered import group_quantiles, group_stats
 from ..sources.tables import table
 from .registry import fixture, query, rnd
 
@@ -249,15 +249,13 @@ RFM = f"""SELECT customer_id, min(amount) AS amount_min, RND(median(amount)) AS
 @query("d03_rfm", RFM)
 def _(spark, sf):
     txn = fixture(spark, sf, "fx_txn").withColumn("txn_day", F.to_date("txn_dt"))
-    # days are counted after a per-day partial aggregation, so a hot customer shrinks first
-    medians = group_quantiles(txn.select("customer_id", "amount"), ["customer_id"], "amount", {"m": 0.5})
-    stats = txn.groupBy("customer_id").agg(
+    aggs = [
         *prof.stat_exprs({"amount": ["min", "max", "sum", "std"]}),
         F.count_distinct("txn_day").alias("txn_days"),
         F.count("txn_dt").alias("txn_count"),
         F.max("txn_dt").alias("last"),
-    )
-    return stats.join(medians, "customer_id").select(
+    ]
+    return group_stats(txn, ["customer_id"], aggs, {"m": ("amount", 0.5)}).select(
         "customer_id",
         "amount_min",
         rnd("m").alias("amount_median"),

@@ -94,3 +94,11 @@ def test_windows_over_chunks(values, limit):
         b = fn(limit).orderBy("id").toPandas()
         pd.testing.assert_frame_equal(a, b[a.columns], check_dtype=False)
         assert len(a) == 3000
+
+
+def test_group_stats_joined_form(values):
+    aggs = [F.count("id").alias("n"), F.max("v").alias("top")]
+    cuts = {"mid": ("v", 0.5), "hi": ("v", 0.9), "id_mid": ("id", 0.5)}
+    a = ordered.group_stats(values, ["g"], aggs, cuts).orderBy("g").toPandas()
+    b = ordered.group_stats(values, ["g"], aggs, cuts, limit=0).orderBy("g").toPandas()
+    pd.testing.assert_frame_equal(a, b[a.columns])
