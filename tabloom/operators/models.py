@@ -81,18 +81,15 @@ def with_label(estimator: Estimator, label: str) -> Estimator:
 
 
 def fit(df: DataFrame, features: Sequence[str], label: str, estimator: Estimator) -> Model:
-    """Fit on the needed columns. Learners read their input several times, so unless the
-    caller holds the table its vectors are kept for the length of the fit."""
+    """Fit on the needed columns. Learners read their input several times, so its vectors
+    are kept for the length of the fit."""
     est = with_label(estimator, label)
     extra = [
         est.getOrDefault(p)
         for p in ("weightCol", "validationIndicatorCol")
         if est.hasParam(p) and est.isDefined(p) and est.getOrDefault(p)
     ]
-    vectors = assemble(df, features).select("features", label, *extra)
-    if df.storageLevel.useMemory or df.storageLevel.useDisk:
-        return est.fit(vectors)
-    with held(vectors) as (data,):
+    with held(assemble(df, features).select("features", label, *extra)) as (data,):
         return est.fit(data)
 
 
@@ -270,8 +267,9 @@ def out_of_fold(
 ) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """Out-of-fold scores of the labelled rows, mean score of the unlabelled rows over
     the fold models, and the (feature, importance, fold) table."""
-    folds = fold_values(df, fold)
-    models = in_parallel([lambda f=f: fit(df.where(F.col(fold) != f), features, label, make(f)) for f in folds])
+    with held(df.select(*dict.fromkeys([*features, label, fold]))) as (data,):
+        folds = fold_values(data, fold)
+        models = in_parallel([lambda f=f: fit(data.where(F.col(fold) != f), features, label, make(f)) for f in folds])
     oof, given, rows = None, None, []
     for f, model in zip(folds, models):
         part = scored(model, df.where(F.col(fold) == f), features).select(key, label, fold, "score")
