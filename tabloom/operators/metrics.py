@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.ml.evaluation import Evaluator
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .core import STATE_ROWS, TASK_ROWS, share
+from .core import STATE_ROWS, TASK_ROWS, share, small_rows
 from .ordered import hash_uniform, running_sums
 from .profile import describe
 
@@ -207,7 +207,7 @@ def proportional_baseline(
     train: DataFrame, score: DataFrame, label: str, key: Sequence[str], seed: int = 0
 ) -> DataFrame:
     """Classes drawn in proportion to their training share, by a hash of the key."""
-    sizes = train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(label).collect()
+    sizes = small_rows(train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(label), 1000, "class list")
     total = sum(r["n"] for r in sizes)
     draw = hash_uniform(key, seed)
     upto, pick = 0, None

@@ -67,6 +67,8 @@ def learner(kind: str, regression: bool = False, **params) -> Estimator:
         "lasso": R.LinearRegression,
     }
     fixed = {"ridge": {"elasticNetParam": 0.0}, "lasso": {"elasticNetParam": 1.0}, "bayes": {"modelType": "gaussian"}}
+    if kind == "svm_many":
+        return C.OneVsRest(classifier=C.LinearSVC(**params))
     seeded = {"seed": 0} if kind in ("tree", "forest", "boosted", "perceptron", "kmeans") else {}
     return classes[kind](**{**fixed.get(kind, {}), **seeded, **params})
 

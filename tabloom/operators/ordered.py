@@ -37,7 +37,7 @@ def add_range(df: DataFrame, order: str, ranges: int = RANGES, name: str = "_ran
     return cut.transform(df.withColumn("_order", F.col(order).cast("double"))).drop("_order")
 
 
-def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join whose keys match null with null."""
     renamed = right
     for k in keys:
@@ -59,7 +59,7 @@ def _prefixed(df: DataFrame, by: Sequence[str], bucket: str, sums: dict[str, Col
         *[F.sum(f"_t_{n}").over(whole).alias(f"total_{n}") for n in sums],
     )
     inside = Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = _join_on(df, prefix, [*by, bucket])
+    joined = join_on(df, prefix, [*by, bucket])
     return joined.withColumns(
         {f"cum_{n}": F.col(f"_p_{n}") + F.sum(c).over(inside) for n, c in sums.items()}
     ).drop(*[f"_p_{n}" for n in sums], bucket)
@@ -257,7 +257,7 @@ def group_stats(
     out = df.groupBy(*keys).agg(*aggs)
     for col in dict.fromkeys(c for c, _ in cuts.values()):
         named = {n: p for n, (c, p) in cuts.items() if c == col}
-        out = _join_on(out, group_quantiles(df, keys, col, named, limit), keys)
+        out = join_on(out, group_quantiles(df, keys, col, named, limit), keys)
     return out
 
 

@@ -10,11 +10,11 @@ from pyspark.ml.base import Estimator
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import tails
-from .core import TASK_ROWS, label_counts, settle, small_rows
+from .core import TASK_ROWS, held, label_counts, settle
 from .discretise import EqualFrequency, add_bins
 from .explain import permutation_importance
 from .metrics import HIGHER_IS_BETTER, auc_of_counts, metric_value
-from .models import cv_score, evaluate, fit, fold_values, held, importances, in_parallel, learner, rows_table, scored
+from .models import cv_score, evaluate, fit, fold_values, importances, in_parallel, learner, rows_table, scored
 from .profile import EXPRS_PER_PASS, correlations
 from .scale import Scale
 
@@ -167,15 +167,18 @@ def best_percent(scores: DataFrame, value: str, percent: float, name: str = "var
 
 def chi2_scores(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
     """Class sums of each non-negative feature against class shares."""
-    rows = small_rows(
-        df.groupBy(target).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).cast("double").alias(c) for c in cols]), what="classes"
+    per_class = df.groupBy(target).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(c).cast("double").alias(c) for c in cols]
     )
-    n = sum(r["_n"] for r in rows)
-    out = []
-    for c in cols:
-        total = sum(r[c] for r in rows)
-        stat = sum((r[c] - total * r["_n"] / n) ** 2 / (total * r["_n"] / n) for r in rows) if total else 0.0
-        out.append((c, stat, tails.chi2_upper(stat, len(rows) - 1)))
+    with held(per_class) as (classes,):
+        total = classes.agg(F.count(F.lit(1)).alias("_k"), F.sum("_n").alias("_n"), *[F.sum(c).alias(c) for c in cols]).first()
+        stats = []
+        for c in cols:
+            expected = F.lit(float(total[c] or 0.0)) * F.col("_n") / F.lit(float(total["_n"]))
+            gap = F.col(c) - expected
+            stats.append(F.coalesce(F.sum(F.try_divide(gap * gap, expected)), F.lit(0.0)).alias(c))
+        row = _one_row(classes, stats)
+    out = [(c, row[c], tails.chi2_upper(row[c], total["_k"] - 1)) for c in cols]
     return rows_table(df, out, "variable string, chi2 double, p double")
 
 
@@ -184,16 +187,24 @@ def anova_scores(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
     aggs = []
     for c in cols:
         aggs += [F.count(c).alias(f"{c}__n"), F.avg(c).alias(f"{c}__m"), F.var_pop(c).alias(f"{c}__v")]
-    rows = small_rows(df.groupBy(target).agg(*aggs), what="classes")
+    with held(df.groupBy(target).agg(*aggs)) as (classes,):
+        sums = []
+        for c in cols:
+            n = F.col(f"{c}__n")
+            sums += [F.count_if(n > 0).alias(f"{c}__k"), F.sum(n).alias(f"{c}__n"), F.sum(n * F.col(f"{c}__m")).alias(f"{c}__s")]
+        first = _one_row(classes, sums)
+        spread = []
+        for c in cols:
+            n = F.col(f"{c}__n")
+            gap = F.col(f"{c}__m") - F.lit(first[f"{c}__s"] / first[f"{c}__n"])
+            spread += [F.sum(n * gap * gap).alias(f"{c}__b"), F.sum(n * F.col(f"{c}__v")).alias(f"{c}__w")]
+        second = _one_row(classes, spread)
     out = []
     for c in cols:
-        part = [(r[f"{c}__n"], r[f"{c}__m"], r[f"{c}__v"]) for r in rows if r[f"{c}__n"]]
-        n, k = sum(p[0] for p in part), len(part)
-        mean = sum(p[0] * p[1] for p in part) / n
-        between = sum(p[0] * (p[1] - mean) ** 2 for p in part) / (k - 1)
-        within = sum(p[0] * p[2] for p in part) / (n - k)
-        f = between / within if within else float("inf")
-        out.append((c, f, tails.f_upper(f, k - 1, n - k)))
+        k, n = first[f"{c}__k"], first[f"{c}__n"]
+        within = second[f"{c}__w"] / (n - k)
+        f = second[f"{c}__b"] / (k - 1) / within if within else float("inf")
+        out.append((c, f, tails.f_upper(f, k - 1, n - k) if within else 0.0))
     return rows_table(df, out, "variable string, f double, p double")
 
 

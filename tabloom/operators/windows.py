@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 from .core import TASK_ROWS
-from .ordered import positions, running_sums, with_halo
+from .ordered import join_on, positions, running_sums, with_halo
 
 
 def running_by_period(df: DataFrame, key: str, ts: str, value: str, period: str) -> DataFrame:
@@ -33,7 +33,7 @@ def running_by_period(df: DataFrame, key: str, ts: str, value: str, period: str)
         F.min("_lo").over(upto).alias("running_min"),
         F.max("_hi").over(upto).alias("running_max"),
     )
-    return rows.join(ranked, [key, period])
+    return join_on(rows, ranked, [key, period])
 
 
 def tick(df: DataFrame, col: str) -> Column:

@@ -39,9 +39,19 @@ def _(spark, sf):
     return acf(spark, sf).withColumns({"acf": rnd("acf"), "band": rnd("band")})
 
 
-@query("s02_partial_autocorrelation")
+@query(
+    "s02_partial_autocorrelation",
+    f"""WITH RECURSIVE {ACF}, l AS (SELECT series, list(acf ORDER BY lag) AS r FROM a GROUP BY series),
+        dl(series, r, k, phi) AS (
+          SELECT series, r, 1, [r[2]] FROM l
+          UNION ALL
+          SELECT series, r, k + 1, list_concat(list_transform(range(1, k + 1), lambda j: phi[j] - tail * phi[k + 1 - j]), [tail])
+          FROM (SELECT *, (r[k + 2] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 2 - j])))
+                          / (1 - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j + 1]))) AS tail FROM dl WHERE k < 10) s)
+        SELECT series, k AS lag, RND(phi[k]) AS pacf FROM dl""",
+)
 def _(spark, sf):
-    return ts.partial_autocorrelation(acf(spark, sf), ["series"])
+    return ts.partial_autocorrelation(acf(spark, sf), ["series"]).withColumn("pacf", rnd("pacf"))
 
 
 @query(
@@ -76,6 +86,18 @@ def _(spark, sf):
     return out.select("series", "day", rnd("rolling_mean").alias("rolling_mean"), rnd("rolling_std").alias("rolling_std"))
 
 
+@query(
+    "s06_dickey_fuller_no_lag",
+    f"""WITH {ROWS}, g AS (SELECT series, v - lag(v) OVER w AS dv, lag(v) OVER w AS v1 FROM c WINDOW w AS (PARTITION BY series ORDER BY t)),
+        f AS (SELECT series, regr_slope(dv, v1) AS b, regr_syy(dv, v1) * (1 - regr_r2(dv, v1)) / (regr_count(dv, v1) - 2) AS s2,
+                     regr_sxx(dv, v1) AS sxx, CAST(regr_count(dv, v1) AS BIGINT) AS n FROM g GROUP BY series)
+        SELECT series, RND(b / sqrt(s2 / sxx)) AS statistic, n FROM f""",
+)
+def _(spark, sf):
+    out = ts.dickey_fuller(series(spark, sf), ["series"], "day", "v", lags=0)
+    return out.withColumn("statistic", rnd("statistic"))
+
+
 @query("s06_dickey_fuller")
 def _(spark, sf):
     return ts.dickey_fuller(series(spark, sf), ["series"], "day", "v", lags=1)
@@ -164,11 +186,26 @@ def _(spark, sf):
     return out.select("n", rnd("adj_r2").alias("adj_r2"), rnd("aic", 2).alias("aic"), rnd("bic", 2).alias("bic"))
 
 
-@query("t02_joint_f_test")
-def _(spark, sf):
+def with_dummies(spark, sf):
     df = fixture(spark, sf, "fx_label")
     wide = OneHot(["label2"], drop="first").fit(df).transform(df)
-    dummies = [c for c in wide.columns if c.startswith("label2_")]
+    return wide, [c for c in wide.columns if c.startswith("label2_")]
+
+
+@query(
+    "t02_joint_f_test",
+    """WITH g AS (SELECT count(*) AS k, avg(y) AS m, var_pop(y) AS v FROM fx_label GROUP BY label2)
+       SELECT RND((sum(k * pow(m - (SELECT avg(y) FROM fx_label), 2)) / (count(*) - 1)) / (sum(k * v) / (sum(k) - count(*)))) AS f,
+              CAST(count(*) - 1 AS INTEGER) AS df_num, CAST(sum(k) - count(*) AS INTEGER) AS df_den FROM g""",
+)
+def _(spark, sf):
+    wide, dummies = with_dummies(spark, sf)
+    return reg.joint_f_test(wide, dummies, dummies, "y").select(rnd("f").alias("f"), "df_num", "df_den")
+
+
+@query("t02_joint_f_test_with_size")
+def _(spark, sf):
+    wide, dummies = with_dummies(spark, sf)
     return reg.joint_f_test(wide, ["size", *dummies], dummies, "y")
 
 
@@ -184,7 +221,20 @@ def _(spark, sf):
     return out.select(rnd("durbin_watson").alias("durbin_watson"))
 
 
-@query("t04_condition_number")
+EIGEN = "sqrt(({a} + {c} + sqrt(pow({a} - {c}, 2) + 4 * {b} * {b})) / ({a} + {c} - sqrt(pow({a} - {c}, 2) + 4 * {b} * {b})))"
+
+
+@query(
+    "t04_condition_number",
+    f"""WITH g AS (SELECT CAST(count(*) AS DOUBLE) AS a, sum(n) AS b, sum(n * n) AS c FROM fx_num)
+        SELECT RND2({EIGEN.format(a='a', b='(b / sqrt(c))', c='1')}) AS scaled, RND2({EIGEN.format(a='a', b='b', c='c')}) AS raw FROM g""",
+)
+def _(spark, sf):
+    out = reg.condition_number(fixture(spark, sf, "fx_num"), ["n"])
+    return out.select(rnd("scaled", 2).alias("scaled"), rnd("raw", 2).alias("raw"))
+
+
+@query("t04_condition_number_many")
 def _(spark, sf):
     return reg.condition_number(fixture(spark, sf, "fx_num"), XS)
 
