@@ -147,9 +147,12 @@ def cross_validate(
 
         def one(f):
             model = fit(data.where(F.col(fold) != f), features, label, estimator)
-            both = scored(model, data, features).select(label, fold, "prediction", "score")
-            train, test = both.where(F.col(fold) != f), both.where(F.col(fold) == f)
-            return [(int(f), m, float(metric_value(train, m, label)), float(metric_value(test, m, label))) for m in metrics]
+            with held(scored(model, data, features).select(label, fold, "prediction", "score")) as (both,):
+                train, test = both.where(F.col(fold) != f), both.where(F.col(fold) == f)
+                return [
+                    (int(f), m, float(metric_value(train, m, label)), float(metric_value(test, m, label)))
+                    for m in metrics
+                ]
 
         rows = in_parallel([lambda f=f: one(f) for f in folds])
     return rows_table(df, [r for part in rows for r in part], "fold int, metric string, train double, test double")

@@ -100,6 +100,15 @@ def positions(
     return out.withColumnsRenamed({"cum__one": "pos", "total__one": "size"})
 
 
+def running_by_position(
+    df: DataFrame, by: Sequence[str], sums: dict[str, Column], chunk: int = TASK_ROWS, pos: str = "pos"
+) -> DataFrame:
+    """Running sums of rows that already carry their position: chunks of positions are
+    the ranges, so nothing has to be counted or sampled."""
+    ranged = df.withColumn("_range", F.floor((F.col(pos) - 1) / chunk))
+    return _prefixed(ranged, by, "_range", sums, [F.col(pos)])
+
+
 def hash_positions(
     df: DataFrame, by: Sequence[str], key: Sequence[str], seed: int = 0, bits: int = HASH_BITS
 ) -> DataFrame:

@@ -22,6 +22,7 @@ STATS = {
     "std": F.stddev_samp,
     "count": F.count,
     "nunique": F.count_distinct,
+    "approx_nunique": F.approx_count_distinct,
 }
 
 
@@ -115,8 +116,16 @@ def describe(df: DataFrame, cols: Sequence[str], limit: int = TASK_ROWS) -> Data
     return one_row_to_long(df.agg(*aggs), list(cols), ["n", "mean", "std", "min", "q25", "q50", "q75", "max"])
 
 
-def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float], limit: int = TASK_ROWS) -> DataFrame:
-    cut = quantiles(df, cols, probs, limit)
+def quantile_table(
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], limit: int = TASK_ROWS, accuracy: int | None = None
+) -> DataFrame:
+    """(variable, prob, value); exact, or within n / accuracy ranks in one pass."""
+    if accuracy is None:
+        cut = quantiles(df, cols, probs, limit)
+    else:
+        arr = F.array(*[F.lit(float(p)) for p in probs])
+        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), arr, accuracy).alias(c) for c in cols]).first()
+        cut = {c: row[c] if row[c] is not None else [None] * len(probs) for c in cols}
     rows = [(c, float(p), v) for c in cols for p, v in zip(probs, cut[c])]
     return df.sparkSession.createDataFrame(rows, "variable string, prob double, value double")
 
@@ -213,9 +222,12 @@ def box_stats(df: DataFrame, cols: Sequence[str], fold: float = 1.5, limit: int
     for c in cols:
         q1, q2, q3 = cut[c]
         x = F.col(c).cast("double")
-        low, high = q1 - fold * (q3 - q1), q3 + fold * (q3 - q1)
+        if q1 is None:  # no values
+            low = high = F.lit(None).cast("double")
+        else:
+            low, high = F.lit(q1 - fold * (q3 - q1)), F.lit(q3 + fold * (q3 - q1))
         inside = (x >= low) & (x <= high)
-        aggs += [F.first(F.lit(v)).alias(f"{c}__{n}") for n, v in (("q25", q1), ("q50", q2), ("q75", q3))]
+        aggs += [F.first(F.lit(v).cast("double")).alias(f"{c}__{n}") for n, v in (("q25", q1), ("q50", q2), ("q75", q3))]
         aggs += [
             F.min(F.when(inside, x)).alias(f"{c}__whisker_low"),
             F.max(F.when(inside, x)).alias(f"{c}__whisker_high"),

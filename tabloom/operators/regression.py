@@ -15,7 +15,7 @@ from pyspark.ml.feature import RFormula
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import tails
-from .core import TASK_ROWS
+from .core import TASK_ROWS, held
 from .models import rows_table
 from .ordered import positions
 from .profile import EXPRS_PER_PASS
@@ -97,7 +97,8 @@ def ols(df: DataFrame, features: Sequence[str], target: str) -> Ols:
     n, means, gram = cross_products(df, [*features, target])
     k = len(features)
     xx, xy, yy = gram[:k, :k], gram[:k, k], float(gram[k, k])
-    inverse = np.linalg.inv(xx) if k else np.zeros((0, 0))
+    # collinear columns share their effect
+    inverse = np.linalg.pinv(xx, hermitian=True) if k else np.zeros((0, 0))
     slopes = inverse @ xy
     return Ols(list(features), n, means[:k], float(means[k]), slopes, inverse, max(0.0, yy - float(slopes @ xy)), yy)
 
@@ -232,8 +233,9 @@ def goldfeld_quandt(
     """(f, p): residual variance of the later half over that of the earlier half."""
     ranked = positions(df, [], order, ties, limit=limit)
     half = F.floor(F.col("size") / 2)
-    low = ols(ranked.where(F.col("pos") <= half), features, target)
-    high = ols(ranked.where(F.col("pos") > half), features, target)
+    with held(ranked.select(*features, target, (F.col("pos") <= half).alias("_early"))) as (rows,):
+        low = ols(rows.where("_early"), features, target)
+        high = ols(rows.where("not _early"), features, target)
     f = high.s2 / low.s2
     return rows_table(df, [(f, tails.f_upper(f, high.dof, low.dof))], "f double, p double")
 

@@ -7,11 +7,11 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import tails
 from .core import TASK_ROWS
-from .ordered import running_sums
+from .ordered import running_by_position, with_halo
 from .windows import in_order
 
 # two-sided 95 % point of the standard normal
@@ -167,9 +167,10 @@ def kpss(df: DataFrame, by: Sequence[str], order: str, value: str, lags: int, li
         .join(trend, list(by))
         .select(*by, "pos", (F.col(value) - F.col("_a") - F.col("_b") * F.col("pos")).alias("e"))
     )
-    cumulated = running_sums(resid, by, "pos", {"e": F.col("e")}, limit=limit).select(*by, "pos", "e", F.col("cum_e").alias("s"))
-    ordered, w = in_order(cumulated.withColumnRenamed("pos", "at"), by, "at", lags, limit=limit)
-    lagged = ordered.withColumns({f"_l{k}": F.lag("e", k).over(w) for k in range(1, lags + 1)}).where("own = 1")
+    cumulated = running_by_position(resid, by, {"e": F.col("e")}, limit).withColumnRenamed("cum_e", "s")
+    chunks = with_halo(cumulated, by, lags, max(limit, lags + 1))
+    w = Window.partitionBy(*by, "chunk").orderBy("pos")
+    lagged = chunks.withColumns({f"_l{k}": F.lag("e", k).over(w) for k in range(1, lags + 1)}).where("own = 1")
     e, t = F.col("e"), F.count(F.lit(1))
     spread = F.sum(e * e)
     for k in range(1, lags + 1):

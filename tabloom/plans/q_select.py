@@ -316,6 +316,12 @@ def _(spark, sf):
     return sel.shuffle_selection(train, test, PLAIN, "y", ["id"], m.learner("forest", numTrees=5, maxDepth=3), "auc")
 
 
+@query("n29_shuffle_selection_regression")
+def _(spark, sf):
+    train, test = parts(spark, sf, "fx_num")
+    return sel.shuffle_selection(train, test, ["q", "n", "d"], "yr", ["id"], m.learner("linear"), "rmse")
+
+
 @query("n30_hybrid_elimination")
 def _(spark, sf):
     train, test = parts(spark, sf)

@@ -583,6 +583,13 @@ def _(spark, sf):
     return scaled(spark, sf, "minmax")
 
 
+@query("m02_min_max_inverse", "SELECT id, RND(q) AS q, RND(p) AS p FROM fx_num")
+def _(spark, sf):
+    train, df = parts(spark, sf, "fx_num")
+    fitted = scale.Scale("minmax", ["q", "p"]).fit(train)
+    return fitted.inverse(fitted.transform(df)).select("id", rnd("q").alias("q"), rnd("p").alias("p"))
+
+
 @query("m03_robust", scaled_sql("median({c})", "(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25))"))
 def _(spark, sf):
     return scaled(spark, sf, "robust")

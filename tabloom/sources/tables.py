@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, FloatType, StructType
 
 from ..operators.core import shared_dir
 
@@ -45,6 +45,12 @@ def drop_unnamed(df: DataFrame) -> DataFrame:
     return df.drop(*gone)
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """One notion of a missing number: NaN of float columns becomes null."""
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (FloatType, DoubleType))]
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
+
+
 def profile(df: DataFrame) -> DataFrame:
     """One row per column: position, type, rows, nulls."""
     counts = df.agg(
