@@ -34,7 +34,8 @@ def permutation_importance(
     seed: int = 0,
 ) -> DataFrame:
     """(feature, mean_drop, std_drop): how much the metric falls when one column is
-    shuffled. One permutation join per repeat serves all features."""
+    shuffled. One permutation join per repeat serves all features; its result is held
+    while they are scored, so pass only the columns the scorer needs."""
     sign = 1.0 if HIGHER_IS_BETTER[metric] else -1.0
     base = metric_value(scorer(df), metric, label)
     rows = []

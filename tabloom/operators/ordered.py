@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .core import TASK_ROWS
 
 RANGES = 512
-HASH_BITS = 10
+MAX_RANGES = 4096
+HASH_BITS = 12
 
 
 def range_splits(df: DataFrame, order: str, ranges: int = RANGES) -> list[float]:
@@ -79,14 +80,16 @@ def running_sums(
     ``order`` is a numeric column; rows must be unique on (by, order, ties).
     """
     keys = [F.col(order).desc() if descending else F.col(order).asc(), *[F.col(t).asc() for t in ties]]
-    if df.count() <= limit:
+    rows = df.count()
+    if rows <= limit:
         run = Window.partitionBy(*by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
         whole = Window.partitionBy(*by)
         return df.withColumns(
             {f"cum_{n}": F.sum(c).over(run) for n, c in sums.items()}
             | {f"total_{n}": F.sum(c).over(whole) for n, c in sums.items()}
         )
-    ranged = add_range(df, order)
+    # more rows get more ranges, so that one range stays a task's worth of sorting
+    ranged = add_range(df, order, min(MAX_RANGES, max(RANGES, rows // max(1, limit))))
     if descending:
         ranged = ranged.withColumn("_range", -F.col("_range"))
     return _prefixed(ranged, by, "_range", sums, keys)

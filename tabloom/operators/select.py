@@ -486,5 +486,6 @@ def compare_feature_lists(
     """(variant, model, train, test) for each feature list and learner."""
     from .models import compare_tables
 
-    with held(train, test) as (a, b):
+    needed = list(dict.fromkeys([label, *(f for cols in lists.values() for f in cols)]))
+    with held(train.select(*needed), test.select(*needed)) as (a, b):
         return settle(compare_tables({n: (a, b, f) for n, f in lists.items()}, label, estimators, metric))

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .core import held, small_rows
+from .core import small_rows
 
 _KINDS: dict[str, type["Fitted"]] = {}
 
@@ -63,12 +63,12 @@ class Chain(Stage):
 
     def fit(self, df: DataFrame) -> "FittedChain":
         fitted = []
-        # every stage reads the table at least once
-        with held(df) as (out,):
-            for stage in self.stages:
-                done = stage.fit(out)
-                fitted.append(done)
-                out = done.transform(out)
+        # each fit is an aggregate over its own columns, so the scan stays pruned;
+        # a caller whose table is costly to derive can hold it around this call
+        for stage in self.stages:
+            done = stage.fit(df)
+            fitted.append(done)
+            df = done.transform(df)
         return FittedChain(fitted)
 
 

@@ -105,7 +105,8 @@ def _(spark, sf):
     )
     fitted = chain.fit(train)
     features = [*kinds["categorical"], *numbers, "size_na"]
-    with m.held(fitted.transform(train), fitted.transform(df.where("split <> 'train'"))) as (a, b):
+    test = df.where("split <> 'train'")
+    with m.held(*[fitted.transform(d).select("y", *features) for d in (train, test)]) as (a, b):
         out = m.log_target_predictions(a, b, features, "y", m.learner("boosted", True, maxIter=3, maxDepth=3))
         values = mt.regression_scores(out, "y", "prediction").first().asDict()
         gaps = sum(r["n_null"] for r in null_table(b, features).collect())

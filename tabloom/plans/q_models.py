@@ -335,7 +335,7 @@ def _(spark, sf):
 def _(spark, sf):
     train, test = parts(spark, sf)
     grid = {"maxDepth": [2, 3, 4, 5], "minInstancesPerNode": [1, 10, 100], "maxBins": [16, 32]}
-    with m.held(train, test) as (a, b):
+    with m.held(train.select("y", *XS), test.select("y", *XS)) as (a, b):
         return settle(m.random_search(a, b, XS, "y", "tree", grid, "auc", max_evals=5, seed=11))
 
 
@@ -423,7 +423,7 @@ def _(spark, sf):
 def explained(spark, sf, kind="logistic", **params):
     train, test = parts(spark, sf)
     model = m.fit(train, XS, "y", m.learner(kind, **params))
-    return (lambda d: m.scored(model, d, XS)), test
+    return (lambda d: m.scored(model, d, XS)), test.select("id", "y", *XS)
 
 
 @query("r01_permutation_importance")
