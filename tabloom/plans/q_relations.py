@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, maths
 from ..operators import discretise, joins, neighbours, profile as prof, windows as win
 from ..operators.core import settle, share
-from ..operators.ordered import group_quantiles, group_stats
+from ..operators.ordered import group_quantiles, join_on
 from ..sources.tables import table
 from .registry import fixture, query, rnd
 
@@ -249,13 +249,15 @@ RFM = f"""SELECT customer_id, min(amount) AS amount_min, RND(median(amount)) AS
 @query("d03_rfm", RFM)
 def _(spark, sf):
     txn = fixture(spark, sf, "fx_txn").withColumn("txn_day", F.to_date("txn_dt"))
-    aggs = [
+    # the distinct count runs in two steps, which would carry the quantile state along twice
+    stats = txn.groupBy("customer_id").agg(
         *prof.stat_exprs({"amount": ["min", "max", "sum", "std"]}),
         F.count_distinct("txn_day").alias("txn_days"),
         F.count("txn_dt").alias("txn_count"),
         F.max("txn_dt").alias("last"),
-    ]
-    return group_stats(txn, ["customer_id"], aggs, {"m": ("amount", 0.5)}).select(
+    )
+    medians = group_quantiles(txn.select("customer_id", "amount"), ["customer_id"], "amount", {"m": 0.5})
+    return join_on(stats, medians, ["customer_id"]).select(
         "customer_id",
         "amount_min",
         rnd("m").alias("amount_median"),
