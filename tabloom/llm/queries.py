@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, mixing, quality_rules, toxicity
+from . import decontaminate, fm_dedup, mixing, quality_rules, suffix_repeats, toxicity
 from .tables import id_remainder, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,12 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op2_suffix_dedup", suffix_repeats.REPEAT_SQL)
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of each document that repeat 50 bytes or more of a smaller document."""
+    return suffix_repeats.repeat_digest(read_table(spark, folder, "documents"))
+
+
 @query("op3_decontaminate", decontaminate.CONTAMINATION_SQL)
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Words of each document hit by 13-word passages of the benchmark."""
@@ -56,6 +62,12 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, folder, "documents"))
 
 
+@query("op10_fm_dedup", fm_dedup.WORD_REPEAT_SQL)
+def op10_fm_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of each document that repeat 50 words or more of a smaller document."""
+    return fm_dedup.word_repeat_digest(read_table(spark, folder, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
