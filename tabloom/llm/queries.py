@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, fm_dedup, mixing, quality_rules, suffix_repeats, toxicity
+from . import decontaminate, fm_dedup, mixing, quality_rules, signature_join, suffix_repeats, toxicity
 from .tables import id_remainder, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,12 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("doc", "doc_id").drop("text_hash")
 
 
+@query("op5_jaccard_join", signature_join.NEAR_DUPLICATE_SQL)
+def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Shingle count and near-duplicate group of each document."""
+    return signature_join.near_duplicate_classes(read_table(spark, folder, "documents"))
+
+
 @query("op6_toxicity")
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of each document, learnt from the labels of four folds of five."""
