@@ -1,7 +1,7 @@
 """Benchmark decontamination over a distributed positional inverted index, in DataFrame functions alone.
 
 The training documents are read once to count the benchmark's terms, and once to store postings: (term, document,
-position, the words around it). Only the rarest terms of each phrase are stored, since a phrase is found from those:
+position, the words around it), with the position of an end mark as each document's length. Only the rarest terms of each phrase are stored, since a phrase is found from those:
 their posting lists, shifted by the term's offset in the phrase, must meet in the same document and start. The words
 kept beside the posting then confirm the whole phrase, or bound the span for proximity.
 
@@ -30,6 +30,9 @@ BLOCK_PHRASES = 50_000
 #: Rarest terms of a phrase whose postings are intersected.
 RAREST = 2
 
+#: The term that ends every document in the index: no word, so no phrase holds it.
+END = ""
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word of text whose A-Z are still capitals.
 _RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -74,12 +77,15 @@ def term_counts(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: st
 
 
 def build_index(docs: DataFrame, terms: DataFrame, reach: int = PHRASE_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Postings of the terms (at most a block's): term, doc, text_hash, pos, and the `reach` - 1 words on either side.
+    """Postings of the terms (at most a block's) and of each document's end: term, doc, text_hash, pos, and the
+    `reach` - 1 words on either side.
 
     `before` is how many of them stand before the term. The join is a broadcast one inside the stage that splits the
     text, so a document's words are cut into context only where a term of the index occurs.
     """
-    found = _tokens(_documents(docs, key, text)).join(F.broadcast(terms), "term")
+    ended = _documents(docs, key, text).withColumn("words", F.concat("words", F.array(F.lit(END))))
+    wanted = terms.select("term").union(docs.sparkSession.range(1).select(F.lit(END)))
+    found = _tokens(ended).join(F.broadcast(wanted), "term")
     before = F.least(F.col("pos"), F.lit(reach - 1))
     return found.select("term", "doc", "text_hash", "pos", before.alias("before"), F.slice("words", F.col("pos") - before + 1, before + reach).alias("context")).withColumn(
         "context", F.transform("context", lower_word)
@@ -124,24 +130,31 @@ def proximity_matches(index: DataFrame, rare: DataFrame, slop: int) -> DataFrame
     return near.filter(F.exists(spans, lambda s: F.size(F.array_except("words", s)) == 0)).select("doc", "text_hash", "phrase_id", "pos").distinct()
 
 
-def find_matches(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK_PHRASES) -> DataFrame:
-    """Every exact occurrence of every phrase, phrase block by phrase block."""
+def document_lengths(index: DataFrame) -> DataFrame:
+    """(doc, text_hash, n_words) of each row of the indexed documents."""
+    return index.filter(F.col("term") == END).select("doc", "text_hash", F.col("pos").cast("long").alias("n_words"))
+
+
+def find_matches(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK_PHRASES) -> tuple[DataFrame, DataFrame]:
+    """Every exact occurrence of every phrase, phrase block by phrase block, and the documents' lengths."""
     phrases = checkpointed(phrases)
     blocks = max(1, -(-phrases.count() // block))
-    parts = []
+    parts, lengths = [], None
     for b in range(blocks):
         own = phrases.filter(F.pmod("phrase_id", F.lit(blocks)) == b)
         vocabulary = own.select(F.explode("words").alias("term")).distinct()
         rare = checkpointed(rarest_terms(own, term_counts(docs, vocabulary, key, text)))
         index = checkpointed(build_index(docs, rare.select("term").distinct(), key=key, text=text))
         parts.append(phrase_matches(index, rare))
-    return reduce(DataFrame.unionByName, parts)
+        lengths = document_lengths(index) if lengths is None else lengths
+    return reduce(DataFrame.unionByName, parts), lengths
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc, text_hash, n_words, n_hit, n_items, items_sha256, contaminated, for each row of docs."""
     phrases, owners = phrases_of(items, item_key, item_text)
-    matches = checkpointed(find_matches(docs, phrases, key, text))
+    matches, lengths = find_matches(docs, phrases, key, text)
+    matches = checkpointed(matches)
     before = Window.partitionBy("doc", "text_hash").orderBy("start", F.desc("length"))
     reached = F.coalesce(F.max(F.col("start") + F.col("length")).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     fresh = F.greatest(F.lit(0), F.col("start") + F.col("length") - F.greatest(F.col("start"), reached))
@@ -149,7 +162,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     hits = hits.groupBy("doc", "text_hash").agg(F.sum("fresh").cast("long").alias("n_hit"))
     found = matches.select("doc", "text_hash", "phrase_id").distinct().join(owners, "phrase_id")
     found = found.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    d, h, f = (x.alias(n) for x, n in ((_documents(docs, key, text).select("doc", "text_hash", F.size("words").cast("long").alias("n_words")), "d"), (hits, "h"), (found, "f")))
+    d, h, f = (x.alias(n) for x, n in ((lengths, "d"), (hits, "h"), (found, "f")))
     same = lambda a, b: F.col(f"{a}.doc").eqNullSafe(F.col(f"{b}.doc")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
     hit = h.join(f, same("h", "f")).select("h.doc", "h.text_hash", "n_hit", "items").alias("x")
     n_hit = F.coalesce("n_hit", F.lit(0))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, fm_dedup, mixing, quality_rules, signature_join, suffix_repeats, toxicity
+from . import decontaminate, fm_dedup, mixing, nce_lm, quality_rules, signature_join, suffix_repeats, toxicity
 from .tables import id_remainder, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,12 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op1_nce_lm")
+def op1_nce_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-probability of each document under the log-bilinear model, and under counts of single words."""
+    return nce_lm.score_documents(read_table(spark, folder, "documents"))
+
+
 @query("op2_suffix_dedup", suffix_repeats.REPEAT_SQL)
 def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes of each document that repeat 50 bytes or more of a smaller document."""
