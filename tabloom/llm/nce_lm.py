@@ -37,7 +37,7 @@ SYMBOLS = FREQUENT + CLASSES + 1
 END = SYMBOLS - 1
 CONTEXT, SIZE = 2, 24
 #: Noise words drawn for a step, and how many of them count for one observed word.
-DRAWN, NOISE = 64, 16
+DRAWN, NOISE = 32, 16
 ROUNDS, STEPS, RATE = 2, 6, 0.08
 ENDING = 3
 COUNTS, TOTALS, TOP = range(3)
@@ -164,6 +164,19 @@ def contexts(symbols: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return one * SYMBOLS + two
 
 
+def add_rows(out: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None:
+    """out[index] += rows, where an index may repeat."""
+    if not len(index):
+        return
+    if (index[1:] < index[:-1]).any():
+        order = np.argsort(index, kind="stable")
+        index, rows = index[order], rows[order]
+    last = np.flatnonzero(np.append(index[1:] != index[:-1], True))
+    total = np.cumsum(rows, axis=0, dtype=np.float64)[last]
+    total[1:] -= total[:-1].copy()
+    out[index[last]] += total
+
+
 class LogBilinear:
     """Parameters of the model in one array, seen as vectors, position matrices, output vectors and biases."""
 
@@ -212,16 +225,16 @@ class LogBilinear:
         score = np.einsum("ij,ij->i", h[place], self.outputs[target]) + self.biases[target] - log_noise[target]
         up = weight / (1 + np.exp(np.clip(score, -30, 30)))
         score = h @ self.outputs[drawn].T + (self.biases[drawn] - log_noise[drawn])
-        down = -(NOISE / DRAWN) * of_context[:, None] / (1 + np.exp(-np.clip(score, -30, 30)))
+        down = np.float32(-NOISE / DRAWN) * of_context[:, None] / (1 + np.exp(-np.clip(score, -30, 30)))
         step = LogBilinear(np.zeros_like(self.flat))
         back = down @ self.outputs[drawn]
-        np.add.at(back, place, up[:, None] * self.outputs[target])
-        np.add.at(step.outputs, target, up[:, None] * h[place])
-        np.add.at(step.outputs, drawn, down.T @ h)
+        add_rows(back, place, up[:, None] * self.outputs[target])
+        add_rows(step.outputs, target, up[:, None] * h[place])
+        add_rows(step.outputs, drawn, down.T @ h)
         step.biases += np.bincount(target, up, minlength=SYMBOLS) + np.bincount(drawn, down.sum(axis=0), minlength=SYMBOLS)
         for j, symbol in enumerate((used // SYMBOLS, used % SYMBOLS)):
             step.matrices[j] = self.inputs[symbol].T @ back
-            np.add.at(step.inputs, symbol, back @ self.matrices[j].T)
+            add_rows(step.inputs, symbol, back @ self.matrices[j].T)
         seen += step.flat**2
         self.flat += rate * step.flat / np.sqrt(seen + 1e-10)
 
