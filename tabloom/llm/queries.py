@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, fm_dedup, mixing, nce_lm, quality_rules, signature_join, suffix_repeats, toxicity
+from . import decontaminate, fm_dedup, html_blocks, license_scan, mixing, nce_lm, quality_rules, signature_join, suffix_repeats, toxicity
 from .tables import id_remainder, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,23 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("doc", "doc_id").drop("text_hash")
 
 
+@query("op4_license_scan")
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence of each document, filed as source/lang/thousand/hundred/file; a document whose id ends in 0 is filed as a
+    licence file of its hundred, of its thousand if it ends in 00, of its language if in 000."""
+    docs = read_table(spark, folder, "documents")
+    hundred, thousand = F.floor(F.col("doc_id") / 100).cast("string"), F.floor(F.col("doc_id") / 1000).cast("string")
+    top = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")))
+    file = F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))
+    path = (
+        F.when(F.col("doc_id") % 1000 == 0, F.concat_ws("/", top, file))
+        .when(F.col("doc_id") % 100 == 0, F.concat_ws("/", top, thousand, file))
+        .when(F.col("doc_id") % 10 == 0, F.concat_ws("/", top, thousand, hundred, file))
+        .otherwise(F.concat_ws("/", top, thousand, hundred, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    )
+    return license_scan.scan_licences(docs.select("doc_id", path.alias("path"), "text"), keep=("doc_id",))
+
+
 @query("op5_jaccard_join", signature_join.NEAR_DUPLICATE_SQL)
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Shingle count and near-duplicate group of each document."""
@@ -60,6 +77,12 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+@query("op7_html_blocks")
+def op7_html_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of each page."""
+    return html_blocks.extract_pages(read_table(spark, folder, "pages"))
+
+
 @query("op8_quality_rules")
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base rules and boosted-tree verdict of each document."""
