@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import decontaminate, mixing, toxicity
+from tabloom.llm import decontaminate, mixing, signature_join, suffix_repeats, toxicity
 from tabloom.llm.tables import read_table
 from tabloom.operators.core import shared_dir
 
@@ -22,6 +22,16 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame
     return toxicity.drop_toxic(docs, model)
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest id."""
+    return signature_join.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents without the bytes that repeat 50 bytes or more of a document with a smaller id."""
+    return suffix_repeats.cut_repeats(docs)
+
+
 def reject_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that hold no more than the allowed share of benchmark passages."""
     return decontaminate.drop_contaminated(docs, read_table(spark, folder, "benchmark"))
@@ -32,7 +42,13 @@ def mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return mixing.mix_sources(docs)
 
 
-STAGES = [("toxicity", reject_toxic), ("decontaminate", reject_contaminated), ("mixing", mix)]
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near_duplicates", one_of_each_group),
+    ("suffix_dedup", cut_repeats),
+    ("decontaminate", reject_contaminated),
+    ("mixing", mix),
+]
 
 #: Learnt verdicts have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None

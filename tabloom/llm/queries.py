@@ -65,7 +65,7 @@ def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_jaccard_join", signature_join.NEAR_DUPLICATE_SQL)
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Shingle count and near-duplicate group of each document."""
-    return signature_join.near_duplicate_classes(read_table(spark, folder, "documents"))
+    return signature_join.near_duplicate_classes(read_table(spark, folder, "documents"), percent=85, shingle=4)
 
 
 @query("op6_toxicity")

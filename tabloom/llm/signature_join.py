@@ -33,8 +33,9 @@ from .components import components
 from .repeats import KEY_BITS, NO_ID, _ROWS, _table, expand, expand_sorted, id_values, join_parts, key_lists, pack_chunks, split_parts, squeeze, squeeze_sorted, unpack
 from .tables import shard_count
 
-PERCENT = 85
-SHINGLE = 4
+#: Similarity in percent and words of a shingle, unless the caller says otherwise.
+PERCENT = 80
+SHINGLE = 5
 #: Sets of a group that one task compares with as many others.
 BLOCK_SETS = 1500
 #: Bits of a shingle's hash by which two sets are compared.
@@ -212,13 +213,13 @@ def _group_name(leader: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return mix(leader + i.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + j.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def document_sets(chunks: DataFrame, key: str, text: str, percent: int, shards: int) -> DataFrame:
+def document_sets(chunks: DataFrame, key: str, text: str, percent: int, shingle: int, shards: int) -> DataFrame:
     """(chunk, row, doc, n, set_id, prefix, tokens) of every row; the last three are null where no link is possible."""
 
     def listed(batches):
         for batch in batches:
             for chunk, blob in zip(batch["chunk"].to_pylist(), batch["blob"]):
-                hashes, cuts = shingle_sets(*text_bytes(unpack(blob.as_buffer())[text]))
+                hashes, cuts = shingle_sets(*text_bytes(unpack(blob.as_buffer())[text]), shingle)
                 owner = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
                 yield _table(list(key_lists(chunk, hashes >> np.uint64(64 - KEY_BITS), owner, shards, 0)))
 
@@ -231,7 +232,7 @@ def document_sets(chunks: DataFrame, key: str, text: str, percent: int, shards:
         for batch in batches:
             for chunk, blob, answers in zip(batch["chunk"].to_pylist(), batch["blob"], batch["answers"].to_pylist()):
                 docs = unpack(blob.as_buffer())
-                hashes, cuts = shingle_sets(*text_bytes(docs[text]))
+                hashes, cuts = shingle_sets(*text_bytes(docs[text]), shingle)
                 size = np.diff(cuts)
                 keys = hashes >> np.uint64(64 - KEY_BITS)
                 if answers:
@@ -349,11 +350,11 @@ def set_links(sets: DataFrame, groups: DataFrame, percent: int, shards: int, blo
     return full.groupBy("shard").applyInArrow(walked, "a long, b long")
 
 
-def near_duplicate_rows(chunks: DataFrame, key: str, text: str, percent: int = PERCENT, block: int = BLOCK_SETS) -> DataFrame:
+def near_duplicate_rows(chunks: DataFrame, key: str, text: str, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK_SETS) -> DataFrame:
     """(chunk, row, doc, n, component, member): of every row of the chunks; component is the smallest id of its group,
     member the group's number, null for a row without links."""
     shards = shard_count(chunks.sparkSession)
-    rows = document_sets(chunks, key, text, percent, shards)
+    rows = document_sets(chunks, key, text, percent, shingle, shards)
     sets = rows.filter(F.col("set_id").isNotNull())
     links = set_links(sets, meeting_groups(sets, shards), percent, shards, block)
     of_set = components(links).withColumnRenamed("node", "set_id")
@@ -363,18 +364,20 @@ def near_duplicate_rows(chunks: DataFrame, key: str, text: str, percent: int = P
     return named.join(least, "member", "left").select("chunk", "row", "doc", "n", "member", F.coalesce("component", "doc").alias("component"))
 
 
-def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, block: int = BLOCK_SETS) -> DataFrame:
+def near_duplicate_classes(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK_SETS
+) -> DataFrame:
     """(key, n_shingles, component_id) of every row."""
     chunks = pack_chunks(docs.select(key, text), text)
-    found = near_duplicate_rows(chunks, key, text, percent, block)
+    found = near_duplicate_rows(chunks, key, text, percent, shingle, block)
     whole = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return found.select(whole("doc").alias(key), F.col("n").alias("n_shingles"), whole("component").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """The rows, unchanged, without those of which a near-duplicate with a smaller id stays; of repeated rows one."""
     chunks = pack_chunks(docs, text)
-    found = near_duplicate_rows(chunks, key, text, percent)
+    found = near_duplicate_rows(chunks, key, text, percent, shingle)
     first = found.filter(F.col("member").isNotNull()).groupBy("member").agg(F.min(F.struct("doc", "chunk", "row")).alias("first"))
     stays = found.join(first, "member", "left").filter(
         F.col("member").isNull() | ((F.col("first.chunk") == F.col("chunk")) & (F.col("first.row") == F.col("row")))
