@@ -9,13 +9,6 @@ from contextlib import contextmanager
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-# A fitted state of up to this many rows is held on the driver as an Arrow
-# table and becomes a LocalRelation, whose known size lets Catalyst broadcast it.
-STATE_ROWS = 20_000
-# Up to this many rows a single task may sort or hold a group; above it the
-# bucketed forms in `ordered` are used.
-TASK_ROWS = 1_000_000
-
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -64,22 +57,11 @@ def held(*dfs: DataFrame) -> Iterator[tuple[DataFrame, ...]]:
             d.unpersist()
 
 
-def settle(df: DataFrame, limit: int = STATE_ROWS) -> DataFrame:
-    """Run a fit once. Small results become a local relation, large ones a checkpoint."""
-    rows = df.limit(limit + 1).toArrow()
-    if rows.num_rows <= limit:
-        return df.sparkSession.createDataFrame(rows, schema=df.schema)
+def settle(df: DataFrame) -> DataFrame:
+    """Run a fit once: its result is written to the checkpoint folder and read from there."""
     return checkpointed(df)
 
 
-def small_rows(df: DataFrame, limit: int = STATE_ROWS, what: str = "state") -> list:
-    """Collect a table that must be small; refuse instead of truncating."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{what} has more than {limit} rows")
-    return rows
-
-
 def label_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(variable, label, n) for several label columns in one pass; null labels kept."""
     return (

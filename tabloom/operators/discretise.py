@@ -12,7 +12,7 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .core import TASK_ROWS, numeric_columns
+from .core import numeric_columns
 from .ordered import quantiles
 from .stages import Fitted, Stage
 
@@ -95,14 +95,13 @@ class EqualFrequency(Stage):
         duplicates: str = "raise",
         clamp: bool = False,
         suffix: str = "_bin",
-        limit: int = TASK_ROWS,
     ):
         self.q, self.variables, self.duplicates = q, variables, duplicates
-        self.clamp, self.suffix, self.limit = clamp, suffix, limit
+        self.clamp, self.suffix = clamp, suffix
 
     def fit(self, df: DataFrame) -> FittedBins:
         cols = list(self.variables or numeric_columns(df))
-        cut = quantiles(df, cols, [i / self.q for i in range(self.q + 1)], self.limit)
+        cut = quantiles(df, cols, [i / self.q for i in range(self.q + 1)])
         edges = {}
         for c in cols:
             kept = sorted(set(cut[c]))

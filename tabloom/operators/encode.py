@@ -6,18 +6,17 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .core import TASK_ROWS, label_counts, settle, small_rows, string_columns
+from .core import label_counts, settle, string_columns
 from .ordered import positions
 from .stages import Fitted, Stage, label_lookup
 
 FLOOR = 1e-5
-MAX_INDICATORS = 2_000
 
 
 class FittedOneHot(Fitted):
     def transform(self, df: DataFrame) -> DataFrame:
         new: dict[str, Column] = {}
-        for r in small_rows(self.state.orderBy("variable", "position"), MAX_INDICATORS, "indicator list"):
+        for r in self.state.orderBy("variable", "position").collect():
             v, label = r["variable"], r["label"]
             hit = F.col(v).isNull() if label is None else F.col(v).cast("string") == label
             new[f"{v}_{'nan' if label is None else label}"] = F.coalesce(hit, F.lit(False)).cast("int")
@@ -48,7 +47,7 @@ class OneHot(Stage):
                 best = counts.where(F.col("variable") == c).orderBy(F.desc("n"), "label").limit(self.top)
                 rows += sorted(best.collect(), key=lambda r: r["label"])
         else:
-            rows = small_rows(counts.orderBy("variable", "label"), MAX_INDICATORS, "label list")
+            rows = counts.orderBy("variable", "label").collect()
         out = []
         for c in cols:
             labels = [r["label"] for r in rows if r["variable"] == c]
@@ -103,14 +102,13 @@ class LabelNumbers(Stage):
         target: str | None = None,
         fallback: float | None = None,
         suffix: str = "",
-        limit: int = TASK_ROWS,
     ):
         if method not in self.METHODS:
             raise ValueError(f"method is one of {self.METHODS}")
         if target is None and method in ("mean", "ordered", "ratio", "woe"):
             raise ValueError(f"{method} needs a target")
         self.method, self.variables, self.target = method, variables, target
-        self.fallback, self.suffix, self.limit = fallback, suffix, limit
+        self.fallback, self.suffix = fallback, suffix
 
     def fit(self, df: DataFrame) -> FittedLabels:
         cols = list(self.variables or string_columns(df, [self.target] if self.target else []))
@@ -124,9 +122,7 @@ class LabelNumbers(Stage):
                 return counts.withColumn("value", F.col("n").cast("double"))
             if self.method == "frequency":
                 return counts.withColumn("value", F.col("n") / df.agg(F.count(F.lit(1))).scalar())
-            ranked = positions(
-                counts.withColumn("_at", text_order(counts, "label")), ["variable"], "_at", ["label"], limit=self.limit
-            )
+            ranked = positions(counts, ["variable"], "label")
             return ranked.withColumn("value", (F.col("pos") - 1).cast("double"))
         means = (
             df.select(F.col(self.target).cast("double").alias("_y"), *[F.col(c).cast("string").alias(c) for c in cols])
@@ -138,18 +134,8 @@ class LabelNumbers(Stage):
         if self.method == "mean":
             return means.withColumn("value", F.col("p"))
         if self.method == "ordered":
-            ranked = positions(means, ["variable"], "p", ["label"], limit=self.limit)
+            ranked = positions(means, ["variable"], "p", ["label"])
             return ranked.withColumn("value", (F.col("pos") - 1).cast("double"))
         odds = F.greatest(F.col("p"), F.lit(FLOOR)) / F.greatest(1 - F.col("p"), F.lit(FLOOR))
         return means.withColumn("value", F.ln(odds) if self.method == "woe" else odds)
 
-
-def text_order(df: DataFrame, col: str, width: int = 6) -> Column:
-    """Coarse numeric form of string order: the bytes after the common prefix."""
-    ends = df.agg(F.min(col).alias("a"), F.max(col).alias("b")).first()
-    a, b = (ends["a"] or "").encode(), (ends["b"] or "").encode()
-    common = 0
-    while common < min(len(a), len(b)) and a[common] == b[common]:
-        common += 1
-    tail = F.substring(F.encode(F.col(col), "UTF-8"), common + 1, width)
-    return F.conv(F.rpad(F.hex(tail), width * 2, "0"), 16, 10).cast("double")

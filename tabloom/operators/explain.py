@@ -7,7 +7,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .core import TASK_ROWS, small_rows
 from .metrics import HIGHER_IS_BETTER, metric_value
 from .models import in_parallel, rows_table
 from .ordered import hash_positions, quantiles
@@ -53,9 +52,9 @@ def permutation_importance(
     )
 
 
-def grid_points(df: DataFrame, col: str, points: int = 10, limit: int = TASK_ROWS) -> list[float]:
+def grid_points(df: DataFrame, col: str, points: int = 10) -> list[float]:
     """Distinct percentiles of a column."""
-    return sorted(set(quantiles(df, [col], [i / (points - 1) for i in range(points)], limit)[col]))
+    return sorted(set(quantiles(df, [col], [i / (points - 1) for i in range(points)])[col]))
 
 
 def individual_effects(
@@ -128,7 +127,7 @@ def sampled_shapley(
     twice with opposite signs, so summing per (key, feature) gives mean score steps and
     the values of a row add up to its score minus the mean background score.
     """
-    base = [tuple(float(r[c]) for c in cols) for r in small_rows(background.select(*cols), 200, "background")]
+    base = [tuple(float(r[c]) for c in cols) for r in background.select(*cols).collect()]
     rng = random.Random(seed)
     chains = []
     for values in base:

@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from .core import TASK_ROWS, checkpointed, numeric_columns, settle, string_columns
-from .ordered import hash_positions, quantiles
+from .core import checkpointed, numeric_columns, settle, string_columns
+from .ordered import hash_number, hash_positions, quantiles
 from .outliers import tail_bounds
 from .profile import modes, null_table, numeric_modes
 from .stages import Fitted, Stage
@@ -35,15 +35,15 @@ class FittedFill(Fitted):
 
 
 class MeanMedian(Stage):
-    def __init__(self, method: str = "mean", variables: Sequence[str] | None = None, limit: int = TASK_ROWS):
+    def __init__(self, method: str = "mean", variables: Sequence[str] | None = None):
         if method not in ("mean", "median"):
             raise ValueError("method is 'mean' or 'median'")
-        self.method, self.variables, self.limit = method, variables, limit
+        self.method, self.variables = method, variables
 
     def fit(self, df: DataFrame) -> FittedFill:
         cols = list(self.variables or numeric_columns(df))
         if self.method == "median":
-            mid = {c: v[0] for c, v in quantiles(df, cols, [0.5], self.limit).items()}
+            mid = {c: v[0] for c, v in quantiles(df, cols, [0.5]).items()}
         else:
             mid = df.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
         return FittedFill({"variables": cols}, _state(df, [(c, mid[c], None) for c in cols]))
@@ -67,14 +67,13 @@ class EndOfTail(Stage):
         tail: str = "right",
         fold: float = 3.0,
         variables: Sequence[str] | None = None,
-        limit: int = TASK_ROWS,
     ):
         self.distribution, self.tail, self.fold = distribution, tail, fold
-        self.variables, self.limit = variables, limit
+        self.variables = variables
 
     def fit(self, df: DataFrame) -> FittedFill:
         cols = list(self.variables or numeric_columns(df))
-        ends = tail_bounds(df, cols, self.distribution, self.fold, self.limit)
+        ends = tail_bounds(df, cols, self.distribution, self.fold)
         at = 0 if self.tail == "left" else 1
         return FittedFill({"variables": cols}, _state(df, [(c, ends[c][at], None) for c in cols]))
 
@@ -138,7 +137,7 @@ class FittedDonors(Fitted):
             if not m:
                 continue
             drawn = [F.col(row_seed)] if row_seed else [F.col(k) for k in key]
-            pick = F.pmod(F.xxhash64(*drawn, F.lit(seed), F.lit(v)), F.lit(m)) + 1
+            pick = F.pmod(hash_number(seed, F.lit(v), *drawn), F.lit(m)) + 1
             # filled rows get a negative number: no match, and no single hot join key
             spread = -F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.lit(m)) - 1
             donors = self.state.where(F.col("variable") == v).select(

@@ -6,35 +6,36 @@ part sees one row per distinct score.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.ml.evaluation import Evaluator
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .core import STATE_ROWS, TASK_ROWS, share, small_rows
+from .core import share
 from .ordered import hash_uniform, running_sums
 from .profile import describe
 
 
 def _by_score(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
-    return df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
+    """Rows without a score have no rank and don't count."""
+    return df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
     )
 
 
-def auc_of_counts(counts: DataFrame, by: Sequence[str] = (), limit: int = TASK_ROWS) -> DataFrame:
+def auc_of_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve from (by..., score, pos, neg), in its rank form."""
-    run = running_sums(counts, by, "score", {"neg": F.col("neg")}, limit=limit)
+    run = running_sums(counts, by, "score", {"neg": F.col("neg")})
     won = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2.0))
     return run.groupBy(*by).agg(F.try_divide(won, F.sum("pos") * F.sum("neg").cast("double")).alias("auc"))
 
 
-def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = (), limit: int = TASK_ROWS) -> DataFrame:
-    return auc_of_counts(_by_score(df, label, score, by), by, limit)
+def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    return auc_of_counts(_by_score(df, label, score, by), by)
 
 
-def curve(df: DataFrame, label: str, score: str, limit: int = TASK_ROWS) -> DataFrame:
+def curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row per distinct score used as threshold (score >= threshold is positive):
     true and false positive counts, rates, precision and accuracy."""
     run = running_sums(
@@ -43,7 +44,6 @@ def curve(df: DataFrame, label: str, score: str, limit: int = TASK_ROWS) -> Data
         "score",
         {"pos": F.col("pos"), "neg": F.col("neg")},
         descending=True,
-        limit=limit,
     )
     tp, fp, all_pos, all_neg = F.col("cum_pos"), F.col("cum_neg"), F.col("total_pos"), F.col("total_neg")
     return run.select(
@@ -156,8 +156,8 @@ def forecast_accuracy(df: DataFrame, label: str, prediction: str, by: Sequence[s
     )
 
 
-def residual_summary(df: DataFrame, label: str, prediction: str, limit: int = TASK_ROWS) -> DataFrame:
-    return describe(df.select((F.col(label) - F.col(prediction)).alias("residual")), ["residual"], limit)
+def residual_summary(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    return describe(df.select((F.col(label) - F.col(prediction)).alias("residual")), ["residual"])
 
 
 def mean_of_columns(cols: Sequence[str]) -> Column:
@@ -207,7 +207,7 @@ def proportional_baseline(
     train: DataFrame, score: DataFrame, label: str, key: Sequence[str], seed: int = 0
 ) -> DataFrame:
     """Classes drawn in proportion to their training share, by a hash of the key."""
-    sizes = small_rows(train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(label), 1000, "class list")
+    sizes = train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(label).collect()
     total = sum(r["n"] for r in sizes)
     draw = hash_uniform(key, seed)
     upto, pick = 0, None
@@ -243,18 +243,9 @@ def metric_value(df: DataFrame, metric: str, label: str, score: str = "score", p
 
 
 def _auc_value(df: DataFrame, label: str, score: str) -> float:
-    """Score the rows once; few distinct scores are finished on the driver."""
-    counts = _by_score(df, label, score, []).persist()
-    try:
-        rows = counts.limit(STATE_ROWS + 1).toArrow()
-        if rows.num_rows > STATE_ROWS:
-            return auc_of_counts(counts).first()["auc"]
-        at = np.argsort(rows["score"].to_numpy())
-        pos, neg = rows["pos"].to_numpy()[at], rows["neg"].to_numpy()[at]
-        pairs = float(pos.sum()) * float(neg.sum())
-        return float((pos * (np.cumsum(neg) - neg / 2.0)).sum()) / pairs if pairs else float("nan")
-    finally:
-        counts.unpersist()
+    """The rank form of `auc_of_counts`; NaN where one of the classes is absent."""
+    found = roc_auc(df, label, score).first()
+    return math.nan if found is None or found["auc"] is None else found["auc"]
 
 
 class AggregateEvaluator(Evaluator):

@@ -1,41 +1,21 @@
 """Order-dependent building blocks that never put an unbounded group in one task.
 
-Running sums and row positions split every group into value ranges: per-range
-totals are summed first, prefix sums run over that small table, and only the
-rows of one range are sorted together. Exact quantiles narrow in on the wanted
-ranks. Below ``TASK_ROWS`` the plain window or ``percentile`` is used instead.
+Running sums and row positions range-partition the rows by (group, order, ties), so that a hot group and a frequent
+value are cut like any other rows; sums of the ranges are added up over that small table, and only rows of one range are
+sorted together. Exact quantiles are read off running counts of distinct values, all columns at once. There is one form
+for every size. Null order values come last in either direction, NaN counts as the largest number.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .core import TASK_ROWS
+from .core import checkpointed, long_values
 
-RANGES = 512
-MAX_RANGES = 4096
-HASH_BITS = 12
-
-
-def range_splits(df: DataFrame, order: str, ranges: int = RANGES) -> list[float]:
-    """Approximate cut points of a numeric column, strictly increasing."""
-    probs = ", ".join(repr(i / ranges) for i in range(1, ranges))
-    row = df.select(F.expr(f"approx_percentile(cast(`{order}` as double), array({probs}), {ranges * 20})")).first()
-    return sorted({float(v) for v in (row[0] or [])})
-
-
-def add_range(df: DataFrame, order: str, ranges: int = RANGES, name: str = "_range") -> DataFrame:
-    splits = range_splits(df, order, ranges)
-    if not splits:
-        return df.withColumn(name, F.lit(0.0))
-    cut = Bucketizer(
-        splits=[-math.inf, *splits, math.inf], inputCol="_order", outputCol=name, handleInvalid="keep"
-    )
-    return cut.transform(df.withColumn("_order", F.col(order).cast("double"))).drop("_order")
+# Rows of a series that one task sorts when a window looks back a few rows.
+CHUNK_ROWS = 100_000
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -43,7 +23,7 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
     renamed = right
     for k in keys:
         renamed = renamed.withColumnRenamed(k, f"_r_{k}")
-    cond = [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys]
+    cond = [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys] or [F.lit(True)]
     return left.join(renamed, cond, "inner").drop(*[f"_r_{k}" for k in keys])
 
 
@@ -73,38 +53,25 @@ def running_sums(
     sums: dict[str, Column],
     descending: bool = False,
     ties: Sequence[str] = (),
-    limit: int = TASK_ROWS,
 ) -> DataFrame:
     """Add ``cum_<n>`` (inclusive, in order) and ``total_<n>`` per group.
 
-    ``order`` is a numeric column; rows must be unique on (by, order, ties).
+    Rows must be unique on (by, order, ties). The ranges are written to the checkpoint folder, so that the
+    number a row has got stays the same however often it is read.
     """
-    keys = [F.col(order).desc() if descending else F.col(order).asc(), *[F.col(t).asc() for t in ties]]
-    rows = df.count()
-    if rows <= limit:
-        run = Window.partitionBy(*by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy(*by)
-        return df.withColumns(
-            {f"cum_{n}": F.sum(c).over(run) for n, c in sums.items()}
-            | {f"total_{n}": F.sum(c).over(whole) for n, c in sums.items()}
-        )
-    # more rows get more ranges, so that one range stays a task's worth of sorting
-    ranged = add_range(df, order, min(MAX_RANGES, max(RANGES, rows // max(1, limit))))
-    if descending:
-        ranged = ranged.withColumn("_range", -F.col("_range"))
-    return _prefixed(ranged, by, "_range", sums, keys)
-
-
-def positions(
-    df: DataFrame, by: Sequence[str], order: str, ties: Sequence[str] = (), descending: bool = False, limit: int = TASK_ROWS
-) -> DataFrame:
+    keys = [F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_last(), *[F.col(t).asc() for t in ties]]
+    ranged = df.repartitionByRange(*[F.col(b).asc() for b in by], *keys).withColumn("_range", F.spark_partition_id())
+    return _prefixed(checkpointed(ranged), by, "_range", sums, keys)
+
+
+def positions(df: DataFrame, by: Sequence[str], order: str, ties: Sequence[str] = (), descending: bool = False) -> DataFrame:
     """Add ``pos`` (1-based rank in the order) and ``size`` (rows of the group)."""
-    out = running_sums(df, by, order, {"_one": F.lit(1)}, descending, ties, limit)
+    out = running_sums(df, by, order, {"_one": F.lit(1)}, descending, ties)
     return out.withColumnsRenamed({"cum__one": "pos", "total__one": "size"})
 
 
 def running_by_position(
-    df: DataFrame, by: Sequence[str], sums: dict[str, Column], chunk: int = TASK_ROWS, pos: str = "pos"
+    df: DataFrame, by: Sequence[str], sums: dict[str, Column], chunk: int = CHUNK_ROWS, pos: str = "pos"
 ) -> DataFrame:
     """Running sums of rows that already carry their position: chunks of positions are
     the ranges, so nothing has to be counted or sampled."""
@@ -112,133 +79,48 @@ def running_by_position(
     return _prefixed(ranged, by, "_range", sums, [F.col(pos)])
 
 
-def hash_positions(
-    df: DataFrame, by: Sequence[str], key: Sequence[str], seed: int = 0, bits: int = HASH_BITS
-) -> DataFrame:
+def hash_positions(df: DataFrame, by: Sequence[str], key: Sequence[str], seed: int = 0) -> DataFrame:
     """Number rows 1..n per group in a seeded pseudo-random order that does not
-    depend on partitioning. Hashes are uniform, so their top bits are the ranges."""
-    tagged = df.withColumn("_h", F.xxhash64(*[F.col(k) for k in key], F.lit(seed)))
-    tagged = tagged.withColumn("_hb", F.shiftright("_h", 64 - bits))
-    out = _prefixed(tagged, by, "_hb", {"_one": F.lit(1)}, [F.col("_h"), *[F.col(k) for k in key]])
-    return out.withColumnsRenamed({"cum__one": "pos", "total__one": "size"}).drop("_h")
+    depend on partitioning."""
+    tagged = df.withColumn("_h", hash_number(seed, *[F.col(k) for k in key]))
+    return positions(tagged, by, "_h", key).drop("_h")
+
+
+def hash_number(seed: int, *parts: Column) -> Column:
+    """52 bits that are a function of the seed and of the values' text alone: the first 13 hex digits of an MD5."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
 def hash_uniform(key: Sequence[str], seed: int = 0) -> Column:
     """Seeded uniform in [0, 1) that is a function of the key alone."""
-    return F.pmod(F.xxhash64(*[F.col(k) for k in key], F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return hash_number(seed, *[F.col(k) for k in key]) / F.lit(float(1 << 52))
 
 
 # ---------------------------------------------------------------- quantiles
 
 
-def quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], limit: int = TASK_ROWS
-) -> dict[str, list[float | None]]:
-    """Exact linearly interpolated quantiles of whole columns."""
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact linearly interpolated quantiles of whole columns, all of them in one pass."""
     cols, probs = list(cols), list(probs)
-    n_rows = df.count()
-    if n_rows <= limit:
-        arr = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), arr).alias(c) for c in cols]).first()
-        return {c: (list(row[c]) if row[c] is not None else [None] * len(probs)) for c in cols}
-    counts = df.agg(*[F.count(c).alias(c) for c in cols]).first()
-    out: dict[str, list[float | None]] = {}
-    for c in cols:
-        n = counts[c]
-        if n == 0:
-            out[c] = [None] * len(probs)
-            continue
-        spots = [p * (n - 1) for p in probs]
-        wanted = sorted({math.floor(s) for s in spots} | {math.ceil(s) for s in spots})
-        at = _order_statistics(df.select(F.col(c).cast("double").alias("v")).where("v is not null"), wanted, limit)
-        out[c] = [
-            at[math.floor(s)] + (s - math.floor(s)) * (at[math.ceil(s)] - at[math.floor(s)]) for s in spots
-        ]
-    return out
+    named = {f"q{i}": p for i, p in enumerate(probs)}
+    rows = group_quantiles(long_values(df, cols), ["variable"], "value", named).collect()
+    found = {r["variable"]: [r[n] for n in named] for r in rows}
+    return {c: found.get(c, [None] * len(probs)) for c in cols}
 
 
-def _order_statistics(values: DataFrame, wanted: list[int], limit: int) -> dict[int, float]:
-    """Values at 0-based ranks. Each round cuts the ranges that still hold a wanted
-    rank into ``RANGES`` parts, so the rows kept shrink about that much per pass."""
-    found: dict[int, float] = {}
-    spans: list[tuple[float, float, int]] = [(-math.inf, math.inf, 0)]  # [lo, hi), rows below
-    todo = list(wanted)
-    while todo:
-        inside = F.lit(False)
-        for lo, hi, _ in spans:
-            part = F.lit(True)
-            if lo != -math.inf:
-                part = part & (F.col("v") >= lo)
-            if hi != math.inf:
-                part = part & (F.col("v") < hi)
-            inside = inside | part
-        live = values.where(inside)
-        cuts = set(range_splits(live, "v"))
-        cuts |= {lo for lo, _, _ in spans if lo != -math.inf} | {hi for _, hi, _ in spans if hi != math.inf}
-        # the next float up isolates each cut value itself, so heavy ties end a round
-        edges = sorted(cuts | {math.nextafter(c, math.inf) for c in cuts})
-        cut = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="v", outputCol="b")
-        parts = (
-            cut.transform(live)
-            .groupBy("b")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .orderBy("b")
-            .collect()
-        )
-        starts = iter(sorted(spans))
-        span = next(starts)
-        below, spans_next, rest = span[2], [], 0
-        for p in parts:
-            while p["lo"] >= span[1]:
-                span = next(starts)
-                below = span[2]
-            hit = [k for k in todo if below <= k < below + p["n"]]
-            if hit and p["lo"] == p["hi"]:
-                found.update(dict.fromkeys(hit, p["lo"]))
-            elif hit:
-                spans_next.append((p["lo"], math.nextafter(p["hi"], math.inf), below))
-                rest += p["n"]
-            below += p["n"]
-        todo = [k for k in todo if k not in found]
-        spans = spans_next
-        if todo and rest <= limit:
-            for lo, hi, base in spans:
-                ranks = [k for k in todo if k >= base]
-                run = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-                ranked = (
-                    values.where((F.col("v") >= lo) & (F.col("v") < hi))
-                    .groupBy("v")
-                    .agg(F.count(F.lit(1)).alias("n"))
-                    .withColumn("upto", F.sum("n").over(run) + F.lit(base))
-                )
-                for row in (
-                    ranked.select("v", "n", "upto", F.explode(F.array(*[F.lit(k) for k in ranks])).alias("k"))
-                    .where("k >= upto - n and k < upto")
-                    .collect()
-                ):
-                    found[row["k"]] = row["v"]
-            todo = [k for k in todo if k not in found]
-    return found
-
-
-def group_quantiles(
-    df: DataFrame, keys: Sequence[str], col: str, probs: dict[str, float], limit: int = TASK_ROWS
-) -> DataFrame:
+def group_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: dict[str, float]) -> DataFrame:
     """(keys..., one column per named prob) of exact interpolated quantiles.
 
-    Large inputs are first counted per (keys, value), so a hot group is spread
-    over its values, and then ranked with running sums.
+    Rows are first counted per (keys, value), so a hot group is spread over its values, and then ranked with
+    running sums.
     """
     keys = list(keys)
-    if df.count() <= limit:
-        return df.groupBy(*keys).agg(
-            *[F.percentile(F.col(col).cast("double"), F.lit(float(p))).alias(n) for n, p in probs.items()]
-        )
     # nulls count 0, so a group holding only nulls stays with null quantiles
     counted = (
         df.select(*keys, F.col(col).cast("double").alias("_v")).groupBy(*keys, "_v").agg(F.count("_v").alias("_n"))
     )
-    ranked = running_sums(counted, keys, "_v", {"c": F.col("_n")}, limit=limit)
+    ranked = running_sums(counted, keys, "_v", {"c": F.col("_n")})
     aggs = []
     for name, p in probs.items():
         spot = F.lit(float(p)) * (F.col("total_c") - 1)
@@ -250,33 +132,25 @@ def group_quantiles(
     for name, p in probs.items():
         spot = F.lit(float(p)) * (F.col("_m") - 1)
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        exprs.append((lo + (spot - F.floor(spot)) * (hi - lo)).alias(name))
+        exprs.append(F.when(lo == hi, lo).otherwise(lo + (spot - F.floor(spot)) * (hi - lo)).alias(name))
     return picked.select(*keys, *exprs)
 
 
 def group_stats(
-    df: DataFrame,
-    keys: Sequence[str],
-    aggs: Sequence[Column],
-    cuts: dict[str, tuple[str, float]],
-    limit: int = TASK_ROWS,
+    df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], cuts: dict[str, tuple[str, float]]
 ) -> DataFrame:
-    """Aggregates and named (column, prob) quantiles per group: one aggregation while the
-    table is small, otherwise the plain aggregates joined with the ranked quantiles."""
-    if df.count() <= limit:
-        exact = [F.percentile(F.col(c).cast("double"), F.lit(float(p))).alias(n) for n, (c, p) in cuts.items()]
-        return df.groupBy(*keys).agg(*aggs, *exact)
+    """Aggregates and named (column, prob) quantiles per group: the aggregates joined with the ranked quantiles."""
     out = df.groupBy(*keys).agg(*aggs)
     for col in dict.fromkeys(c for c, _ in cuts.values()):
         named = {n: p for n, (c, p) in cuts.items() if c == col}
-        out = join_on(out, group_quantiles(df, keys, col, named, limit), keys)
+        out = join_on(out, group_quantiles(df, keys, col, named), keys)
     return out
 
 
 # ---------------------------------------------------------------- neighbours in order
 
 
-def with_halo(df: DataFrame, by: Sequence[str], width: int, chunk: int = TASK_ROWS, pos: str = "pos") -> DataFrame:
+def with_halo(df: DataFrame, by: Sequence[str], width: int, chunk: int = CHUNK_ROWS, pos: str = "pos") -> DataFrame:
     """Cut each ordered series into chunks of ``chunk`` positions and copy the last
     ``width`` rows of a chunk in front of the next one (``own`` = 0 for copies).
     Windows over (by, chunk) that look back up to ``width`` rows are then exact."""

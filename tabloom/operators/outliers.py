@@ -6,13 +6,13 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .core import TASK_ROWS, numeric_columns
+from .core import numeric_columns
 from .ordered import quantiles
 from .stages import Fitted, Stage
 
 
 def tail_bounds(
-    df: DataFrame, cols: Sequence[str], distribution: str, fold: float, limit: int = TASK_ROWS
+    df: DataFrame, cols: Sequence[str], distribution: str, fold: float
 ) -> dict[str, tuple[float | None, float | None]]:
     """Low and high bound per column: mean +- fold std, or quartile fences."""
     if distribution == "gaussian":
@@ -23,7 +23,7 @@ def tail_bounds(
         return {c: (m - fold * s, m + fold * s) if s is not None else (None, None) for c, (m, s) in ends.items()}
     if distribution != "skewed":
         raise ValueError("distribution is 'gaussian' or 'skewed'")
-    cut = quantiles(df, cols, [0.25, 0.75], limit)
+    cut = quantiles(df, cols, [0.25, 0.75])
     return {
         c: (q1 - fold * (q3 - q1), q3 + fold * (q3 - q1)) if q1 is not None else (None, None)
         for c, (q1, q3) in cut.items()
@@ -88,14 +88,13 @@ class Windsorizer(Stage):
         tail: str = "right",
         fold: float = 3.0,
         variables: Sequence[str] | None = None,
-        limit: int = TASK_ROWS,
     ):
         self.distribution, self.tail, self.fold = distribution, tail, fold
-        self.variables, self.limit = variables, limit
+        self.variables = variables
 
     def fit(self, df: DataFrame) -> FittedCap:
         cols = list(self.variables or numeric_columns(df))
-        ends = tail_bounds(df, cols, self.distribution, self.fold, self.limit)
+        ends = tail_bounds(df, cols, self.distribution, self.fold)
         rows = [
             (c, ends[c][0] if self.tail in ("left", "both") else None, ends[c][1] if self.tail in ("right", "both") else None)
             for c in cols

@@ -7,8 +7,8 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .core import TASK_ROWS, label_counts, long_values, one_row_to_long, settle
-from .ordered import group_quantiles, group_stats, quantiles
+from .core import label_counts, long_values, one_row_to_long, settle
+from .ordered import group_quantiles, group_stats, join_on, quantiles
 
 EXPRS_PER_PASS = 400
 
@@ -74,9 +74,9 @@ def missing_vs_target(df: DataFrame, cols: Sequence[str], target: str) -> DataFr
     return df.groupBy(target).agg(*[F.avg(F.col(c).isNull().cast("int")).alias(f"{c}_null") for c in cols])
 
 
-def target_median_by_missing(df: DataFrame, col: str, target: str, limit: int = TASK_ROWS) -> DataFrame:
+def target_median_by_missing(df: DataFrame, col: str, target: str) -> DataFrame:
     flagged = df.select(F.col(col).isNull().cast("int").alias("missing"), target)
-    return group_quantiles(flagged, ["missing"], target, {"target_median": 0.5}, limit)
+    return group_quantiles(flagged, ["missing"], target, {"target_median": 0.5})
 
 
 def missing_dependency(df: DataFrame, given: str, other: str) -> DataFrame:
@@ -99,9 +99,9 @@ def complete_share(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(F.avg(whole.cast("int")).alias("complete_share"))
 
 
-def describe(df: DataFrame, cols: Sequence[str], limit: int = TASK_ROWS) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(variable, n, mean, std, min, q25, q50, q75, max)."""
-    cut = quantiles(df, cols, [0.25, 0.5, 0.75], limit)
+    cut = quantiles(df, cols, [0.25, 0.5, 0.75])
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
@@ -117,11 +117,11 @@ def describe(df: DataFrame, cols: Sequence[str], limit: int = TASK_ROWS) -> Data
 
 
 def quantile_table(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], limit: int = TASK_ROWS, accuracy: int | None = None
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int | None = None
 ) -> DataFrame:
     """(variable, prob, value); exact, or within n / accuracy ranks in one pass."""
     if accuracy is None:
-        cut = quantiles(df, cols, probs, limit)
+        cut = quantiles(df, cols, probs)
     else:
         arr = F.array(*[F.lit(float(p)) for p in probs])
         row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), arr, accuracy).alias(c) for c in cols]).first()
@@ -153,6 +153,13 @@ def ranges(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return one_row_to_long(row, list(cols), ["range"])
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's r of the rows that have both values; null where one of them is constant."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = (F.when(both, F.col(c).cast("double")) for c in (a, b))
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y)))
+
+
 def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(a, b, r) for every unordered column pair, pairwise complete; chunked so that
     one aggregate never holds more than EXPRS_PER_PASS expressions."""
@@ -162,10 +169,7 @@ def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         chunk = pairs[i : i + EXPRS_PER_PASS]
         aggs = []
         for j, (a, b) in enumerate(chunk):
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            aggs.append(
-                F.corr(F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))).alias(f"r{j}")
-            )
+            aggs.append(correlation(a, b).alias(f"r{j}"))
         entries = [
             F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{j}").alias("r"))
             for j, (a, b) in enumerate(chunk)
@@ -175,12 +179,12 @@ def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out
 
 
-def cluster_report(df: DataFrame, cluster: str, cols: Sequence[str], limit: int = TASK_ROWS) -> DataFrame:
+def cluster_report(df: DataFrame, cluster: str, cols: Sequence[str]) -> DataFrame:
     """Size and median of each feature per cluster."""
     if cluster not in df.columns:
         raise ValueError(f"no cluster column {cluster!r}")
     cuts = {f"{c}_median": (c, 0.5) for c in cols}
-    return group_stats(df.select(cluster, *cols), [cluster], [F.count(F.lit(1)).alias("size")], cuts, limit)
+    return group_stats(df.select(cluster, *cols), [cluster], [F.count(F.lit(1)).alias("size")], cuts)
 
 
 def cardinality(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -190,9 +194,9 @@ def cardinality(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def label_target_profile(df: DataFrame, label: str, target: str, limit: int = TASK_ROWS) -> DataFrame:
+def label_target_profile(df: DataFrame, label: str, target: str) -> DataFrame:
     means = [F.count(F.lit(1)).alias("n"), F.avg(target).alias("target_mean")]
-    return group_stats(df.select(label, target), [label], means, {"target_median": (target, 0.5)}, limit)
+    return group_stats(df.select(label, target), [label], means, {"target_median": (target, 0.5)})
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
@@ -215,9 +219,9 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     return spots.join(counts, "bin", "left").select("bin", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def box_stats(df: DataFrame, cols: Sequence[str], fold: float = 1.5, limit: int = TASK_ROWS) -> DataFrame:
+def box_stats(df: DataFrame, cols: Sequence[str], fold: float = 1.5) -> DataFrame:
     """Quartiles, whisker ends inside fold x IQR, outliers per column."""
-    cut = quantiles(df, cols, [0.25, 0.5, 0.75], limit)
+    cut = quantiles(df, cols, [0.25, 0.5, 0.75])
     aggs = []
     for c in cols:
         q1, q2, q3 = cut[c]
@@ -238,11 +242,11 @@ def box_stats(df: DataFrame, cols: Sequence[str], fold: float = 1.5, limit: int
 
 
 def group_box_stats(
-    df: DataFrame, keys: Sequence[str], col: str, fold: float = 1.5, limit: int = TASK_ROWS
+    df: DataFrame, keys: Sequence[str], col: str, fold: float = 1.5
 ) -> DataFrame:
     """Box statistics per group: quartiles are joined back, then one more aggregate."""
-    cuts = group_quantiles(df, keys, col, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, limit)
-    wide = df.select(*keys, F.col(col).cast("double").alias("_x")).join(cuts, list(keys))
+    cuts = group_quantiles(df, keys, col, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    wide = join_on(df.select(*keys, F.col(col).cast("double").alias("_x")), cuts, list(keys))
     low = F.col("q25") - fold * (F.col("q75") - F.col("q25"))
     high = F.col("q75") + fold * (F.col("q75") - F.col("q25"))
     inside = (F.col("_x") >= low) & (F.col("_x") <= high)

@@ -15,7 +15,7 @@ from pyspark.ml.feature import RFormula
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import tails
-from .core import TASK_ROWS, held
+from .core import held
 from .models import rows_table
 from .ordered import positions
 from .profile import EXPRS_PER_PASS
@@ -145,9 +145,9 @@ def with_residuals(df: DataFrame, model: Ols, target: str) -> DataFrame:
     return df.withColumn("fitted", model.prediction()).withColumn("residual", F.col(target) - F.col("fitted"))
 
 
-def durbin_watson(df: DataFrame, model: Ols, target: str, order: str, limit: int = TASK_ROWS) -> DataFrame:
+def durbin_watson(df: DataFrame, model: Ols, target: str, order: str) -> DataFrame:
     resid = with_residuals(df, model, target).select(order, "residual")
-    rows, w = in_order(resid, [], order, 1, limit=limit)
+    rows, w = in_order(resid, [], order, 1)
     step = F.col("residual") - F.col("_prev")
     out = rows.withColumn("_prev", F.lag("residual", 1).over(w)).where("own = 1")
     return out.agg((F.sum(step * step) / F.sum(F.col("residual") * F.col("residual"))).alias("durbin_watson"))
@@ -228,10 +228,10 @@ def breusch_pagan(df: DataFrame, model: Ols, target: str) -> DataFrame:
 
 
 def goldfeld_quandt(
-    df: DataFrame, features: Sequence[str], target: str, order: str, ties: Sequence[str] = (), limit: int = TASK_ROWS
+    df: DataFrame, features: Sequence[str], target: str, order: str, ties: Sequence[str] = ()
 ) -> DataFrame:
     """(f, p): residual variance of the later half over that of the earlier half."""
-    ranked = positions(df, [], order, ties, limit=limit)
+    ranked = positions(df, [], order, ties)
     half = F.floor(F.col("size") / 2)
     with held(ranked.select(*features, target, (F.col("pos") <= half).alias("_early"))) as (rows,):
         low = ols(rows.where("_early"), features, target)

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .core import numeric_columns, string_columns
+from .ordered import hash_number
 
 
 def sentinel_to_null(c: Column, *sentinels) -> Column:
@@ -67,8 +68,7 @@ def drop_columns_with_nulls(df: DataFrame, max_nulls: int) -> DataFrame:
 
 def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 0) -> DataFrame:
     """n rows chosen by a seeded hash of the key: the same rows on any partitioning."""
-    order = F.xxhash64(*[F.col(k) for k in key], F.lit(seed))
-    return df.orderBy(order, *key).limit(n)
+    return df.orderBy(hash_number(seed, *[F.col(k) for k in key]), *key).limit(n)
 
 
 def sorted_columns(df: DataFrame) -> DataFrame:

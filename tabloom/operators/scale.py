@@ -9,7 +9,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.maths import box_cox, inverse_normal, ln_or_null, power, reciprocal
-from .core import TASK_ROWS, held, numeric_columns
+from .core import held, numeric_columns
 from .ordered import positions, quantiles
 from .stages import Fitted, Stage
 
@@ -38,16 +38,16 @@ class Scale(Stage):
     (x - median) / IQR."""
 
     def __init__(
-        self, method: str = "standard", variables: Sequence[str] | None = None, suffix: str = "", limit: int = TASK_ROWS
+        self, method: str = "standard", variables: Sequence[str] | None = None, suffix: str = ""
     ):
         if method not in ("standard", "minmax", "robust"):
             raise ValueError("method is 'standard', 'minmax' or 'robust'")
-        self.method, self.variables, self.suffix, self.limit = method, variables, suffix, limit
+        self.method, self.variables, self.suffix = method, variables, suffix
 
     def fit(self, df: DataFrame) -> FittedScale:
         cols = list(self.variables or numeric_columns(df))
         if self.method == "robust":
-            cut = quantiles(df, cols, [0.25, 0.5, 0.75], self.limit)
+            cut = quantiles(df, cols, [0.25, 0.5, 0.75])
             rows = [(c, cut[c][1], cut[c][2] - cut[c][0]) for c in cols]
         else:
             first, second = (F.avg, F.stddev_pop) if self.method == "standard" else (F.min, lambda c: F.max(c) - F.min(c))
@@ -154,9 +154,9 @@ def box_cox_lambda(df: DataFrame, col: str, low: int = -5, high: int = 5) -> flo
         return peak(centred, [k for k in around if low <= k <= high])
 
 
-def qq_table(df: DataFrame, col: str, key: str, limit: int = TASK_ROWS) -> DataFrame:
+def qq_table(df: DataFrame, col: str, key: str) -> DataFrame:
     """Sorted values beside normal quantiles at Filliben's plotting positions."""
-    rows = positions(df.where(F.col(col).isNotNull()), [], col, [key], limit=limit)
+    rows = positions(df.where(F.col(col).isNotNull()), [], col, [key])
     n, i = F.col("size"), F.col("pos")
     top = F.pow(F.lit(0.5), F.lit(1.0) / n)
     spot = F.when(i == n, top).when(i == 1, 1 - top).otherwise((i - F.lit(0.3175)) / (n + F.lit(0.365)))

@@ -10,12 +10,12 @@ from pyspark.ml.base import Estimator
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import tails
-from .core import TASK_ROWS, held, label_counts, settle
+from .core import held, label_counts, settle
 from .discretise import EqualFrequency, add_bins
 from .explain import permutation_importance
 from .metrics import HIGHER_IS_BETTER, auc_of_counts, metric_value
 from .models import cv_score, evaluate, fit, fold_values, importances, in_parallel, learner, rows_table, scored
-from .profile import EXPRS_PER_PASS, correlations
+from .profile import EXPRS_PER_PASS, correlation, correlations
 from .scale import Scale
 
 
@@ -66,23 +66,29 @@ def predominant_columns(df: DataFrame, cols: Sequence[str], threshold: float = 0
 
 
 def duplicate_columns(df: DataFrame, cols: Sequence[str], key: Sequence[str]) -> list[tuple[str, str]]:
-    """(kept, duplicate) pairs. One order-free hash per column finds candidates in a
-    single pass; a second pass confirms the candidates value by value."""
+    """(kept, duplicate) pairs. One order-free hash per column finds candidates in a single pass: a sum, so that equal
+    rows don't cancel. A second pass compares all columns of one hash with each other, value by value."""
     keys = [F.col(k) for k in key]
     types = dict(df.dtypes)
-    row = _one_row(df, [F.bit_xor(F.xxhash64(*keys, F.coalesce(F.col(c).cast("string"), F.lit("\0")))).alias(c) for c in cols])
-    first: dict[tuple, str] = {}
-    pairs = []
+
+    def hashed(c: str) -> Column:
+        return F.sum(F.xxhash64(*keys, F.coalesce(F.col(c).cast("string"), F.lit("\0"))).cast("decimal(38,0)")).alias(c)
+
+    row = _one_row(df, [hashed(c) for c in cols])
+    alike: dict[tuple, list[str]] = {}
     for c in cols:
-        seen = first.setdefault((types[c], row[c]), c)
-        if seen != c:
-            pairs.append((seen, c))
+        alike.setdefault((types[c], row[c]), []).append(c)
+    pairs = [(a, b) for group in alike.values() for i, b in enumerate(group) for a in group[:i]]
     if not pairs:
         return []
     differ = _one_row(
         df, [F.count_if(~F.col(a).eqNullSafe(F.col(b))).alias(f"d{i}") for i, (a, b) in enumerate(pairs)]
     )
-    return [p for i, p in enumerate(pairs) if differ[f"d{i}"] == 0]
+    kept: dict[str, str] = {}
+    for i, (a, b) in enumerate(pairs):
+        if differ[f"d{i}"] == 0 and a not in kept:
+            kept.setdefault(b, a)
+    return [(kept[c], c) for c in cols if c in kept]
 
 
 def _pairs(df: DataFrame, cols: Sequence[str]) -> dict[tuple[str, str], float]:
@@ -136,11 +142,11 @@ def best_of_groups(
 
 
 def mutual_information(
-    df: DataFrame, cols: Sequence[str], target: str, bins: int = 10, regression: bool = False, limit: int = TASK_ROWS
+    df: DataFrame, cols: Sequence[str], target: str, bins: int = 10, regression: bool = False
 ) -> DataFrame:
     """Plug-in mutual information (nats) of equal-frequency bins with the class, or
     with bins of the target for regression."""
-    cut = EqualFrequency(bins, list(cols) + ([target] if regression else []), "drop", suffix="_b", limit=limit).fit(df)
+    cut = EqualFrequency(bins, list(cols) + ([target] if regression else []), "drop", suffix="_b").fit(df)
     binned = cut.transform(df)
     goal = F.col(f"{target}_b" if regression else target).cast("string")
     cells = (
@@ -196,12 +202,15 @@ def anova_scores(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
         spread = []
         for c in cols:
             n = F.col(f"{c}__n")
-            gap = F.col(f"{c}__m") - F.lit(first[f"{c}__s"] / first[f"{c}__n"])
+            gap = F.col(f"{c}__m") - F.lit(first[f"{c}__s"] / first[f"{c}__n"] if first[f"{c}__n"] else None).cast("double")
             spread += [F.sum(n * gap * gap).alias(f"{c}__b"), F.sum(n * F.col(f"{c}__v")).alias(f"{c}__w")]
         second = _one_row(classes, spread)
     out = []
     for c in cols:
         k, n = first[f"{c}__k"], first[f"{c}__n"]
+        if k < 2 or n <= k:  # one class, or no rows to spare
+            out.append((c, None, None))
+            continue
         within = second[f"{c}__w"] / (n - k)
         f = second[f"{c}__b"] / (k - 1) / within if within else float("inf")
         out.append((c, f, tails.f_upper(f, k - 1, n - k) if within else 0.0))
@@ -212,11 +221,14 @@ def regression_f_scores(df: DataFrame, cols: Sequence[str], target: str) -> Data
     aggs = []
     for c in cols:
         both = F.col(c).isNotNull() & F.col(target).isNotNull()
-        aggs += [F.corr(c, target).alias(f"{c}__r"), F.count_if(both).alias(f"{c}__n")]
+        aggs += [correlation(c, target).alias(f"{c}__r"), F.count_if(both).alias(f"{c}__n")]
     row = _one_row(df, aggs)
     out = []
     for c in cols:
         r, n = row[f"{c}__r"], row[f"{c}__n"]
+        if r is None or n < 3:  # a constant, or no rows to spare
+            out.append((c, None, None))
+            continue
         f = float("inf") if abs(r) >= 1 else r * r / (1 - r * r) * (n - 2)
         out.append((c, f, tails.f_upper(f, 1, n - 2) if f != float("inf") else 0.0))
     return rows_table(df, out, "variable string, f double, p double")

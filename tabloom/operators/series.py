@@ -10,8 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import tails
-from .core import TASK_ROWS
-from .ordered import running_by_position, with_halo
+from .ordered import CHUNK_ROWS, join_on, running_by_position, with_halo
 from .windows import in_order
 
 # two-sided 95 % point of the standard normal
@@ -20,17 +19,17 @@ Z95 = 1.959963984540054
 
 def _centred(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
     means = df.groupBy(*by).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
-    out = df.join(means, list(by))
+    out = join_on(df, means, by)
     return out.withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in cols}).drop(*[f"_m_{c}" for c in cols])
 
 
 def autocorrelation(
-    df: DataFrame, by: Sequence[str], order: str, value: str, max_lag: int, limit: int = TASK_ROWS
+    df: DataFrame, by: Sequence[str], order: str, value: str, max_lag: int, chunk: int = CHUNK_ROWS
 ) -> DataFrame:
     """(by..., lag, acf, band, size): lag products over the total sum of squares, with
     the +-1.96 / sqrt(T) band."""
     rows = _centred(df.where(F.col(value).isNotNull()).select(*by, order, value), by, [value])
-    ordered, w = in_order(rows, by, order, max_lag, limit=limit)
+    ordered, w = in_order(rows, by, order, max_lag, chunk=chunk)
     x = F.col(value)
     lagged = ordered.withColumns({f"_l{k}": F.lag(value, k).over(w) for k in range(1, max_lag + 1)}).where("own = 1")
     sums = lagged.groupBy(*by).agg(
@@ -90,12 +89,12 @@ def ljung_box(acf: DataFrame, by: Sequence[str], lags: int) -> DataFrame:
 
 
 def cross_correlation(
-    df: DataFrame, by: Sequence[str], order: str, x: str, y: str, max_lag: int, limit: int = TASK_ROWS
+    df: DataFrame, by: Sequence[str], order: str, x: str, y: str, max_lag: int, chunk: int = CHUNK_ROWS
 ) -> DataFrame:
     """(by..., lag, ccf) for lags -L..L: products of x at t + lag with y at t over T,
     divided by the sample standard deviations, so lag 0 of a series with itself is (T - 1) / T."""
     rows = _centred(df.select(*by, order, x, y).dropna(), by, [x, y])
-    ordered, w = in_order(rows, by, order, max_lag, limit=limit)
+    ordered, w = in_order(rows, by, order, max_lag, chunk=chunk)
     shifted = ordered.withColumns(
         {f"_y{k}": F.lag(y, k).over(w) for k in range(1, max_lag + 1)}
         | {f"_x{k}": F.lag(x, k).over(w) for k in range(1, max_lag + 1)}
@@ -116,13 +115,13 @@ def cross_correlation(
 
 
 def dickey_fuller(
-    df: DataFrame, by: Sequence[str], order: str, value: str, lags: int = 1, limit: int = TASK_ROWS
+    df: DataFrame, by: Sequence[str], order: str, value: str, lags: int = 1, chunk: int = CHUNK_ROWS
 ) -> DataFrame:
     """(by..., statistic, n): t-statistic of the level in the regression of the change on
     the previous level, lagged changes and a constant. Cross products are summed per
     series on the JVM; only the small systems are solved in Python."""
     rows = _centred(df.where(F.col(value).isNotNull()).select(*by, order, value), by, [value])
-    ordered, w = in_order(rows, by, order, lags + 1, limit=limit)
+    ordered, w = in_order(rows, by, order, lags + 1, chunk=chunk)
     ordered = ordered.withColumns({f"_x{k}": F.lag(value, k).over(w) for k in range(1, lags + 2)}).where("own = 1")
     levels = [F.col(value), *[F.col(f"_x{k}") for k in range(1, lags + 2)]]
     change = [a - b for a, b in zip(levels, levels[1:])]
@@ -154,21 +153,20 @@ def dickey_fuller(
     return gram.select(*by, solve("n", "g").alias("statistic"), "n")
 
 
-def kpss(df: DataFrame, by: Sequence[str], order: str, value: str, lags: int, limit: int = TASK_ROWS) -> DataFrame:
+def kpss(df: DataFrame, by: Sequence[str], order: str, value: str, lags: int, chunk: int = CHUNK_ROWS) -> DataFrame:
     """(by..., statistic): KPSS statistic around a linear trend with a Bartlett window."""
     rows = df.where(F.col(value).isNotNull()).select(*by, order, value)
-    ranked, _ = in_order(rows, by, order, 0, limit=limit)
+    ranked, _ = in_order(rows, by, order, 0, chunk=chunk)
     trend = ranked.groupBy(*by).agg(
         F.regr_slope(F.col(value), F.col("pos").cast("double")).alias("_b"),
         F.regr_intercept(F.col(value), F.col("pos").cast("double")).alias("_a"),
     )
     resid = (
-        ranked.select(*by, "pos", value)
-        .join(trend, list(by))
+        join_on(ranked.select(*by, "pos", value), trend, by)
         .select(*by, "pos", (F.col(value) - F.col("_a") - F.col("_b") * F.col("pos")).alias("e"))
     )
-    cumulated = running_by_position(resid, by, {"e": F.col("e")}, limit).withColumnRenamed("cum_e", "s")
-    chunks = with_halo(cumulated, by, lags, max(limit, lags + 1))
+    cumulated = running_by_position(resid, by, {"e": F.col("e")}).withColumnRenamed("cum_e", "s")
+    chunks = with_halo(cumulated, by, lags, max(chunk, lags + 1))
     w = Window.partitionBy(*by, "chunk").orderBy("pos")
     lagged = chunks.withColumns({f"_l{k}": F.lag("e", k).over(w) for k in range(1, lags + 1)}).where("own = 1")
     e, t = F.col("e"), F.count(F.lit(1))

@@ -8,8 +8,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .core import small_rows
-
 _KINDS: dict[str, type["Fitted"]] = {}
 
 
@@ -32,7 +30,7 @@ class Fitted:
 
     def by_variable(self) -> dict[str, dict]:
         """State of at most one row per variable."""
-        return {r["variable"]: r.asDict() for r in small_rows(self.state)}
+        return {r["variable"]: r.asDict() for r in self.state.collect()}
 
     def save(self, path: str) -> str:
         spark = self.state.sparkSession

@@ -6,8 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
-from .core import TASK_ROWS
-from .ordered import join_on, positions, running_sums, with_halo
+from .ordered import CHUNK_ROWS, join_on, positions, running_sums, with_halo
 
 
 def running_by_period(df: DataFrame, key: str, ts: str, value: str, period: str) -> DataFrame:
@@ -47,23 +46,23 @@ def tick(df: DataFrame, col: str) -> Column:
 
 
 def in_order(
-    df: DataFrame, by: Sequence[str], order: str, reach: int, ties: Sequence[str] = (), limit: int = TASK_ROWS
+    df: DataFrame, by: Sequence[str], order: str, reach: int, ties: Sequence[str] = (), chunk: int = CHUNK_ROWS
 ) -> tuple[DataFrame, WindowSpec]:
     """Rows with pos/size and a window that may look back ``reach`` rows.
 
-    The window is confined to chunks of at most ``limit`` + reach rows; rows with
+    The window is confined to chunks of at most ``chunk`` + reach rows; rows with
     own = 0 are copies of a neighbouring chunk and must be filtered out afterwards.
     """
-    ranked = positions(df.withColumn("_tick", tick(df, order)), by, "_tick", ties, limit=limit).drop("_tick")
-    chunked = with_halo(ranked, by, reach, max(limit, reach + 1))
+    ranked = positions(df.withColumn("_tick", tick(df, order)), by, "_tick", ties).drop("_tick")
+    chunked = with_halo(ranked, by, reach, max(chunk, reach + 1))
     return chunked, Window.partitionBy(*by, "chunk").orderBy("pos")
 
 
 def rolling(
-    df: DataFrame, by: Sequence[str], order: str, value: str, width: int, limit: int = TASK_ROWS
+    df: DataFrame, by: Sequence[str], order: str, value: str, width: int, chunk: int = CHUNK_ROWS
 ) -> DataFrame:
     """Mean and std over the last ``width`` rows; null until the window is full."""
-    rows, w = in_order(df, by, order, width - 1, limit=limit)
+    rows, w = in_order(df, by, order, width - 1, chunk=chunk)
     frame = w.rowsBetween(-(width - 1), 0)
     full = F.count(value).over(frame) == width
     return (
@@ -75,17 +74,17 @@ def rolling(
 
 
 def lag_pairs(
-    df: DataFrame, by: Sequence[str], order: str, value: str, lag: int = 1, limit: int = TASK_ROWS
+    df: DataFrame, by: Sequence[str], order: str, value: str, lag: int = 1, chunk: int = CHUNK_ROWS
 ) -> DataFrame:
-    rows, w = in_order(df, by, order, lag, limit=limit)
+    rows, w = in_order(df, by, order, lag, chunk=chunk)
     return rows.withColumn("lagged", F.lag(value, lag).over(w)).where("own = 1").drop("own", "chunk", "pos", "size")
 
 
 def cumulative_share(
-    df: DataFrame, value: str, key: str, by: Sequence[str] = (), limit: int = TASK_ROWS
+    df: DataFrame, value: str, key: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """Share of the total and its running sum, largest first."""
-    run = running_sums(df, by, value, {"v": F.col(value)}, descending=True, ties=[key], limit=limit)
+    run = running_sums(df, by, value, {"v": F.col(value)}, descending=True, ties=[key])
     return run.select(
         *df.columns,
         F.try_divide(F.col(value), F.col("total_v")).alias("share"),
@@ -93,10 +92,10 @@ def cumulative_share(
     )
 
 
-def rows_to_reach(df: DataFrame, value: str, key: str, threshold: float, limit: int = TASK_ROWS) -> DataFrame:
+def rows_to_reach(df: DataFrame, value: str, key: str, threshold: float) -> DataFrame:
     """How many of the largest rows it takes for the cumulative share to pass the threshold."""
     run = running_sums(
-        df, [], value, {"v": F.col(value), "n": F.lit(1)}, descending=True, ties=[key], limit=limit
+        df, [], value, {"v": F.col(value), "n": F.lit(1)}, descending=True, ties=[key]
     )
     crossed = F.col("cum_v") / F.col("total_v") > threshold
     return run.agg(F.min(F.when(crossed, F.col("cum_n"))).alias("n_needed"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import models as m
 from ..operators.joins import attach_children
 from ..operators.profile import share_exprs, stat_exprs
-from ..operators.relational import out_of_range_to_null, positive_part, ratio, sentinel_to_null, stack_tables
+from ..operators.relational import out_of_range_to_null, positive_part, ratio, stack_tables
 
 STATUSES = ["F", "O", "P"]
 FLAGS = ["A", "N", "R"]
@@ -33,12 +33,7 @@ LINE_STATS = {
 def base_table(train: DataFrame, score: DataFrame) -> DataFrame:
     """Training and scoring customers together; the target of the latter is null."""
     both = stack_tables(train, score)
-    cleaned = both.where(F.col("c_mktsegment") != "XNA").withColumns(
-        {
-            "c_acctbal": sentinel_to_null(F.col("c_acctbal"), 365243.0),
-            "c_nationkey": F.col("c_nationkey").cast("double"),
-        }
-    )
+    cleaned = both.withColumn("c_nationkey", F.col("c_nationkey").cast("double"))
     return cleaned.withColumn("balance", out_of_range_to_null(F.col("c_acctbal"), low=0))
 
 

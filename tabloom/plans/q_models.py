@@ -11,7 +11,7 @@ from ..operators.impute import MeanMedian, MissingFlag
 from ..operators.outliers import Windsorizer
 from ..sources.tables import table
 from .q_select import auc_sql
-from .registry import fixture, query, rnd
+from .registry import fixture, hash_sql, query, rnd
 
 XS = ["q", "n", "d"]
 
@@ -53,7 +53,7 @@ def _(spark, sf):
 # ---------------------------------------------------------------- splits
 
 
-@query("p01_split")
+@query("p01_split", f"SELECT o_orderkey, CASE WHEN {hash_sql(1, 'o_orderkey')} / 4503599627370496.0 < 0.3 THEN 'test' ELSE 'train' END AS split FROM orders")
 def _(spark, sf):
     return m.add_split(table(spark, sf, "orders", ["o_orderkey"]), ["o_orderkey"], 0.3, seed=1)
 
@@ -165,7 +165,12 @@ def _(spark, sf):
     return out.select("id", "majority", rnd("mean").alias("mean"))
 
 
-@query("p11_proportional_baseline")
+@query(
+    "p11_proportional_baseline",
+    f"""WITH share AS (SELECT avg(1 - y) AS zero FROM fx_num WHERE split = 'train')
+        SELECT CASE WHEN {hash_sql(3, 'id')} / 4503599627370496.0 < zero THEN 0 ELSE 1 END AS prediction, count(*) AS n
+        FROM fx_num, share WHERE split <> 'train' GROUP BY ALL""",
+)
 def _(spark, sf):
     train, test = parts(spark, sf)
     out = mt.proportional_baseline(train, test, "y", ["id"], seed=3)
@@ -352,7 +357,9 @@ def fold_models(spark, sf):
 
 @query("p27_out_of_fold")
 def _(spark, sf):
-    return fold_models(spark, sf)[0]
+    """Out-of-fold scores of the labelled rows, and the fold models' mean score of the others."""
+    oof, given, _ = fold_models(spark, sf)
+    return oof.unionByName(given, allowMissingColumns=True)
 
 
 @query("p28_fold_importance")
@@ -367,6 +374,22 @@ def _(spark, sf):
     return mt.class_weights(fixture(spark, sf, "fx_num"), "y").withColumn("weight", rnd("weight"))
 
 
+@query("p29_weighted_fit")
+def _(spark, sf):
+    """Share of positive predictions of a learner without and with balanced class weights."""
+    train, test = parts(spark, sf)
+    weights = {r["y"]: r["weight"] for r in mt.class_weights(train, "y").collect()}
+    with m.held(m.weight_column(train, "y", weights)) as (rows,):
+        models = {
+            name: m.fit(rows, XS, "y", m.learner("logistic", maxIter=10, **extra))
+            for name, extra in (("plain", {}), ("weighted", {"weightCol": "weight"}))
+        }
+    out = [
+        m.scored(model, test, XS).agg(F.lit(name).alias("fit"), F.avg("prediction").alias("positive_share")) for name, model in models.items()
+    ]
+    return out[0].unionByName(out[1])
+
+
 @query("p30_adversarial_weights")
 def _(spark, sf):
     df = fixture(spark, sf, "fx_num")

@@ -327,9 +327,9 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = table(spark, sf, "orders")
-    from ..operators.core import label_counts, small_rows
+    from ..operators.core import label_counts
 
-    labels = [r["label"] for r in small_rows(label_counts(df, ["o_orderstatus"]).orderBy("label"), 1000)]
+    labels = [r["label"] for r in label_counts(df, ["o_orderstatus"]).orderBy("label").collect()]
     out = df.groupBy("o_custkey").agg(*prof.share_exprs("o_orderstatus", labels))
     return out.select("o_custkey", *[rnd(c).alias(c) for c in out.columns[1:]])
 
@@ -482,6 +482,15 @@ def _(spark, sf):
     return prof.correlations(fixture(spark, sf, "fx_num"), list(CORR_COLS)).withColumn("r", rnd("r"))
 
 
+@query(
+    "d24_correlations_constant",
+    """SELECT 'q' AS a, 'const' AS b, CAST(NULL AS DOUBLE) AS r UNION ALL SELECT 'q', 'n', RND(corr(q, n)) FROM fx_sel
+       UNION ALL SELECT 'const', 'n', NULL""",
+)
+def _(spark, sf):
+    return prof.correlations(fixture(spark, sf, "fx_sel"), ["q", "const", "n"]).withColumn("r", rnd("r"))
+
+
 @query(
     "d25_cluster_report",
     "SELECT o_orderpriority, count(*) AS size, RND(median(o_totalprice)) AS o_totalprice_median, RND(median(o_custkey)) AS o_custkey_median FROM orders GROUP BY o_orderpriority",

@@ -55,6 +55,31 @@ def _(spark, sf):
     return sel.predominant_shares(fixture(spark, sf, "fx_sel"), ["const", "quasi", "n", "q"]).withColumn("share", rnd("share"))
 
 
+@query(
+    "n04_predominant_columns",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS feature FROM (SELECT max(k) AS top, sum(k) AS n FROM (SELECT count(*) AS k FROM fx_sel GROUP BY {c}) t) s WHERE top > 0.9 * n"
+        for c in ("const", "quasi", "n", "q")
+    ),
+)
+def _(spark, sf):
+    return names(spark, sel.predominant_columns(fixture(spark, sf, "fx_sel"), ["const", "quasi", "n", "q"], 0.9))
+
+
+@query(
+    "n05_duplicate_columns_loose_key",
+    " UNION ALL ".join(
+        f"SELECT '{a}' AS kept, '{b}' AS duplicate FROM fx_sel HAVING count(*) FILTER ({a} IS DISTINCT FROM {b}) = 0"
+        for i, a in enumerate(("q", "n", "const"))
+        for b in ("q", "n", "const", "dup_q")[i + 1 :]
+    ),
+)
+def _(spark, sf):
+    """The key names several rows: equal rows must not cancel."""
+    pairs = sel.duplicate_columns(fixture(spark, sf, "fx_sel"), ["q", "n", "const", "dup_q"], ["y"])
+    return spark.createDataFrame(pairs, "kept string, duplicate string")
+
+
 @query(
     "n05_duplicate_columns",
     " UNION ALL ".join(
@@ -177,6 +202,15 @@ def _(spark, sf):
     return out.select("variable", rnd("f").alias("f"))
 
 
+@query(
+    "n13_regression_f_constant",
+    "SELECT 'const' AS variable, CAST(NULL AS DOUBLE) AS f UNION ALL SELECT 'q', RND2(pow(corr(q, p), 2) / (1 - pow(corr(q, p), 2)) * (count(*) - 2)) FROM fx_sel",
+)
+def _(spark, sf):
+    out = sel.regression_f_scores(fixture(spark, sf, "fx_sel"), ["const", "q"], "p")
+    return out.select("variable", rnd("f", 2).alias("f"))
+
+
 @query(
     "n13_regression_f",
     " UNION ALL ".join(

@@ -10,7 +10,7 @@ from ..operators.ordered import quantiles
 from ..operators.relational import merge_labels
 from ..operators.stages import Chain
 from ..sources.tables import table
-from .registry import fixture, query, rnd
+from .registry import fixture, hash_sql, query, rnd
 
 TRAIN = "split = 'train'"
 
@@ -45,13 +45,23 @@ def _(spark, sf):
     return impute.FixedNumber(-999, ["x"]).fit(train).transform(df).select("id", "x")
 
 
-@query("h03_random_sample")
+def donor_sql(column: str, drawn: str) -> str:
+    """Nulls of a column replaced by the donor row that a hash picks."""
+    pick = hash_sql(7, f"'{column}'", drawn)
+    return f"""coalesce(t.{column}, (SELECT d.{column} FROM donors_{column} d WHERE d.pos = 1 + {pick} % (SELECT count(*) FROM donors_{column})))"""
+
+
+def donors_sql(column: str) -> str:
+    return f"donors_{column} AS (SELECT {column}, row_number() OVER (ORDER BY {hash_sql(7, 'id')}, id) AS pos FROM fx_miss WHERE split = 'train' AND {column} IS NOT NULL)"
+
+
+@query("h03_random_sample", f"WITH {donors_sql('x')}, {donors_sql('c')} SELECT id, {donor_sql('x', 't.id')} AS x, {donor_sql('c', 't.id')} AS c FROM fx_miss t")
 def _(spark, sf):
     train, df = parts(spark, sf, "fx_miss")
     return impute.RandomSample(["x", "c"], ["id"], seed=7).fit(train).transform(df).select("id", "x", "c")
 
 
-@query("h04_row_seeded_sample")
+@query("h04_row_seeded_sample", f"WITH {donors_sql('c')} SELECT id, w, {donor_sql('c', 't.w')} AS c FROM fx_miss t")
 def _(spark, sf):
     train, df = parts(spark, sf, "fx_miss")
     return impute.RandomSample(["c"], ["id"], seed=7, row_seed="w").fit(train).transform(df).select("id", "w", "c")

@@ -9,7 +9,7 @@ from ..operators import impute, relational as rel
 from ..operators.stages import load_fitted
 from ..sources import tables as src
 from ..sources.tables import table
-from .registry import fixture, query, rnd
+from .registry import fixture, hash_sql, query, rnd
 
 CUSTOMER = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
 
@@ -138,8 +138,7 @@ def _(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", flag.alias("shipped"))
 
 
-QUANTITY_TEXT = """CASE WHEN l_quantity > 30 THEN 'The quantity is greater than 30'
-    WHEN l_quantity = 30 THEN 'The quantity is 30' ELSE 'The quantity is under 30' END"""
+QUANTITY_TEXT = "CASE WHEN l_quantity < 10 THEN 'small lot' WHEN l_quantity < 40 THEN 'usual lot' ELSE 'bulk' END"
 
 
 @query("b06_case_text", f"SELECT l_orderkey, l_linenumber, l_quantity, {QUANTITY_TEXT} AS quantity_text FROM lineitem")
@@ -265,7 +264,10 @@ def _(spark, sf):
     return rel.drop_sparse_columns(fixture(spark, sf, "fx_miss"), 0.18)
 
 
-@query("b22_seeded_sample")
+@query(
+    "b22_seeded_sample",
+    f"SELECT o_orderkey, o_totalprice FROM orders ORDER BY {hash_sql(42, 'o_orderkey')}, o_orderkey LIMIT 500",
+)
 def _(spark, sf):
     return rel.sample_rows(table(spark, sf, "orders", ["o_orderkey", "o_totalprice"]), 500, ["o_orderkey"], seed=42)
 

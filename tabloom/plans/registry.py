@@ -84,6 +84,12 @@ def expand_rnd(sql: str) -> str:
     return sql
 
 
+def hash_sql(seed: int, *columns: str) -> str:
+    """`ordered.hash_number` in DuckDB's words."""
+    parts = ", ".join(f"CAST({c} AS VARCHAR)" for c in columns)
+    return f"CAST('0x' || substr(md5(concat_ws(':', '{seed}', {parts})), 1, 13) AS BIGINT)"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 

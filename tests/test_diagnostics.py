@@ -24,9 +24,9 @@ def rows(spark, walk):
 LIMITS = [11, 10**9]
 
 
-@pytest.mark.parametrize("limit", LIMITS)
-def test_autocorrelation(rows, walk, limit):
-    got = {(r["k"], r["lag"]): r["acf"] for r in ts.autocorrelation(rows, ["k"], "t", "v", 8, limit).collect()}
+@pytest.mark.parametrize("chunk", LIMITS)
+def test_autocorrelation(rows, walk, chunk):
+    got = {(r["k"], r["lag"]): r["acf"] for r in ts.autocorrelation(rows, ["k"], "t", "v", 8, chunk).collect()}
     for k, s in walk.items():
         x = s - s.mean()
         for h in range(9):
@@ -44,17 +44,17 @@ def test_partial_autocorrelation_solves_yule_walker(rows, walk):
             assert got[k, p] == pytest.approx(np.linalg.solve(system, r[1 : p + 1])[-1], abs=1e-9)
 
 
-@pytest.mark.parametrize("limit", LIMITS)
-def test_cross_correlation_of_a_series_with_itself(rows, walk, limit):
-    got = {(r["k"], r["lag"]): r["ccf"] for r in ts.cross_correlation(rows.withColumn("u", F.col("v")), ["k"], "t", "v", "u", 4, limit).collect()}
+@pytest.mark.parametrize("chunk", LIMITS)
+def test_cross_correlation_of_a_series_with_itself(rows, walk, chunk):
+    got = {(r["k"], r["lag"]): r["ccf"] for r in ts.cross_correlation(rows.withColumn("u", F.col("v")), ["k"], "t", "v", "u", 4, chunk).collect()}
     for k, s in walk.items():
         assert got[k, 0] == pytest.approx((len(s) - 1) / len(s))
         assert got[k, 3] == pytest.approx(got[k, -3])
 
 
-@pytest.mark.parametrize("limit", LIMITS)
-def test_dickey_fuller_equals_least_squares(rows, walk, limit):
-    got = {r["k"]: r for r in ts.dickey_fuller(rows, ["k"], "t", "v", 2, limit).collect()}
+@pytest.mark.parametrize("chunk", LIMITS)
+def test_dickey_fuller_equals_least_squares(rows, walk, chunk):
+    got = {r["k"]: r for r in ts.dickey_fuller(rows, ["k"], "t", "v", 2, chunk).collect()}
     for k, s in walk.items():
         d = np.diff(s)
         y = d[2:]
@@ -66,9 +66,9 @@ def test_dickey_fuller_equals_least_squares(rows, walk, limit):
         assert got[k]["n"] == len(y)
 
 
-@pytest.mark.parametrize("limit", LIMITS)
-def test_kpss(rows, walk, limit):
-    got = {r["k"]: r["statistic"] for r in ts.kpss(rows, ["k"], "t", "v", 4, limit).collect()}
+@pytest.mark.parametrize("chunk", LIMITS)
+def test_kpss(rows, walk, chunk):
+    got = {r["k"]: r["statistic"] for r in ts.kpss(rows, ["k"], "t", "v", 4, chunk).collect()}
     for k, s in walk.items():
         n = len(s)
         e = s - np.polyval(np.polyfit(np.arange(1, n + 1), s, 1), np.arange(1, n + 1))
@@ -120,17 +120,17 @@ def test_condition_number(design):
     assert got["scaled"] == pytest.approx(np.linalg.cond(unit))
 
 
-@pytest.mark.parametrize("limit", LIMITS)
-def test_durbin_watson_and_goldfeld_quandt(design, limit):
+@pytest.mark.parametrize("chunk", LIMITS)
+def test_durbin_watson_and_goldfeld_quandt(design, chunk):
     df, x, y = design
     model = reg.ols(df, ["a", "b"], "y")
     e = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
-    assert reg.durbin_watson(df, model, "y", "id", limit).first()[0] == pytest.approx((np.diff(e) ** 2).sum() / (e**2).sum())
+    assert reg.durbin_watson(df, model, "y", "id", chunk).first()[0] == pytest.approx((np.diff(e) ** 2).sum() / (e**2).sum())
     halves = []
     for part in (slice(0, 75), slice(75, 150)):
         r = y[part] - x[part] @ np.linalg.lstsq(x[part], y[part], rcond=None)[0]
         halves.append((r**2).sum())
-    assert reg.goldfeld_quandt(df, ["a", "b"], "y", "id", limit=limit).first()["f"] == pytest.approx(halves[1] / halves[0])
+    assert reg.goldfeld_quandt(df, ["a", "b"], "y", "id").first()["f"] == pytest.approx(halves[1] / halves[0])
 
 
 def test_joint_test_of_one_coefficient_is_its_t_squared(design):
