@@ -13,7 +13,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .core import numeric_columns
-from .ordered import quantiles
+from .ordered import hash_positions, quantiles
 from .stages import Fitted, Stage
 
 CHAIN_EDGES = 100
@@ -176,8 +176,10 @@ class TreeBins(Stage):
         regression: bool = True,
         seed: int = 0,
         suffix: str = "_tree",
+        key: Sequence[str] = (),
     ):
         self.target, self.variables, self.depths, self.folds = target, variables, list(depths), folds
+        self.key = list(key)
         self.regression, self.seed, self.suffix = regression, seed, suffix
 
     def fit(self, df: DataFrame) -> FittedTree:
@@ -189,7 +191,13 @@ class TreeBins(Stage):
         return FittedTree({"variables": cols, "suffix": self.suffix}, state)
 
     def _leaves(self, df: DataFrame, col: str) -> list[tuple[float, float]]:
-        data = df.select(F.col(col).cast("double").alias("x"), F.col(self.target).cast("double").alias("y")).dropna()
+        keys = [F.col(k).alias(f"_key{i}") for i, k in enumerate(self.key)]
+        data = df.select(F.col(col).cast("double").alias("x"), F.col(self.target).cast("double").alias("y"), *keys).dropna(subset=["x", "y"])
+        folds = {"seed": self.seed}
+        if self.key and len(self.depths) > 1:  # folds that follow the key, not the partitioning
+            ranked = hash_positions(data, [], [f"_key{i}" for i in range(len(keys))], self.seed)
+            data = ranked.withColumn("fold", F.pmod(F.col("pos") - 1, F.lit(self.folds)).cast("int")).drop("pos", "size")
+            folds = {"foldCol": "fold"}
         vec = VectorAssembler(inputCols=["x"], outputCol="features")
         data = vec.transform(data).persist()
         tree = DecisionTreeRegressor(labelCol="y", seed=self.seed)
@@ -202,7 +210,7 @@ class TreeBins(Stage):
             )
             model = (
                 CrossValidator(
-                    estimator=tree, estimatorParamMaps=grid, evaluator=score, numFolds=self.folds, seed=self.seed, parallelism=4
+                    estimator=tree, estimatorParamMaps=grid, evaluator=score, numFolds=self.folds, parallelism=4, **folds
                 )
                 .fit(data)
                 .bestModel

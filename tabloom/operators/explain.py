@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .core import checkpointed
 from .metrics import HIGHER_IS_BETTER, metric_value
 from .models import in_parallel, rows_table
 from .ordered import hash_positions, quantiles
@@ -36,6 +37,7 @@ def permutation_importance(
     shuffled. One permutation join per repeat serves all features; its result is held
     while they are scored, so pass only the columns the scorer needs."""
     sign = 1.0 if HIGHER_IS_BETTER[metric] else -1.0
+    df = checkpointed(df)
     base = metric_value(scorer(df), metric, label)
     rows = []
     for r in range(repeats):

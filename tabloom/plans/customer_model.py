@@ -7,9 +7,10 @@ the same key. Features come from before ``as_of``, the target from after it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import models as m
+from ..operators.core import checkpointed
 from ..operators.joins import attach_children
 from ..operators.profile import share_exprs, stat_exprs
 from ..operators.relational import out_of_range_to_null, positive_part, ratio, stack_tables
@@ -52,19 +53,49 @@ def line_side(lines: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-def order_rollup(orders: DataFrame, lines: DataFrame, as_of: str) -> DataFrame:
-    """Lines to orders to customers, with open and finished subsets in the same pass."""
-    by_order = lines.groupBy("o_orderkey").agg(
+PARTS = {"n": F.count, "sum": F.sum, "min": F.min, "max": F.max}
+
+
+def order_parts(lines: DataFrame) -> DataFrame:
+    """One row per order: its own features, and the parts from which statistics of its customer's lines add up."""
+    parts = [f(c).alias(f"{c}__{name}") for c in LINE_STATS for name, f in PARTS.items()]
+    squares = [F.sum(F.col(c) * F.col(c)).alias(f"{c}__squares") for c, stats in LINE_STATS.items() if "var" in stats]
+    flags = [F.count_if(F.col("l_returnflag") == v).alias(f"flag__{v}") for v in FLAGS]
+    return lines.groupBy("o_orderkey").agg(
         F.count(F.lit(1)).alias("lines_n"),
         F.avg((F.col("days_late") > 0).cast("int")).alias("late_share"),
+        *parts,
+        *squares,
+        *flags,
     )
+
+
+def line_exprs() -> list[Column]:
+    """Statistics of a customer's lines from the parts of the orders."""
+    out = []
+    for c, stats in LINE_STATS.items():
+        n, total = F.sum(f"{c}__n"), F.sum(f"{c}__sum")
+        made = {
+            "min": lambda c=c: F.min(f"{c}__min"),
+            "max": lambda c=c: F.max(f"{c}__max"),
+            "sum": lambda total=total: total,
+            "mean": lambda n=n, total=total: F.try_divide(total, n),
+            "var": lambda c=c, n=n, total=total: F.when(n > 1, (F.sum(f"{c}__squares") - total * F.try_divide(total, n)) / (n - 1)),
+        }
+        out += [made[s]().alias(f"LINE_{c}_{s}") for s in stats]
+    shares = [F.try_divide(F.sum(f"flag__{v}").cast("double"), F.sum("lines_n")).alias(f"LINE_l_returnflag_{v}_mean") for v in FLAGS]
+    return [*out, *shares, F.sum("lines_n").alias("LINE_count")]
+
+
+def order_rollup(orders: DataFrame, lines: DataFrame, as_of: str) -> DataFrame:
+    """Lines to orders to customers in one chain, with open and finished subsets in the same pass."""
+    by_order = order_parts(lines)
     rows = orders.join(by_order, "o_orderkey", "left").select(
         "o_custkey",
         "o_orderstatus",
         F.col("o_totalprice").alias("price"),
         F.datediff(F.lit(as_of).cast("date"), F.col("o_orderdate")).alias("age_days"),
-        "lines_n",
-        "late_share",
+        *[c for c in by_order.columns if c != "o_orderkey"],
     )
     return rows.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         *stat_exprs(ORDER_STATS, "ORD_"),
@@ -72,14 +103,7 @@ def order_rollup(orders: DataFrame, lines: DataFrame, as_of: str) -> DataFrame:
         *stat_exprs({"price": ["mean", "sum"], "age_days": ["min"]}, "OPEN_", F.col("o_orderstatus") == "O"),
         *stat_exprs({"price": ["mean", "sum"], "age_days": ["min"]}, "DONE_", F.col("o_orderstatus") == "F"),
         F.count(F.lit(1)).alias("ORD_count"),
-    )
-
-
-def line_rollup(lines: DataFrame) -> DataFrame:
-    return lines.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
-        *stat_exprs(LINE_STATS, "LINE_"),
-        *share_exprs("l_returnflag", FLAGS, "LINE_"),
-        F.count(F.lit(1)).alias("LINE_count"),
+        *line_exprs(),
     )
 
 
@@ -87,7 +111,7 @@ def customer_features(customer: DataFrame, orders: DataFrame, lineitem: DataFram
     """One row per customer: base columns, order and line rollups, ratios."""
     past = orders.where(F.col("o_orderdate") < F.lit(as_of).cast("timestamp_ntz"))
     lines = line_side(lineitem, past)
-    out = attach_children(customer, "c_custkey", [order_rollup(past, lines, as_of), line_rollup(lines)])
+    out = attach_children(customer, "c_custkey", [order_rollup(past, lines, as_of)])
     return out.withColumns(
         {
             "balance_to_spend": ratio(F.col("balance"), F.col("ORD_price_sum")),
@@ -121,4 +145,5 @@ def cross_validated(features: DataFrame, key: str, folds: int = 3, trees: int =
         oof, mean, importance = m.out_of_fold(
             train, score, cols, "target", key, lambda f: m.learner("boosted", maxIter=trees, maxDepth=3, seed=f)
         )
-    return oof, mean, importance
+        # narrow, and written while the features are held: later reads don't build the features again
+        return checkpointed(oof), checkpointed(mean), importance

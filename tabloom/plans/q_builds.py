@@ -97,7 +97,7 @@ def _(spark, sf):
             impute.MeanMedian("median", ["size"]),
             impute.MissingLabel(kinds["categorical"]),
             impute.MeanMedian("median", numbers),
-            disc.TreeBins("y", numbers, depths=(1, 2, 3), suffix=""),
+            disc.TreeBins("y", numbers, depths=(1, 2, 3), suffix="", key=["id"]),
             rare.RareLabels(0.03, 1, kinds["categorical"]),
             enc.LabelNumbers("mean", kinds["categorical"], "y", fallback=0.0),
             scale.Scale("minmax", [*kinds["categorical"], *numbers]),

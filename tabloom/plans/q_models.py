@@ -111,7 +111,8 @@ def _(spark, sf):
 @query("p06_lasso_by_validation")
 def _(spark, sf):
     train, _ = parts(spark, sf)
-    return m.grid_search(train, XS, "yr", m.learner("lasso"), {"regParam": [1.0, 100.0, 10000.0]}, "mse", folds=3)[0]
+    train = m.add_folds(train, ["id"], 3, seed=1)
+    return m.grid_search(train, XS, "yr", m.learner("lasso"), {"regParam": [1.0, 100.0, 10000.0]}, "mse", folds=3, fold="fold")[0]
 
 
 @query("p07_decision_tree")
@@ -333,7 +334,8 @@ def _(spark, sf):
 @query("p24_grid_search")
 def _(spark, sf):
     train, _ = parts(spark, sf)
-    return m.grid_search(train, XS, "y", m.learner("tree"), {"maxDepth": [2, 4], "minInstancesPerNode": [1, 20]}, "auc", folds=2)[0]
+    train = m.add_folds(train, ["id"], 2, seed=1)
+    return m.grid_search(train, XS, "y", m.learner("tree"), {"maxDepth": [2, 4], "minInstancesPerNode": [1, 20]}, "auc", folds=2, fold="fold")[0]
 
 
 @query("p25_random_search")

@@ -498,7 +498,7 @@ def _(spark, sf):
 @query("l06_tree_bins")
 def _(spark, sf):
     train, df = parts(spark, sf, "fx_num")
-    stage = disc.TreeBins("y", ["q", "d"], depths=(1, 2, 3), regression=False)
+    stage = disc.TreeBins("y", ["q", "d"], depths=(1, 2, 3), regression=False, key=["id"])
     return stage.fit(train).transform(df).select("id", "q", "q_tree", "d", "d_tree")
 
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +140,11 @@ def test_text_order_follows_string_order(spark):
     rows = df.select("s", enc.text_order(df, "s").alias("k")).orderBy("s").collect()
     keys = [r["k"] for r in rows]
     assert keys == sorted(keys) and len(set(keys)) == len(keys)
+
+
+def test_tree_folds_follow_the_key(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, rng.random(), float(rng.random() < 0.5)) for i in range(400)], "id long, x double, y double")
+    stage = disc.TreeBins("y", ["x"], depths=(1, 2, 3), key=["id"])
+    a, b = (stage.fit(d).state.orderBy("position").collect() for d in (df, df.repartition(7)))
+    assert a == b
