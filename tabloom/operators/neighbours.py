@@ -1,16 +1,15 @@
 """Exact k nearest neighbours by Euclidean distance.
 
-A training side of checked small size is shipped to the executors once and each
-Arrow batch of score rows is compared with it. A larger one is cut into blocks by
-nearest pivot and distance ring (the pivot-partitioned kNN join of Lu et al.,
-VLDB 2012): ring counts bound each score row's k-th distance, the triangle
-inequality drops blocks that cannot hold a neighbour, and every surviving block
-returns only its k best. Blocks and their score rows are split to a fixed size.
+The training side is cut into blocks by nearest pivot and distance ring (the
+pivot-partitioned kNN join of Lu et al., VLDB 2012): ring counts bound each score
+row's k-th distance, the triangle inequality drops blocks that cannot hold a
+neighbour, and every surviving block returns only its k best. Blocks are split to a
+fixed size. A block is sent once for every `ASKED_ROWS` score rows that need it, and
+not at all where none does, so what is sent follows the questions, not the product.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +18,10 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .core import checkpointed
 
-SHIPPED_VALUES = 8_000_000  # rows x dimensions held by every executor
 PIVOTS = 128
 RINGS = 8
 BLOCK_ROWS = 20_000
+ASKED_ROWS = 80_000
 WORK_VALUES = 4_000_000
 
 
@@ -44,13 +43,9 @@ def _matrix(col: pd.Series) -> np.ndarray:
     return np.array(col.tolist(), dtype=np.float64)
 
 
-def nearest(score: DataFrame, train: DataFrame, k: int, shipped: int = SHIPPED_VALUES) -> DataFrame:
+def nearest(score: DataFrame, train: DataFrame, k: int, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS, asked_rows: int = ASKED_ROWS) -> DataFrame:
     """(score_id, train_id, distance, rank) from tables of (id, vec array)."""
-    shape = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
-    if shape["n"] * (shape["d"] or 0) <= shipped:
-        found = _against_shipped(score, train, k)
-    else:
-        found = _against_blocks(score, train, k, shape["n"])
+    found = _against_blocks(score, train, k, pivots, block_rows, asked_rows)
     # at most k candidates per block reach one score row
     best = Window.partitionBy("score_id").orderBy("distance", "train_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -66,27 +61,8 @@ def _types(score: DataFrame, train: DataFrame) -> T.StructType:
     )
 
 
-def _against_shipped(score: DataFrame, train: DataFrame, k: int) -> DataFrame:
-    held = train.select("id", F.col("vec").cast("array<double>").alias("vec")).toPandas()
-    ids = held["id"].to_numpy()
-    sent = score.sparkSession.sparkContext.broadcast((ids, _matrix(held["vec"])))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, vecs = sent.value
-        for b in batches:
-            if not len(b) or not len(ids):
-                continue
-            sid = b["id"].to_numpy()
-            for rows, tid, dist in _top_k(_matrix(b["vec"]), ids, vecs, k):
-                yield pd.DataFrame({"score_id": sid[rows], "train_id": tid, "distance": dist})
-
-    return score.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInPandas(
-        run, _types(score, train)
-    )
-
-
 def _against_blocks(
-    score: DataFrame, train: DataFrame, k: int, n_train: int, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS
+    score: DataFrame, train: DataFrame, k: int, pivots: int, block_rows: int, asked_rows: int
 ) -> DataFrame:
     spark = score.sparkSession
     score = score.select("id", F.col("vec").cast("array<double>").alias("vec"))
@@ -121,8 +97,9 @@ def _against_blocks(
         .toPandas()
     )
     rings["parts"] = np.ceil(rings["n"] / block_rows).astype(int).clip(lower=1)
-    plan = spark.sparkContext.broadcast(rings)
-    lanes = max(1, math.ceil(score.count() / (4 * block_rows)))
+    plan, n_train = spark.sparkContext.broadcast(rings), int(rings["n"].sum())
+    if not n_train:
+        return spark.createDataFrame([], _types(score, train))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = plan.value
@@ -149,10 +126,9 @@ def _against_blocks(
             )
 
     score_id_type = score.schema["id"].dataType.simpleString()
-    lane = F.pmod(F.xxhash64("id"), F.lit(lanes)).cast("int")
-    asked = score.mapInPandas(
-        route, f"id {score_id_type}, vec array<double>, block int, part int"
-    ).withColumn("lane", lane)
+    asked = checkpointed(score.mapInPandas(route, f"id {score_id_type}, vec array<double>, block int, part int"))
+    wanted = asked.groupBy("block", "part").agg(F.ceil(F.count(F.lit(1)) / asked_rows).cast("int").alias("lanes"))
+    asked = asked.join(wanted, ["block", "part"]).withColumn("lane", F.pmod(F.xxhash64("id"), F.col("lanes")).cast("int")).drop("lanes")
     index = spark.createDataFrame(
         [(int(c), int(g), i, int(p)) for i, (c, g, p) in enumerate(zip(rings["cell"], rings["ring"], rings["parts"]))],
         "cell int, ring int, block int, parts int",
@@ -160,7 +136,8 @@ def _against_blocks(
     stored = (
         ringed.join(index, ["cell", "ring"])
         .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        .select("id", "vec", "block", "part", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
+        .join(wanted, ["block", "part"])
+        .select("id", "vec", "block", "part", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"))
     )
 
     def match(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:

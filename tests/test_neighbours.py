@@ -16,7 +16,7 @@ def brute(score, train, k):
 
 
 @pytest.mark.parametrize("shape", ["clusters", "one_hot_point"])
-def test_blocks_equal_brute_force(spark, shape, monkeypatch):
+def test_blocks_equal_brute_force(spark, shape):
     rng = np.random.default_rng(0)
     if shape == "clusters":
         centres = rng.normal(size=(6, 3)) * 20
@@ -28,14 +28,8 @@ def test_blocks_equal_brute_force(spark, shape, monkeypatch):
     t = spark.createDataFrame(train, "id long, vec array<double>")
     want = brute(score, train, 5)
 
-    shipped = neighbours.nearest(s, t, 5)
-    monkeypatch.setattr(
-        neighbours,
-        "_against_blocks",
-        lambda a, b, k, n, f=neighbours._against_blocks: f(a, b, k, n, pivots=7, block_rows=30),
-    )
-    blocked = neighbours.nearest(s, t, 5, shipped=0)
-    for got in (shipped, blocked):
+    for sizes in ({}, {"pivots": 7, "block_rows": 30, "asked_rows": 10}):
+        got = neighbours.nearest(s, t, 5, **sizes)
         got = got.orderBy("score_id", "rank").toPandas()
         assert (got["train_id"].values == want["train_id"].values).all()
         assert got["distance"].values == pytest.approx(want["distance"].values, abs=1e-9)
