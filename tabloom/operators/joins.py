@@ -11,11 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.maths import EARTH_RADIUS_KM, haversine
+from ..functions.maths import haversine
 from .neighbours import nearest
 
-PLACES_INLINE = 256
-
 
 def group_stat_back(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column]) -> DataFrame:
     """Attach group statistics to every row: partial aggregation, then a left join
@@ -57,40 +55,9 @@ def label_profile(df: DataFrame, label: str, target: str) -> DataFrame:
     return grouped.select(label, "n", (F.col("n") / rows).alias("share"), "target_mean")
 
 
-def nearest_place(
-    df: DataFrame, lat: str, lon: str, places: DataFrame, key: str, inline: int = PLACES_INLINE
-) -> DataFrame:
-    """Nearest of a set of (place, latitude, longitude) and its distance in km.
-
-    A short list becomes an array literal scanned per row; a long one goes through
-    the exact neighbour search on points of the unit sphere.
-    """
-    rows = places.limit(inline + 1).collect()
-    if len(rows) <= inline:
-        spots = F.array(
-            *[
-                F.struct(
-                    F.lit(r["place"]).alias("place"),
-                    F.lit(float(r["latitude"])).alias("latitude"),
-                    F.lit(float(r["longitude"])).alias("longitude"),
-                )
-                for r in rows
-            ]
-        )
-        best = F.array_min(
-            F.transform(
-                spots,
-                lambda s: F.struct(
-                    haversine(F.col(lat), F.col(lon), s["latitude"], s["longitude"]).alias("km"),
-                    s["place"].alias("place"),
-                ),
-            )
-        )
-        return (
-            df.withColumn("_best", best)
-            .withColumns({"nearest": F.col("_best.place"), "km": F.col("_best.km")})
-            .drop("_best")
-        )
+def nearest_place(df: DataFrame, lat: str, lon: str, places: DataFrame, key: str) -> DataFrame:
+    """Nearest of a set of (place, latitude, longitude) and its distance in km: the exact
+    neighbour search on points of the unit sphere, whose chords are ordered as the arcs."""
 
     def sphere(la: Column, lo: Column) -> Column:
         a, b = F.radians(la), F.radians(lo)
@@ -100,9 +67,7 @@ def nearest_place(
     train = places.select(
         F.col("place").alias("id"), sphere(F.col("latitude"), F.col("longitude")).alias("vec")
     )
-    found = nearest(score, train, 1).select(
-        F.col("score_id").alias(key),
-        F.col("train_id").alias("nearest"),
-        (F.asin(F.least(F.lit(1.0), F.col("distance") / 2)) * 2 * EARTH_RADIUS_KM).alias("km"),
-    )
-    return df.join(found, key, "left")
+    found = nearest(score, train, 1).select(F.col("score_id").alias(key), F.col("train_id").alias("nearest"))
+    spots = places.select(F.col("place").alias("nearest"), F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
+    km = haversine(F.col(lat), F.col(lon), F.col("_lat"), F.col("_lon"))
+    return df.join(found, key, "left").join(spots, "nearest", "left").withColumn("km", km).drop("_lat", "_lon")

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -47,14 +49,20 @@ def test_votes(spark):
     assert weighted == {1: "a", 2: "b"}  # 2 + ties on 1: 2.0 each, smallest label; 2: exact hit
 
 
-def test_nearest_place_beyond_the_inline_list(spark):
-    people = spark.range(50).select("id", (13 + F.col("id") / 50).alias("lat"), (100 + F.col("id") / 70).alias("lon"))
-    places = spark.range(40).select(
-        F.concat(F.lit("p"), "id").alias("place"),
-        (13 + F.col("id") / 40).alias("latitude"),
-        (100.5 - F.col("id") / 90).alias("longitude"),
-    )
-    a = nearest_place(people, "lat", "lon", places, "id").select("id", "nearest", "km").orderBy("id").toPandas()
-    b = nearest_place(people, "lat", "lon", places, "id", inline=5).select("id", "nearest", "km").orderBy("id").toPandas()
-    assert (a["nearest"] == b["nearest"]).all()
-    assert a["km"].values == pytest.approx(b["km"].values, abs=1e-5)
+def test_nearest_place(spark):
+    people = [(i, 13 + i / 50, 100 + i / 70) for i in range(50)]
+    places = [(f"p{i}", 13 + i / 40, 100.5 - i / 90) for i in range(40)]
+
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+        return 2 * 6378 * math.asin(math.sqrt(h))
+
+    got = nearest_place(
+        spark.createDataFrame(people, "id long, lat double, lon double"),
+        "lat", "lon", spark.createDataFrame(places, "place string, latitude double, longitude double"), "id",
+    ).collect()
+    assert len(got) == 50
+    for r in got:
+        best = min((km(r["lat"], r["lon"], la, lo), p) for p, la, lo in places)
+        assert r["nearest"] == best[1] and r["km"] == pytest.approx(best[0], abs=1e-9)
