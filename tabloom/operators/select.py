@@ -14,7 +14,8 @@ from .core import held, label_counts, settle
 from .discretise import EqualFrequency, add_bins
 from .explain import permutation_importance
 from .metrics import HIGHER_IS_BETTER, auc_of_counts, metric_value
-from .models import cv_score, evaluate, fit, fold_values, importances, in_parallel, learner, rows_table, scored
+from .models import cv_score, early_stopped, evaluate, fit, fold_values, importances, in_parallel, learner, rows_table, scored
+from .ordered import hash_uniform
 from .profile import EXPRS_PER_PASS, correlation, correlations
 from .scale import Scale
 
@@ -391,6 +392,24 @@ def recursive_elimination(
     return rows_table(df, order, "feature string, rank int")
 
 
+def recursive_elimination_cv(
+    df: DataFrame, cols: Sequence[str], label: str, estimator: Estimator, metric: str, fold: str = "fold"
+) -> DataFrame:
+    """(feature, rank, size, score): the elimination order over all rows, each feature with the mean validation metric
+    of the set that it is the last to join (the ``size`` best features). Rank 1 is every feature of the best set,
+    the smallest one on ties; the number of features is thus chosen by the folds."""
+    gain = _better(metric)
+    with held(df.select(label, fold, *cols)) as (data,):
+        folds = fold_values(data, fold)
+        order = recursive_elimination(data, cols, label, estimator, 1).orderBy("rank").collect()
+        ranked = [r["feature"] for r in order]
+        sizes = list(range(1, len(ranked) + 1))
+        scores = in_parallel([lambda n=n: cv_score(data, ranked[:n], label, estimator, metric, fold, folds) for n in sizes])
+    best = max(sizes, key=lambda n: (gain(scores[n - 1]), -n))
+    rows = [(f, 1 if n <= best else n - best + 1, n, float(scores[n - 1])) for n, f in zip(sizes, ranked)]
+    return rows_table(df, rows, "feature string, rank int, size int, score double")
+
+
 def shuffle_selection(
     train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, key: Sequence[str], estimator: Estimator, metric: str
 ) -> DataFrame:
@@ -446,16 +465,25 @@ def hybrid_addition(
 
 
 def mean_importance(
-    df: DataFrame, cols: Sequence[str], label: str, make: Callable[[int], Estimator], seeds: Sequence[int] = (0, 1)
+    df: DataFrame,
+    cols: Sequence[str],
+    label: str,
+    make: Callable[[int], Estimator],
+    key: Sequence[str],
+    fits: int = 2,
+    hold_out: float = 0.25,
 ) -> DataFrame:
-    """(feature, importance) averaged over seeded fits; zero rows can be dropped."""
-    with held(df.select(label, *cols)) as (data,):
-        parts = in_parallel([lambda s=s: importances(fit(data, cols, label, make(s)), cols) for s in seeds])
-    totals = {c: 0.0 for c in cols}
-    for part in parts:
-        for f, v in part:
-            totals[f] += v / len(parts)
-    return rows_table(df, totals.items(), "feature string, importance double")
+    """(feature, importance): mean over seeded fits of a boosted learner. Each fit holds out its own share of the rows,
+    drawn by a hash of the key, and stops when they no longer improve."""
+    totals = dict.fromkeys(cols, 0.0)
+    with held(df.select(*dict.fromkeys([*key, label, *cols]))) as (data,):
+        models = in_parallel(
+            [lambda s=s: early_stopped(data, cols, label, make(s), hash_uniform(key, s) < hold_out) for s in range(fits)]
+        )
+    for model in models:
+        for f, v in importances(model, cols):
+            totals[f] += float(v) / fits
+    return rows_table(df, list(totals.items()), "feature string, importance double")
 
 
 def features_to_reach(table: DataFrame, threshold: float) -> DataFrame:

@@ -344,6 +344,13 @@ def _(spark, sf):
     return sel.recursive_elimination(train, PLAIN, "y", m.learner("forest", numTrees=5, maxDepth=3), 2)
 
 
+@query("n28_recursive_elimination_cv")
+def _(spark, sf):
+    train, _ = parts(spark, sf)
+    folds = m.add_folds(train, ["id"], 3, seed=4, strata=["y"])
+    return sel.recursive_elimination_cv(folds, PLAIN, "y", m.learner("tree", maxDepth=3), "auc")
+
+
 @query("n29_shuffle_selection")
 def _(spark, sf):
     train, test = parts(spark, sf)
@@ -371,7 +378,7 @@ def _(spark, sf):
 @query("n32_zero_importance")
 def _(spark, sf):
     train, _ = parts(spark, sf)
-    out = sel.mean_importance(train, [*PLAIN, "const"], "y", lambda s: m.learner("boosted", maxIter=3, maxDepth=3, seed=s))
+    out = sel.mean_importance(train, [*PLAIN, "const"], "y", lambda s: m.learner("boosted", maxIter=15, maxDepth=3, seed=s), ["id"])
     return out.withColumn("dropped", F.col("importance") == 0)
 
 
