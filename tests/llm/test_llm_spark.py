@@ -347,3 +347,33 @@ def test_stages_keep_the_columns(spark):
         assert out.columns == columns, name
         assert {r.doc_id for r in out.select("doc_id").collect()} <= ids
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "suffix_dedup", "decontaminate", "mixing"]
+
+
+def test_pipeline_against_plain_code(spark):
+    """The learnt first stage is taken as it is; the others are recomputed row by row from its result."""
+    folder = "/root/testdata/sf0.001"
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = {r.doc_id: r for r in corpus_pipeline.reject_toxic(spark, documents, folder).collect()}
+    texts = sorted((i, r.text) for i, r in rows.items())
+    _, roots = groups(texts, 5, 80)
+    texts = [t for k, t in enumerate(texts) if k in set(roots)]
+    cut = {}
+    for i, s, flags in without_repeats(texts, 50, lambda t: t.encode()):
+        cut[i] = bytes(b for b, f in zip(s, flags) if not f).decode("utf-8", "ignore")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    clean = [i for (i, *_, bad) in contaminated(sorted(cut.items()), items) if not bad]
+    sizes = collections.Counter()
+    for i in clean:
+        sizes[rows[i].source] += len(cut[i])
+    total, weights = sum(sizes.values()), sum(math.sqrt(v) for v in sizes.values())
+    expected = []
+    for i in clean:
+        size = sizes[rows[i].source]
+        rate = math.sqrt(size) / weights * total / size if size else 1.0
+        u = (int(hashlib.md5(f"17:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        n, p, below = 0, math.exp(-rate), math.exp(-rate)
+        while below < u:
+            n, p = n + 1, p * rate / (n + 1)
+            below += p
+        expected += [(i, cut[i], rows[i].lang, rows[i].source, len(cut[i]), k) for k in range(n)]
+    assert order(corpus_pipeline.run(spark, folder).collect()) == order(expected)
