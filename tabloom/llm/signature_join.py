@@ -269,39 +269,27 @@ def document_sets(chunks: DataFrame, key: str, text: str, percent: int, shingle:
     return checkpointed(both.mapInArrow(ordered, "chunk long, row int, doc long, n long, set_id long, prefix binary, tokens binary"))
 
 
-def meeting_groups(sets: DataFrame, shards: int) -> DataFrame:
-    """(leader, member): sets that share a prefix shingle, by the smallest set that has it; each pair once."""
+def meeting_groups(sets: DataFrame) -> DataFrame:
+    """(leader, member): sets that share a prefix shingle, by the smallest set that has it; each pair once.
 
-    def routed(batches):
-        for number, batch in enumerate(batches):
-            prefix = [np.frombuffer(p.as_buffer(), np.uint64) for p in batch["prefix"]]
-            token = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
-            member = np.repeat(batch["set_id"].to_numpy(zero_copy_only=False), [len(p) for p in prefix])
-            order = np.lexsort((member, token))
-            token, member = token[order], member[order]
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (member[1:] != member[:-1])
-            token, member = token[new], member[new]
-            shard = (mix(token) % np.uint64(shards)).astype(np.int64)
-            yield _table(
-                [(int(s), number, 0, join_parts([squeeze_sorted(token[shard == s]), squeeze(member[shard == s])])) for s in np.unique(shard)]
-            )
+    The smallest set of a shingle is pre-aggregated, and the join back may be split: a shingle that very many sets have
+    fills no task.
+    """
 
-    def met(table: pa.Table) -> pa.Table:
-        lists = [split_parts(b) for b in table["blob"].to_pylist()]
-        token = np.concatenate([expand_sorted(x[0]) for x in lists])
-        member = np.concatenate([expand(x[1], np.int64) for x in lists])
-        order = np.lexsort((member, token))
-        token, member = token[order], member[order]
-        start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        count = np.diff(np.append(start, len(token)))
-        leader = np.repeat(member[start], count)
-        several = np.repeat(member[start] != member[np.append(start[1:], len(token)) - 1], count)
-        pairs = np.unique(np.stack([leader[several], member[several]]), axis=1)
-        return pa.table({"leader": pa.array(pairs[0], pa.int64()), "member": pa.array(pairs[1], pa.int64())})
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = [np.frombuffer(p.as_buffer(), np.int64) for p in batch["prefix"]]
+            if not prefix:
+                continue
+            member = np.repeat(batch["set_id"].to_numpy(zero_copy_only=False), [len(p) for p in prefix])
+            # equal sets of a batch once
+            rows = np.unique(np.stack([np.concatenate(prefix), member]), axis=1)
+            yield pa.RecordBatch.from_pydict({"shingle": pa.array(rows[0]), "member": pa.array(rows[1])})
 
-    rows = sets.select("set_id", "prefix").mapInArrow(routed, _ROWS)
-    return rows.groupBy("shard").applyInArrow(met, "leader long, member long").distinct()
+    rows = sets.select("set_id", "prefix").mapInArrow(listed, "shingle long, member long")
+    leaders = rows.groupBy("shingle").agg(F.min("member").alias("leader"), F.max("member").alias("last"))
+    leaders = leaders.filter("leader < last").select("shingle", "leader")
+    return rows.join(leaders, "shingle").select("leader", "member").distinct()
 
 
 def set_links(sets: DataFrame, groups: DataFrame, percent: int, shards: int, block: int = BLOCK_SETS) -> DataFrame:
@@ -356,12 +344,15 @@ def near_duplicate_rows(chunks: DataFrame, key: str, text: str, percent: int = P
     shards = shard_count(chunks.sparkSession)
     rows = document_sets(chunks, key, text, percent, shingle, shards)
     sets = rows.filter(F.col("set_id").isNotNull())
-    links = set_links(sets, meeting_groups(sets, shards), percent, shards, block)
+    links = set_links(sets, meeting_groups(sets), percent, shards, block)
     of_set = components(links).withColumnRenamed("node", "set_id")
     narrow = rows.select("chunk", "row", "doc", "n", "set_id")
-    named = narrow.join(of_set, "set_id", "left").withColumn("member", F.coalesce("component", "set_id")).drop("component")
-    least = named.filter(F.col("member").isNotNull()).groupBy("member").agg(F.min("doc").alias("component"))
-    return named.join(least, "member", "left").select("chunk", "row", "doc", "n", "member", F.coalesce("component", "doc").alias("component"))
+    # rows without a possible link need no join: they would all have the same null key
+    lone = narrow.filter(F.col("set_id").isNull()).select("chunk", "row", "doc", "n", F.col("set_id").alias("member"), F.col("doc").alias("component"))
+    named = narrow.filter(F.col("set_id").isNotNull()).join(of_set, "set_id", "left")
+    named = named.withColumn("member", F.coalesce("component", "set_id")).drop("component")
+    least = named.groupBy("member").agg(F.min("doc").alias("component"))
+    return named.join(least, "member").select("chunk", "row", "doc", "n", "member", "component").unionByName(lone)
 
 
 def near_duplicate_classes(
@@ -378,10 +369,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     """The rows, unchanged, without those of which a near-duplicate with a smaller id stays; of repeated rows one."""
     chunks = pack_chunks(docs, text)
     found = near_duplicate_rows(chunks, key, text, percent, shingle)
-    first = found.filter(F.col("member").isNotNull()).groupBy("member").agg(F.min(F.struct("doc", "chunk", "row")).alias("first"))
-    stays = found.join(first, "member", "left").filter(
-        F.col("member").isNull() | ((F.col("first.chunk") == F.col("chunk")) & (F.col("first.row") == F.col("row")))
-    )
+    linked, lone = found.filter(F.col("member").isNotNull()), found.filter(F.col("member").isNull())
+    first = linked.groupBy("member").agg(F.min(F.struct("doc", "chunk", "row")).alias("first"))
+    stays = lone.select("chunk", "row").unionByName(first.select("first.chunk", "first.row"))
     kept = stays.groupBy("chunk").agg(F.collect_list("row").alias("kept"))
 
     def read(batches):
