@@ -28,8 +28,8 @@ WINDOW = 3
 PART = 0.25
 
 # Element names of HTML, and words that name parts which are no article.
-RAW = "script style noscript template textarea svg math iframe object canvas select title".split()
-NEVER = "nav footer aside form button dialog menu label fieldset figcaption".split()
+RAW = "script style noscript template textarea svg iframe canvas select title".split()
+NEVER = "nav footer aside form button dialog menu label fieldset".split()
 BLOCKS = set(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
