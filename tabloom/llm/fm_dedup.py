@@ -101,13 +101,13 @@ class RangeMinima:
     """Smallest value of any range, from a table of the minima of all power-of-two ranges."""
 
     def __init__(self, values: np.ndarray):
-        self.table = [values.astype(np.int32)]
-        while 2 << (len(self.table) - 1) <= len(values):
-            half, row = 1 << (len(self.table) - 1), self.table[-1]
-            self.table.append(np.minimum(row[:-half], row[half:]))
-        self.flat = np.concatenate(self.table)
-        self.begin = np.concatenate([[0], np.cumsum([len(r) for r in self.table])])
-        self.table = []
+        sizes = [len(values) - (1 << k) + 1 for k in range(max(1, len(values)).bit_length())]
+        self.begin = np.concatenate([[0], np.cumsum(sizes)])
+        self.flat = np.empty(int(self.begin[-1]), np.int32)
+        self.flat[: len(values)] = values
+        for k in range(1, len(sizes)):
+            below, half = self.flat[self.begin[k - 1] : self.begin[k]], 1 << (k - 1)
+            np.minimum(below[:-half], below[half:], out=self.flat[self.begin[k] : self.begin[k + 1]])
 
     def smallest(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         k = np.frexp((high - low).astype(np.float64))[1] - 1
