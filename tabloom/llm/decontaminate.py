@@ -27,6 +27,8 @@ from tabloom.operators.core import checkpointed
 PHRASE_WORDS = 13
 #: Phrases that are broadcast at once: some MB.
 BLOCK_PHRASES = 50_000
+#: Contaminated documents whose keys are broadcast: some MB.
+BROADCAST_DOCUMENTS = 200_000
 #: Rarest terms of a phrase whose postings are intersected.
 RAREST = 2
 
@@ -34,12 +36,12 @@ RAREST = 2
 END = ""
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A word of text whose A-Z are still capitals.
-_RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words of a text whose A-Z are still capitals.
+_BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def raw_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(text, F.lit(_RAW_WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(text, _BETWEEN_WORDS, -1), ""), F.array().cast("array<string>"))
 
 
 def lower_word(word: Column) -> Column:
@@ -180,7 +182,9 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows, unchanged, that aren't contaminated by the items."""
-    bad = contamination(docs, items, key, text).filter("contaminated").select("doc", "text_hash").distinct().alias("bad")
+    bad = checkpointed(contamination(docs, items, key, text).filter("contaminated").select("doc", "text_hash").distinct())
+    # counted before it is broadcast; more of them are joined by a shuffle
+    bad = (F.broadcast(bad) if bad.count() <= BROADCAST_DOCUMENTS else bad).alias("bad")
     row = docs.withColumn("_text_hash", F.coalesce(F.xxhash64(F.col(text)), F.lit(0))).alias("row")
     same = F.col(f"row.{key}").eqNullSafe(F.col("bad.doc")) & (F.col("row._text_hash") == F.col("bad.text_hash"))
     return row.join(bad, same, "left_anti").drop("_text_hash")
