@@ -4,8 +4,8 @@ A source's target repetition rate is its share of the target divided by its shar
 of copies is the Poisson quantile, with that rate as mean, of a uniform number hashed from seed and id: a pure function
 of the row, equal wherever it is recomputed. Every copy then goes to a place drawn by a hash of seed, id and copy.
 
-Rates come from one aggregate over all rows, a row for each source; documents join it by source, so a hot source only
-shares a small row with many documents, and the shuffle that follows is keyed by the copy's own hash.
+Rates come from one aggregate over all rows, a row for each source. Up to 20,000 sources they are broadcast, so that
+documents aren't dealt out by source; the one shuffle of the texts is keyed by each copy's own hash.
 
 Defined cases: a null source is a source of its own; a null id hashes as an empty one; repeated rows get equal counts;
 null or empty texts have length 0; a source without any text is kept at rate 1; an empty table gives no rows; a column
@@ -17,10 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.operators.core import checkpointed
+
 from .tables import shard_count
 
 #: Exponent of a source's text in its target weight: 1 keeps the corpus as it is, 0 gives every source the same.
 TEMPERATURE = 0.5
+#: Sources whose rates are broadcast: some MB of distribution functions.
+BROADCAST_SOURCES = 20_000
 
 
 def hashed_uniform(seed: int, key: Column, *more: Column) -> Column:
@@ -55,7 +59,10 @@ def poisson_quantile_table(rates: DataFrame) -> DataFrame:
 
 def replicate(docs: DataFrame, rates: DataFrame, seed: int = 17, key: str = "doc_id", source: str = "source") -> DataFrame:
     """Each row once for each of its copies, numbered from 0 in `copy`, in a global order drawn by hash."""
+    # a row for each source, counted before it is broadcast; more sources than that are joined by a shuffle
+    rates = checkpointed(rates)
     steps = poisson_quantile_table(rates).select(F.col("source").alias("_source"), "steps")
+    steps = F.broadcast(steps) if rates.count() <= BROADCAST_SOURCES else steps
     rows = docs.drop("copy").withColumn("_u", hashed_uniform(seed, F.col(key)))
     rows = rows.join(steps, F.col(source).eqNullSafe(F.col("_source")))
     count = F.size(F.filter("steps", lambda s: s < F.col("_u")))
