@@ -153,6 +153,19 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) - np.repeat(first - starts, lengths)
 
 
+def take_spans(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, step: int = 1 << 21) -> np.ndarray:
+    """The concatenation of the spans of `values`, gathered in steps so that positions never fill the memory."""
+    out = np.empty(int(lengths.sum()), values.dtype)
+    ends = np.cumsum(lengths)
+    a = 0
+    while a < len(starts):
+        done = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, done + step, side="right")))
+        out[done : ends[b - 1]] = values[ranges(starts[a:b], lengths[a:b])]
+        a = b
+    return out
+
+
 def sums_by_cut(flags: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Sum of the values between each two cuts."""
     total = np.zeros(len(flags) + 1, np.int64)

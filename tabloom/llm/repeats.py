@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tabloom.operators.core import checkpointed
 
-from .arrays import BLOCK_BYTES, SpanHasher, Words, blocks, byte_hasher, covered, mix, ranges, spans_inside, text_bytes
+from .arrays import BLOCK_BYTES, SpanHasher, Words, blocks, byte_hasher, covered, mix, ranges, spans_inside, take_spans, text_bytes
 from .tables import shard_count
 
 #: Documents with an anchor from which on its windows are told apart one by one.
@@ -216,7 +216,7 @@ class Shipment:
         self.pick = order[new]  # the occurrence in the smallest document stands for all
         self.place = np.empty(len(order), np.int64)
         self.place[order] = np.cumsum(new) - 1
-        self.document, self.content = document, content
+        self.document = document
         self.cut = np.searchsorted(shard[self.pick], np.arange(shards + 1))
         self.symbols = symbols
 
@@ -224,9 +224,9 @@ class Shipment:
         for s in np.flatnonzero(np.diff(self.cut)):
             pick = self.pick[self.cut[s] : self.cut[s + 1]]
             a, b = self.symbols.byte_spans(self.first[pick], self.end[pick])
-            payload = self.symbols.data[ranges(a, b - a)]
+            payload = take_spans(self.symbols.data, a, b - a)
             yield int(s), chunk, kind, join_parts(
-                [squeeze(self.content[pick]), squeeze(self.document[pick]), squeeze((b - a).astype(np.int32)), squeeze(payload)]
+                [squeeze(self.document[pick]), squeeze((b - a).astype(np.int32)), squeeze(payload)]
             )
 
     def marked(self, replies: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -262,32 +262,30 @@ Engine = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
 def answer_segments(blobs: list[bytes], unit: Unit, engine: Engine) -> list[bytes]:
     """For the segments that chunks sent to one shard: the smallest document with each, and its marked symbols."""
     lists = [split_parts(b) for b in blobs]
-    content = np.concatenate([expand(x[0], np.uint64) for x in lists])
-    document = np.concatenate([expand(x[1], np.int64) for x in lists])
-    size = np.concatenate([expand(x[2], np.int32) for x in lists]).astype(np.int64)
-    payload = np.concatenate([expand(x[3], np.uint8) for x in lists])
+    documents = [expand(x[0], np.int64) for x in lists]
+    document = np.concatenate(documents)
+    values, lengths, contents = [], [], []
+    for x in lists:  # one chunk's list at a time: its hashes take a multiple of its text
+        size = expand(x[1], np.int32).astype(np.int64)
+        symbols = Symbols(unit, expand(x[2], np.uint8), np.concatenate([[0], np.cumsum(size)]))
+        values.append(symbols.data if unit.kind == "byte" else symbols.values)
+        lengths.append(np.diff(symbols.cuts))
+        contents.append(symbols.hasher.spans(symbols.cuts[:-1], symbols.cuts[1:]))
+    length, content = np.concatenate(lengths), np.concatenate(contents)
+    begin, values = np.cumsum(length) - length, np.concatenate(values)
     order = np.lexsort((document, content))
     new = np.ones(len(order), bool)
     new[1:] = content[order][1:] != content[order][:-1]
     place = np.empty(len(order), np.int64)
     place[order] = np.cumsum(new) - 1
     pick = order[new]
-    begin = np.cumsum(size) - size
-    data = payload[ranges(begin[pick], size[pick])]
-    offsets = np.concatenate([[0], np.cumsum(size[pick])])
-    if unit.kind == "byte":
-        values, cuts = data, offsets
-    else:
-        symbols = Symbols(unit, data, offsets)
-        values, cuts = symbols.values, symbols.cuts
+    values = take_spans(values, begin[pick], length[pick])
+    cuts = np.concatenate([[0], np.cumsum(length[pick])])
     flags = engine(values, cuts, document[pick], unit.width)
-    out, at = [], 0
-    for x in lists:
-        n = len(expand(x[0], np.uint64))
-        own = place[at : at + n]
-        bits = flags[ranges(cuts[own], cuts[own + 1] - cuts[own])]
+    out = []
+    for own in np.split(place, np.cumsum([len(d) for d in documents])[:-1]):
+        bits = flags[ranges(cuts[own], length[pick][own])]
         out.append(join_parts([squeeze(document[pick][own]), np.packbits(bits).tobytes()]))
-        at += n
     return out
 
 
