@@ -4,6 +4,8 @@ Markup is stripped into lines, one for each block element. A line weighs as much
 inside elements that never hold an article (menus, forms, scripts, and elements named so by class, id or role). Sums
 over sliding windows of lines show where text surges and where it dives to nothing; what stands between a surge and the
 next dive is a region. The heaviest region is the article, with every other one that holds a real part of the text.
+Article and main elements are a weight: text in them counts twice, and once it is clear whether the story is in them or
+beside them, only long lines of the other side weigh.
 
 Defined cases: null or empty html gives an empty text; a null url or id is passed through; repeated rows give equal
 rows; an element of that kind that is never closed ends with its parent, or with the page; an empty table gives no rows;
@@ -15,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,10 @@ from pyspark.sql import types as T
 WINDOW = 3
 #: Share of the heaviest region's weight from which another region is part of the article.
 PART = 0.25
+#: Weight of a character inside the article or main element of the story.
+TAG = 2
+#: Characters that a line on the other side of that element must exceed to have weight; a line as long is no teaser.
+SHORT = 200
 
 # Element names of HTML, and words that name parts which are no article.
 RAW = "script style noscript template textarea svg iframe canvas select title".split()
@@ -34,6 +41,7 @@ BLOCKS = set(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 NAMED = set(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs "
@@ -56,7 +64,7 @@ def _apart(name: str, attributes: str, inside_article: bool) -> bool:
     """Whether an element can't hold part of an article."""
     if name in NEVER or (name == "header" and not inside_article):
         return True
-    if not attributes or name in ("html", "body", "article", "main"):
+    if not attributes or name in ("html", "body", "main"):
         return False
     if (role := _ROLE.search(attributes)) and role[1].lower() in ROLES:
         return True
@@ -65,19 +73,29 @@ def _apart(name: str, attributes: str, inside_article: bool) -> bool:
     return any(NAMED & set(_WORD.findall(m[1].lower())) for m in _NAME.finditer(attributes))
 
 
-def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters of it in links, set apart, inside an article element) of each block of a page that has text."""
+class Line(NamedTuple):
+    text: str
+    linked: int  # characters of it in links
+    apart: bool
+    article: int  # number of the innermost article element around it, 0 outside all
+    main: bool
+    heading: bool
+
+
+def page_lines(html: str) -> list[Line]:
+    """Each block of a page that has text."""
     html = _RAW_ELEMENT.sub("\x00", _COMMENT.sub("", html)).replace("\x00", " ")
-    lines: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, set apart, article
+    lines: list[Line] = []
+    stack: list[tuple[str, bool, int]] = []  # name, set apart, number of the innermost article
     text: list[str] = []
-    linked = link = 0
+    linked = link = articles = 0
 
     def flush():
         nonlocal linked
         line = " ".join(unescape("".join(text)).split())
         if line:
-            lines.append((line, linked, any(s[1] for s in stack), any(s[2] for s in stack)))
+            names = {s[0] for s in stack}
+            lines.append(Line(line, linked, any(s[1] for s in stack), stack[-1][2] if stack else 0, "main" in names, not HEADINGS.isdisjoint(names)))
         text.clear()
         linked = 0
 
@@ -103,52 +121,83 @@ def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
         elif name not in VOID and not attributes.rstrip().endswith("/"):
             if name == "p" and stack and stack[-1][0] == "p":
                 stack.pop()  # a paragraph ends where the next begins
-            article = name in ("article", "main")
-            apart = _apart(name, attributes, any(s[2] for s in stack))
+            articles += name == "article"
+            apart = _apart(name, attributes, any(s[0] in ("article", "main") for s in stack))
             if apart and name not in BLOCKS:
                 flush()
             if name in BLOCKS or apart:
-                stack.append((name, apart, article))
+                stack.append((name, apart, articles if name == "article" else stack[-1][2] if stack else 0))
     text.append(html[at:])
     flush()
     return lines
 
 
-def article_regions(weights: np.ndarray, window: int = WINDOW, part: float = PART) -> np.ndarray:
-    """Flags of the lines between surge and dive points. A region surges at its first line with weight, and dives
-    where a whole window of lines after it has none."""
-    keep = np.zeros(len(weights), bool)
-    if not weights.any():
-        return keep
+def runs(weights: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
+    """(first, after the last) line with weight of each region: it surges at its first line with weight, and dives where
+    a whole window of lines after it has none."""
     padded = np.concatenate([np.zeros(window - 1), weights, np.zeros(window - 1)])
     sums = np.convolve(padded, np.ones(window), "valid")  # the window that begins window - 1 lines before each line
-    flat = sums == 0
-    # a line lies in a region if no all-empty window separates it from text: runs of windows with some weight
-    edges = np.diff(np.concatenate([[0], (~flat).astype(int), [0]]))
-    surges, dives = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    total = np.array([weights[max(0, s - window + 1) : d].sum() for s, d in zip(surges, dives)])
-    for s, d, size in zip(surges, dives, total):
-        if size >= part * total.max():
-            lines = np.flatnonzero(weights[: d] > 0)
-            lines = lines[lines >= s - window + 1]
-            if len(lines):
-                keep[lines[0] : lines[-1] + 1] = True
+    edges = np.diff(np.concatenate([[0], (sums > 0).astype(int), [0]]))
+    # the first window with weight ends at the first line with weight, the last one begins at the last
+    return [(int(s), int(d) - window + 1) for s, d in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1))]
+
+
+def article_regions(weights: np.ndarray, window: int = WINDOW, part: float = PART) -> np.ndarray:
+    """Flags of the lines between surge and dive points."""
+    keep = np.zeros(len(weights), bool)
+    found = runs(weights, window)
+    total = [weights[s:d].sum() for s, d in found]
+    for (s, d), size in zip(found, total):
+        keep[s:d] = size >= part * max(total)
     return keep
 
 
+def own_lines(lines: list[Line], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flags of the lines on the story's side of the article and main tags (all, without tags), and in its tags. The side
+    is the one with more text, that in a tag counted TAG times: an article element is a composition of its own, so a story
+    outside is not continued in it, and a card beside or inside a story (a linked heading over short lines) is another's."""
+    article, main = np.array([line.article for line in lines]), np.array([line.main for line in lines])
+    totals = np.bincount(article, sizes)
+    totals[0] = 0
+    best = int(totals.argmax())
+    beside = max((sizes[article == 0][s:d].sum() for s, d in runs(sizes[article == 0])), default=0)
+    if best and TAG * totals[best] >= beside:
+        own = main | (article > 0)
+        titled = {line.article for line, size in zip(lines, sizes) if line.heading and size == 0}
+        long = set(article[sizes > SHORT].tolist())
+        if best in long and best not in titled:
+            own &= ~np.isin(article, list(titled - long - {0}))
+        return own, own
+    free = sizes * ~main * (article == 0)
+    own = main & (article == 0)
+    if sizes[own].any() and TAG * sizes[own].sum() >= max((free[s:d].sum() for s, d in runs(free)), default=0):
+        return own, own
+    return article == 0, np.zeros(len(lines), bool)
+
+
+def stretched(keep: np.ndarray, lines: list[Line], tagged: np.ndarray) -> np.ndarray:
+    """The regions with the links up to the edge of their tag, if those don't fill a window, or with a heading beside."""
+    out = keep.copy()
+    for way in (1, -1):
+        flags, inside, order = keep[::way], tagged[::way], lines[::way]
+        for end in np.flatnonzero(flags[:-1] & ~flags[1:]) + 1:
+            stop = end
+            while stop < len(flags) and inside[stop] and not flags[stop]:
+                stop += 1
+            if stop - end < WINDOW or order[end].heading:
+                out[::way][end : stop if stop - end < WINDOW else end + 1] = True
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks with white space as single spaces, joined by single spaces."""
-    lines = page_lines(html or "")
-    if not lines:
+    lines = [line for line in page_lines(html or "") if not line.apart]
+    sizes = np.array([0 if 2 * line.linked > len(line.text) else len(line.text) for line in lines], float)
+    if not sizes.any():
         return ""
-    within = np.array([article for _, _, apart, article in lines]) & ~np.array([apart for _, _, apart, _ in lines])
-    weights = np.array([0 if apart or 2 * linked > len(line) else len(line) for line, linked, apart, _ in lines])
-    if (weights * within).any():  # the page says itself where its article is
-        weights = np.where(within, np.maximum(weights, 1), 0)
-        keep = article_regions(weights, window=len(weights) + 1)
-    else:
-        keep = article_regions(weights)
-    return " ".join(line for (line, _, apart, article), on in zip(lines, keep) if on and not apart and (article or not within.any()))
+    own, tagged = own_lines(lines, sizes)
+    keep = article_regions(np.where(own, np.where(tagged, TAG, 1) * sizes, np.where(sizes > SHORT, sizes, 0)))
+    return " ".join(line.text for line, on in zip(lines, stretched(keep, lines, tagged)) if on)
 
 
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

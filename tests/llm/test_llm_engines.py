@@ -206,5 +206,36 @@ def test_a_page_without_article_element_keeps_the_text_between_surge_and_dive():
     assert text == "Title " + " ".join("word " * 30 + f"{i}." for i in range(6))
 
 
+STORY = [f"Paragraph {i} of the story. " + "word " * 50 + "end." for i in range(5)]
+STORY_HTML = "".join(f"<p>{p}</p>" for p in STORY)
+CARD = '<article><h3><a href="/x">Another piece</a></h3><p>What it is about.</p></article>'
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div>{STORY_HTML}</div>{CARD}</body>",
+        f"<body><article><h3>Other</h3><p>A card without link.</p></article><div>{STORY_HTML}</div></body>",
+        f"<body><main><div>{STORY_HTML}</div>{CARD * 4}</main></body>",
+        f"<body><article>{STORY_HTML}</article>{CARD * 4}<div>About this site</div></body>",
+        f"<body><main><article>{STORY_HTML}{CARD}</article></main></body>",
+        f'<body><main>{STORY_HTML}<article class="comment"><p>{"I liked it a lot. " * 5}</p></article></main></body>',
+        f'<body><article>{STORY_HTML}<article id="comment-7"><p>{"So did I. " * 30}</p></article></article></body>',
+        f"<body><article>{STORY_HTML}" + "<ul>" + '<li><a href="/y">Read this next</a></li>' * 5 + "</ul></article></body>",
+    ],
+)
+def test_cards_comments_and_link_lists_are_not_the_story(page):
+    assert html_blocks.main_text(page) == " ".join(STORY)
+
+
+def test_article_elements_of_one_story_are_kept():
+    entries = [f"Entry {i} of the day." for i in range(6)]
+    html = f'<main><h1>Live</h1><article>{STORY_HTML}</article>' + "".join(f"<article><h2>At {i}</h2><p>{e}</p></article>" for i, e in enumerate(entries)) + "</main>"
+    assert html_blocks.main_text(html) == "Live " + " ".join(STORY) + " " + " ".join(f"At {i} {e}" for i, e in enumerate(entries))
+    posts = "".join(f'<article><h2><a href="/{i}">Post {i}</a></h2><p>{p}</p></article>' for i, p in enumerate([STORY[0], "Short.", STORY[1]]))
+    assert html_blocks.main_text(f"<body>{posts}</body>") == f"Post 0 {STORY[0]} Post 1 Short. Post 2 {STORY[1]}"
+    assert html_blocks.main_text(f"<article>Lead of it. {'lead ' * 50}</article><div>{STORY_HTML}</div>") == f"Lead of it. {('lead ' * 50).strip()} " + " ".join(STORY)
+
+
 def test_null_html():
     assert html_blocks.main_text(None) == ""
