@@ -3,7 +3,8 @@
 Markup is stripped into lines, one for each block element. A line weighs as much as its text outside links, and nothing
 inside elements that never hold an article (menus, forms, scripts, and elements named so by class, id or role). Sums
 over sliding windows of lines show where text surges and where it dives to nothing; what stands between a surge and the
-next dive is a region. The heaviest region is the article, with every other one that holds a real part of the text.
+next dive is a region. Every region that is text rather than links is part of the article, however short it is. Set-apart
+lines are taken out before, so that they part nothing.
 Article and main elements are a weight: text in them counts twice, and once it is clear whether the story is in them or
 beside them, only long lines of the other side weigh.
 
@@ -27,8 +28,8 @@ from pyspark.sql import types as T
 
 #: Lines that a window of the distribution holds.
 WINDOW = 3
-#: Share of the heaviest region's weight from which another region is part of the article.
-PART = 0.25
+#: Share of a region's characters that must have weight (text outside links) for it to be part of the article.
+DENSE = 0.5
 #: Weight of a character inside the article or main element of the story.
 TAG = 2
 #: Characters that a line on the other side of that element must exceed to have weight; a line as long is no teaser.
@@ -142,13 +143,11 @@ def runs(weights: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
     return [(int(s), int(d) - window + 1) for s, d in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1))]
 
 
-def article_regions(weights: np.ndarray, window: int = WINDOW, part: float = PART) -> np.ndarray:
-    """Flags of the lines between surge and dive points."""
+def article_regions(weights: np.ndarray, lengths: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Flags of the lines of regions whose weight is at least half of their characters, however short they are."""
     keep = np.zeros(len(weights), bool)
-    found = runs(weights, window)
-    total = [weights[s:d].sum() for s, d in found]
-    for (s, d), size in zip(found, total):
-        keep[s:d] = size >= part * max(total)
+    for s, d in runs(weights, window):
+        keep[s:d] = weights[s:d].sum() >= DENSE * lengths[s:d].sum()
     return keep
 
 
@@ -196,7 +195,8 @@ def main_text(html: str | None) -> str:
     if not sizes.any():
         return ""
     own, tagged = own_lines(lines, sizes)
-    keep = article_regions(np.where(own, np.where(tagged, TAG, 1) * sizes, np.where(sizes > SHORT, sizes, 0)))
+    weights = np.where(own, np.where(tagged, TAG, 1) * sizes, np.where(sizes > SHORT, sizes, 0))
+    keep = article_regions(weights, np.array([len(line.text) for line in lines]))
     return " ".join(line.text for line, on in zip(lines, stretched(keep, lines, tagged)) if on)
 
 

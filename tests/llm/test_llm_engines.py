@@ -237,5 +237,27 @@ def test_article_elements_of_one_story_are_kept():
     assert html_blocks.main_text(f"<article>Lead of it. {'lead ' * 50}</article><div>{STORY_HTML}</div>") == f"Lead of it. {('lead ' * 50).strip()} " + " ".join(STORY)
 
 
+@pytest.mark.parametrize(
+    "between",
+    [
+        '<div class="advert"><p>Buy</p><p>this</p><p>now</p></div>',
+        "<ul>" + '<li><a href="/z">Related piece</a></li>' * 4 + "</ul>",
+        "<form><p>Your name</p><p>Your mail</p><p>Send</p></form>",
+    ],
+)
+@pytest.mark.parametrize("tag", ["div", "article"])
+def test_a_short_end_of_a_parted_story_is_kept(between, tag):
+    short = "<p>A short end.</p>"
+    whole = " ".join(STORY)
+    assert html_blocks.main_text(f"<body><{tag}>{STORY_HTML}{between}{short}</{tag}></body>") == f"{whole} A short end."
+    assert html_blocks.main_text(f"<body><{tag}>{short}{between}{STORY_HTML}</{tag}></body>") == f"A short end. {whole}"
+
+
+def test_a_region_of_links_is_not_text():
+    listing = "".join(f'<li><a href="/{i}">A rather long headline of number {i}</a></li><li>{i} min</li>' for i in range(9))
+    gap = '<p><a href="/q">q</a></p>' * 3
+    assert html_blocks.main_text(f"<body><div>{STORY_HTML}</div>{gap}<ul>{listing}</ul></body>") == " ".join(STORY)
+
+
 def test_null_html():
     assert html_blocks.main_text(None) == ""
