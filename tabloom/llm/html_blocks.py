@@ -1,7 +1,8 @@
 """HTML extraction by the distribution of line blocks.
 
 Markup is stripped into lines, one for each block element. A line weighs as much as its text outside links, and nothing
-inside elements that never hold an article (menus, forms, scripts, and elements named so by class, id or role). Sums
+inside elements that never hold an article (menus, forms, scripts, and elements named so by class, id or role, unless
+most of the page's text is in such an element). Sums
 over sliding windows of lines show where text surges and where it dives to nothing; what stands between a surge and the
 next dive is a region. Every region that is text rather than links is part of the article, however short it is. Set-apart
 lines are taken out before, so that they part nothing.
@@ -38,6 +39,7 @@ SHORT = 200
 # Element names of HTML, and words that name parts which are no article.
 RAW = "script style noscript template textarea svg iframe canvas select title".split()
 NEVER = "nav footer aside form button dialog menu label fieldset".split()
+WRAPPING = "form fieldset".split()  # some pages stand in one as a whole
 BLOCKS = set(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -52,26 +54,52 @@ NAMED = set(
 )
 ROLES = set("navigation banner contentinfo complementary search alert dialog menu menubar form toolbar".split())
 
-_RAW_ELEMENT = re.compile(r"<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: Words that turn the part of a name after or before them into a setting of a wrapper (has-sidebar, comments-open).
+SETTING_BEFORE = set("has no not without with overflow is show hide hides enable disable".split())
+SETTING_AFTER = set("open opened closed enabled disabled on off active allowed visible none".split())
+#: Names of what readers and advertisers add, and of overlays; that may well be longer than the story.
+ADDED = set(
+    "comment comments commentlist disqus respond replies ad ads advert adverts advertisement advertising sponsor sponsored promo promotion "
+    "cookie cookies consent gdpr popup modal overlay".split()
+)
+
+_RAW_ELEMENT = re.compile(
+    r"<svg(?=[\s/>])[^<>]*/>|<(?:" + "|".join(RAW) + r")(?:\s+[^\s=>\"'/]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]++))?)*+\s*/>"
+    r"|<(" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)",
+    re.S | re.I,
+)
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>", re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-_NAME = re.compile(r"\b(?:class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_NAME = re.compile(r"(?:^|\s)(?:class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _ROLE = re.compile(r"\brole\s*=\s*[\"']?([a-z]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_WORD = re.compile(r"[a-z]+")
+_PART = re.compile(r"[^a-z]+")
+
 
+def _named(value: str) -> set[str]:
+    """Words of NAMED that are whole parts of a class or id, and no setting of a wrapper."""
+    found = set()
+    for name in value.lower().split():
+        parts = ["", *_PART.split(name.strip("\"'")), ""]
+        for before, part, after in zip(parts, parts[1:], parts[2:]):
+            if part in NAMED and before not in SETTING_BEFORE and after not in SETTING_AFTER:
+                found.add(part)
+    return found
 
-def _apart(name: str, attributes: str, inside_article: bool) -> bool:
-    """Whether an element can't hold part of an article."""
+
+def _apart(name: str, attributes: str, inside_article: bool) -> str:
+    """Whether an element can't hold part of an article: "never"; "added" if it is named so; "likely" if only a
+    page whose text is mostly in it speaks against that; else empty."""
     if name in NEVER or (name == "header" and not inside_article):
-        return True
+        return "likely" if name in WRAPPING else "never"
     if not attributes or name in ("html", "body", "main"):
-        return False
-    if (role := _ROLE.search(attributes)) and role[1].lower() in ROLES:
-        return True
-    if _HIDDEN.search(attributes):
-        return True
-    return any(NAMED & set(_WORD.findall(m[1].lower())) for m in _NAME.finditer(attributes))
+        return ""
+    found = set().union(*(_named(m[1]) for m in _NAME.finditer(attributes)))
+    if found & ADDED:
+        return "added"
+    if found or ((role := _ROLE.search(attributes)) and role[1].lower() in ROLES) or _HIDDEN.search(attributes):
+        return "likely"
+    return ""
 
 
 class Line(NamedTuple):
@@ -87,7 +115,9 @@ def page_lines(html: str) -> list[Line]:
     """Each block of a page that has text."""
     html = _RAW_ELEMENT.sub("\x00", _COMMENT.sub("", html)).replace("\x00", " ")
     lines: list[Line] = []
-    stack: list[tuple[str, bool, int]] = []  # name, set apart, number of the innermost article
+    around: list[tuple[int, ...]] = []  # numbers of the elements around each line that are set apart
+    kinds: list[str] = []  # of each such element
+    stack: list[tuple[str, int, int]] = []  # name, 1 + number of an element set apart, number of the innermost article
     text: list[str] = []
     linked = link = articles = 0
 
@@ -96,7 +126,8 @@ def page_lines(html: str) -> list[Line]:
         line = " ".join(unescape("".join(text)).split())
         if line:
             names = {s[0] for s in stack}
-            lines.append(Line(line, linked, any(s[1] for s in stack), stack[-1][2] if stack else 0, "main" in names, not HEADINGS.isdisjoint(names)))
+            around.append(tuple(s[1] - 1 for s in stack if s[1]))
+            lines.append(Line(line, linked, bool(around[-1]), stack[-1][2] if stack else 0, "main" in names, not HEADINGS.isdisjoint(names)))
         text.clear()
         linked = 0
 
@@ -126,11 +157,31 @@ def page_lines(html: str) -> list[Line]:
             apart = _apart(name, attributes, any(s[0] in ("article", "main") for s in stack))
             if apart and name not in BLOCKS:
                 flush()
+            if apart:
+                kinds.append(apart)
             if name in BLOCKS or apart:
-                stack.append((name, apart, articles if name == "article" else stack[-1][2] if stack else 0))
+                stack.append((name, len(kinds) if apart else 0, articles if name == "article" else stack[-1][2] if stack else 0))
     text.append(html[at:])
     flush()
-    return lines
+    kept = _holding_most(lines, around, kinds)
+    return [line._replace(apart=not kept.issuperset(inside)) for line, inside in zip(lines, around)] if kept else lines
+
+
+def _holding_most(lines: list[Line], around: list[tuple[int, ...]], kinds: list[str]) -> set[int]:
+    """Numbers of the elements that aren't set apart after all, as most of the page's text outside links is in them.
+    Added parts stay apart if there is text in an article or main element, or long text, beside them; the others if they
+    are short and there is text in an article or main element beside them."""
+    rows = [(line, inside, max(len(line.text) - line.linked, 0)) for line, inside in zip(lines, around) if not any(kinds[k] == "never" for k in inside)]
+    beside = [(line, inside, size) for line, inside, size in rows if not any(kinds[k] == "added" for k in inside)]
+    if any(size and (line.article or line.main) for line, _, size in beside) or sum(size for *_, size in beside) > SHORT:
+        rows = beside
+    least = SHORT if any(size and (line.article or line.main) and not inside for line, inside, size in rows) else 0
+    held = [0] * len(kinds)
+    for _, inside, size in rows:
+        for k in inside:
+            held[k] += size
+    total = sum(size for *_, size in rows)
+    return {k for k, size in enumerate(held) if size > least and 2 * size > total}
 
 
 def runs(weights: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:

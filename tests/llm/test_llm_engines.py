@@ -259,5 +259,33 @@ def test_a_region_of_links_is_not_text():
     assert html_blocks.main_text(f"<body><div>{STORY_HTML}</div>{gap}<ul>{listing}</ul></body>") == " ".join(STORY)
 
 
+@pytest.mark.parametrize("attribute", ['class="has-sidebar"', "class=no-sidebar", 'class="page overflow-hidden"', 'id="content-side"', 'class="comments-open"', 'class="sidebar-layout"', 'role="form"'])
+@pytest.mark.parametrize("tag", ["div", "article"])
+def test_a_wrapper_is_not_set_apart(attribute, tag):
+    side = f'<div class="sidebar"><p>{"Side text. " * 9}</p></div><div class="comments"><p>{"Nice one. " * 9}</p></div>'
+    assert html_blocks.main_text(f"<body><div {attribute}><{tag}>{STORY_HTML}</{tag}>{side}</div></body>") == " ".join(STORY)
+    assert html_blocks.main_text(f"<body><{tag} {attribute}>{STORY_HTML}</{tag}>{side}</body>") == " ".join(STORY)
+
+
+@pytest.mark.parametrize("named", ["sidebar", "comment-list", "comments", "widget_area", "ad", "site-footer", "main-menu"])
+def test_named_parts_are_set_apart(named):
+    assert html_blocks.main_text(f'<body><div>{STORY_HTML}</div><div class="{named}"><p>{"Other text. " * 30}</p></div></body>') == " ".join(STORY)
+
+
+def test_comments_and_consent_longer_than_the_story_are_set_apart():
+    for named in ("comments", "cookie-consent"):
+        assert html_blocks.main_text(f'<body><div>{STORY_HTML}</div><div class="{named}"><p>{"Other text. " * 500}</p></div></body>') == " ".join(STORY)
+
+
+def test_an_advert_longer_than_a_tiny_article_is_set_apart():
+    for named in ("ad", "sidebar"):
+        assert html_blocks.main_text(f'<body><div class="{named}">Some words to sell things.</div><article><h1>T.</h1><p>T.</article></body>') == "T. T."
+
+
+@pytest.mark.parametrize("raw", ["<svg/>", '<svg viewBox="0 0 1 1" />', '<iframe src="a/b"/>', "<script src='x.js'/>", "<svg-icon></svg-icon>", "<svg><title>no</title></svg>", "<script src=//x/>no</script>"])
+def test_raw_elements_end_where_they_end(raw):
+    assert html_blocks.main_text(f"<body><div>{raw}{STORY_HTML}</div><p>{raw}End.</p><svg><text>no</text></svg></body>") == " ".join(STORY) + " End."
+
+
 def test_null_html():
     assert html_blocks.main_text(None) == ""
