@@ -1,12 +1,16 @@
 """License scans: TF-IDF cosine of lines to licence templates, and inheritance from the nearest directory above.
 
 Every line of every text is a sparse vector of hashed words, weighted by how few lines of the corpus have them; the
-document frequencies are counted over all lines, as one fixed-size array of buckets. A file has the licence of its most
-similar line, if that is similar enough. A file without one takes the licence of the nearest directory above it that
-has a licence file; directories are joined by path, each distinct directory once.
+document frequencies are counted over all lines, as one fixed-size array of buckets. Lines are compared with statements
+of one sentence; for whole notices and licence texts (`license_notices`), which wrap over lines, so is every window of
+words as long as the notice, over the whole text. Windows are looked at only in texts that hold enough of a notice's
+weight to be similar at all, which loses none. Where similar windows overlap the most similar counts, and a line inside
+one says no more. A line as similar to one licence as to another names neither. A file has all licences found, and first
+the one of its most similar window, or of its most similar line without any. A file without one takes the licences of
+the nearest directory above it that has a licence file; directories are joined by path, each distinct directory once.
 
 Defined cases: a null or empty text has no lines and no licence of its own; a null path lies in no directory, and
-inherits nothing; repeated rows give equal rows; of equally similar templates the first by name counts, of equally good
+inherits nothing; repeated rows give equal rows; of equally similar windows the first by licence counts, of equally good
 licence files the first by path; an empty table gives no rows; other columns are not read.
 """
 
@@ -20,10 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, Words, blocks, byte_hasher, text_bytes
+from .license_notices import NOTICES
 from .toxicity import NOT_ALPHANUMERIC
 
 BUCKETS = 1 << 16
 SIMILAR = 0.6
+#: Cosine from which a window of words is a notice.
+NOTICE_SIMILAR = 0.85
 #: Names of licence files.
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|copyright|notice)([.-].*)?$"
 
@@ -44,10 +51,14 @@ TEMPLATES = {
 }
 
 
+def word_buckets(words: Words) -> np.ndarray:
+    return (byte_hasher(LOWER[words.data]).spans(words.starts, words.ends) % np.uint64(BUCKETS)).astype(np.int64)
+
+
 def line_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words of each line, sorted by line: (line, bucket, times), and the document and number of each line."""
     words = Words(data, offsets, NOT_ALPHANUMERIC)
-    bucket = (byte_hasher(LOWER[data]).spans(words.starts, words.ends) % np.uint64(BUCKETS)).astype(np.int64)
+    bucket = word_buckets(words)
     newlines = np.flatnonzero(data == 10)
     owner = words.documents()
     # lines are numbered through the block: each document starts one, and each newline
@@ -92,42 +103,121 @@ def template_vectors(idf: np.ndarray, templates: dict[str, list[str]] = TEMPLATE
     return names, out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
-def own_licences(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[str, ...] = (), threshold: float = SIMILAR) -> DataFrame:
-    """path, `keep` columns, licence (null if none is similar enough), cosine and number of the most similar line."""
+class Notices:
+    """The notices as unit vectors over the buckets that any of them has."""
+
+    def __init__(self, idf: np.ndarray, notices: dict[str, list[str]] = NOTICES):
+        self.idf = idf
+        self.names = [name for name in sorted(notices) for _ in notices[name]]
+        texts = [np.frombuffer(t.encode(), np.uint8) for name in sorted(notices) for t in notices[name]]
+        found = [word_buckets(Words(t, np.array([0, len(t)]), NOT_ALPHANUMERIC)) for t in texts]
+        self.lengths = [len(f) for f in found]
+        used = np.unique(np.concatenate(found))
+        self.place = np.full(BUCKETS, -1, np.int16)
+        self.place[used] = np.arange(len(used))
+        self.vectors = np.zeros((len(found), len(used)), np.float64)
+        for row, f in zip(self.vectors, found):
+            np.add.at(row, self.place[f], idf[f])
+        self.vectors /= np.linalg.norm(self.vectors, axis=1, keepdims=True)
+
+    def candidates(self, document: np.ndarray, bucket: np.ndarray, n: int, threshold: float) -> np.ndarray:
+        """(document, notice) flags of the pairs that can be similar: by Cauchy's inequality, words that a text doesn't
+        have hold at most 1 - threshold ** 2 of the squared length of a notice that is similar to a part of it."""
+        present = np.zeros((n, self.vectors.shape[1]), np.float64)
+        hit = self.place[bucket] >= 0
+        present[document[hit], self.place[bucket[hit]]] = 1
+        return present @ (self.vectors**2).T >= threshold**2 - 1e-9
+
+    def windows(self, bucket: np.ndarray, notice: int) -> np.ndarray:
+        """Cosine to the notice of the window of words that begins at each word; the last ones end with the text."""
+        idf, length = self.idf, self.lengths[notice]
+        weight = np.where(self.place[bucket] >= 0, self.vectors[notice][self.place[bucket]], 0) * idf[bucket]
+        sums = np.concatenate([[0], np.cumsum(weight)])
+        ends = np.minimum(np.arange(len(bucket)) + length, len(bucket))
+        # squared lengths as the window slides: a word that comes n + 1 times adds (2 n + 1) times its squared weight
+        times: dict[int, int] = {}
+        square, at, squares = 0.0, 0, np.zeros(len(bucket))
+        words, costs, stops = bucket.tolist(), (idf[bucket] ** 2).tolist(), ends.tolist()
+        for start, stop in enumerate(stops):
+            while at < stop:
+                n = times.get(words[at], 0)
+                square += (2 * n + 1) * costs[at]
+                times[words[at]] = n + 1
+                at += 1
+            squares[start] = square
+            n = times[words[start]]
+            square -= (2 * n - 1) * costs[start]
+            times[words[start]] = n - 1
+        return (sums[ends] - sums[:-1]) / np.sqrt(np.maximum(squares, 1e-12))
+
+    def find(self, data: np.ndarray, notices: np.ndarray, threshold: float) -> list[tuple[float, str, int, int]]:
+        """(cosine, licence, first line, last line) of the similar windows of one text, of overlapping ones the best."""
+        words = Words(data, np.array([0, len(data)]), NOT_ALPHANUMERIC)
+        bucket = word_buckets(words)
+        newlines = np.flatnonzero(data == 10)
+        hits = []
+        for k in notices.tolist():
+            cosine = self.windows(bucket, k)
+            hits += [(-float(cosine[w]), self.names[k], w, min(w + self.lengths[k], len(bucket))) for w in np.flatnonzero(cosine >= threshold).tolist()]
+        taken, out = np.zeros(len(bucket), bool), []
+        for minus, name, start, stop in sorted((round(h[0], 9), *h[1:]) for h in hits):
+            if not taken[start:stop].any():
+                taken[start:stop] = True
+                out.append((-minus, name, int(np.searchsorted(newlines, words.starts[start])), int(np.searchsorted(newlines, words.starts[stop - 1]))))
+        return out
+
+
+def own_licences(
+    files: DataFrame, path: str = "path", text: str = "text", keep: tuple[str, ...] = (), threshold: float = SIMILAR, notice_threshold: float = NOTICE_SIMILAR
+) -> DataFrame:
+    """path, `keep` columns, licence (null if none is similar enough), cosine and number of the most similar line (the
+    first of a notice), and all licences by name."""
     idf = inverse_frequencies(line_frequencies(files, text))
     names, vectors = template_vectors(idf)
-    shared = files.sparkSession.sparkContext.broadcast((idf, names, vectors, vectors.any(axis=0)))
+    shared = files.sparkSession.sparkContext.broadcast((idf, names, vectors, vectors.any(axis=0), Notices(idf)))
     source = files.select(F.col(path).alias("path"), F.col(text).alias("text"), *keep)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, names, vectors, used = shared.value
+        idf, names, vectors, used, notices = shared.value
         for block in blocks(batches, "text"):
-            line, bucket, times, document, number = line_terms(*text_bytes(block["text"]))
+            data, offsets = text_bytes(block["text"])
+            line, bucket, times, document, number = line_terms(data, offsets)
             weight = times * idf[bucket]
             norm = np.sqrt(np.bincount(line, weight**2, minlength=len(document)))
             hit = used[bucket]
-            cosine, best = np.zeros(len(document)), np.zeros(len(document), np.int64)
+            cosine, best, tied = np.zeros(len(document)), np.zeros(len(document), np.int64), np.zeros(len(document), bool)
             for t in range(len(names)):
                 score = np.bincount(line[hit], weight[hit] * vectors[t][bucket[hit]], minlength=len(document)) / np.maximum(norm, 1e-12)
                 better = score > cosine + 1e-9
+                if t:
+                    other = np.array([name != names[t] for name in names])[best]
+                    tied = np.where(better, False, tied | (other & (score > cosine - 1e-9)))
                 cosine[better], best[better] = score[better], t
+            found: list[list[tuple[float, str, int, int]]] = [[] for _ in range(block.num_rows)]
+            can = notices.candidates(document[line], bucket, block.num_rows, notice_threshold)
+            for d in np.flatnonzero(can.any(axis=1)).tolist():
+                found[d] = notices.find(data[offsets[d] : offsets[d + 1]], np.flatnonzero(can[d]), notice_threshold)
+            # the most similar line of every file, for its cosine, and the lines that name a licence
             order = np.lexsort((number, -cosine, document))
-            first = order[np.flatnonzero(np.append(True, document[order][1:] != document[order][:-1]))] if len(order) else order
-            of_file = np.full(block.num_rows, -1)
-            of_file[document[first]] = first
-            top = [None if f < 0 or cosine[f] < threshold else names[best[f]] for f in of_file]
+            top = np.zeros(block.num_rows)
+            np.maximum.at(top, document, cosine)
+            for k in order[(cosine[order] >= threshold) & ~tied[order]].tolist():
+                d, n = int(document[k]), int(number[k])
+                if not any(first <= n <= last for *_, first, last in found[d]):
+                    found[d].append((float(cosine[k]), names[best[k]], n, n - 1))
             yield pa.RecordBatch.from_arrays(
                 [block["path"]]
                 + [block[k] for k in keep]
                 + [
-                    pa.array(top, pa.string()),
-                    pa.array([0.0 if f < 0 else float(cosine[f]) for f in of_file], pa.float64()),
-                    pa.array([None if t is None else int(number[f]) for t, f in zip(top, of_file)], pa.int64()),
+                    pa.array([f[0][1] if f else None for f in found], pa.string()),
+                    pa.array([f[0][0] if f else float(c) for f, c in zip(found, top)], pa.float64()),
+                    pa.array([f[0][2] if f else None for f in found], pa.int64()),
+                    pa.array([sorted({h[1] for h in f}) for f in found], pa.list_(pa.string())),
                 ],
-                names=["path", *keep, "licence", "cosine", "line"],
+                names=["path", *keep, "licence", "cosine", "line", "licences"],
             )
 
-    fields = ["path string", *[f"{k} {source.schema[k].dataType.simpleString()}" for k in keep], "licence string, cosine double, line long"]
+    fields = ["path string", *[f"{k} {source.schema[k].dataType.simpleString()}" for k in keep], "licence string, cosine double, line long, licences array<string>"]
     return source.mapInArrow(scan, ", ".join(fields))
 
 
@@ -141,7 +231,7 @@ def inherited_licences(found: DataFrame) -> DataFrame:
     placed = found.withColumn("directory", directory_of(F.col("path")))
     name = F.element_at(F.split("path", "/"), -1)
     stated = placed.filter(F.col("licence").isNotNull() & name.rlike(LICENCE_FILE))
-    best = F.min_by("licence", F.struct(-F.col("cosine"), F.col("path")))
+    best = F.min_by(F.struct("licence", "licences"), F.struct(-F.col("cosine"), F.col("path")))
     of_directory = stated.groupBy("directory").agg(best.alias("given")).withColumnRenamed("directory", "above")
     parts = F.split("directory", "/")
     every = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
@@ -151,8 +241,9 @@ def inherited_licences(found: DataFrame) -> DataFrame:
     joined = placed.join(nearest, "directory", "left")
     own = F.col("licence").isNotNull()
     return joined.select(
-        *[c for c in found.columns if c != "licence"],
-        F.coalesce("licence", "nearest.given").alias("licence"),
+        *[c for c in found.columns if c not in ("licence", "licences")],
+        F.coalesce("licence", "nearest.given.licence").alias("licence"),
+        F.when(~own & F.col("nearest.given").isNotNull(), F.col("nearest.given.licences")).otherwise(F.col("licences")).alias("licences"),
         F.when(own, "own").when(F.col("nearest.given").isNotNull(), "inherited").alias("found_in"),
         F.when(~own, F.col("nearest.above")).alias("inherited_from"),
     )

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -317,6 +318,119 @@ def test_licences(spark):
     assert sum(got.values()) == len(rows)
 
 
+GPL = """# fetch.py - part of Fetch
+# Copyright (C) 2011 The Fetch authors
+#
+# Fetch is free software: you can redistribute it and/or
+# modify it under the terms of the GNU {0}General
+# Public License as published by the Free Software
+# Foundation, either version {1} of the License, or (at
+# your option) any later version.
+#
+# Fetch is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied
+# warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+# PURPOSE.  See the GNU {0}General Public License for more
+# details.
+import os
+"""
+ISC_FILE = """ISC License
+
+Copyright (c) 2020, Jane Roe
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND JANE ROE DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL JANE ROE BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE.
+"""
+BSD_FILE = """Copyright 2001-2004 The Example Project. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+ * Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+ * Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+{0}
+THIS SOFTWARE IS PROVIDED BY THE EXAMPLE PROJECT ``AS IS'' AND ANY EXPRESS OR
+IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+EVENT SHALL THE EXAMPLE PROJECT OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT,
+INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING,
+BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE,
+DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE
+OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF
+ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+BSD_THIRD = """ * Neither the name of the project nor the names of its contributors may be
+   used to endorse or promote products derived from this software without
+   specific prior written permission.
+"""
+UNLICENSE = """This is free and unencumbered software released into
+the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+
+
+def test_wrapped_notices_and_whole_licence_files(spark):
+    rows = {
+        "MIT/LICENSE": "Released under the MIT License.",
+        "MIT/gpl2.py": GPL.format("", "2"),
+        "MIT/gpl3.py": GPL.format("", "3"),
+        "MIT/lgpl3.py": GPL.format("Lesser ", "3"),
+        "MIT/agpl3.py": GPL.format("Affero ", "3"),
+        "isc/LICENSE": ISC_FILE,
+        "isc/x.py": "import os",
+        "MIT/bsd2": BSD_FILE.format(""),
+        "MIT/bsd3": BSD_FILE.format(BSD_THIRD),
+        "MIT/un": UNLICENSE,
+        "MIT/two.py": GPL.format("", "2") + "x = 1\n" * 30 + ISC_FILE,
+        "MIT/lines.py": "Licensed under CC BY-NC 4.0.\nwords between\nLicensed under the Apache License, Version 2.0.",
+        "MIT/half.py": "any warranty of this software, in the hope that it will be useful for more details",
+    } | {f"m/{k}.txt": "plain prose of the corpus under the sun " * 3 for k in range(50)}
+    files = spark.createDataFrame(list(rows.items()), "path string, text string")
+    got = {r.path: r for r in license_scan.scan_licences(files).collect()}
+    first = {p: r.licence for p, r in got.items() if not p.startswith("m/")}
+    assert first == {
+        "MIT/LICENSE": "MIT", "MIT/gpl2.py": "GPL-2.0", "MIT/gpl3.py": "GPL-3.0", "MIT/lgpl3.py": "LGPL-3.0", "MIT/agpl3.py": "AGPL-3.0", "isc/LICENSE": "ISC",
+        "isc/x.py": "ISC", "MIT/bsd2": "BSD-2-Clause", "MIT/bsd3": "BSD-3-Clause", "MIT/un": "Unlicense", "MIT/two.py": first["MIT/two.py"],
+        "MIT/lines.py": first["MIT/lines.py"], "MIT/half.py": "MIT",
+    }
+    assert got["MIT/two.py"].licences == ["GPL-2.0", "ISC"] and got["MIT/lines.py"].licences == ["Apache-2.0", "CC-BY-NC-4.0"]
+    assert got["isc/x.py"].licences == ["ISC"] and got["isc/x.py"].found_in == "inherited"
+    assert got["MIT/gpl2.py"].licences == ["GPL-2.0"] and got["MIT/gpl2.py"].line == 3
+    assert all(r.licences == [] and r.licence is None for p, r in got.items() if p.startswith("m/"))
+
+
+def test_windows_against_plain_cosines():
+    rng = np.random.default_rng(4)
+    idf = rng.uniform(1, 9, license_scan.BUCKETS)
+    notices = license_scan.Notices(idf, {"a": ["one two two three four"], "b": ["five six seven"]})
+    used = np.flatnonzero(notices.place >= 0)
+    words = rng.choice(np.append(used, [1, 2, 3]), 60)
+    for k, length in enumerate(notices.lengths):
+        got = notices.windows(words, k)
+        for i in range(len(words)):
+            counts = np.bincount(words[i : i + length], minlength=license_scan.BUCKETS) * idf
+            whole = np.zeros(license_scan.BUCKETS)
+            whole[used] = notices.vectors[k][notices.place[used]]
+            assert abs(got[i] - counts @ whole / np.linalg.norm(counts)) < 1e-9
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, None, "<p>é x</p>", "t"), (None, "u", None, "t"), (2, "u", "", "t"), (2, "u", "", "t")], "page_id long, url string, html string, text string")
     assert order(html_blocks.extract_pages(pages).collect()) == order([(1, None, "é x", 3), (None, "u", "", 0), (2, "u", "", 0), (2, "u", "", 0)])
