@@ -255,6 +255,18 @@ def test_language_model(docs, texts):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
+def test_held_out_score_beats_single_words(spark):
+    rng, words, rows = random.Random(3), [f"w{i}{'abc'[i % 3]}" for i in range(600)], []
+    for d in range(400):
+        at, out = rng.randrange(600), []
+        for _ in range(120):
+            out.append(words[at])
+            at = (at * 7 + 1) % 600 if rng.random() < 0.9 else rng.randrange(600)
+        rows.append((d, " ".join(out)))
+    held = nce_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
 def test_mixing_follows_the_rates(spark):
     rows = [(k, "abc", "big" if k % 4 else "small") for k in range(4000)] + [(None, "abc", "big"), (5, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
