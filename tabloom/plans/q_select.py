@@ -274,24 +274,24 @@ def folded(spark, sf, k=2):
     return m.add_folds(fixture(spark, sf, "fx_sel"), ["id"], k, strata=["y"])
 
 
-def quick():
-    """One pass per fit, for the searches that fit many models."""
-    return m.learner("bayes")
+def wrapped():
+    """The learner of the wrapper searches: a forest of 100 trees, grown as deep as Spark ML lets them."""
+    return m.learner("forest", numTrees=100, maxDepth=30)
 
 
 @query("n18_step_forward")
 def _(spark, sf):
-    return sel.step_forward(folded(spark, sf), ["q", "n", "d"], "y", quick(), "auc", 2)
+    return sel.step_forward(folded(spark, sf), ["q", "n", "d"], "y", wrapped(), "auc", 2)
 
 
 @query("n19_step_backward")
 def _(spark, sf):
-    return sel.step_backward(folded(spark, sf), ["q", "n", "d"], "y", quick(), "auc", 2)
+    return sel.step_backward(folded(spark, sf), ["q", "n", "d"], "y", wrapped(), "auc", 2)
 
 
 @query("n20_exhaustive")
 def _(spark, sf):
-    return sel.exhaustive(folded(spark, sf), ["q", "n", "d"], "y", quick(), "auc", 1, 2)
+    return sel.exhaustive(folded(spark, sf), ["q", "n", "d"], "y", wrapped(), "auc", 1, 2)
 
 
 @query("n21_l1_logistic")
@@ -412,5 +412,5 @@ def _(spark, sf):
 def _(spark, sf):
     train, test = parts(spark, sf)
     lists = {"all": FEATURES, "plain": PLAIN, "few": ["q", "n"]}
-    learners = {"logistic": quick(), "forest": m.learner("forest", numTrees=5, maxDepth=3)}
+    learners = {"logistic": m.learner("logistic"), "forest": m.learner("forest", numTrees=5, maxDepth=3)}
     return sel.compare_feature_lists(train, test, lists, "y", learners, "auc")
