@@ -124,7 +124,7 @@ def box_cox_profile(logs: DataFrame, lambdas: Sequence[float]) -> dict[float, fl
     """
     lam, z = F.col("lam"), F.col("z")
     # the variance of (y^lam - 1) / lam is that of y^lam over lam squared
-    moved = F.when(lam == 0, z).otherwise(F.exp(lam * z))
+    moved = F.when(lam == 0, z).otherwise(F.expm1(lam * z))
     sums = (
         logs.select("z", F.explode(F.array(*[F.lit(float(k)) for k in lambdas])).alias("lam"))
         .groupBy("lam")
@@ -138,8 +138,35 @@ def box_cox_profile(logs: DataFrame, lambdas: Sequence[float]) -> dict[float, fl
     return out
 
 
-def box_cox_lambda(df: DataFrame, col: str, low: int = -5, high: int = 5) -> float:
-    """Lambda of the largest likelihood to one decimal: whole numbers first, then
+def box_cox_lambda(df: DataFrame, col: str, tolerance: float = 1e-6, points: int = 17) -> float:
+    """Lambda of the largest likelihood, which has a single peak: a bracket that doubles until the peak lies inside, then
+    rounds of grouped aggregates between the neighbours of the best point. 0 if a column has fewer than two
+    different positive values, as every lambda is as likely then."""
+    with held(df.where(F.col(col) > 0).select(F.ln(col).alias("z"))) as (logs,):
+        low, high, mean = logs.agg(F.min("z"), F.max("z"), F.avg("z")).first()
+        if low is None or low == high:
+            return 0.0
+        # a common scale keeps x^lambda in range; it shifts every likelihood equally
+        centred = logs.select((F.col("z") - mean).alias("z"))
+        most = 300 / max(high - mean, mean - low)  # beyond, a variance is out of the range of doubles
+        reach = min(5.0, most)
+        while True:
+            step = 2 * reach / (points - 1)
+            # -inf marks a variance that isn't above zero: no likelihood
+            ll = box_cox_profile(centred, [-reach + i * step for i in range(points)])
+            best = max(ll, key=lambda k: (ll[k], -abs(k)))
+            if abs(best) < reach - step / 2 or reach >= most:
+                break
+            reach = min(2 * reach, most)
+        while step > tolerance:
+            start, step = best - step, 2 * step / (points - 1)
+            ll = box_cox_profile(centred, [start + i * step for i in range(points)])
+            best = max(ll, key=lambda k: (ll[k], -abs(k)))
+        return best
+
+
+def box_cox_tenth(df: DataFrame, col: str, low: int = -5, high: int = 5) -> float:
+    """Lambda of the largest likelihood among the tenths of a range: whole numbers first, then
     tenths around the best one (the likelihood has a single peak)."""
 
     def peak(logs: DataFrame, grid: Sequence[float]) -> float:

@@ -148,3 +148,28 @@ def test_tree_folds_follow_the_key(spark):
     stage = disc.TreeBins("y", ["x"], depths=(1, 2, 3), key=["id"])
     a, b = (stage.fit(d).state.orderBy("position").collect() for d in (df, df.repartition(7)))
     assert a == b
+
+
+@pytest.mark.parametrize("power, spread", [(0.37, 0.4), (-0.123, 0.5), (0.0, 1.0), (9.3, 0.02), (-14.6, 0.01)])
+def test_box_cox_lambda_is_the_peak(spark, power, spread):
+    import numpy as np
+    from tabloom.operators.scale import Transform, box_cox_lambda
+
+    rng = np.random.default_rng(5)
+    y = 1 + spread * rng.normal(size=400).clip(-2.4, 2.4) * (abs(power) or 1) * 0.9
+    x = 3 * (np.exp(y) if power == 0 else np.clip(y, 0.02, None) ** (1 / power))
+    z = np.log(x) - np.log(x).mean()
+
+    def likelihood(lam):
+        moved = z if lam == 0 else np.expm1(lam * z) / lam
+        return -len(z) / 2 * np.log(moved.var()) + (lam - 1) * z.sum()
+
+    low, high = -60.0, 60.0
+    while high - low > 1e-7:  # the likelihood has a single peak
+        a, b = low + (high - low) * 0.382, low + (high - low) * 0.618
+        low, high = (a, high) if likelihood(a) < likelihood(b) else (low, b)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    assert box_cox_lambda(df, "x") == pytest.approx(low, abs=1e-4)
+    if power == 0.37:
+        state = Transform("box_cox", ["x"]).fit(df).state.collect()
+        assert state[0]["parameter"] == pytest.approx(low, abs=1e-4)
