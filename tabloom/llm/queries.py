@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, fm_dedup, html_blocks, license_scan, mixing, nce_lm, quality_rules, signature_join, suffix_repeats, toxicity
+from . import conversation_repair, decontaminate, fm_dedup, html_blocks, license_scan, mixing, nce_lm, quality_rules, signature_join, suffix_repeats, toxicity
 from .tables import id_remainder, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,12 @@ def op10_fm_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return fm_dedup.word_repeat_digest(read_table(spark, folder, "documents"))
 
 
+@query("op13_conversation_repair", conversation_repair.REPAIR_SQL)
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of each damaged conversation and the cheapest edits that repair it."""
+    return conversation_repair.damaged_audits(read_table(spark, folder, "conversations"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
