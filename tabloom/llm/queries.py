@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import conversation_repair, decontaminate, fm_dedup, html_blocks, license_scan, mixing, nce_lm, piecewise_hash, quality_rules, signature_join, suffix_repeats, toxicity
+from . import conversation_repair, decontaminate, fm_dedup, html_blocks, license_scan, mixing, nce_lm, phrase_mining, piecewise_hash, quality_rules, signature_join, suffix_repeats, toxicity
 from .tables import id_remainder, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,12 @@ def op10_fm_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return fm_dedup.word_repeat_digest(read_table(spark, folder, "documents"))
 
 
+@query("op11_phrase_mining", phrase_mining.COLLOCATION_SQL)
+def op11_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2000 phrases of each language that hold together best."""
+    return phrase_mining.collocations(read_table(spark, folder, "documents"))
+
+
 @query("op12_piecewise_hash")
 def op12_piecewise_hash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint of each document and of its edited text, and how alike they and the next document's are."""
