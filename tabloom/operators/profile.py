@@ -42,6 +42,52 @@ def stat_exprs(
     return out
 
 
+def moment_parts(cols: Sequence[str]) -> list[Column]:
+    """Count, mean and summed squared deviations of each column, as <c>__n, <c>__mean, <c>__m2: the state of a
+    variance that `merged_moments` merges over any number of roll-ups."""
+    out = []
+    for c in cols:
+        x = F.col(c).cast("double")
+        parts = {"n": F.count(x), "mean": F.avg(x), "m2": F.count(x) * F.var_pop(x)}
+        out += [e.alias(f"{c}__{name}") for name, e in parts.items()]
+    return out
+
+
+def merged_moments(parts: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
+    """The parts of groups merged to one row per key, in the same form.
+
+    Squared deviations add up with n (mean - common mean)^2 for each group, so nothing cancels where values are large
+    beside their spread. The common means are pre-aggregated and joined back; ``parts`` is read twice."""
+
+    def weighted(c: str) -> Column:
+        return F.try_divide(F.sum(F.col(f"{c}__n") * F.col(f"{c}__mean")), F.sum(f"{c}__n"))
+
+    names = [f"{c}__{part}" for c in cols for part in ("n", "mean", "m2")]
+    means = parts.groupBy(key).agg(*[weighted(c).alias(f"{c}__common") for c in cols])
+    out = []
+    for c in cols:
+        gap = F.col(f"{c}__mean") - F.col(f"{c}__common")
+        out += [
+            F.sum(f"{c}__n").alias(f"{c}__n"),
+            F.first(f"{c}__common").alias(f"{c}__mean"),
+            F.sum(F.col(f"{c}__m2") + F.col(f"{c}__n") * gap * gap).alias(f"{c}__m2"),
+        ]
+    return parts.select(key, *names).join(means, key).groupBy(key).agg(*out)
+
+
+def sample_variance(c: str) -> Column:
+    """Variance of a column from its merged parts; null for fewer than two values."""
+    return F.when(F.col(f"{c}__n") > 1, F.col(f"{c}__m2") / (F.col(f"{c}__n") - 1))
+
+
+def label_list(df: DataFrame, col: str, most: int = 1000) -> list:
+    """The labels of a column in order, as they become columns; a column with more than `most` is refused."""
+    found = sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"column {col!r} has more than {most} labels")
+    return found
+
+
 def share_exprs(col: str, labels: Sequence[str], prefix: str = "", where: Column | None = None) -> list[Column]:
     """Share of each label per group: the mean of its indicator, without building it."""
     hit = [F.when(F.col(col) == v, 1.0).otherwise(0.0) for v in labels]

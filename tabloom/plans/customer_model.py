@@ -12,11 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..operators import models as m
 from ..operators.core import checkpointed
 from ..operators.joins import attach_children
-from ..operators.profile import share_exprs, stat_exprs
+from ..operators.profile import label_list, merged_moments, moment_parts, sample_variance, share_exprs, stat_exprs
 from ..operators.relational import out_of_range_to_null, positive_part, ratio, stack_tables
 
-STATUSES = ["F", "O", "P"]
-FLAGS = ["A", "N", "R"]
 ORDER_STATS = {
     "price": ["min", "max", "mean", "var", "sum"],
     "age_days": ["min", "max", "mean"],
@@ -56,21 +54,22 @@ def line_side(lines: DataFrame, orders: DataFrame) -> DataFrame:
 PARTS = {"n": F.count, "sum": F.sum, "min": F.min, "max": F.max}
 
 
-def order_parts(lines: DataFrame) -> DataFrame:
+SPREAD = [c for c, stats in LINE_STATS.items() if "var" in stats]
+
+
+def order_parts(lines: DataFrame, flags: list[str]) -> DataFrame:
     """One row per order: its own features, and the parts from which statistics of its customer's lines add up."""
-    parts = [f(c).alias(f"{c}__{name}") for c in LINE_STATS for name, f in PARTS.items()]
-    squares = [F.sum(F.col(c) * F.col(c)).alias(f"{c}__squares") for c, stats in LINE_STATS.items() if "var" in stats]
-    flags = [F.count_if(F.col("l_returnflag") == v).alias(f"flag__{v}") for v in FLAGS]
+    parts = [f(c).alias(f"{c}__{name}") for c in LINE_STATS for name, f in PARTS.items() if not (c in SPREAD and name == "n")]
     return lines.groupBy("o_orderkey").agg(
         F.count(F.lit(1)).alias("lines_n"),
         F.avg((F.col("days_late") > 0).cast("int")).alias("late_share"),
         *parts,
-        *squares,
-        *flags,
+        *moment_parts(SPREAD),
+        *[F.count_if(F.col("l_returnflag") == v).alias(f"flag__{v}") for v in flags],
     )
 
 
-def line_exprs() -> list[Column]:
+def line_exprs(flags: list[str]) -> list[Column]:
     """Statistics of a customer's lines from the parts of the orders."""
     out = []
     for c, stats in LINE_STATS.items():
@@ -80,16 +79,17 @@ def line_exprs() -> list[Column]:
             "max": lambda c=c: F.max(f"{c}__max"),
             "sum": lambda total=total: total,
             "mean": lambda n=n, total=total: F.try_divide(total, n),
-            "var": lambda c=c, n=n, total=total: F.when(n > 1, (F.sum(f"{c}__squares") - total * F.try_divide(total, n)) / (n - 1)),
         }
-        out += [made[s]().alias(f"LINE_{c}_{s}") for s in stats]
-    shares = [F.try_divide(F.sum(f"flag__{v}").cast("double"), F.sum("lines_n")).alias(f"LINE_l_returnflag_{v}_mean") for v in FLAGS]
+        out += [made[s]().alias(f"LINE_{c}_{s}") for s in stats if s != "var"]
+    shares = [F.try_divide(F.sum(f"flag__{v}").cast("double"), F.sum("lines_n")).alias(f"LINE_l_returnflag_{v}_mean") for v in flags]
     return [*out, *shares, F.sum("lines_n").alias("LINE_count")]
 
 
 def order_rollup(orders: DataFrame, lines: DataFrame, as_of: str) -> DataFrame:
-    """Lines to orders to customers in one chain, with open and finished subsets in the same pass."""
-    by_order = order_parts(lines)
+    """Lines to orders to customers in one chain, with open and finished subsets in the same pass. The rows of the
+    orders are written once, as variances need their customers' means first."""
+    flags, statuses = label_list(lines, "l_returnflag"), label_list(orders, "o_orderstatus")
+    by_order = order_parts(lines, flags)
     rows = orders.join(by_order, "o_orderkey", "left").select(
         "o_custkey",
         "o_orderstatus",
@@ -97,14 +97,18 @@ def order_rollup(orders: DataFrame, lines: DataFrame, as_of: str) -> DataFrame:
         F.datediff(F.lit(as_of).cast("date"), F.col("o_orderdate")).alias("age_days"),
         *[c for c in by_order.columns if c != "o_orderkey"],
     )
-    return rows.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+    rows = checkpointed(rows)
+    spread = merged_moments(rows, "o_custkey", SPREAD)
+    spread = spread.select(F.col("o_custkey").alias("c_custkey"), *[sample_variance(c).alias(f"LINE_{c}_var") for c in SPREAD])
+    out = rows.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         *stat_exprs(ORDER_STATS, "ORD_"),
-        *share_exprs("o_orderstatus", STATUSES, "ORD_"),
+        *share_exprs("o_orderstatus", statuses, "ORD_"),
         *stat_exprs({"price": ["mean", "sum"], "age_days": ["min"]}, "OPEN_", F.col("o_orderstatus") == "O"),
         *stat_exprs({"price": ["mean", "sum"], "age_days": ["min"]}, "DONE_", F.col("o_orderstatus") == "F"),
         F.count(F.lit(1)).alias("ORD_count"),
-        *line_exprs(),
+        *line_exprs(flags),
     )
+    return out.join(spread, "c_custkey")
 
 
 def customer_features(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, as_of: str) -> DataFrame:

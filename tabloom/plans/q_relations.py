@@ -85,6 +85,27 @@ def _(spark, sf):
     return out.withColumns({c: rnd(c) for c in ("lines_n_mean", "returned_mean")})
 
 
+@query(
+    "c03_merged_variance",
+    """SELECT c_nationkey, count(*) AS n_lines, RND(avg(l_quantity)) AS mean, RND(var_samp(l_quantity)) AS var,
+              RND(var_samp(l_quantity)) AS var_far
+       FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY c_nationkey""",
+)
+def _(spark, sf):
+    """Lines to orders to customers to nations; `far` lies 10^8 off zero, where sums of squares would cancel."""
+    customer, orders, lines = star(spark, sf)
+    lines = lines.join(orders.select("o_orderkey", "o_custkey"), "o_orderkey").select("o_orderkey", "o_custkey", "l_quantity", (F.col("l_quantity") + 1e8).alias("far"))
+    cols = ["l_quantity", "far"]
+    by_order = lines.groupBy("o_orderkey", "o_custkey").agg(*prof.moment_parts(cols))
+    by_customer = prof.merged_moments(by_order, "o_custkey", cols)
+    nations = customer.select("c_custkey", "c_nationkey")
+    by_nation = prof.merged_moments(by_customer.join(nations, F.col("o_custkey") == F.col("c_custkey")), "c_nationkey", cols)
+    return by_nation.select(
+        "c_nationkey", F.col("l_quantity__n").alias("n_lines"), rnd("l_quantity__mean").alias("mean"),
+        rnd(prof.sample_variance("l_quantity")).alias("var"), rnd(prof.sample_variance("far")).alias("var_far"),
+    )
+
+
 @query(
     "c04_lookup",
     """SELECT id, p.label, n AS label_count FROM fx_label p
@@ -456,7 +477,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     months = table(spark, sf, "orders").withColumn("month", dates.truncate(F.col("o_orderdate"), "month"))
-    return months.groupBy("month").pivot("o_orderstatus", ["F", "O", "P"]).agg(rnd(F.sum("o_totalprice"), 2))
+    return months.groupBy("month").pivot("o_orderstatus", prof.label_list(months, "o_orderstatus")).agg(rnd(F.sum("o_totalprice"), 2))
 
 
 @query(

@@ -88,3 +88,21 @@ def test_seeded_sample_ignores_partitioning(spark):
 def test_correlations_skip_null_pairs(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, None), (4.0, 8.0)], "a double, b double")
     assert prof.correlations(df, ["a", "b"]).first()["r"] == pytest.approx(1.0)
+
+
+def test_variance_merges_over_two_roll_ups_without_cancelling(spark):
+    import numpy as np
+    from tabloom.operators.profile import merged_moments, moment_parts, sample_variance
+
+    rng = np.random.default_rng(3)
+    rows = [(k % 7, k % 30, 1e8 + float(rng.random()), None if k % 5 else float(k)) for k in range(400)] + [(99, 1000, None, 1.0)]
+    df = spark.createDataFrame(rows, "customer int, `order` int, x double, y double").repartition(5)
+    parts = df.groupBy("customer", "order").agg(*moment_parts(["x", "y"]))
+    merged = merged_moments(parts, "customer", ["x", "y"]).select("customer", *[sample_variance(c).alias(c) for c in "xy"])
+    got = {r["customer"]: r for r in merged.collect()}
+    for c in range(7):
+        x = np.array([r[2] for r in rows if r[0] == c])
+        y = np.array([r[3] for r in rows if r[0] == c and r[3] is not None])
+        assert got[c]["x"] == pytest.approx((x - 1e8).var(ddof=1), rel=1e-6)
+        assert got[c]["y"] == pytest.approx(y.var(ddof=1))
+    assert got[99]["x"] is None and got[99]["y"] is None
