@@ -38,8 +38,8 @@ LEAST, LONGEST = 30, 4
 SHARE = 16
 #: Size of the broadcast bitmap: 2 ** 27 bits are 16 MB.
 FILTER_BITS = 27
-#: Bytes of text whose counts are combined before they leave Python.
-BLOCK = 6 << 20
+#: Bytes of text worked on at once, counts that are put together before they leave Python, rows of a batch.
+BLOCK, ENTRIES, ROWS = 2 << 20, 1 << 20, 1 << 17
 TOP = 2000
 _SIZE_BITS = 3
 _SLICE_BITS = 8
@@ -132,15 +132,24 @@ def _texts(docs: DataFrame, key: str, text: str, lang: str, share: int) -> DataF
     return docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), name.alias("lang"), F.xxhash64(name).alias("lang_key"), chosen.alias("chosen"))
 
 
-def _mapped(texts: DataFrame, emit: Callable[[Pieces, pa.RecordBatch], Iterator[tuple[list, list[pa.DataType]]]], names: list[str], schema: str) -> DataFrame:
+#: Takes the blocks of a task and yields result columns; it may combine counts over several blocks.
+Emitter = Callable[[Iterator[tuple[Pieces, pa.RecordBatch]]], Iterator[list[pa.Array]]]
+
+
+def _mapped(texts: DataFrame, emit: Emitter, names: list[str], schema: str) -> DataFrame:
     limit = BLOCK
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Pieces, pa.RecordBatch]]:
         for block in blocks(_gathered(batches, limit), "text", limit):
             pieces = Pieces(block)
             if len(pieces.words):
-                for columns in emit(pieces, block):
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pieces, block
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in emit(cut(batches)):
+            made = pa.RecordBatch.from_arrays(columns, names=names)
+            for at in range(0, made.num_rows, ROWS):
+                yield made.slice(at, ROWS)
 
     return texts.mapInArrow(run, schema)
 
@@ -159,24 +168,50 @@ def _gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Reco
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+class KeyCounts:
+    """Counts by key, put together over the blocks of a task until they are many."""
+
+    def __init__(self):
+        self.keys, self.counts, self.size = [], [], 0
+
+    def add(self, keys: np.ndarray) -> None:
+        distinct, n = np.unique(keys, return_counts=True)
+        self.keys.append(distinct)
+        self.counts.append(n)
+        self.size += len(n)
+
+    def taken(self, least: int = 0) -> list[tuple[pa.Array, pa.Array]]:
+        """One pair of columns (key, n) if there are `least` entries, none else."""
+        if not self.size or self.size < least:
+            return []
+        distinct, where = np.unique(np.concatenate(self.keys), return_inverse=True)
+        n = np.bincount(where, np.concatenate(self.counts)).astype(np.int64)
+        self.__init__()
+        return [(pa.array(distinct.view(np.int64)), pa.array(n))]
+
+
 def words_and_sample(texts: DataFrame, longest: int) -> DataFrame:
     """(lang, phrase, key, n): words with their counts; without a phrase, sampled phrases; without a key, all words."""
     kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
 
-    def emit(p: Pieces, block: pa.RecordBatch):
-        _, key = p.keys(1, np.arange(len(p.words)))
-        distinct, first, n = np.unique(key, return_index=True, return_counts=True)
-        langs = block["lang"]
-        yield [langs.take(pa.array(p.owner[first])), p.phrases(first, 1), pa.array(distinct.view(np.int64)), pa.array(n, kinds[3])]
-        per_document = p.words.per_document
-        said = np.flatnonzero(per_document)
-        yield [langs.take(pa.array(said)), pa.nulls(len(said), kinds[1]), pa.nulls(len(said), kinds[2]), pa.array(per_document[said], kinds[3])]
-        chosen = block["chosen"].to_numpy(zero_copy_only=False)
-        for size in range(2, longest):
-            where = p.starts(size)
-            where = where[chosen[p.owner[where]]]
-            distinct, n = np.unique(p.keys(size, where)[1], return_counts=True)
-            yield [pa.nulls(len(n), kinds[0]), pa.nulls(len(n), kinds[1]), pa.array(distinct.view(np.int64)), pa.array(n, kinds[3])]
+    def emit(parts):
+        sample = KeyCounts()
+        for p, block in parts:
+            _, key = p.keys(1, np.arange(len(p.words)))
+            distinct, first, n = np.unique(key, return_index=True, return_counts=True)
+            langs = block["lang"]
+            yield [langs.take(pa.array(p.owner[first])), p.phrases(first, 1), pa.array(distinct.view(np.int64)), pa.array(n, kinds[3])]
+            per_document = p.words.per_document
+            said = np.flatnonzero(per_document)
+            yield [langs.take(pa.array(said)), pa.nulls(len(said), kinds[1]), pa.nulls(len(said), kinds[2]), pa.array(per_document[said], kinds[3])]
+            chosen = block["chosen"].to_numpy(zero_copy_only=False)
+            for size in range(2, longest):
+                where = p.starts(size)
+                sample.add(p.keys(size, where[chosen[p.owner[where]]])[1])
+            for key, n in sample.taken(ENTRIES):
+                yield [pa.nulls(len(n), kinds[0]), pa.nulls(len(n), kinds[1]), key, n]
+        for key, n in sample.taken():
+            yield [pa.nulls(len(n), kinds[0]), pa.nulls(len(n), kinds[1]), key, n]
 
     rows = _mapped(texts, emit, ["lang", "phrase", "key", "n"], "lang string, phrase string, key long, n long")
     return rows.groupBy("lang", "phrase", "key").agg(F.sum("n").alias("n"))
@@ -197,13 +232,16 @@ def _parts_known(p: Pieces, bitmap: np.ndarray, longest: int) -> Iterator[tuple[
 def count_keys(texts: DataFrame, known: Broadcast, before: Broadcast | None, longest: int, least: int) -> DataFrame:
     """(key, n) of the frequent phrases among those let in by `known`, but not by `before`, which are counted already."""
 
-    def emit(p: Pieces, block: pa.RecordBatch):
-        counted = {size: where for size, where, _ in _parts_known(p, before.value, longest)} if before is not None else {}
-        for size, where, key in _parts_known(p, known.value, longest):
-            if size in counted:
-                key = key[~np.isin(where, counted[size], assume_unique=True)]
-            distinct, n = np.unique(key, return_counts=True)
-            yield [pa.array(distinct.view(np.int64)), pa.array(n.astype(np.int64))]
+    def emit(parts):
+        counts = KeyCounts()
+        for p, _ in parts:
+            counted = {size: where for size, where, _ in _parts_known(p, before.value, longest)} if before is not None else {}
+            for size, where, key in _parts_known(p, known.value, longest):
+                if size in counted:
+                    key = key[~np.isin(where, counted[size], assume_unique=True)]
+                counts.add(key)
+            yield from map(list, counts.taken(ENTRIES))
+        yield from map(list, counts.taken())
 
     rows = _mapped(texts, emit, ["key", "n"], "key long, n long")
     return rows.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
@@ -224,14 +262,16 @@ def not_proposed(keys: DataFrame, known: Broadcast, longest: int) -> DataFrame:
 def spell(texts: DataFrame, chosen: Broadcast, longest: int, least: int) -> DataFrame:
     """(lang, phrase, size, n): exact counts by words of the phrases with the keys' bits."""
 
-    def emit(p: Pieces, block: pa.RecordBatch):
-        for size in range(2, longest + 1):
-            where, key = p.keys(size)
-            on = bit_set(chosen.value, key)
-            where, key = where[on], key[on]
-            _, at, n = np.unique(key, return_index=True, return_counts=True)
-            first = where[at]
-            yield [block["lang"].take(pa.array(p.owner[first])), p.phrases(first, size), pa.array(np.full(len(n), size, np.int32)), pa.array(n.astype(np.int64))]
+    def emit(parts):
+        for p, block in parts:
+            for size in range(2, longest + 1):
+                where, key = p.keys(size)
+                on = bit_set(chosen.value, key)
+                where, key = where[on], key[on]
+                _, at, n = np.unique(key, return_index=True, return_counts=True)
+                first = where[at]
+                langs = block["lang"].take(pa.array(p.owner[first]))
+                yield [langs, p.phrases(first, size), pa.array(np.full(len(n), size, np.int32)), pa.array(n.astype(np.int64))]
 
     rows = _mapped(texts, emit, ["lang", "phrase", "size", "n"], "lang string, phrase string, size int, n long")
     return rows.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)

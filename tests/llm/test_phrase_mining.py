@@ -67,7 +67,7 @@ def docs(spark, rows):
     return spark.createDataFrame(made, SCHEMA).repartition(4)
 
 
-@pytest.mark.parametrize(("share", "block"), [(1, 6 << 20), (3, 300), (10**9, 6 << 20)])
+@pytest.mark.parametrize(("share", "block"), [(1, 2 << 20), (3, 300), (10**9, 2 << 20)])
 def test_every_sample_gives_all_phrases(docs, rows, share, block, monkeypatch):
     monkeypatch.setattr(pm, "BLOCK", block)
     passes = []
