@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -118,40 +117,36 @@ def sampled_shapley(
     cols: Sequence[str],
     key: Sequence[str],
     background: DataFrame,
-    orders: int = 4,
+    background_key: Sequence[str],
+    draws: int = 8,
     seed: int = 0,
     score: str = "score",
 ) -> DataFrame:
-    """Shapley values of any model by sampled feature orders.
+    """Shapley values of any model by sampled feature orders and background rows.
 
-    Each (order, background row) pair turns a row into a chain of len(cols) + 1 hybrids
-    that switch features from the background to the row one at a time. Scores enter
-    twice with opposite signs, so summing per (key, feature) gives mean score steps and
-    the values of a row add up to its score minus the mean background score.
+    Every row draws its own background rows from the whole background, following ones in a seeded order by a join on
+    their positions (as many draws as rows use each once), and an order of the features with each. A draw turns a row into a chain of len(cols) + 1 hybrids that switch features from the background
+    to the row one at a time. Scores enter twice with opposite signs, so summing per (key, feature) gives mean score
+    steps, and the values of a row add up to its score minus the mean score of the background rows that it drew.
     """
-    base = [tuple(float(r[c]) for c in cols) for r in background.select(*cols).collect()]
-    rng = random.Random(seed)
-    chains = []
-    for values in base:
-        for _ in range(orders):
-            rank = list(range(1, len(cols) + 1))
-            rng.shuffle(rank)
-            chains.append((rank, values))
-    weight = 1.0 / len(chains)
-    paths = F.array(
-        *[
-            F.struct(
-                F.array(*[F.lit(x) for x in rank]).alias("rank"), F.array(*[F.lit(v) for v in values]).alias("base")
-            )
-            for rank, values in chains
-        ]
+    size = background.count()
+    numbered = hash_positions(background, [], background_key, 2 * seed + 1)
+    numbered = numbered.select("pos", F.struct(*[F.col(c).cast("double").alias(c) for c in cols]).alias("_base"))
+    drawn = df.select(*key, *cols).withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    order = [F.xxhash64(F.lit(seed), F.lit(c), "_draw", *key) for c in cols]
+    sorted_order = F.sort_array(F.array(*order))
+    drawn = drawn.withColumns(
+        {
+            "pos": F.pmod(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(max(1, size))) + F.col("_draw"), F.lit(max(1, size))) + 1,
+            "_rank": F.array(*[F.array_position(sorted_order, h) for h in order]),
+        }
     )
-    steps = F.array(*[F.lit(i) for i in range(len(cols) + 1)])
-    hybrids = df.select(*key, *cols).withColumn("_p", F.explode(paths)).withColumn("_step", F.explode(steps))
+    steps = F.sequence(F.lit(0), F.lit(len(cols)))
+    hybrids = drawn.join(numbered, "pos").withColumn("_step", F.explode(steps))
     own = F.array(*[F.col(c).cast("double") for c in cols])
     mixed = hybrids.withColumn("_own", own).withColumns(
         {
-            c: F.when(F.col("_p.rank")[i] <= F.col("_step"), F.col(c).cast("double")).otherwise(F.col("_p.base")[i])
+            c: F.when(F.col("_rank")[i] <= F.col("_step"), F.col(c).cast("double")).otherwise(F.col(f"_base.{c}"))
             for i, c in enumerate(cols)
         }
     )
@@ -162,8 +157,8 @@ def sampled_shapley(
             F.struct(
                 F.lit(c).alias("feature"),
                 F.col("_own")[i].alias("value"),
-                F.when(F.col("_p.rank")[i] == F.col("_step"), F.col(score))
-                .when(F.col("_p.rank")[i] == F.col("_step") + 1, -F.col(score))
+                F.when(F.col("_rank")[i] == F.col("_step"), F.col(score))
+                .when(F.col("_rank")[i] == F.col("_step") + 1, -F.col(score))
                 .alias("part"),
             )
             for i, c in enumerate(cols)
@@ -173,7 +168,7 @@ def sampled_shapley(
         out.select(*key, F.explode(credit).alias("c"))
         .where("c.part is not null")
         .groupBy(*key, F.col("c.feature").alias("feature"))
-        .agg(F.max("c.value").alias("value"), (F.sum("c.part") * weight).alias("phi"))
+        .agg(F.max("c.value").alias("value"), (F.sum("c.part") / draws).alias("phi"))
     )
 
 

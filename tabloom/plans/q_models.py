@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import explain as ex, metrics as mt, models as m
+from ..operators import explain as ex, metrics as mt, models as m, trees as tr
 from ..operators.core import settle
 from ..operators.encode import LabelNumbers, OneHot
 from ..operators.impute import MeanMedian, MissingFlag
@@ -510,15 +510,61 @@ def _(spark, sf):
     return out.select("id", "feature", rnd("value").alias("value"), rnd("phi").alias("phi"))
 
 
-def sampled_phi(spark, sf):
+@query("r05_sampled_shapley")
+def _(spark, sf):
+    """Any model, every row against its own draws from all training rows."""
     scorer, test = explained(spark, sf, "logistic", maxIter=10)
-    background = test.select(*XS).orderBy(F.xxhash64(*XS), *XS).limit(3)
-    return ex.sampled_shapley(scorer, test, XS, ["id"], background, orders=2, seed=4)
+    return ex.sampled_shapley(scorer, test, XS, ["id"], parts(spark, sf)[0], ["id"], draws=4, seed=4)
+
+
+#: Two trees by hand over q, n, d: rows (feature, threshold, left, right, null_left, value).
+GIVEN_TREES = tr.Trees(
+    tuple(XS),
+    (
+        tr.Tree.of([(0, 100.0, 1, 4, False, 0), (2, 0.05, 2, 3, False, 0), (-1, 0, 0, 0, False, 1.0), (-1, 0, 0, 0, False, 2.5), (1, 4.0, 5, 6, False, 0), (-1, 0, 0, 0, False, 3.0), (-1, 0, 0, 0, False, 5.0)]),
+        tr.Tree.of([(2, 0.04, 1, 2, False, 0), (-1, 0, 0, 0, False, -1.0), (0, 60.0, 3, 4, False, 0), (-1, 0, 0, 0, False, 0.5), (-1, 0, 0, 0, False, 2.0)]),
+    ),
+    (1.0, 0.5),
+)
+
+# every coalition of the three features, every background cell with its rows
+COALITIONS = """cells AS (SELECT id, split, q, n, d, CASE WHEN q <= 60 THEN 0 WHEN q <= 100 THEN 1 ELSE 2 END AS qc, CASE WHEN n <= 4 THEN 0 ELSE 1 END AS nc,
+             CASE WHEN d <= 0.04 THEN 0 WHEN d <= 0.05 THEN 1 ELSE 2 END AS dc FROM fx_num),
+  value AS (SELECT qc, nc, dc, CASE WHEN qc < 2 THEN CASE WHEN dc < 2 THEN 1.0 ELSE 2.5 END ELSE CASE WHEN nc = 0 THEN 3.0 ELSE 5.0 END END
+                   + 0.5 * CASE WHEN dc = 0 THEN -1.0 WHEN qc = 0 THEN 0.5 ELSE 2.0 END AS v
+            FROM range(3) a(qc), range(2) b(nc), range(3) c(dc)),
+  back AS (SELECT qc, nc, dc, count(*) AS n FROM cells WHERE split = 'train' GROUP BY ALL),
+  own AS (SELECT DISTINCT qc, nc, dc FROM cells WHERE split <> 'train'),
+  game AS (SELECT own.qc, own.nc, own.dc, m, sum(v * back.n) / sum(back.n) AS v
+           FROM own, back, range(8) s(m), value
+           WHERE value.qc = CASE WHEN m & 1 > 0 THEN own.qc ELSE back.qc END AND value.nc = CASE WHEN m & 2 > 0 THEN own.nc ELSE back.nc END
+             AND value.dc = CASE WHEN m & 4 > 0 THEN own.dc ELSE back.dc END GROUP BY ALL),
+  phi AS (SELECT a.qc, a.nc, a.dc, f.feature, sum((a.v - b.v) * CASE bit_count(b.m) WHEN 1 THEN 1.0 / 6 ELSE 1.0 / 3 END) AS phi
+          FROM game a JOIN game b ON a.qc = b.qc AND a.nc = b.nc AND a.dc = b.dc JOIN (VALUES ('q', 1), ('n', 2), ('d', 4)) f(feature, bit) ON a.m & bit > 0 AND b.m = a.m - bit
+          GROUP BY ALL)"""
 
 
-@query("r05_sampled_shapley")
+@query(
+    "r05_tree_shapley",
+    f"""WITH {COALITIONS} SELECT id, feature, RND(CASE feature WHEN 'q' THEN q WHEN 'n' THEN n ELSE d END) AS value, RND(phi) AS phi
+        FROM cells JOIN phi USING (qc, nc, dc) WHERE split <> 'train'""",
+)
 def _(spark, sf):
-    return sampled_phi(spark, sf)
+    """Exact values of a given ensemble against all training rows; the SQL enumerates the coalitions."""
+    train, test = parts(spark, sf)
+    phi, _ = tr.tree_shapley(test, GIVEN_TREES, ["id"], train)
+    return phi.select("id", "feature", rnd("value").alias("value"), rnd("phi").alias("phi"))
+
+
+@query("r05_forest_shapley_sums", "SELECT id, 3 AS features, CAST(0 AS DOUBLE) AS gap FROM fx_num WHERE split <> 'train'")
+def _(spark, sf):
+    """A fitted forest: the values of each row add up to its score less the mean score over all training rows."""
+    train, test = parts(spark, sf)
+    model = m.fit(train, XS, "y", m.learner("forest", numTrees=20, maxDepth=5))
+    phi, expected = tr.tree_shapley(test, tr.trees_of(model, XS), ["id"], train)
+    sums = phi.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("features"), F.sum("phi").alias("phi"))
+    gap = F.abs(F.col("phi") + F.lit(expected) - F.col("score"))
+    return sums.join(m.scored(model, test, XS).select("id", "score"), "id").select("id", "features", F.round(gap, 9).alias("gap"))
 
 
 @query(

@@ -105,7 +105,7 @@ def inputs(spark):
 
 def test_sampled_shapley_adds_up(spark, inputs):
     background = inputs.limit(4)
-    phi = ex.sampled_shapley(score_of, inputs, ["a", "b", "c"], ["id"], background, orders=3, seed=1)
+    phi = ex.sampled_shapley(score_of, inputs, ["a", "b", "c"], ["id"], background, ["id"], draws=12, seed=1)
     base = score_of(background).agg(F.avg("score")).first()[0]
     rows = phi.groupBy("id").agg(F.sum("phi").alias("t")).join(score_of(inputs), "id").collect()
     assert len(rows) == 60
@@ -117,7 +117,7 @@ def test_linear_shapley_matches_sampled(inputs):
     exact = ex.linear_shapley(inputs, coef, ["id"])
     sampled = ex.sampled_shapley(
         lambda d: d.withColumn("score", 2 * F.col("a") - F.col("b") + 0.5 * F.col("c")),
-        inputs, ["a", "b", "c"], ["id"], inputs, orders=1,
+        inputs, ["a", "b", "c"], ["id"], inputs, ["id"], draws=60,
     )
     both = exact.join(sampled.withColumnRenamed("phi", "other").drop("value"), ["id", "feature"]).collect()
     assert all(r["phi"] == pytest.approx(r["other"], abs=1e-9) for r in both) and len(both) == 180
