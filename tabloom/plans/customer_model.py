@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import models as m
+from ..operators.boosting import Settings, out_of_fold
 from ..operators.core import checkpointed
 from ..operators.joins import attach_children
 from ..operators.profile import label_list, merged_moments, moment_parts, sample_variance, share_exprs, stat_exprs
@@ -140,14 +141,10 @@ def feature_names(df: DataFrame) -> list[str]:
     ]
 
 
-def cross_validated(features: DataFrame, key: str, folds: int = 3, trees: int = 3):
-    """Out-of-fold scores, mean scores of the unlabelled rows, fold importances."""
+def cross_validated(features: DataFrame, key: str, folds: int = 3, settings: Settings = Settings(rounds=200, rate=0.5, patience=3)):
+    """Out-of-fold scores, mean scores of the unlabelled rows, fold importances. Nulls are learnt from; every fold's
+    model stops on its own fold, and all of them grow in the same passes."""
     cols = feature_names(features)
-    filled = features.select(key, "target", *cols).na.fill(0.0, cols)
-    labelled = m.add_folds(filled.where("target is not null"), [key], folds, seed=1, strata=["target"])
-    with m.held(labelled, filled.where("target is null")) as (train, score):
-        oof, mean, importance = m.out_of_fold(
-            train, score, cols, "target", key, lambda f: m.learner("boosted", maxIter=trees, maxDepth=3, seed=f)
-        )
-        # narrow, and written while the features are held: later reads don't build the features again
-        return checkpointed(oof), checkpointed(mean), importance
+    rows = checkpointed(features.select(key, "target", *cols))
+    labelled = m.add_folds(rows.where("target is not null"), [key], folds, seed=1, strata=["target"])
+    return out_of_fold(labelled, rows.where("target is null"), cols, "target", key, settings)

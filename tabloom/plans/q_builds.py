@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import discretise as disc, encode as enc, impute, metrics as mt, models as m, rare, scale
+from ..operators import boosting as bst, discretise as disc, encode as enc, impute, metrics as mt, models as m, rare, scale
 from ..operators.profile import null_table, variable_types
 from ..operators.stages import Chain
 from ..sources.tables import table
@@ -107,7 +107,9 @@ def _(spark, sf):
     features = [*kinds["categorical"], *numbers, "size_na"]
     test = df.where("split <> 'train'")
     with m.held(*[fitted.transform(d).select("y", *features) for d in (train, test)]) as (a, b):
-        out = m.log_target_predictions(a, b, features, "y", m.learner("boosted", True, maxIter=3, maxDepth=3))
+        rows = a.select(F.ln("y").alias("log_y"), (F.pmod(F.xxhash64("y", *features), F.lit(10)) == 0).alias("valid"), *features)
+        (model,) = bst.boost(rows, features, "log_y", bst.Settings("squared", rounds=200, rate=0.5, patience=3), valid="valid")
+        out = model.scored(b).withColumn("prediction", F.exp("prediction"))
         values = mt.regression_scores(out, "y", "prediction").first().asDict()
         gaps = sum(r["n_null"] for r in null_table(b, features).collect())
     rows = [(k, float(v)) for k, v in values.items()] + [("nulls_left", float(gaps))]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import explain as ex, metrics as mt, models as m, trees as tr
+from ..operators import boosting as bst, explain as ex, metrics as mt, models as m, trees as tr
 from ..operators.core import settle
 from ..operators.encode import LabelNumbers, OneHot
 from ..operators.impute import MeanMedian, MissingFlag
@@ -129,11 +129,35 @@ def _(spark, sf):
 
 @query("p09_boosting_early_stop")
 def _(spark, sf):
-    train, test = parts(spark, sf)
-    est = m.learner("boosted", maxIter=6, maxDepth=3, validationTol=0.01)
-    model = m.early_stopped(train, XS, "y", est, F.col("id") % 10 == 6)
-    out = quality(m.scored(model, test, XS).select("id", "y", "prediction", "score"), ["auc", "accuracy"])
-    return out.withColumn("n_trees", F.lit(model.getNumTrees))
+    """Up to 200 rounds, stopped on a tenth of the rows; nulls are learnt from."""
+    train, test = (with_gaps(d) for d in parts(spark, sf))
+    settings = bst.Settings(rounds=200, rate=0.5, patience=3)
+    (model,) = bst.boost(train.withColumn("valid", F.col("id") % 10 == 6), XS, "y", settings, valid="valid")
+    out = quality(model.scored(test).select("id", "y", "prediction", "score"), ["auc", "accuracy"])
+    return out.withColumn("n_trees", F.lit(model.rounds))
+
+
+def with_gaps(df):
+    """A fifth of `n` is null."""
+    return df.withColumn("n", F.when(F.col("id") % 5 != 0, F.col("n")))
+
+
+@query(
+    "p09_one_split",
+    """WITH r AS (SELECT CASE WHEN id % 5 = 0 THEN NULL ELSE n END AS n, yr, yr - (SELECT avg(yr) FROM fx_num) AS e FROM fx_num),
+       cuts AS (SELECT DISTINCT n AS t, side FROM r, (VALUES (false), (true)) s(side) WHERE n IS NOT NULL),
+       sums AS (SELECT t, side, coalesce(n <= t, side) AS l, sum(e) AS e, count(*) AS k FROM cuts, r GROUP BY ALL),
+       gains AS (SELECT t, side, sum(e * e / k) AS gain FROM sums GROUP BY t, side HAVING count(*) = 2),
+       best AS (SELECT t, side FROM gains ORDER BY gain DESC, side, t LIMIT 1),
+       parted AS (SELECT n, yr, coalesce(n <= t, side) AS l FROM r, best)
+       SELECT n, count(*) AS rows, RND2(avg(score)) AS score FROM (SELECT n, avg(yr) OVER (PARTITION BY l) AS score FROM parted) p GROUP BY n""",
+)
+def _(spark, sf):
+    """One tree of one split without shrinkage: the best cut and the best side for nulls."""
+    df = with_gaps(fixture(spark, sf, "fx_num"))
+    settings = bst.Settings("squared", rounds=1, depth=1, rate=1.0, l2=0.0)
+    (model,) = bst.boost(df, ["n"], "yr", settings)
+    return model.scored(df).groupBy("n").agg(F.count(F.lit(1)).alias("rows"), rnd(F.avg("score"), 2).alias("score"))
 
 
 @query("p10_svm_bayes_perceptron_kmeans")
@@ -354,7 +378,7 @@ def _(spark, sf):
 def fold_models(spark, sf):
     df = folded(spark, sf)
     train, given = df.where("split = 'train'"), df.where("split <> 'train'").drop("y", "fold")
-    return m.out_of_fold(train, given, XS, "y", "id", lambda f: m.learner("boosted", maxIter=3, maxDepth=3, seed=f))
+    return bst.out_of_fold(train, given, XS, "y", "id", bst.Settings(rounds=200, rate=0.5, patience=3))
 
 
 @query("p27_out_of_fold")
