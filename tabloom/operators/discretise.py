@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Sequence
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import Bucketizer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .core import numeric_columns
+from .column_trees import WHOLE, best_depths, counted_values, grow
+from .core import checkpointed, numeric_columns, settle
 from .ordered import hash_positions, quantiles
 from .stages import Fitted, Stage
 
@@ -161,7 +158,7 @@ class FittedTree(Fitted):
 
 
 class TreeBins(Stage):
-    """One-column decision tree per variable; depth by cross-validation.
+    """One-column decision tree per variable, grown for all variables at once; depth by cross-validation.
 
     The tree predicts the target mean, which for a 0/1 target is the probability
     of 1. Its thresholds and leaf values are the state, so scoring needs no model.
@@ -184,53 +181,25 @@ class TreeBins(Stage):
 
     def fit(self, df: DataFrame) -> FittedTree:
         cols = list(self.variables or numeric_columns(df, [self.target]))
-        rows = []
-        for c in cols:
-            rows += [(c, i, hi, value) for i, (hi, value) in enumerate(self._leaves(df, c))]
-        state = df.sparkSession.createDataFrame(rows, "variable string, position int, hi double, value double")
+        metric, choose = "mse" if self.regression else "auc", len(self.depths) > 1
+        if choose:
+            df = self._with_folds(df, cols)
+        values = checkpointed(counted_values(df, cols, self.target, "_fold" if choose else None))
+        leaves = grow(values, self.depths, self.folds if choose else None)
+        whole = leaves.where(F.col("model") == WHOLE)
+        if choose:
+            whole = whole.join(best_depths(values, leaves, metric), ["variable", "depth"])
+        state = settle(whole.select("variable", F.col("position").cast("int").alias("position"), "hi", "value"))
         return FittedTree({"variables": cols, "suffix": self.suffix}, state)
 
-    def _leaves(self, df: DataFrame, col: str) -> list[tuple[float, float]]:
-        keys = [F.col(k).alias(f"_key{i}") for i, k in enumerate(self.key)]
-        data = df.select(F.col(col).cast("double").alias("x"), F.col(self.target).cast("double").alias("y"), *keys).dropna(subset=["x", "y"])
-        folds = {"seed": self.seed}
-        if self.key and len(self.depths) > 1:  # folds that follow the key, not the partitioning
-            ranked = hash_positions(data, [], [f"_key{i}" for i in range(len(keys))], self.seed)
-            data = ranked.withColumn("fold", F.pmod(F.col("pos") - 1, F.lit(self.folds)).cast("int")).drop("pos", "size")
-            folds = {"foldCol": "fold"}
-        vec = VectorAssembler(inputCols=["x"], outputCol="features")
-        data = vec.transform(data).persist()
-        tree = DecisionTreeRegressor(labelCol="y", seed=self.seed)
-        if len(self.depths) > 1:
-            grid = ParamGridBuilder().addGrid(tree.maxDepth, self.depths).build()
-            score = (
-                RegressionEvaluator(labelCol="y", metricName="mse")
-                if self.regression
-                else BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="prediction")
-            )
-            model = (
-                CrossValidator(
-                    estimator=tree, estimatorParamMaps=grid, evaluator=score, numFolds=self.folds, parallelism=4, **folds
-                )
-                .fit(data)
-                .bestModel
-            )
-        else:
-            model = tree.setMaxDepth(self.depths[0]).fit(data)
-        data.unpersist()
-        found = re.findall(r"feature 0 <= (-?[0-9.]+(?:E-?[0-9]+)?)", model.toDebugString)
-        ends = [*sorted({float(f) for f in found}), math.inf]
-        inner = [e if e != math.inf else (ends[-2] + 1.0 if len(ends) > 1 else 0.0) for e in ends]
-        spark = df.sparkSession
-        asked = vec.transform(spark.createDataFrame([(i, x) for i, x in enumerate(inner)], "i int, x double"))
-        values = {r["i"]: r["prediction"] for r in model.transform(asked).collect()}
-        leaves: list[tuple[float, float]] = []
-        for i, e in enumerate(ends):
-            if leaves and leaves[-1][1] == values[i]:
-                leaves[-1] = (e, values[i])
-            else:
-                leaves.append((e, values[i]))
-        return leaves
+    def _with_folds(self, df: DataFrame, cols: Sequence[str]) -> DataFrame:
+        """Folds that follow the key, or the content of the rows, not the partitioning."""
+        data = df.where(F.col(self.target).isNotNull())
+        if self.key:
+            keys = {f"_key{i}": F.col(k) for i, k in enumerate(self.key)}
+            ranked = hash_positions(data.select(self.target, *cols, *[c.alias(k) for k, c in keys.items()]), [], list(keys), self.seed)
+            return ranked.withColumn("_fold", F.pmod(F.col("pos") - 1, F.lit(self.folds)).cast("int"))
+        return data.withColumn("_fold", F.pmod(F.xxhash64(F.lit(self.seed), self.target, *cols), F.lit(self.folds)).cast("int"))
 
 
 def bin_counts(df: DataFrame, col: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import boosting as bst, models as m, select as sel
 from ..operators.ordered import hash_uniform
 from ..sources.tables import table
-from .registry import fixture, query, rnd
+from .registry import fixture, query, rnd, tree_sql
 
 FEATURES = ["q", "p", "n", "d", "const", "quasi", "dup_q", "corr_p"]
 PLAIN = ["q", "n", "d", "quasi"]
@@ -223,23 +223,36 @@ def _(spark, sf):
     return out.select("variable", rnd("f", 2).alias("f"))
 
 
-@query("n14_single_feature_auc")
+def auc_sql(score: str, src: str) -> str:
+    """Rank form of the AUC over (score, y) rows."""
+    return f"""SELECT sum(pos * (below + neg / 2.0)) / (sum(pos) * CAST(sum(neg) AS DOUBLE)) FROM (
+        SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+        FROM (SELECT {score} AS s, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y <> 1) AS neg FROM {src} GROUP BY 1) g) r"""
+
+
+def tree_scores_sql(metric: str, cols, source: str, y: str) -> str:
+    """The test metric of a tree of depth 3 on each column."""
+    train = f"(SELECT * FROM {source} WHERE split = 'train')"
+    trees = ", ".join(tree_sql(f"t_{c}", train, c, y, 3) for c in cols)
+    scored = ", ".join(
+        f"s_{c} AS (SELECT value AS s, {y} AS y FROM {source} r JOIN t_{c}_leaves ON r.{c} > lo AND r.{c} <= hi WHERE split <> 'train')" for c in cols
+    )
+    value = {"mse": "SELECT avg((y - s) * (y - s)) FROM s_{c}", "auc": "{auc}"}[metric]
+    rows = [f"SELECT '{c}' AS variable, ({value.format(c=c, auc=auc_sql('s', f's_{c}'))}) AS value" for c in cols]
+    shown = "RND(value) AS value" if metric == "auc" else "RND0(value) AS value"
+    return f"WITH {trees}, {scored} SELECT variable, {shown} FROM ({' UNION ALL '.join(rows)}) r" + (" WHERE value > 0.5" if metric == "auc" else "")
+
+
+@query("n14_single_feature_auc", tree_scores_sql("auc", PLAIN, "fx_sel", "y"))
 def _(spark, sf):
     train, test = parts(spark, sf)
-    return sel.single_feature_scores(train, test, PLAIN, "y", "auc", depth=3).where("value > 0.5")
+    return sel.single_feature_scores(train, test, PLAIN, "y", "auc", depth=3).where("value > 0.5").withColumn("value", rnd("value"))
 
 
-@query("n15_single_feature_mse")
+@query("n15_single_feature_mse", tree_scores_sql("mse", ["q", "n", "d"], "fx_num", "yr"))
 def _(spark, sf):
     train, test = parts(spark, sf, "fx_num")
-    return sel.single_feature_scores(train, test, ["q", "n", "d"], "yr", "mse", depth=3)
-
-
-def auc_sql(score: str, src: str) -> str:
-    """Rank form of the AUC over (score, y) rows."""
-    return f"""SELECT sum(pos * (below + neg / 2.0)) / (sum(pos) * CAST(sum(neg) AS DOUBLE)) FROM (
-        SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
-        FROM (SELECT {score} AS s, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y <> 1) AS neg FROM {src} GROUP BY 1) g) r"""
+    return sel.single_feature_scores(train, test, ["q", "n", "d"], "yr", "mse", depth=3).withColumn("value", rnd("value", 0))
 
 
 @query(

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import maths
 from ..operators import discretise as disc, encode as enc, impute, outliers, profile as prof, rare, scale
+from ..operators.column_trees import counted_values, grow
 from ..operators.ordered import quantiles
 from ..operators.relational import merge_labels
 from ..operators.stages import Chain
 from ..sources.tables import table
-from .registry import fixture, hash_sql, query, rnd
+from .registry import fixture, hash_sql, query, rnd, tree_sql
 
 TRAIN = "split = 'train'"
 
@@ -502,11 +503,35 @@ def _(spark, sf):
     return stage.fit(train).transform(df).select("id", "q", "q_tree", "d", "d_tree")
 
 
-@query("l07_leaf_bounds")
+TRAIN_ROWS = "(SELECT * FROM fx_num WHERE split = 'train')"
+FIXED_TREES = [(c, d) for c in ("q", "n", "d") for d in (1, 2)]
+
+
+@query(
+    "l06_fixed_depths",
+    f"WITH {', '.join(tree_sql(f'{c}{d}', TRAIN_ROWS, c, 'y', d) for c, d in FIXED_TREES)} "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS variable, {d} AS depth, position, RND(CASE WHEN isinf(hi) THEN NULL ELSE hi END) AS hi, RND(value) AS value, n FROM {c}{d}_leaves" for c, d in FIXED_TREES
+    ),
+)
+def _(spark, sf):
+    """Leaves of the trees of three columns at two depths, grown together."""
+    train, _ = parts(spark, sf, "fx_num")
+    leaves = grow(counted_values(train, ["q", "n", "d"], "y"), [1, 2])
+    hi = F.when(F.col("hi") < float("inf"), F.col("hi"))
+    return leaves.select("variable", "depth", F.col("position").cast("long").alias("position"), rnd(hi).alias("hi"), rnd("value").alias("value"), "n")
+
+
+@query(
+    "l07_leaf_bounds",
+    f"""WITH {tree_sql("t", TRAIN_ROWS, "q", "y", 3)}
+        SELECT RND(value) AS q_tree, min(q) AS q_min, max(q) AS q_max, count(*) AS n FROM fx_num JOIN t_leaves ON q > lo AND q <= hi GROUP BY value""",
+)
 def _(spark, sf):
     train, df = parts(spark, sf, "fx_num")
     out = disc.TreeBins("y", ["q"], depths=(3,)).fit(train).transform(df)
-    return out.groupBy("q_tree").agg(F.min("q").alias("q_min"), F.max("q").alias("q_max"), F.count(F.lit(1)).alias("n"))
+    bounds = out.groupBy("q_tree").agg(F.min("q").alias("q_min"), F.max("q").alias("q_max"), F.count(F.lit(1)).alias("n"))
+    return bounds.withColumn("q_tree", rnd("q_tree"))
 
 
 @query(

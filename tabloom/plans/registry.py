@@ -90,6 +90,31 @@ def hash_sql(seed: int, *columns: str) -> str:
     return f"CAST('0x' || substr(md5(concat_ws(':', '{seed}', {parts})), 1, 13) AS BIGINT)"
 
 
+def tree_sql(name: str, source: str, x: str, y: str, depth: int) -> str:
+    """Common table expressions that grow a tree on one column; `<name>_leaves` has (position, hi, value, n)."""
+    parts = [
+        f"{name}_v AS (SELECT CAST({x} AS DOUBLE) AS x, count(*) AS n, CAST(sum({y}) AS DOUBLE) AS s FROM {source} WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY 1)",
+        f"{name}_0 AS (SELECT CAST('-Infinity' AS DOUBLE) AS lo, CAST('Infinity' AS DOUBLE) AS hi)",
+    ]
+    for level in range(depth):
+        parts += [
+            f"""{name}_c{level} AS (
+                SELECT lo, hi, x, sum(n) OVER w AS ln, sum(s) OVER w AS ls, sum(n) OVER p AS tn, sum(s) OVER p AS ts, lead(x) OVER (PARTITION BY lo ORDER BY x) AS nx
+                FROM {name}_v JOIN {name}_{level} ON x > lo AND x <= hi WINDOW w AS (PARTITION BY lo ORDER BY x), p AS (PARTITION BY lo))""",
+            f"""{name}_b{level} AS (
+                SELECT lo, (x + nx) / 2 AS cut FROM {name}_c{level} WHERE nx IS NOT NULL AND ls * ls / ln + (ts - ls) * (ts - ls) / (tn - ln) > ts * ts / tn + 1e-9
+                QUALIFY row_number() OVER (PARTITION BY lo ORDER BY ls * ls / ln + (ts - ls) * (ts - ls) / (tn - ln) DESC, x) = 1)""",
+            f"""{name}_{level + 1} AS (
+                SELECT n.lo, coalesce(cut, hi) AS hi FROM {name}_{level} n LEFT JOIN {name}_b{level} b ON n.lo = b.lo
+                UNION ALL SELECT cut, hi FROM {name}_{level} n JOIN {name}_b{level} b ON n.lo = b.lo)""",
+        ]
+    parts.append(
+        f"""{name}_leaves AS (SELECT row_number() OVER (ORDER BY hi) - 1 AS position, lo, hi, sum(s) / sum(n) AS value, CAST(sum(n) AS BIGINT) AS n
+            FROM {name}_v JOIN {name}_{depth} ON x > lo AND x <= hi GROUP BY lo, hi)"""
+    )
+    return ", ".join(parts)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
