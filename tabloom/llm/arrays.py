@@ -39,7 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIER))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def _powers(size: int, base: int) -> np.ndarray:
     out = np.full(size, base, np.uint64)
     out[0] = 1

@@ -39,7 +39,7 @@ SHARE = 16
 #: Size of the broadcast bitmap: 2 ** 27 bits are 16 MB.
 FILTER_BITS = 27
 #: Bytes of text worked on at once, counts that are put together before they leave Python, rows of a batch.
-BLOCK, ENTRIES, ROWS = 2 << 20, 1 << 20, 1 << 17
+BLOCK, ENTRIES, ROWS = 2 << 20, 1 << 19, 1 << 17
 TOP = 2000
 _SIZE_BITS = 3
 _SLICE_BITS = 8
@@ -314,6 +314,8 @@ def mine_phrases(
         if fresh is None:
             break
         bits = bits | fresh
+        if before is not None:
+            before.unpersist()
         before, known = known, context.broadcast(bits)
     frequent = counted[0]
     for more in counted[1:]:
