@@ -243,15 +243,15 @@ def tree_scores_sql(metric: str, cols, source: str, y: str) -> str:
     return f"WITH {trees}, {scored} SELECT variable, {shown} FROM ({' UNION ALL '.join(rows)}) r" + (" WHERE value > 0.5" if metric == "auc" else "")
 
 
-@query("n14_single_feature_auc", tree_scores_sql("auc", PLAIN, "fx_sel", "y"))
+@query("n14_single_feature_auc", tree_scores_sql("auc", PLAIN, "fx_tree", "y"))
 def _(spark, sf):
-    train, test = parts(spark, sf)
+    train, test = parts(spark, sf, "fx_tree")
     return sel.single_feature_scores(train, test, PLAIN, "y", "auc", depth=3).where("value > 0.5").withColumn("value", rnd("value"))
 
 
-@query("n15_single_feature_mse", tree_scores_sql("mse", ["q", "n", "d"], "fx_num", "yr"))
+@query("n15_single_feature_mse", tree_scores_sql("mse", ["q", "n", "d"], "fx_tree", "yr"))
 def _(spark, sf):
-    train, test = parts(spark, sf, "fx_num")
+    train, test = parts(spark, sf, "fx_tree")
     return sel.single_feature_scores(train, test, ["q", "n", "d"], "yr", "mse", depth=3).withColumn("value", rnd("value", 0))
 
 

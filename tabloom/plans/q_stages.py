@@ -503,7 +503,7 @@ def _(spark, sf):
     return stage.fit(train).transform(df).select("id", "q", "q_tree", "d", "d_tree")
 
 
-TRAIN_ROWS = "(SELECT * FROM fx_num WHERE split = 'train')"
+TRAIN_ROWS = "(SELECT * FROM fx_tree WHERE split = 'train')"
 FIXED_TREES = [(c, d) for c in ("q", "n", "d") for d in (1, 2)]
 
 
@@ -516,7 +516,7 @@ FIXED_TREES = [(c, d) for c in ("q", "n", "d") for d in (1, 2)]
 )
 def _(spark, sf):
     """Leaves of the trees of three columns at two depths, grown together."""
-    train, _ = parts(spark, sf, "fx_num")
+    train, _ = parts(spark, sf, "fx_tree")
     leaves = grow(counted_values(train, ["q", "n", "d"], "y"), [1, 2])
     hi = F.when(F.col("hi") < float("inf"), F.col("hi"))
     return leaves.select("variable", "depth", F.col("position").cast("long").alias("position"), rnd(hi).alias("hi"), rnd("value").alias("value"), "n")

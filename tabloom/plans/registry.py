@@ -42,6 +42,8 @@ FIXTURES = {
                CASE WHEN id % 1000 = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS quasi,
                q AS dup_q, p * 2 + n AS corr_p
         FROM fx_num""",
+    # means of an order's lines differ in their last digits from engine to engine; trees cut between distinct values
+    "fx_tree": "SELECT id, q, n, round(d, 6) AS d, quasi, y, p AS yr, split FROM fx_sel",
     "fx_mixed": """
         SELECT c_custkey AS id,
                CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey AS STRING)
