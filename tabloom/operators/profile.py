@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .core import label_counts, long_values, one_row_to_long, settle
+from .gram import pair_moments
 from .ordered import group_quantiles, group_stats, join_on, quantiles
 
 EXPRS_PER_PASS = 400
@@ -207,22 +208,11 @@ def correlation(a: str, b: str) -> Column:
 
 
 def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(a, b, r) for every unordered column pair, pairwise complete; chunked so that
-    one aggregate never holds more than EXPRS_PER_PASS expressions."""
-    pairs = list(combinations(cols, 2))
-    out = None
-    for i in range(0, len(pairs), EXPRS_PER_PASS):
-        chunk = pairs[i : i + EXPRS_PER_PASS]
-        aggs = []
-        for j, (a, b) in enumerate(chunk):
-            aggs.append(correlation(a, b).alias(f"r{j}"))
-        entries = [
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{j}").alias("r"))
-            for j, (a, b) in enumerate(chunk)
-        ]
-        part = df.agg(*aggs).select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(a, b, r) for every unordered column pair, pairwise complete, all of them from one scan; null where a column is
+    constant."""
+    r = pair_moments(df, cols).correlations()
+    rows = [(a, b, None if r[i, j] != r[i, j] else float(r[i, j])) for (i, a), (j, b) in combinations(enumerate(cols), 2)]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def cluster_report(df: DataFrame, cluster: str, cols: Sequence[str]) -> DataFrame:

@@ -1,7 +1,7 @@
 """Ordinary least squares and its diagnostics from one pass of cross products.
 
-The k x k normal equations are all that reaches the driver. Columns are shifted by
-their means before the products are formed, which keeps them well conditioned.
+The k x k normal equations are all that reaches the driver. Products are those of deviations
+from the means, which keeps them well conditioned.
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import tails
 from .core import held
+from .gram import pair_moments
 from .models import rows_table
 from .ordered import positions
-from .profile import EXPRS_PER_PASS
 from .windows import in_order
 
 
@@ -77,20 +77,9 @@ class Ols:
 
 
 def cross_products(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Row count, means and centred cross-product matrix of complete rows."""
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
-    first = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    n, k = first["n"], len(cols)
-    means = np.array([first[f"m{i}"] for i in range(k)], dtype=float)
-    moved = [F.col(c) - F.lit(float(m)) for c, m in zip(cols, means)]
-    spots = [(i, j) for i in range(k) for j in range(i, k)]
-    gram = np.zeros((k, k))
-    for at in range(0, len(spots), EXPRS_PER_PASS):
-        part = spots[at : at + EXPRS_PER_PASS]
-        row = rows.agg(*[F.sum(moved[i] * moved[j]).alias(f"g{s}") for s, (i, j) in enumerate(part)]).first()
-        for s, (i, j) in enumerate(part):
-            gram[i, j] = gram[j, i] = row[f"g{s}"]
-    return n, means, gram
+    """Row count, means and centred cross-product matrix of complete rows, from one scan."""
+    found = pair_moments(df, cols, complete=True)
+    return int(found.n[0, 0]), np.diag(found.mean).copy(), found.c
 
 
 def ols(df: DataFrame, features: Sequence[str], target: str) -> Ols:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import boosting as bst, explain as ex, metrics as mt, models as m, trees as tr
+from ..operators import boosting as bst, explain as ex, gram, metrics as mt, models as m, trees as tr
 from ..operators.core import settle
 from ..operators.encode import LabelNumbers, OneHot
 from ..operators.impute import MeanMedian, MissingFlag
@@ -98,21 +98,66 @@ def _(spark, sf):
 
 @query("p05_linear_ridge_lasso")
 def _(spark, sf):
+    """Every alpha of every kind from one scan of the training rows, its error from one scan of the others."""
     train, test = parts(spark, sf)
+    fitted, held = (gram.pair_moments(d, [*XS, "yr"], complete=True) for d in (train, test))
     rows = []
-    for kind, alphas in (("linear", [0.0]), ("ridge", [0.1, 10.0]), ("lasso", [1.0, 1000.0])):
+    for kind, alphas in (("linear", [0.0]), ("ridge", [0.1, 10.0, 1000.0]), ("lasso", [1.0, 1000.0, 50000.0])):
         for a in alphas:
-            model = m.fit(train, XS, "yr", m.learner(kind, regParam=a))
-            used = sum(abs(v) > 0 for v in model.coefficients)
-            rows.append((kind, a, int(used), float(mt.metric_value(m.scored(model, test, XS), "r2", "yr"))))
+            model = gram.linear_of(fitted, XS, kind, a)
+            r2 = 1 - gram.mean_squared_error(held, model) * held.n[0, 0] / held.c[-1, -1]
+            rows.append((kind, a, int((model.slopes != 0).sum()), float(r2)))
     return m.rows_table(train, rows, "model string, alpha double, n_used int, r2 double")
 
 
+@query(
+    "p05_normal_equations",
+    """WITH s AS (SELECT count(*) AS k, var_pop(q) * count(*) AS qq, var_pop(n) * count(*) AS nn, covar_pop(q, n) * count(*) AS qn, covar_pop(q, yr) * count(*) AS qy,
+                         covar_pop(n, yr) * count(*) AS ny, avg(q) AS mq, avg(n) AS mn, avg(yr) AS my FROM fx_num WHERE split = 'train'),
+       b AS (SELECT alpha, (qy * (nn + alpha) - ny * qn) / ((qq + alpha) * (nn + alpha) - qn * qn) AS bq,
+                    (ny * (qq + alpha) - qy * qn) / ((qq + alpha) * (nn + alpha) - qn * qn) AS bn, mq, mn, my FROM s, (VALUES (0.0), (10.0), (100000.0)) a(alpha))
+       SELECT CAST(alpha AS DOUBLE) AS alpha, RND(my - mq * bq - mn * bn) AS intercept, RND(bq) AS q, RND(bn) AS n,
+              RND((SELECT avg((yr - (my - mq * bq - mn * bn) - q * bq - n * bn) ** 2) FROM fx_num WHERE split <> 'train') / 1e6) AS mse FROM b""",
+)
+def _(spark, sf):
+    """Ridge regression on two columns at three alphas; alpha 0 is least squares."""
+    train, test = parts(spark, sf)
+    fitted, held = (gram.pair_moments(d, ["q", "n", "yr"], complete=True) for d in (train, test))
+    rows = []
+    for a in (0.0, 10.0, 100000.0):
+        model = gram.linear_of(fitted, ["q", "n"], "ridge", a)
+        rows.append((a, model.intercept, *map(float, model.slopes), gram.mean_squared_error(held, model) / 1e6))
+    out = m.rows_table(train, rows, "alpha double, intercept double, q double, n double, mse double")
+    return out.select("alpha", *[rnd(c).alias(c) for c in ("intercept", "q", "n", "mse")])
+
+
+ALPHAS = [0.0, 1000.0, 100000.0, 10000000.0]
+
+
+@query(
+    "p06_lasso_one_feature",
+    f"""WITH r AS (SELECT q, yr, (row_number() OVER (ORDER BY {hash_sql(1, 'id')}, id) - 1) % 3 AS fold FROM fx_num WHERE split = 'train'),
+       t AS (SELECT f AS fold, avg(q) AS mq, avg(yr) AS my, covar_pop(q, yr) AS c, var_pop(q) AS v FROM r, range(3) g(f) WHERE r.fold <> f GROUP BY f),
+       b AS (SELECT fold, alpha, mq, my, sign(c) * greatest(abs(c) - alpha, 0) / v AS slope FROM t, (SELECT unnest({ALPHAS}) AS alpha) a),
+       e AS (SELECT b.fold, alpha, avg((yr - my - (q - mq) * slope) ** 2) AS mse FROM r JOIN b ON r.fold = b.fold GROUP BY ALL)
+       SELECT CAST(alpha AS DOUBLE) AS alpha, RND(avg(mse) / 1e6) AS mean, RND(stddev_samp(mse) / 1e6) AS std FROM e GROUP BY alpha""",
+)
+def _(spark, sf):
+    """The lasso of one column is a soft threshold, so SQL can say its error at each alpha over the folds."""
+    train = m.add_folds(parts(spark, sf)[0], ["id"], 3, seed=1)
+    rows, _, _ = gram.cross_validated(train, ["q"], "yr", "fold", ALPHAS)
+    out = m.rows_table(train, rows, "alpha double, mean double, std double")
+    return out.select("alpha", *[rnd(F.col(c) / 1e6).alias(c) for c in ("mean", "std")])
+
+
 @query("p06_lasso_by_validation")
 def _(spark, sf):
-    train, _ = parts(spark, sf)
-    train = m.add_folds(train, ["id"], 3, seed=1)
-    return m.grid_search(train, XS, "yr", m.learner("lasso"), {"regParam": [1.0, 100.0, 10000.0]}, "mse", folds=3, fold="fold")[0]
+    """A hundred alphas by three folds from one scan; the best alpha's slopes on all rows."""
+    train = m.add_folds(parts(spark, sf)[0], ["id"], 3, seed=1)
+    rows, model, best = gram.cross_validated(train, XS, "yr", "fold")
+    out = m.rows_table(train, rows, "alpha double, mean double, std double").withColumn("best", F.col("alpha") == best)
+    slopes = F.array(*[F.lit(float(b)) for b in model.slopes])
+    return out.withColumn("slopes", F.when(F.col("best"), slopes))
 
 
 @query("p07_decision_tree")
