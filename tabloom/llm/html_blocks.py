@@ -54,9 +54,21 @@ NAMED = set(
 )
 ROLES = set("navigation banner contentinfo complementary search alert dialog menu menubar form toolbar".split())
 
-#: Words that turn the part of a name after or before them into a setting of a wrapper (has-sidebar, comments-open).
-SETTING_BEFORE = set("has no not without with overflow is show hide hides enable disable".split())
-SETTING_AFTER = set("open opened closed enabled disabled on off active allowed visible none".split())
+#: Parts that may stand beside those words in the name of such an element (related-posts, menu-item); with any other part
+#: the name says something else (related-work, share-prices, has-sidebar, comments-open, overflow-hidden).
+NEUTRAL = set(
+    "archive archives area article articles bar block body bottom box btn button buttons card cards categories category column container content credit "
+    "credits desktop element email entries entry facebook fixed footer form global google group header heading icon icons image info inline inner item "
+    "items js latest law left linkedin link links list main media message meta mobile module more native news next outer page panel pinterest policy "
+    "popular post posts prev previous primary print recent reply right row secondary section site slot sticky stories story tag tags text title top "
+    "trending twitter unit whatsapp wrap wrapper".split()
+)
+#: Names that a part of the story may have as well: inside it they set apart what is short or mostly links.
+WEAK = set("copyright login related search share sharing side skip social".split())
+#: Characters outside links from which on a part with such a name is prose.
+PROSE = 100
+#: Words of a linked line that ends a sentence, from which on it is part of the story around it rather than a title.
+SENTENCE = 8
 #: Names of what readers and advertisers add, and of overlays; that may well be longer than the story.
 ADDED = set(
     "comment comments commentlist disqus respond replies ad ads advert adverts advertisement advertising sponsor sponsored promo promotion "
@@ -69,7 +81,8 @@ _RAW_ELEMENT = re.compile(
     re.S | re.I,
 )
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>", re.S)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+#: Quotes count only where a value begins, as in HTML.
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[\"'][^>]*|[^\s>]*))*+)>")
 _NAME = re.compile(r"(?:^|\s)(?:class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _ROLE = re.compile(r"\brole\s*=\s*[\"']?([a-z]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -77,19 +90,18 @@ _PART = re.compile(r"[^a-z]+")
 
 
 def _named(value: str) -> set[str]:
-    """Words of NAMED that are whole parts of a class or id, and no setting of a wrapper."""
+    """Words of NAMED in the names of a class or id that have no other parts but neutral ones."""
     found = set()
-    for name in value.lower().split():
-        parts = ["", *_PART.split(name.strip("\"'")), ""]
-        for before, part, after in zip(parts, parts[1:], parts[2:]):
-            if part in NAMED and before not in SETTING_BEFORE and after not in SETTING_AFTER:
-                found.add(part)
+    for name in value.strip("\"'").lower().split():
+        parts = {p for p in _PART.split(name) if len(p) > 2 or p in NAMED}
+        if parts <= NAMED | NEUTRAL:
+            found |= parts & NAMED
     return found
 
 
 def _apart(name: str, attributes: str, inside_article: bool) -> str:
     """Whether an element can't hold part of an article: "never"; "added" if it is named so; "likely" if only a
-    page whose text is mostly in it speaks against that; else empty."""
+    page whose text is mostly in it speaks against that; "weak" if prose in it does, too; else empty."""
     if name in NEVER or (name == "header" and not inside_article):
         return "likely" if name in WRAPPING else "never"
     if not attributes or name in ("html", "body", "main"):
@@ -97,6 +109,8 @@ def _apart(name: str, attributes: str, inside_article: bool) -> str:
     found = set().union(*(_named(m[1]) for m in _NAME.finditer(attributes)))
     if found & ADDED:
         return "added"
+    if found and found <= WEAK and inside_article and not _HIDDEN.search(attributes):
+        return "weak"
     if found or ((role := _ROLE.search(attributes)) and role[1].lower() in ROLES) or _HIDDEN.search(attributes):
         return "likely"
     return ""
@@ -163,7 +177,7 @@ def page_lines(html: str) -> list[Line]:
                 stack.append((name, len(kinds) if apart else 0, articles if name == "article" else stack[-1][2] if stack else 0))
     text.append(html[at:])
     flush()
-    kept = _holding_most(lines, around, kinds)
+    kept = _holding_most(lines, around, kinds) | _prose(lines, around, kinds)
     return [line._replace(apart=not kept.issuperset(inside)) for line, inside in zip(lines, around)] if kept else lines
 
 
@@ -184,6 +198,16 @@ def _holding_most(lines: list[Line], around: list[tuple[int, ...]], kinds: list[
     return {k for k, size in enumerate(held) if size > least and 2 * size > total}
 
 
+def _prose(lines: list[Line], around: list[tuple[int, ...]], kinds: list[str]) -> set[int]:
+    """Numbers of the weakly named elements that hold prose: enough text, less than half of it in links."""
+    free, linked = [0] * len(kinds), [0] * len(kinds)
+    for line, inside in zip(lines, around):
+        for k in inside:
+            free[k] += max(len(line.text) - line.linked, 0)
+            linked[k] += line.linked
+    return {k for k, kind in enumerate(kinds) if kind == "weak" and free[k] > PROSE and free[k] > linked[k]}
+
+
 def runs(weights: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
     """(first, after the last) line with weight of each region: it surges at its first line with weight, and dives where
     a whole window of lines after it has none."""
@@ -239,10 +263,15 @@ def stretched(keep: np.ndarray, lines: list[Line], tagged: np.ndarray) -> np.nda
     return out
 
 
+def _sentence(line: Line) -> bool:
+    """Whether a line in an article or main element is a sentence, so that links in it say nothing."""
+    return (line.article > 0 or line.main) and line.text.endswith(".") and line.text.count(" ") + 1 >= SENTENCE
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks with white space as single spaces, joined by single spaces."""
     lines = [line for line in page_lines(html or "") if not line.apart]
-    sizes = np.array([0 if 2 * line.linked > len(line.text) else len(line.text) for line in lines], float)
+    sizes = np.array([0 if 2 * line.linked > len(line.text) and not _sentence(line) else len(line.text) for line in lines], float)
     if not sizes.any():
         return ""
     own, tagged = own_lines(lines, sizes)

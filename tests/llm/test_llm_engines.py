@@ -289,3 +289,33 @@ def test_raw_elements_end_where_they_end(raw):
 
 def test_null_html():
     assert html_blocks.main_text(None) == ""
+
+
+SENTENCES = [f"Sentence number {w} of the story tells what happened on that day in the town." for w in "one two three four five six seven".split()]
+
+
+@pytest.mark.parametrize("named", ["related-work", "social-history", "search-methods", "share-prices", "copyright", "side"])
+def test_sections_of_a_story_may_have_such_names(named):
+    parts = [f"<p>{s}</p>" for s in SENTENCES]
+    html = f"<article>{''.join(parts[:2])}<section class='{named}'>{''.join(parts[2:4])}</section>{''.join(parts[4:])}</article>"
+    assert html_blocks.main_text(html) == " ".join(SENTENCES)
+
+
+@pytest.mark.parametrize("named", ["related-posts", "social-share", "share-buttons", "menu-item-12", "newsletter signup", "copyright", "cookie-law-info-bar", "wp-block-search"])
+def test_parts_that_are_no_story_go(named):
+    parts = "".join(f"<p>{s}</p>" for s in SENTENCES)
+    links = "<a href=x>More of it</a> <a href=y>Other news</a>"
+    assert html_blocks.main_text(f"<article>{parts}<div class='{named}'>{links}</div></article>") == " ".join(SENTENCES)
+
+
+def test_linked_sentences_inside_a_story_stay():
+    parts = [f"<p>{s}</p>" for s in SENTENCES[:2]] + [f"<p><a href=x>{s}</a></p>" for s in SENTENCES[2:6]] + [f"<p>{SENTENCES[6]}</p>"]
+    assert html_blocks.main_text(f"<body><article>{''.join(parts)}</article></body>") == " ".join(SENTENCES)
+    listing = "".join(f"<li><a href=x>Another title {i}</a></li>" for i in range(9))
+    assert html_blocks.main_text(f"<body><article><p>{SENTENCES[0]}</p><ul>{listing}</ul><p>{SENTENCES[1]}</p></article></body>") == " ".join(SENTENCES[:2])
+
+
+@pytest.mark.parametrize("attribute", ["data-x=it's", "title=\"a > b\" data-y='c > d'", "data-q=\"it's\"", "data-z=a=b'"])
+def test_quotes_in_attributes(attribute):
+    html = f"<article><p {attribute}>{SENTENCES[0]}</p><p>It's {SENTENCES[1]}</p></article>"
+    assert html_blocks.main_text(html) == f"{SENTENCES[0]} It's {SENTENCES[1]}"
