@@ -108,11 +108,12 @@ def phrase_matches(index: DataFrame, rare: DataFrame) -> DataFrame:
     """(doc, text_hash, phrase_id, start, length) of every exact occurrence: offset-adjusted lists are intersected
     from the rarest term on, and the context confirms the words between."""
     place = F.col("pos") - F.col("offset")
-    from_rarest = index.join(rare.filter("rank = 1"), "term").filter(place >= 0)
+    # at most RAREST rows for each phrase of a block: broadcast, so that a term that very many texts have stays dealt out
+    from_rarest = index.join(F.broadcast(rare.filter("rank = 1")), "term").filter(place >= 0)
     inside = F.slice("context", F.col("before") - F.col("offset") + 1, F.size("words"))
     exact = from_rarest.filter((F.col("before") >= F.col("offset")) & (inside == F.col("words")))
     first = exact.select("doc", "text_hash", "phrase_id", place.alias("start"), F.size("words").alias("length"))
-    second = index.join(rare.filter("rank = 2"), "term").filter(place >= 0).select("doc", "text_hash", "phrase_id", place.alias("start"))
+    second = index.join(F.broadcast(rare.filter("rank = 2")), "term").filter(place >= 0).select("doc", "text_hash", "phrase_id", place.alias("start"))
     second = second.distinct().alias("s")
     first = first.distinct().alias("f")
     same = F.col("f.doc").eqNullSafe(F.col("s.doc")) & (F.col("f.text_hash") == F.col("s.text_hash")) & (F.col("f.phrase_id") == F.col("s.phrase_id")) & (F.col("f.start") == F.col("s.start"))
@@ -123,7 +124,7 @@ def phrase_matches(index: DataFrame, rare: DataFrame) -> DataFrame:
 def proximity_matches(index: DataFrame, rare: DataFrame, slop: int) -> DataFrame:
     """(doc, text_hash, phrase_id, pos): places of a phrase's rarest term around which all its words lie within a
     span of its length + `slop`, in any order. The index must reach that far."""
-    near = index.join(rare.filter("rank = 1"), "term")
+    near = index.join(F.broadcast(rare.filter("rank = 1")), "term")
     span = F.size("words") + slop
     # every span of that width that holds the posting's own position
     spans = F.transform(
@@ -185,9 +186,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", te
     bad = checkpointed(contamination(docs, items, key, text).filter("contaminated").select("doc", "text_hash").distinct())
     # counted before it is broadcast; more of them are joined by a shuffle
     bad = (F.broadcast(bad) if bad.count() <= BROADCAST_DOCUMENTS else bad).alias("bad")
-    row = docs.withColumn("_text_hash", F.coalesce(F.xxhash64(F.col(text)), F.lit(0))).alias("row")
-    same = F.col(f"row.{key}").eqNullSafe(F.col("bad.doc")) & (F.col("row._text_hash") == F.col("bad.text_hash"))
-    return row.join(bad, same, "left_anti").drop("_text_hash")
+    same = F.col(f"row.{key}").eqNullSafe(F.col("bad.doc")) & (F.coalesce(F.xxhash64(F.col(f"row.{text}")), F.lit(0)) == F.col("bad.text_hash"))
+    return docs.alias("row").join(bad, same, "left_anti")
 
 
 CONTAMINATION_SQL = r"""

@@ -9,7 +9,7 @@ documents aren't dealt out by source; the one shuffle of the texts is keyed by e
 
 Defined cases: a null source is a source of its own; a null id hashes as an empty one; repeated rows get equal counts;
 null or empty texts have length 0; a source without any text is kept at rate 1; an empty table gives no rows; a column
-named like an added one (`copy`) is replaced.
+`copy` is replaced, any other name may occur.
 """
 
 from __future__ import annotations
@@ -61,16 +61,16 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: int = 17, key: str = "doc
     """Each row once for each of its copies, numbered from 0 in `copy`, in a global order drawn by hash."""
     # a row for each source, counted before it is broadcast; more sources than that are joined by a shuffle
     rates = checkpointed(rates)
-    steps = poisson_quantile_table(rates).select(F.col("source").alias("_source"), "steps")
+    steps = poisson_quantile_table(rates).select(F.col("source").alias("of_source"), "steps")
     steps = F.broadcast(steps) if rates.count() <= BROADCAST_SOURCES else steps
-    rows = docs.drop("copy").withColumn("_u", hashed_uniform(seed, F.col(key)))
-    rows = rows.join(steps, F.col(source).eqNullSafe(F.col("_source")))
-    count = F.size(F.filter("steps", lambda s: s < F.col("_u")))
-    copies = rows.withColumn("_n", count).drop("_u", "_source", "steps").filter("_n > 0")
-    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
-    place = hashed_uniform(seed + 1, F.col(key), F.col("copy"))
-    placed = copies.withColumn("_place", place)
-    return placed.repartition(shard_count(docs.sparkSession), "_place").sortWithinPartitions("_place").drop("_place")
+    # the row travels as one column, so that no name of its own meets one of ours
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != "copy"]
+    rows = docs.select(F.struct(*kept).alias("row"), F.col(key).alias("id"), F.col(source).alias("source"), hashed_uniform(seed, F.col(key)).alias("u"))
+    rows = rows.join(steps, F.col("source").eqNullSafe(F.col("of_source")))
+    counted = rows.select("row", "id", F.size(F.filter("steps", lambda s: s < F.col("u"))).alias("n")).filter("n > 0")
+    copies = counted.select("row", "id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    placed = copies.select("row", "copy", hashed_uniform(seed + 1, F.col("id"), F.col("copy")).alias("place"))
+    return placed.repartition(shard_count(docs.sparkSession), "place").sortWithinPartitions("place").select("row.*", "copy")
 
 
 def mix_sources(docs: DataFrame, seed: int = 17, key: str = "doc_id", source: str = "source", text: str = "text", temperature: float = TEMPERATURE) -> DataFrame:

@@ -503,3 +503,30 @@ def test_pipeline_against_plain_code(spark):
             below += p
         expected += [(i, cut[i], rows[i].lang, rows[i].source, len(cut[i]), k) for k in range(n)]
     assert order(corpus_pipeline.run(spark, folder).collect()) == order(expected)
+
+
+INTERNAL = "row id source of_source steps u n place copy doc text_hash _text_hash _n _u _place _source bad term pos words".split()
+
+
+def clashing(spark, rows):
+    """doc_id, text, source, and a column for every name that the operators use inside."""
+    extra = [c for c in INTERNAL if c != "source"]
+    return spark.createDataFrame([(*r, *[k] * len(extra)) for k, r in enumerate(rows)], "doc_id string, text string, source string, " + ", ".join(f"`{c}` int" for c in extra))
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    docs = clashing(spark, [(f"d{k}", "some text " * k, None if k == 3 else "s") for k in range(30)])
+    plain = mixing.mix_sources(docs.select("doc_id", "text", "source"))
+    mixed = mixing.mix_sources(docs)
+    assert mixed.columns == [c for c in docs.columns if c != "copy"] + ["copy"]
+    assert order(mixed.select("doc_id", "copy").collect()) == order(plain.select("doc_id", "copy").collect())
+    of = {r.doc_id: r.steps for r in docs.collect()}
+    assert all(r.steps == of[r.doc_id] == r.row and r.source == (None if r.doc_id == "d3" else "s") for r in mixed.collect())
+
+
+def test_dropping_contaminated_keeps_columns_of_any_name(spark):
+    passage = " ".join(f"word{k}" for k in range(20))
+    docs = clashing(spark, [("a", passage, "s"), ("b", "clean text of its own", "s"), (None, passage, "s"), ("c", None, None)])
+    kept = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, passage)], "item_id long, text string"))
+    assert kept.schema == docs.schema
+    assert order(kept.collect()) == order(docs.filter("doc_id in ('b', 'c')").collect())
