@@ -2,7 +2,8 @@
 
 Every line of every text is a sparse vector of hashed words, weighted by how few lines of the corpus have them; the
 document frequencies are counted over all lines, as one fixed-size array of buckets. Lines are compared with statements
-of one sentence; for whole notices and licence texts (`license_notices`), which wrap over lines, so is every window of
+of one sentence, and a similar line counts only if it has the words by which the licence differs from others, none of
+another's and no negation (`names_licence`); for whole notices and licence texts (`license_notices`), which wrap over lines, so is every window of
 words as long as the notice, over the whole text. Windows are looked at only in texts that hold enough of a notice's
 weight to be similar at all, which loses none. Where similar windows overlap the most similar counts, and a line inside
 one says no more. A line as similar to one licence as to another names neither. A file has all licences found, and first
@@ -16,6 +17,7 @@ licence files the first by path; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.operators.core import checkpointed
+
 from .arrays import LOWER, Words, blocks, byte_hasher, text_bytes
 from .license_notices import NOTICES
 from .toxicity import NOT_ALPHANUMERIC
@@ -34,21 +38,72 @@ NOTICE_SIMILAR = 0.85
 #: Names of licence files.
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|copyright|notice)([.-].*)?$"
 
-# How texts state common licences.
-TEMPLATES = {
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted.", "Released under the BSD 3-Clause License."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."],
+# Names of common licences, how texts state them, and other statements.
+NAMES = {
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU AGPL v3", "AGPLv3"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache 2.0 License"],
+    "BSD-2-Clause": ["BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License"],
+    "CC-BY-4.0": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-NC-ND-4.0": ["CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"],
+    "CC-BY-NC-SA-4.0": ["CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
+    "CC-BY-ND-4.0": ["CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "CC-BY-SA-4.0": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU GPL v2", "GPLv2"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU GPL v3", "GPLv3"],
+    "ISC": ["ISC License"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU LGPL v3", "LGPLv3"],
+    "MIT": ["MIT License"],
+    "MPL-2.0": ["Mozilla Public License, v. 2.0", "MPL 2.0"],
+}
+FORMS = ["{}", "{} or later", "Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}."]
+OTHER = {
+    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted."],
+    "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "all-rights-reserved": ["All rights reserved."],
+    "all-rights-reserved": ["All rights reserved.", "Copyright. All rights reserved."],
+}
+# What tells the licences apart, and other words for it.
+KINDS = set("gnu lesser affero apache bsd mit isc mozilla cc nc nd sa".split())
+SAME = {
+    "gpl": "gnu", "gplv2": "gnu 2", "gplv3": "gnu 3", "lgpl": "gnu lesser", "lgplv3": "gnu lesser 3", "agpl": "gnu affero", "agplv3": "gnu affero 3", "mpl": "mozilla",
+    "creative": "cc", "noncommercial": "nc", "commercial": "nc", "sharealike": "sa", "alike": "sa", "noderivatives": "nd", "noderivs": "nd", "derivatives": "nd",
+    "v2": "2", "v3": "3", "v4": "4",
+}
+VERSIONS = set("1 2 3 4".split())
+NEGATIONS = set("not no never nor isn aren wasn cannot unlike without".split())
+#: One of these stands in every line that names a licence.
+LICENCE_WORDS = set("license licence licensed licenced licensing spdx gpl gplv2 gplv3 lgpl lgplv3 agpl agplv3 mpl cc commons".split())
+
+TEMPLATES = {
+    name: [form.format(title) for title in NAMES.get(name, []) for form in FORMS] + ([f"SPDX-License-Identifier: {name}"] if name in NAMES else []) + OTHER.get(name, [])
+    for name in sorted({*NAMES, *OTHER})
 }
+_WORD = re.compile(r"[^\W_]+")
+
+
+def stated_kinds(text: str) -> tuple[list[str], set[str], set[str]]:
+    """(words, kinds of licences, versions) that a line names; conditions of Creative Commons count only beside it."""
+    words = _WORD.findall(text.lower())
+    meant = {m for w in words for m in SAME.get(w, w).split()}
+    kinds = meant & KINDS
+    return words, kinds if "cc" in kinds else kinds - {"nc", "nd", "sa"}, meant & VERSIONS
+
+
+def names_licence(text: str, licence: str, template: str) -> bool:
+    """Whether a line that is similar to a licence's statement says so: it has the kinds and the version by which the
+    licence differs from others and none of another, no negation beside the statement's own, and `all rights reserved`
+    as it stands."""
+    words, kinds, versions = stated_kinds(text)
+    own_words, own_kinds, own_versions = stated_kinds(template)
+    if set(words) & NEGATIONS - set(own_words):
+        return False
+    if licence == "all-rights-reserved":
+        return not kinds and "all rights reserved" in " ".join(words)
+    if not own_kinds:  # a statement that names no licence
+        return kinds <= stated_kinds(licence)[1]
+    return kinds == own_kinds and (not own_versions or versions == own_versions) and bool(LICENCE_WORDS.intersection(words))
 
 
 def word_buckets(words: Words) -> np.ndarray:
@@ -92,15 +147,40 @@ def inverse_frequencies(frequencies: np.ndarray) -> np.ndarray:
     return np.log((1 + frequencies[BUCKETS]) / (1 + frequencies[:BUCKETS])) + 1
 
 
-def template_vectors(idf: np.ndarray, templates: dict[str, list[str]] = TEMPLATES) -> tuple[list[str], np.ndarray]:
-    """(names, unit vectors) of the templates' statements, in the order of the names."""
+def template_vectors(idf: np.ndarray, templates: dict[str, list[str]] = TEMPLATES) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+    """(names, statements, their unit vectors over the buckets that any of them has, place of each bucket or -1)."""
     names = [name for name in sorted(templates) for _ in templates[name]]
-    texts = [t.encode() for name in sorted(templates) for t in templates[name]]
+    statements = [t for name in sorted(templates) for t in templates[name]]
+    texts = [t.encode() for t in statements]
     data = np.frombuffer(b"".join(texts), np.uint8)
     line, bucket, times, _, _ = line_terms(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
-    out = np.zeros((len(texts), BUCKETS), np.float32)
-    out[line, bucket] = times * idf[bucket]
-    return names, out / np.linalg.norm(out, axis=1, keepdims=True)
+    used = np.unique(bucket)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    out = np.zeros((len(texts), len(used)), np.float32)
+    out[line, place[bucket]] = times * idf[bucket]
+    return names, statements, out / np.linalg.norm(out, axis=1, keepdims=True), place
+
+
+def line_cosines(line: np.ndarray, bucket: np.ndarray, weight: np.ndarray, n: int, vectors: np.ndarray, place: np.ndarray, step: int = 1 << 14) -> Iterator[tuple[int, np.ndarray]]:
+    """(line, its cosines to all templates) of the lines that have a template's word."""
+    norm = np.maximum(np.sqrt(np.bincount(line, weight**2, minlength=n)), 1e-12)
+    hit = np.flatnonzero(place[bucket] >= 0)
+    used, row = np.unique(line[hit], return_inverse=True)
+    for at in range(0, len(used), step):
+        own = hit[(row >= at) & (row < at + step)]
+        sparse = np.zeros((min(step, len(used) - at), vectors.shape[1]), np.float32)
+        sparse[np.searchsorted(used, line[own]) - at, place[bucket[own]]] = weight[own]
+        cosines = sparse @ vectors.T
+        cosines /= norm[used[at : at + step], None]
+        yield from zip(used[at : at + step].tolist(), cosines)
+
+
+def line_span(data: np.ndarray, offsets: np.ndarray, document: int, number: int) -> tuple[int, int]:
+    """Where a line of a document begins and ends."""
+    start, stop = int(offsets[document]), int(offsets[document + 1])
+    ends = np.flatnonzero(data[start:stop] == 10) + start
+    return (start if number == 0 else int(ends[number - 1]) + 1), (int(ends[number]) if number < len(ends) else stop)
 
 
 class Notices:
@@ -173,38 +253,36 @@ def own_licences(
     """path, `keep` columns, licence (null if none is similar enough), cosine and number of the most similar line (the
     first of a notice), and all licences by name."""
     idf = inverse_frequencies(line_frequencies(files, text))
-    names, vectors = template_vectors(idf)
-    shared = files.sparkSession.sparkContext.broadcast((idf, names, vectors, vectors.any(axis=0), Notices(idf)))
+    names, texts, vectors, place = template_vectors(idf)
+    shared = files.sparkSession.sparkContext.broadcast((idf, names, texts, vectors, place, Notices(idf)))
     source = files.select(F.col(path).alias("path"), F.col(text).alias("text"), *keep)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, names, vectors, used, notices = shared.value
+        idf, names, texts, vectors, place, notices = shared.value
         for block in blocks(batches, "text"):
             data, offsets = text_bytes(block["text"])
             line, bucket, times, document, number = line_terms(data, offsets)
-            weight = times * idf[bucket]
-            norm = np.sqrt(np.bincount(line, weight**2, minlength=len(document)))
-            hit = used[bucket]
-            cosine, best, tied = np.zeros(len(document)), np.zeros(len(document), np.int64), np.zeros(len(document), bool)
-            for t in range(len(names)):
-                score = np.bincount(line[hit], weight[hit] * vectors[t][bucket[hit]], minlength=len(document)) / np.maximum(norm, 1e-12)
-                better = score > cosine + 1e-9
-                if t:
-                    other = np.array([name != names[t] for name in names])[best]
-                    tied = np.where(better, False, tied | (other & (score > cosine - 1e-9)))
-                cosine[better], best[better] = score[better], t
+            cosine, named = np.zeros(len(document)), []
+            for k, row in line_cosines(line, bucket, times * idf[bucket], len(document), vectors, place):
+                cosine[k] = row.max()
+                if cosine[k] >= threshold:
+                    start, stop = line_span(data, offsets, int(document[k]), int(number[k]))
+                    said = bytes(data[start:stop]).decode("utf-8", "replace")
+                    best = [(round(-float(row[t]), 9), names[t]) for t in np.flatnonzero(row >= threshold) if names_licence(said, names[t], texts[t])]
+                    best = sorted(set(best))
+                    if best and all(c > best[0][0] for c, name in best if name != best[0][1]):
+                        named.append((k, best[0][1], -best[0][0]))
             found: list[list[tuple[float, str, int, int]]] = [[] for _ in range(block.num_rows)]
             can = notices.candidates(document[line], bucket, block.num_rows, notice_threshold)
             for d in np.flatnonzero(can.any(axis=1)).tolist():
                 found[d] = notices.find(data[offsets[d] : offsets[d + 1]], np.flatnonzero(can[d]), notice_threshold)
             # the most similar line of every file, for its cosine, and the lines that name a licence
-            order = np.lexsort((number, -cosine, document))
             top = np.zeros(block.num_rows)
             np.maximum.at(top, document, cosine)
-            for k in order[(cosine[order] >= threshold) & ~tied[order]].tolist():
+            for k, name, value in sorted(named, key=lambda x: (document[x[0]], -x[2], number[x[0]])):
                 d, n = int(document[k]), int(number[k])
                 if not any(first <= n <= last for *_, first, last in found[d]):
-                    found[d].append((float(cosine[k]), names[best[k]], n, n - 1))
+                    found[d].append((value, name, n, n - 1))
             yield pa.RecordBatch.from_arrays(
                 [block["path"]]
                 + [block[k] for k in keep]
@@ -250,4 +328,5 @@ def inherited_licences(found: DataFrame) -> DataFrame:
 
 
 def scan_licences(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    return inherited_licences(own_licences(files, path, text, keep))
+    # read for licence files, for the directories above and for the result: the texts are scanned once
+    return inherited_licences(checkpointed(own_licences(files, path, text, keep)))

@@ -530,3 +530,41 @@ def test_dropping_contaminated_keeps_columns_of_any_name(spark):
     kept = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, passage)], "item_id long, text string"))
     assert kept.schema == docs.schema
     assert order(kept.collect()) == order(docs.filter("doc_id in ('b', 'c')").collect())
+
+
+STATED = {
+    "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0",
+    "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": "CC-BY-ND-4.0",
+    "Creative Commons Attribution 4.0 International License": "CC-BY-4.0",
+    "This work is not licensed under the GNU General Public License, version 2.": None,
+    "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+    "All rights are reserved for the hotel guests of the night.": None,
+    "Copyright 2020 Jane Roe. All rights reserved.": "all-rights-reserved",
+    "# SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+    "// SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0",
+    "SPDX-License-Identifier: MIT": "MIT",
+    "GNU GPL v3 or later": "GPL-3.0",
+    "Licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+    "GNU General Public License, version 2 or 3": None,
+    "Apache Spark 2.0 and later": None,
+    "The rights of all guests are reserved to the hotel": None,
+    "Released under the BSD 2-Clause License.": "BSD-2-Clause",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "MPL-2.0",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.": "MIT",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted.": "BSD-3-Clause",
+}
+
+
+@pytest.mark.parametrize("with_corpus", [False, True])
+def test_lines_name_a_licence_by_what_tells_it_apart(spark, with_corpus):
+    rows = [(f"d{k}/x.txt", line) for k, line in enumerate(STATED)]
+    if with_corpus:
+        rows += [(f"m{k}/y.txt", "plain prose of the corpus under the sun " * 3) for k in range(80)]
+        rows += [(f"n{k}/z.txt", f"one line\n{line}\nand another") for k, line in enumerate(STATED)]
+    files = spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: r.licence for r in license_scan.scan_licences(files).collect()}
+    wrong = {line: got[f"d{k}/x.txt"] for k, line in enumerate(STATED) if got[f"d{k}/x.txt"] != STATED[line]}
+    if with_corpus:
+        wrong |= {f"in text: {line}": got[f"n{k}/z.txt"] for k, line in enumerate(STATED) if got[f"n{k}/z.txt"] != STATED[line]}
+    assert not wrong
