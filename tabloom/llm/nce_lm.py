@@ -6,9 +6,10 @@ words by their endings, and the end of a text. A word of a class has the class's
 within it, with one place for unknown words, so the model is normalised over an open vocabulary.
 
 Counts of all words over all training documents come from one exchange of sorted key lists (see `repeats`); only the
-most frequent words and a sum for each class reach the driver. Every round of training runs over all training text:
-each partition takes gradient steps on its own chunks from the common parameters, and the results are averaged, by
-slices of the parameters. Normalisers are batched matrix products over all pairs of context symbols, made once.
+most frequent words and a sum for each class reach the driver. Documents are dealt to as many shards as the session has
+shuffle partitions by a hash of id and text and ordered by it, so that the model follows from the rows alone, however
+they were partitioned before. Every round of training runs over all training text: each shard takes gradient steps on
+its own chunks from the common parameters, and the results are averaged, by slices of the parameters. Normalisers are batched matrix products over all pairs of context symbols, made once.
 
 Defined cases: a null or empty text has the end as its only token; a null id is learnt from, like any id whose
 remainder isn't the held-out one; repeated rows count each; an empty table gives no rows; other columns are not read.
@@ -284,8 +285,11 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
     spark = docs.sparkSession
     out = F.coalesce(id_remainder(key, folds) == held, F.lit(False))
     narrow = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), (~out).alias("train"))
-    chunks = pack_chunks(narrow, "text")
-    counts = count_words(chunks, shard_count(spark))
+    # what a task learns from, and in which order, follows from the rows alone, not from the files they lie in
+    shards = shard_count(spark)
+    dealt = narrow.withColumn("h", F.xxhash64("doc", "text")).repartition(shards, "h").sortWithinPartitions("h", "doc").drop("h")
+    chunks = pack_chunks(dealt, "text")
+    counts = count_words(chunks, shards)
     words = vocabulary(counts, narrow.filter("train").count())
     model = fit_model(chunks, words)
     shared = spark.sparkContext.broadcast((words, model.flat, model.normalisers()))

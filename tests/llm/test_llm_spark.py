@@ -568,3 +568,14 @@ def test_lines_name_a_licence_by_what_tells_it_apart(spark, with_corpus):
     if with_corpus:
         wrong |= {f"in text: {line}": got[f"n{k}/z.txt"] for k, line in enumerate(STATED) if got[f"n{k}/z.txt"] != STATED[line]}
     assert not wrong
+
+
+def test_scores_do_not_follow_the_partitions(spark):
+    rng = random.Random(12)
+    vocabulary = [prose(rng, 1) for _ in range(300)]
+    rows = [(k if k % 50 else None, " ".join(rng.choice(vocabulary[: rng.choice([20, 300])]) for _ in range(rng.randint(0, 60)))) for k in range(400)]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
+    a, b, c = ([tuple(r) for r in nce_lm.score_documents(d).collect()] for d in (docs, docs.repartition(7), docs.orderBy(F.desc("text")).coalesce(1)))
+    for other in (b, c):
+        for x, y in zip(order(a), order(other)):
+            assert x[:5] == y[:5] and x[5] == pytest.approx(y[5], abs=1e-6) and x[6] == pytest.approx(y[6], abs=1e-6 * x[2])
