@@ -86,3 +86,22 @@ def t_critical(share_two_sided: float, df: float) -> float:
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if t_two_sided(mid, df) > share_two_sided else (lo, mid)
     return (lo + hi) / 2
+
+
+# MacKinnon's (1994) response surface of the Dickey-Fuller t with a constant, one variable: least and
+# largest statistic, the point between its two polynomials, and their coefficients.
+UNIT_ROOT_RANGE = (-18.83, 2.74)
+UNIT_ROOT_BREAK = -1.61
+UNIT_ROOT_LOW = (2.1659, 1.4412, 0.038269)
+UNIT_ROOT_HIGH = (1.7339, 0.93202, -0.12745, -0.010368)
+
+
+def unit_root_p(t: float) -> float:
+    """Approximate p-value of a Dickey-Fuller statistic (regression with a constant)."""
+    if t <= UNIT_ROOT_RANGE[0]:
+        return 0.0
+    if t >= UNIT_ROOT_RANGE[1]:
+        return 1.0
+    surface = UNIT_ROOT_LOW if t <= UNIT_ROOT_BREAK else UNIT_ROOT_HIGH
+    z = sum(c * t**i for i, c in enumerate(surface))
+    return 0.5 * math.erfc(-z / math.sqrt(2))

@@ -55,13 +55,32 @@ def label_profile(df: DataFrame, label: str, target: str) -> DataFrame:
     return grouped.select(label, "n", (F.col("n") / rows).alias("share"), "target_mean")
 
 
-def nearest_place(df: DataFrame, lat: str, lon: str, places: DataFrame, key: str) -> DataFrame:
-    """Nearest of a set of (place, latitude, longitude) and its distance in km: the exact
-    neighbour search on points of the unit sphere, whose chords are ordered as the arcs."""
+#: Places that every row is compared with inside its task; a longer list goes through the neighbour search.
+PLACES = 4096
 
+
+def nearest_place(df: DataFrame, lat: str, lon: str, places: DataFrame, key: str, most: int = PLACES) -> DataFrame:
+    """Nearest of a set of (place, latitude, longitude), the smallest name of equally near ones, and its distance in km.
+
+    A short list, counted first, is an array in each task, so rows aren't shuffled. A longer one is searched exactly as
+    points of the unit sphere, whose chords are ordered as the arcs; the key must then tell rows apart."""
+    listed = places.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    short = listed.limit(most + 1).collect()
+    if len(short) > most:
+        return _nearest_of_many(df, lat, lon, places, key)
+    if not short:
+        return df.withColumns({"nearest": F.lit(None).cast(places.schema["place"].dataType), "km": F.lit(None).cast("double")})
+    spots = F.array(*[F.struct(F.lit(r["place"]).alias("place"), F.lit(float(r["latitude"])).alias("la"), F.lit(float(r["longitude"])).alias("lo")) for r in short])
+    away = F.transform(spots, lambda s: F.struct(haversine(F.col(lat), F.col(lon), s["la"], s["lo"]).alias("km"), s["place"].alias("place")))
+    here = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    best = F.when(here, F.array_min(away))
+    return df.withColumn("_best", best).withColumns({"nearest": F.col("_best.place"), "km": F.col("_best.km")}).drop("_best")
+
+
+def _nearest_of_many(df: DataFrame, lat: str, lon: str, places: DataFrame, key: str) -> DataFrame:
     def sphere(la: Column, lo: Column) -> Column:
         a, b = F.radians(la), F.radians(lo)
-        return F.array(F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a))
+        return F.when(la.isNotNull() & lo.isNotNull(), F.array(F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)))
 
     score = df.select(F.col(key).alias("id"), sphere(F.col(lat), F.col(lon)).alias("vec"))
     train = places.select(

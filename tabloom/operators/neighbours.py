@@ -44,7 +44,7 @@ def _matrix(col: pd.Series) -> np.ndarray:
 
 
 def nearest(score: DataFrame, train: DataFrame, k: int, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS, asked_rows: int = ASKED_ROWS) -> DataFrame:
-    """(score_id, train_id, distance, rank) from tables of (id, vec array)."""
+    """(score_id, train_id, distance, rank) from tables of (id, vec array); rows with a null vector are left out."""
     found = _against_blocks(score, train, k, pivots, block_rows, asked_rows)
     # at most k candidates per block reach one score row
     best = Window.partitionBy("score_id").orderBy("distance", "train_id")
@@ -65,8 +65,8 @@ def _against_blocks(
     score: DataFrame, train: DataFrame, k: int, pivots: int, block_rows: int, asked_rows: int
 ) -> DataFrame:
     spark = score.sparkSession
-    score = score.select("id", F.col("vec").cast("array<double>").alias("vec"))
-    train = train.select("id", F.col("vec").cast("array<double>").alias("vec"))
+    # a row without a vector has no neighbours and is none
+    score, train = (d.select("id", F.col("vec").cast("array<double>").alias("vec")).where("vec is not null") for d in (score, train))
     chosen = train.orderBy(F.xxhash64("id"), "id").limit(pivots).toPandas()
     centre = spark.sparkContext.broadcast(_matrix(chosen["vec"]))
 

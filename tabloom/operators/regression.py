@@ -7,6 +7,7 @@ from the means, which keeps them well conditioned.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -229,9 +230,45 @@ def goldfeld_quandt(
     return rows_table(df, [(f, tails.f_upper(f, high.dof, low.dof))], "f double, p double")
 
 
+#: Functions of a formula in Spark SQL's words; others are taken as they are. I(...) is plain arithmetic.
+FORMULA_FUNCTIONS = {"log": "ln", "I": "", "np.log": "ln", "np.sqrt": "sqrt", "np.exp": "exp", "np.log1p": "log1p"}
+
+
+def formula_columns(formula: str) -> tuple[str, dict[str, Column]]:
+    """The formula with a column name in place of each function term, and the columns: log(b), I(a * b) and other
+    expressions of Spark SQL, and C(c), a column taken as labels."""
+    out, columns, at = [], {}, 0
+    for call in re.finditer(r"[A-Za-z_][A-Za-z_0-9.]*\(", formula):
+        if call.start() < at:
+            continue  # inside a term that is taken as a whole
+        depth, end = 1, call.end()
+        while depth:
+            if end == len(formula):
+                raise ValueError(f"a bracket stays open in {formula!r}")
+            depth += {"(": 1, ")": -1}.get(formula[end], 0)
+            end += 1
+        name, inner = call[0][:-1], formula[call.end() : end - 1]
+        if name == "C":
+            column = F.expr(inner).cast("string")
+        else:
+            for alias, own in FORMULA_FUNCTIONS.items():
+                inner = re.sub(rf"(?<![\w.]){re.escape(alias)}\(", f"{own}(", inner)
+            column = F.expr(f"{FORMULA_FUNCTIONS.get(name, name)}({inner})")
+        made = f"term_{len(columns)}"
+        columns[made] = column
+        out += [formula[at : call.start()], made]
+        at = end
+    return "".join([*out, formula[at:]]), columns
+
+
 def formula_design(df: DataFrame, formula: str) -> DataFrame:
-    """``features`` and ``label`` columns of an R-style formula."""
-    return RFormula(formula=formula).fit(df).transform(df)
+    """``features`` and ``label`` columns of an R-style formula, which may hold functions of columns on either side:
+    `log(y) ~ a + log(b) + C(c):d`. Spark ML's RFormula builds the design."""
+    plain, columns = formula_columns(formula)
+    if set(columns) & set(df.columns):
+        raise ValueError("the table has a column named like a term of the formula")
+    wide = df.withColumns(columns) if columns else df
+    return RFormula(formula=plain).fit(wide).transform(wide).drop(*columns)
 
 
 def simple_regressions(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:

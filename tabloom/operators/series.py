@@ -6,8 +6,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import tails
 from .ordered import CHUNK_ROWS, join_on, running_by_position, with_halo
@@ -153,6 +154,87 @@ def dickey_fuller(
     return gram.select(*by, solve("n", "g").alias("statistic"), "n")
 
 
+def _gram_of_lags(df: DataFrame, by: Sequence[str], order: str, value: str, max_lag: int, chunk: int) -> DataFrame:
+    """(by..., lag, n, g): for each number of lags the cross products of (1, level, lagged changes..., change) over all
+    rows that have them, in one pass."""
+    rows = _centred(df.where(F.col(value).isNotNull()).select(*by, order, value), by, [value])
+    ordered, w = in_order(rows, by, order, max_lag + 1, chunk=chunk)
+    ordered = ordered.withColumns({f"_x{k}": F.lag(value, k).over(w) for k in range(1, max_lag + 2)}).where("own = 1")
+    names = [value, *[f"_x{k}" for k in range(1, max_lag + 2)]]
+    fields = [ordered.schema[b] for b in by]
+    schema = T.StructType([*fields, T.StructField("lag", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("g", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for batch in batches:
+            for _, part in batch.groupby(list(by), dropna=False, sort=False) if by else [((), batch)]:
+                x = part[names].to_numpy(float)
+                change = x[:, :-1] - x[:, 1:]
+                out = []
+                for lag in range(max_lag + 1):
+                    design = np.column_stack([np.ones(len(x)), x[:, 1], change[:, 1 : lag + 1], change[:, 0]])
+                    design = design[~np.isnan(design).any(axis=1)]
+                    out.append((lag, len(design), (design.T @ design).ravel().tolist()))
+                made = pd.DataFrame(out, columns=["lag", "n", "g"])
+                for i, b in enumerate(by):
+                    made.insert(i, b, [part[b].iloc[0]] * len(made))
+                yield made
+
+    parts = ordered.select(*by, *names).mapInPandas(run, schema)
+    size = (max_lag + 3) ** 2  # shorter rows are padded with nulls
+    sums = F.array(*[F.sum(F.get("g", F.lit(i))) for i in range(size)])
+    return parts.groupBy(*by, "lag").agg(F.sum("n").alias("n"), sums.alias("g"))
+
+
+def _level_test(gram: np.ndarray, n: int) -> tuple[float | None, float | None]:
+    """(t of the level, log-likelihood) of the regression of the last column on the others."""
+    a, b, yy = gram[:-1, :-1], gram[:-1, -1], gram[-1, -1]
+    k = len(a)
+    if n <= k or np.linalg.matrix_rank(a) < k:
+        return None, None
+    inverse = np.linalg.inv(a)
+    beta = inverse @ b
+    sse = float(yy - beta @ b)
+    if sse <= 0:
+        return None, None
+    return float(beta[1] / math.sqrt(sse / (n - k) * inverse[1, 1])), -n / 2 * (math.log(2 * math.pi) + math.log(sse / n) + 1)
+
+
+def dickey_fuller_by_criterion(
+    df: DataFrame, by: Sequence[str], order: str, value: str, max_lag: int, criterion: str = "aic", chunk: int = CHUNK_ROWS
+) -> DataFrame:
+    """(by..., lag, statistic, p, n): the number of lagged changes that minimises the criterion ("aic", "bic") over the
+    rows that have the most lags, then the test with that many over all its rows; the p-value by MacKinnon's surface.
+
+    The regressions with fewer lags are parts of the one with most, so one matrix a series holds them all."""
+    grams = _gram_of_lags(df, by, order, value, max_lag, chunk)
+    rows = grams.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("lag", "n", "g"))).alias("_grams"))  # a row for each lag
+
+    @F.pandas_udf("lag int, statistic double, p double, n long")
+    def solve(series: pd.Series) -> pd.DataFrame:
+        out = []
+        for found in series:
+            grams = {r["lag"]: (np.array(r["g"][: (r["lag"] + 3) ** 2], float).reshape(r["lag"] + 3, -1), r["n"]) for r in found}
+            most, n = grams[max_lag]
+            best = None
+            for lag in range(max_lag + 1):
+                keep = [*range(lag + 2), max_lag + 2]
+                _, likelihood = _level_test(most[np.ix_(keep, keep)], n)
+                if likelihood is not None:
+                    k = lag + 2
+                    worth = -2 * likelihood + (2 if criterion == "aic" else math.log(n)) * k
+                    if best is None or worth < best[0]:
+                        best = worth, lag
+            if best is None:
+                out.append((None, None, None, n))
+                continue
+            gram, n = grams[best[1]]
+            t, _ = _level_test(gram, n)
+            out.append((best[1], t, None if t is None else tails.unit_root_p(t), n))
+        return pd.DataFrame(out, columns=["lag", "statistic", "p", "n"])
+
+    return rows.select(*by, solve("_grams").alias("_solved")).select(*by, "_solved.*")
+
+
 def kpss(df: DataFrame, by: Sequence[str], order: str, value: str, lags: int, chunk: int = CHUNK_ROWS) -> DataFrame:
     """(by..., statistic): KPSS statistic around a linear trend with a Bartlett window."""
     rows = df.where(F.col(value).isNotNull()).select(*by, order, value)
@@ -188,10 +270,13 @@ def normality(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
 
 def density_grid(df: DataFrame, value: str, points: int = 50, bandwidth: float | None = None) -> DataFrame:
     """(x, density): Gaussian kernel density on an even grid, Scott's bandwidth by default.
-    Every row meets the grid inside its task and is summed before the shuffle."""
+    Every row meets the grid inside its task and is summed before the shuffle. Without a spread (fewer than two values,
+    or equal ones) there is no density to speak of: the result is empty unless a bandwidth is given."""
     row = df.agg(
         F.count(value).alias("n"), F.min(value).alias("a"), F.max(value).alias("b"), F.stddev_samp(value).alias("s")
     ).first()
+    if not row["n"] or not (bandwidth or row["s"]):
+        return df.sparkSession.createDataFrame([], "point int, x double, density double")
     h = bandwidth or row["s"] * row["n"] ** -0.2
     lo, hi = row["a"] - 3 * h, row["b"] + 3 * h
     grid = [lo + (hi - lo) * i / (points - 1) for i in range(points)]

@@ -98,9 +98,22 @@ def _(spark, sf):
     return out.withColumn("statistic", rnd("statistic"))
 
 
-@query("s06_dickey_fuller")
+@query(
+    "s06_dickey_fuller",
+    f"""WITH {ROWS}, g AS (SELECT series, v - lag(v) OVER w AS dv, lag(v) OVER w AS v1, lag(v) OVER w - lag(v, 2) OVER w AS d1 FROM c WINDOW w AS (PARTITION BY series ORDER BY t)),
+        f AS (SELECT series, count(*) AS n, var_pop(v1) * count(*) AS s11, var_pop(d1) * count(*) AS s22, covar_pop(v1, d1) * count(*) AS s12,
+                     covar_pop(v1, dv) * count(*) AS s1y, covar_pop(d1, dv) * count(*) AS s2y, var_pop(dv) * count(*) AS syy FROM g WHERE d1 IS NOT NULL GROUP BY series),
+        b AS (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM f)
+        SELECT series, RND(b1 / sqrt((syy - b1 * s1y - b2 * s2y) / (n - 3) * s22 / (s11 * s22 - s12 * s12))) AS statistic, n FROM b""",
+)
+def _(spark, sf):
+    return ts.dickey_fuller(series(spark, sf), ["series"], "day", "v", lags=1).withColumn("statistic", rnd("statistic"))
+
+
+@query("s06_lag_by_criterion")
 def _(spark, sf):
-    return ts.dickey_fuller(series(spark, sf), ["series"], "day", "v", lags=1)
+    """The number of lags by Akaike's criterion, the statistic with it and its p-value."""
+    return ts.dickey_fuller_by_criterion(series(spark, sf), ["series"], "day", "v", max_lag=6)
 
 
 @query(
@@ -297,12 +310,29 @@ def _(spark, sf):
 def _(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
-    df = table(spark, sf, "orders").withColumn("log_price", F.ln("o_totalprice"))
-    design = reg.formula_design(df, "log_price ~ o_custkey + o_orderstatus")
+    design = reg.formula_design(table(spark, sf, "orders"), "log(o_totalprice) ~ o_custkey + C(o_orderstatus)")
     model = m.learner("linear").fit(design)
     return model.transform(design).select("o_orderkey", vector_to_array("features").alias("features"), "label", "prediction")
 
 
+@query(
+    "t10_formula_design",
+    """WITH k AS (SELECT o_orderstatus AS s, row_number() OVER (ORDER BY count(*) DESC, o_orderstatus) AS r, count(*) OVER () AS labels FROM orders GROUP BY 1)
+       SELECT o_orderkey, RND(ln(o_totalprice)) AS label, RND(sqrt(o_custkey)) AS root, RND(o_custkey * week / 100.0) AS product,
+              CAST(CASE WHEN r = 1 THEN 1 ELSE 0 END AS DOUBLE) AS first_label, CAST(CASE WHEN r = 2 THEN 1 ELSE 0 END AS DOUBLE) AS second_label
+       FROM (SELECT *, o_orderkey % 7 AS week FROM orders) o JOIN k ON o_orderstatus = s""",
+)
+def _(spark, sf):
+    """Functions on both sides, arithmetic and labels; the last of the labels by frequency is the base."""
+    from pyspark.ml.functions import vector_to_array
+
+    df = table(spark, sf, "orders").withColumn("week", F.col("o_orderkey") % 7)
+    design = reg.formula_design(df, "log(o_totalprice) ~ sqrt(o_custkey) + I(o_custkey * week / 100) + C(o_orderstatus)")
+    x = design.select("o_orderkey", rnd("label").alias("label"), vector_to_array("features").alias("x"))
+    names = ("root", "product", "first_label", "second_label")
+    return x.select("o_orderkey", "label", *[(rnd(F.col("x")[i]) if i < 2 else F.col("x")[i]).alias(n) for i, n in enumerate(names)])
+
+
 @query(
     "t11_simple_regressions",
     " UNION ALL ".join(

@@ -145,3 +145,70 @@ def test_prediction_interval_covers(design):
     out = reg.prediction_interval(df, reg.ols(df, ["a", "b"], "y"))
     share = out.agg(F.avg(((F.col("y") >= F.col("low")) & (F.col("y") <= F.col("high"))).cast("int"))).first()[0]
     assert 0.88 <= share <= 1.0
+
+
+def brute_level_test(v, lag, first):
+    """(t of the level, log-likelihood) of the regression with so many lagged changes, on changes from `first` on."""
+    d = np.diff(v)
+    rows = range(first, len(d))
+    x = np.array([[1.0, v[t], *[d[t - k] for k in range(1, lag + 1)]] for t in rows])
+    y = np.array([d[t] for t in rows])
+    b = np.linalg.lstsq(x, y, rcond=None)[0]
+    sse, n = ((y - x @ b) ** 2).sum(), len(y)
+    se = np.sqrt(sse / (n - x.shape[1]) * np.linalg.inv(x.T @ x)[1, 1])
+    return b[1] / se, -n / 2 * (np.log(2 * np.pi) + np.log(sse / n) + 1)
+
+
+@pytest.mark.parametrize("chunk", [13, 100_000])
+@pytest.mark.parametrize("criterion", ["aic", "bic"])
+def test_lag_is_the_one_of_brute_force_refits(spark, chunk, criterion):
+    rng = np.random.default_rng(3)
+    made, rows = {}, []
+    for s, memory in (("a", 0.3), ("b", 1.0), ("c", 0.8)):
+        v = np.zeros(120)
+        for t in range(3, 120):
+            v[t] = memory * v[t - 1] + 0.4 * (v[t - 2] - v[t - 3]) + rng.normal()
+        made[s] = v
+        rows += [(s, t, float(x)) for t, x in enumerate(v)]
+    rows += [("flat", t, 1.0) for t in range(50)] + [("short", 0, 1.0), ("a", 500, None)]
+    df = spark.createDataFrame(rows, "s string, t int, v double").repartition(3)
+    got = {r["s"]: r for r in ts.dickey_fuller_by_criterion(df, ["s"], "t", "v", 5, criterion, chunk=chunk).collect()}
+    for s, v in made.items():
+        n = len(v) - 1 - 5
+        worth = {k: -2 * brute_level_test(v, k, 5)[1] + (2 if criterion == "aic" else np.log(n)) * (k + 2) for k in range(6)}
+        lag = min(worth, key=worth.get)
+        assert got[s]["lag"] == lag and got[s]["statistic"] == pytest.approx(brute_level_test(v, lag, lag)[0], rel=1e-8)
+        assert got[s]["n"] == len(v) - 1 - lag
+    assert got["a"]["p"] < 0.01 < 0.2 < got["b"]["p"]
+    assert got["flat"]["statistic"] is None and got["short"]["p"] is None
+
+
+def test_unit_root_p_is_monotone():
+    from tabloom.functions import tails
+
+    grid = np.linspace(-20, 4, 500)
+    p = [tails.unit_root_p(float(t)) for t in grid]
+    assert all(a <= b + 1e-3 for a, b in zip(p, p[1:])) and p[0] == 0.0 and p[-1] == 1.0
+    # published critical values at 1, 5 and 10 %
+    assert [tails.unit_root_p(t) for t in (-3.43, -2.86, -2.57)] == pytest.approx([0.01, 0.05, 0.10], abs=0.002)
+
+
+def test_formula_equals_hand_built_columns(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, float(rng.random() + 0.5), float(rng.random()), "uvw"[i % 3], i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, y double, a double, c string, k int")
+    got = reg.formula_design(df, "log(y) ~ a + log(1 + a) + I(a * (y - 1)) + C(k):a")
+    hand = df.withColumns({"ly": F.ln("y"), "la": F.ln(1 + F.col("a")), "m": F.col("a") * (F.col("y") - 1), "ck": F.col("k").cast("string")})
+    want = reg.formula_design(hand, "ly ~ a + la + m + ck:a")
+    assert got.columns == [*df.columns, "features", "label"]
+    pairs = zip(got.orderBy("id").collect(), want.orderBy("id").collect())
+    assert all(g["label"] == w["label"] and g["features"] == w["features"] for g, w in pairs)
+    assert reg.formula_columns("np.log(y) ~ a")[0] == "term_0 ~ a"
+    with pytest.raises(ValueError):
+        reg.formula_design(df, "log(y ~ a")
+
+
+def test_density_without_a_spread_is_empty(spark):
+    df = spark.createDataFrame([(1.0,), (1.0,), (None,)], "v double")
+    assert ts.density_grid(df, "v").count() == 0 and ts.density_grid(df.limit(0), "v").count() == 0
+    assert ts.density_grid(df, "v", 5, bandwidth=1.0).count() == 5

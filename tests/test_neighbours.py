@@ -66,3 +66,22 @@ def test_nearest_place(spark):
     for r in got:
         best = min((km(r["lat"], r["lon"], la, lo), p) for p, la, lo in places)
         assert r["nearest"] == best[1] and r["km"] == pytest.approx(best[0], abs=1e-9)
+
+
+def test_null_vectors_have_no_neighbours_and_are_none(spark):
+    t = spark.createDataFrame([(1, [0.0]), (2, None), (3, [5.0])], "id long, vec array<double>")
+    s = spark.createDataFrame([(10, [1.0]), (11, None)], "id long, vec array<double>")
+    got = [(r["score_id"], r["train_id"]) for r in neighbours.nearest(s, t, 2).orderBy("rank").collect()]
+    assert got == [(10, 1), (10, 3)]
+
+
+def test_nearest_place_in_both_forms(spark):
+    rng = np.random.default_rng(1)
+    places = spark.createDataFrame([(f"p{i}", float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(-80, 80, (40, 2)))] + [("none", None, 1.0)], "place string, latitude double, longitude double")
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(-80, 80, (100, 2)))] + [(1000, None, 2.0)]
+    df = spark.createDataFrame(rows, "id long, lat double, lon double")
+    short = {r["id"]: (r["nearest"], r["km"]) for r in nearest_place(df, "lat", "lon", places, "id").collect()}
+    many = {r["id"]: (r["nearest"], r["km"]) for r in nearest_place(df, "lat", "lon", places.where("latitude is not null"), "id", most=10).collect()}
+    assert short[1000] == (None, None) == many[1000] and len(short) == 101
+    for i in range(100):
+        assert short[i][0] == many[i][0] and short[i][1] == pytest.approx(many[i][1])
