@@ -51,7 +51,8 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
     inner = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    return F.asin(F.least(F.lit(1.0), F.sqrt(inner))) * F.lit(2 * EARTH_RADIUS_KM)
+    # `least` would pass over a null
+    return F.asin(F.when(inner > 1, F.lit(1.0)).otherwise(F.sqrt(inner))) * F.lit(2 * EARTH_RADIUS_KM)
 
 
 def round_half_even(c: Column, digits: int = 0) -> Column:

@@ -165,22 +165,6 @@ def box_cox_lambda(df: DataFrame, col: str, tolerance: float = 1e-6, points: int
         return best
 
 
-def box_cox_tenth(df: DataFrame, col: str, low: int = -5, high: int = 5) -> float:
-    """Lambda of the largest likelihood among the tenths of a range: whole numbers first, then
-    tenths around the best one (the likelihood has a single peak)."""
-
-    def peak(logs: DataFrame, grid: Sequence[float]) -> float:
-        ll = box_cox_profile(logs, grid)
-        return max(ll, key=lambda k: (ll[k], -abs(k)))
-
-    with held(df.where(F.col(col) > 0).select(F.ln(col).alias("z"))) as (logs,):
-        # a common scale keeps x^lambda in range; it shifts every likelihood equally
-        centred = logs.select((F.col("z") - logs.agg(F.avg("z")).first()[0]).alias("z"))
-        best = peak(centred, [float(k) for k in range(low, high + 1)])
-        around = [round(best + i / 10, 1) for i in range(-9, 10)]
-        return peak(centred, [k for k in around if low <= k <= high])
-
-
 def qq_table(df: DataFrame, col: str, key: str) -> DataFrame:
     """Sorted values beside normal quantiles at Filliben's plotting positions."""
     rows = positions(df.where(F.col(col).isNotNull()), [], col, [key])
