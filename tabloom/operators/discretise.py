@@ -41,10 +41,6 @@ def add_bins(df: DataFrame, col: str, edges: Sequence[float], out: str, clamp: b
     return cut.transform(df.withColumn("_x", x)).withColumn(out, F.col("_b").cast("int")).drop("_x", "_b")
 
 
-def bin_labels(edges: Sequence[float]) -> list[str]:
-    return [f"({a!r}, {b!r}]" for a, b in zip(edges, edges[1:])]
-
-
 def even_edges(lo: float, hi: float, bins: int) -> list[float]:
     width = (hi - lo) / bins
     return [lo + i * width for i in range(bins)] + [hi]
@@ -200,7 +196,3 @@ class TreeBins(Stage):
             ranked = hash_positions(data.select(self.target, *cols, *[c.alias(k) for k, c in keys.items()]), [], list(keys), self.seed)
             return ranked.withColumn("_fold", F.pmod(F.col("pos") - 1, F.lit(self.folds)).cast("int"))
         return data.withColumn("_fold", F.pmod(F.xxhash64(F.lit(self.seed), self.target, *cols), F.lit(self.folds)).cast("int"))
-
-
-def bin_counts(df: DataFrame, col: str) -> DataFrame:
-    return df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))

@@ -60,12 +60,6 @@ def drop_sparse_columns(df: DataFrame, max_null_share: float) -> DataFrame:
     return df.select(*[c for c in df.columns if (shares[c] or 0.0) < max_null_share])
 
 
-def drop_columns_with_nulls(df: DataFrame, max_nulls: int) -> DataFrame:
-    """Drop the columns holding more than ``max_nulls`` nulls."""
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]).first()
-    return df.select(*[c for c in df.columns if counts[c] <= max_nulls])
-
-
 def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 0) -> DataFrame:
     """n rows chosen by a seeded hash of the key: the same rows on any partitioning."""
     return df.orderBy(hash_number(seed, *[F.col(k) for k in key]), *key).limit(n)

@@ -284,6 +284,22 @@ def _(spark, sf):
     return reg.prediction_interval(df, reg.ols(df, XS, "p")).select("id", "p", "fitted", "low", "high")
 
 
+@query(
+    "t07_interval_of_a_line",
+    # the t quantile by its expansion in 1 / dof around the normal one, exact to more digits than are shown
+    """WITH f AS (SELECT regr_slope(p, q) AS b, regr_intercept(p, q) AS a, regr_syy(p, q) * (1 - regr_r2(p, q)) / (count(*) - 2) AS s2, avg(q) AS mq,
+                         regr_sxx(p, q) AS sxx, CAST(count(*) AS DOUBLE) AS k, CAST(count(*) - 2 AS DOUBLE) AS v, 1.959963984540054 AS z FROM fx_num),
+       c AS (SELECT *, z + (pow(z, 3) + z) / (4 * v) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * v * v)
+                       + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / (384 * pow(v, 3)) AS t FROM f)
+       SELECT id, RND2(a + b * q) AS fitted, RND2(a + b * q - t * sqrt(s2 * (1 + 1 / k + (q - mq) ** 2 / sxx))) AS low,
+              RND2(a + b * q + t * sqrt(s2 * (1 + 1 / k + (q - mq) ** 2 / sxx))) AS high FROM fx_num, c""",
+)
+def _(spark, sf):
+    df = fixture(spark, sf, "fx_num")
+    out = reg.prediction_interval(df, reg.ols(df, ["q"], "p"))
+    return out.select("id", *[rnd(c, 2).alias(c) for c in ("fitted", "low", "high")])
+
+
 @query(
     "t08_breusch_pagan",
     """WITH f AS (SELECT regr_slope(p, q) AS b, regr_intercept(p, q) AS a FROM fx_num), e AS (SELECT q, pow(p - a - b * q, 2) AS e2 FROM fx_num, f)

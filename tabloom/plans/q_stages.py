@@ -687,18 +687,28 @@ def inverse_normal_sql(p):
     return f"CASE WHEN {p} < 0.02425 THEN {tail_sql(p)} WHEN {p} > 1 - 0.02425 THEN -{tail_sql(f'(1 - {p})')} ELSE {mid} END"
 
 
-@query(
-    "m08_qq_table",
-    f"""WITH r AS (SELECT id, x, row_number() OVER (ORDER BY x, id) AS pos, count(*) OVER () AS m FROM fx_miss WHERE x IS NOT NULL),
+SPOTS = """r AS (SELECT id, x, row_number() OVER (ORDER BY x, id) AS pos, count(*) OVER () AS m FROM fx_miss WHERE x IS NOT NULL),
              s AS (SELECT *, CASE WHEN pos = m THEN pow(0.5, 1.0 / m) WHEN pos = 1 THEN 1 - pow(0.5, 1.0 / m)
-                   ELSE (pos - CAST(0.3175 AS DOUBLE)) / (m + CAST(0.365 AS DOUBLE)) END AS u FROM r)
-        SELECT id, pos, x AS sample, RND({inverse_normal_sql('u')}) AS theoretical FROM s""",
-)
+                   ELSE (pos - CAST(0.3175 AS DOUBLE)) / (m + CAST(0.365 AS DOUBLE)) END AS u FROM r)"""
+
+
+@query("m08_qq_table", f"WITH {SPOTS} SELECT id, pos, x AS sample, RND({inverse_normal_sql('u')}) AS theoretical FROM s")
 def _(spark, sf):
     out = scale.qq_table(fixture(spark, sf, "fx_miss"), "x", "id")
     return out.withColumn("theoretical", rnd("theoretical")).withColumn("pos", F.col("pos").cast("long"))
 
 
+@query(
+    "m08_qq_fit",
+    f"""WITH {SPOTS}, t AS (SELECT x AS sample, {inverse_normal_sql('u')} AS theoretical FROM s)
+        SELECT RND2(regr_slope(sample, theoretical)) AS slope, RND2(regr_intercept(sample, theoretical)) AS intercept, RND(corr(sample, theoretical)) AS r FROM t""",
+)
+def _(spark, sf):
+    """The line through the Q-Q points, and how straight they lie."""
+    out = scale.qq_fit(scale.qq_table(fixture(spark, sf, "fx_miss"), "x", "id"))
+    return out.select(rnd("slope", 2).alias("slope"), rnd("intercept", 2).alias("intercept"), rnd("r").alias("r"))
+
+
 @query(
     "m09_stage_chain",
     """WITH base AS (SELECT f.id, f.split, f.x, f.c, f.y FROM fx_miss f),

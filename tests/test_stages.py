@@ -172,3 +172,13 @@ def test_box_cox_lambda_is_the_peak(spark, power, spread):
     if power == 0.37:
         state = Transform("box_cox", ["x"]).fit(df).state.collect()
         assert state[0]["parameter"] == pytest.approx(low, abs=1e-4)
+
+
+def test_inverse_normal_against_the_standard_library(spark):
+    from statistics import NormalDist
+
+    from tabloom.operators.scale import inverse_normal
+
+    shares = [1e-6, 0.001, 0.02, 0.0243, 0.3, 0.5, 0.77, 0.98, 0.9999]
+    got = spark.createDataFrame([(p,) for p in shares], "p double").select(inverse_normal(F.col("p"))).collect()
+    assert [r[0] for r in got] == pytest.approx([NormalDist().inv_cdf(p) for p in shares], abs=2e-8)
