@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import boosting as bst, models as m, select as sel
 from ..operators.ordered import hash_uniform
 from ..sources.tables import table
-from .registry import fixture, query, rnd, tree_sql
+from .registry import auc_sql, fixture, query, rnd, tree_sql
 
 FEATURES = ["q", "p", "n", "d", "const", "quasi", "dup_q", "corr_p"]
 PLAIN = ["q", "n", "d", "quasi"]
@@ -223,13 +223,6 @@ def _(spark, sf):
     return out.select("variable", rnd("f", 2).alias("f"))
 
 
-def auc_sql(score: str, src: str) -> str:
-    """Rank form of the AUC over (score, y) rows."""
-    return f"""SELECT sum(pos * (below + neg / 2.0)) / (sum(pos) * CAST(sum(neg) AS DOUBLE)) FROM (
-        SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
-        FROM (SELECT {score} AS s, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y <> 1) AS neg FROM {src} GROUP BY 1) g) r"""
-
-
 def tree_scores_sql(metric: str, cols, source: str, y: str) -> str:
     """The test metric of a tree of depth 3 on each column."""
     train = f"(SELECT * FROM {source} WHERE split = 'train')"

@@ -11,7 +11,7 @@ from ..operators.ordered import quantiles
 from ..operators.relational import merge_labels
 from ..operators.stages import Chain
 from ..sources.tables import table
-from .registry import fixture, hash_sql, query, rnd, tree_sql
+from .registry import auc_sql, fixture, hash_sql, query, rnd, tree_sql
 
 TRAIN = "split = 'train'"
 
@@ -496,11 +496,32 @@ def _(spark, sf):
     return stage.fit(df).transform(df).select("id", "size_bin")
 
 
-@query("l06_tree_bins")
-def _(spark, sf):
-    train, df = parts(spark, sf, "fx_num")
+def chosen_trees_sql(cols=("q", "d"), depths=(1, 2, 3), folds=3) -> str:
+    """Trees on single columns whose depth has the best mean AUC over folds: every fold's tree, its AUC on the fold, the
+    best depth, and the leaf of each row in the tree of that depth on all folds."""
+    parts = [f"folds AS (SELECT id, q, d, y, (row_number() OVER (ORDER BY {hash_sql(0, 'id')}, id) - 1) % {folds} AS fold FROM fx_tree WHERE split = 'train')"]
+    for c in cols:
+        scores = []
+        for depth in depths:
+            parts.append(tree_sql(f"{c}{depth}", "folds", c, "y", depth))
+            for k in range(folds):
+                name = f"{c}{depth}_{k}"
+                parts.append(tree_sql(name, f"(SELECT * FROM folds WHERE fold <> {k})", c, "y", depth))
+                parts.append(f"{name}_s AS (SELECT value AS s, y FROM folds r JOIN {name}_leaves ON r.{c} > lo AND r.{c} <= hi WHERE fold = {k})")
+                scores.append(f"SELECT {depth} AS depth, ({auc_sql('s', f'{name}_s')}) AS auc")
+        parts.append(f"{c}_best AS (SELECT depth FROM ({' UNION ALL '.join(scores)}) a GROUP BY depth ORDER BY round(avg(auc), 12) DESC, depth LIMIT 1)")
+        every = " UNION ALL ".join(f"SELECT {depth} AS depth, lo, hi, value FROM {c}{depth}_leaves" for depth in depths)
+        parts.append(f"{c}_tree AS (SELECT lo, hi, value FROM ({every}) e JOIN {c}_best USING (depth))")
+    joins = " ".join(f"JOIN {c}_tree ON f.{c} > {c}_tree.lo AND f.{c} <= {c}_tree.hi" for c in cols)
+    shown = ", ".join(f"f.{c}, RND({c}_tree.value) AS {c}_tree" for c in cols)
+    return f"WITH {', '.join(parts)} SELECT f.id, {shown} FROM fx_tree f {joins}"
+
+
+@query("l06_tree_bins", chosen_trees_sql())
+def _(spark, sf):
+    train, df = parts(spark, sf, "fx_tree")
     stage = disc.TreeBins("y", ["q", "d"], depths=(1, 2, 3), regression=False, key=["id"])
-    return stage.fit(train).transform(df).select("id", "q", "q_tree", "d", "d_tree")
+    return stage.fit(train).transform(df).select("id", "q", rnd("q_tree").alias("q_tree"), "d", rnd("d_tree").alias("d_tree"))
 
 
 TRAIN_ROWS = "(SELECT * FROM fx_tree WHERE split = 'train')"
