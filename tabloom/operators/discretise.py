@@ -193,6 +193,6 @@ class TreeBins(Stage):
         data = df.where(F.col(self.target).isNotNull())
         if self.key:
             keys = {f"_key{i}": F.col(k) for i, k in enumerate(self.key)}
-            ranked = hash_positions(data.select(self.target, *cols, *[c.alias(k) for k, c in keys.items()]), [], list(keys), self.seed)
-            return ranked.withColumn("_fold", F.pmod(F.col("pos") - 1, F.lit(self.folds)).cast("int"))
+            ranked = hash_positions(data.select(self.target, *cols, *[c.alias(k) for k, c in keys.items()]), [], list(keys), self.seed, "_pos", "_size")
+            return ranked.withColumn("_fold", F.pmod(F.col("_pos") - 1, F.lit(self.folds)).cast("int"))
         return data.withColumn("_fold", F.pmod(F.xxhash64(F.lit(self.seed), self.target, *cols), F.lit(self.folds)).cast("int"))

@@ -17,9 +17,9 @@ Scorer = Callable[[DataFrame], DataFrame]
 def shuffled(df: DataFrame, cols: Sequence[str], key: Sequence[str], seed: int) -> DataFrame:
     """Adds ``other``: the columns of the row drawn for this one by a seeded permutation.
     Rows are numbered in two hash orders and joined on the number."""
-    here = hash_positions(df, [], key, 2 * seed + 1).drop("size")
-    there = hash_positions(df.select(*key, *cols), [], key, 2 * seed + 2)
-    return here.join(there.select("pos", F.struct(*cols).alias("other")), "pos").drop("pos")
+    here = hash_positions(df, [], key, 2 * seed + 1, "_pos", "_size").drop("_size")
+    there = hash_positions(df.select(*key, *cols), [], key, 2 * seed + 2, "_pos", "_size")
+    return here.join(there.select("_pos", F.struct(*cols).alias("other")), "_pos").drop("_pos")
 
 
 def permutation_importance(
@@ -130,19 +130,19 @@ def sampled_shapley(
     steps, and the values of a row add up to its score minus the mean score of the background rows that it drew.
     """
     size = background.count()
-    numbered = hash_positions(background, [], background_key, 2 * seed + 1)
-    numbered = numbered.select("pos", F.struct(*[F.col(c).cast("double").alias(c) for c in cols]).alias("_base"))
+    numbered = hash_positions(background, [], background_key, 2 * seed + 1, "_pos", "_size")
+    numbered = numbered.select("_pos", F.struct(*[F.col(c).cast("double").alias(c) for c in cols]).alias("_base"))
     drawn = df.select(*key, *cols).withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     order = [F.xxhash64(F.lit(seed), F.lit(c), "_draw", *key) for c in cols]
     sorted_order = F.sort_array(F.array(*order))
     drawn = drawn.withColumns(
         {
-            "pos": F.pmod(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(max(1, size))) + F.col("_draw"), F.lit(max(1, size))) + 1,
+            "_pos": F.pmod(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(max(1, size))) + F.col("_draw"), F.lit(max(1, size))) + 1,
             "_rank": F.array(*[F.array_position(sorted_order, h) for h in order]),
         }
     )
     steps = F.sequence(F.lit(0), F.lit(len(cols)))
-    hybrids = drawn.join(numbered, "pos").withColumn("_step", F.explode(steps))
+    hybrids = drawn.join(numbered, "_pos").withColumn("_step", F.explode(steps))
     own = F.array(*[F.col(c).cast("double") for c in cols])
     mixed = hybrids.withColumn("_own", own).withColumns(
         {

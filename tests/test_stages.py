@@ -182,3 +182,21 @@ def test_inverse_normal_against_the_standard_library(spark):
     shares = [1e-6, 0.001, 0.02, 0.0243, 0.3, 0.5, 0.77, 0.98, 0.9999]
     got = spark.createDataFrame([(p,) for p in shares], "p double").select(inverse_normal(F.col("p"))).collect()
     assert [r[0] for r in got] == pytest.approx([NormalDist().inv_cdf(p) for p in shares], abs=2e-8)
+
+
+def test_columns_named_like_row_numbers(spark):
+    """Numbering rows leaves columns named `pos` and `size` alone."""
+    from tabloom.operators import explain, models as m
+
+    df = spark.createDataFrame([(i, float(i % 10), float(i % 4), float(i % 10 < 5)) for i in range(200)], "id long, size double, pos double, y double")
+    plain = df.withColumnsRenamed({"size": "a", "pos": "b"})
+
+    def trees(data, cols):
+        return disc.TreeBins("y", cols, depths=(1, 2), key=["id"]).fit(data).transform(data).orderBy("id").collect()
+
+    assert [tuple(r) for r in trees(df, ["size", "pos"])] == [tuple(r) for r in trees(plain, ["a", "b"])]
+    for numbered in (m.add_folds(df, ["id"], 2, strata=["y"]), m.add_stratified_split(df, ["id"], ["y"])):
+        assert {(r["id"], r["size"], r["pos"]) for r in numbered.collect()} == {(i, float(i % 10), float(i % 4)) for i in range(200)}
+    mixed = explain.shuffled(df, ["size", "pos"], ["id"], 0)
+    assert sorted(r["other"]["size"] for r in mixed.collect()) == sorted(float(i % 10) for i in range(200))
+    assert set(mixed.columns) == {"id", "size", "pos", "y", "other"}
