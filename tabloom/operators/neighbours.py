@@ -43,6 +43,34 @@ def _matrix(col: pd.Series) -> np.ndarray:
     return np.array(col.tolist(), dtype=np.float64)
 
 
+def _asked_blocks(points: np.ndarray, centre: np.ndarray, rings: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, ring, part) of the blocks that may hold a neighbour of the points."""
+    cell, near, far, n, parts = (rings[c].to_numpy() for c in ("cell", "near", "far", "n", "parts"))
+    to_pivot = np.sqrt(((points[:, None, :] - centre[None, :, :]) ** 2).sum(axis=2))[:, cell]
+    most = to_pivot + far
+    order = np.argsort(most, axis=1)
+    enough = np.cumsum(n[order], axis=1) >= min(k, n.sum())
+    bound = np.take_along_axis(most, order, 1)[np.arange(len(points)), enough.argmax(axis=1)]
+    least = np.maximum(0.0, np.maximum(to_pivot - far, near - to_pivot))
+    row, ring = np.nonzero(least <= bound[:, None] * (1 + 1e-9) + 1e-12)
+    times = parts[ring]
+    part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    return np.repeat(row, times), np.repeat(ring, times), part
+
+
+def _routed(batch: pd.DataFrame, centre: np.ndarray, rings: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
+    """A row for each block that a score row asks, a bounded number of values at a time."""
+    points, ids, vecs = _matrix(batch["vec"]), batch["id"].to_numpy(), batch["vec"].to_numpy()
+    step = max(1, WORK_VALUES // max(centre.size, int(rings["parts"].sum())))
+    piece = max(1, WORK_VALUES // max(1, points.shape[1]))
+    for start in range(0, len(batch), step):
+        row, block, part = _asked_blocks(points[start : start + step], centre, rings, k)
+        for at in range(0, len(row), piece):
+            some = slice(at, at + piece)
+            pick = start + row[some]
+            yield pd.DataFrame({"id": ids[pick], "vec": vecs[pick], "block": block[some], "part": part[some]})
+
+
 def nearest(score: DataFrame, train: DataFrame, k: int, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS, asked_rows: int = ASKED_ROWS) -> DataFrame:
     """(score_id, train_id, distance, rank) from tables of (id, vec array); rows with a null vector are left out."""
     found = _against_blocks(score, train, k, pivots, block_rows, asked_rows)
@@ -102,28 +130,9 @@ def _against_blocks(
         return spark.createDataFrame([], _types(score, train))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = plan.value
-        cell = r["cell"].to_numpy()
-        near, far, n = r["near"].to_numpy(), r["far"].to_numpy(), r["n"].to_numpy()
-        parts = r["parts"].to_numpy()
         for b in batches:
-            if not len(b):
-                continue
-            points = _matrix(b["vec"])
-            to_pivot = np.sqrt(((points[:, None, :] - centre.value[None, :, :]) ** 2).sum(axis=2))[:, cell]
-            most = to_pivot + far
-            order = np.argsort(most, axis=1)
-            enough = np.cumsum(n[order], axis=1) >= min(k, n_train)
-            bound = np.take_along_axis(most, order, 1)[np.arange(len(b)), enough.argmax(axis=1)]
-            least = np.maximum(0.0, np.maximum(to_pivot - far, near - to_pivot))
-            row, ring = np.nonzero(least <= bound[:, None] * (1 + 1e-9) + 1e-12)
-            times = parts[ring]
-            row, ring = np.repeat(row, times), np.repeat(ring, times)
-            part = np.concatenate([np.arange(t) for t in times]) if len(times) else np.array([], dtype=int)
-            out = b.iloc[row]
-            yield pd.DataFrame(
-                {"id": out["id"].to_numpy(), "vec": out["vec"].to_numpy(), "block": ring, "part": part}
-            )
+            if len(b):
+                yield from _routed(b, centre.value, plan.value, k)
 
     score_id_type = score.schema["id"].dataType.simpleString()
     asked = checkpointed(score.mapInPandas(route, f"id {score_id_type}, vec array<double>, block int, part int"))

@@ -85,3 +85,22 @@ def test_nearest_place_in_both_forms(spark):
     assert short[1000] == (None, None) == many[1000] and len(short) == 101
     for i in range(100):
         assert short[i][0] == many[i][0] and short[i][1] == pytest.approx(many[i][1])
+
+
+def test_routing_holds_few_values():
+    """The rows sent to blocks are made a piece at a time, however many blocks a row asks."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    points, centre = rng.normal(size=(3000, 64)), rng.normal(size=(128, 64))
+    rings = pd.DataFrame({"cell": np.repeat(np.arange(128), 8), "near": 0.0, "far": 50.0, "n": 10, "parts": np.arange(1024) % 2 + 1})
+    batch = pd.DataFrame({"id": np.arange(3000), "vec": list(points)})
+    asked = np.zeros(3000, int)
+    tracemalloc.start()
+    for piece in neighbours._routed(batch, centre, rings, 5):
+        assert len(piece) * 64 <= neighbours.WORK_VALUES
+        asked += np.bincount(piece["id"], minlength=3000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (asked == rings["parts"].sum()).all()  # balls as wide as these leave no block out
+    assert peak < 300e6
