@@ -106,3 +106,11 @@ def test_variance_merges_over_two_roll_ups_without_cancelling(spark):
         assert got[c]["x"] == pytest.approx((x - 1e8).var(ddof=1), rel=1e-6)
         assert got[c]["y"] == pytest.approx(y.var(ddof=1))
     assert got[99]["x"] is None and got[99]["y"] is None
+
+
+def test_joined_fixtures_hold_no_table_at_the_driver(spark):
+    from tabloom.plans.registry import fixture
+
+    df = fixture(spark, "/root/testdata/sf0.001", "fx_num")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
