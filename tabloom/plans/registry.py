@@ -128,15 +128,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def fixture(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def fixture(spark: SparkSession, folder: str, name: str, merge: bool = False) -> DataFrame:
     text = FIXTURES[name]
     used: dict[str, DataFrame] = {}
 
     def mark(match: re.Match) -> str:
         word = match.group(0)
         if word not in used:
-            used[word] = fixture(spark, folder, word) if word in FIXTURES else table(spark, folder, word)
-            if " JOIN " in text:
+            used[word] = fixture(spark, folder, word, merge) if word in FIXTURES else table(spark, folder, word)
+            if merge and " JOIN " in text:
                 # the few bytes of a key column pass for a small table: a broadcast of it holds all keys at the driver
                 used[word] = used[word].hint("merge")
         return "{" + word + "}"
