@@ -170,12 +170,11 @@ def add_rows(out: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None:
     if not len(index):
         return
     if (index[1:] < index[:-1]).any():
-        order = np.argsort(index, kind="stable")
-        index, rows = index[order], rows[order]
-    last = np.flatnonzero(np.append(index[1:] != index[:-1], True))
-    total = np.cumsum(rows, axis=0, dtype=np.float64)[last]
-    total[1:] -= total[:-1].copy()
-    out[index[last]] += total
+        narrow = index.astype(np.uint16) if len(out) <= 1 << 16 else index  # sorted by radix
+        order = np.argsort(narrow, kind="stable")
+        index, rows = index[order], rows.take(order, axis=0)
+    first = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
+    out[index[first]] += np.add.reduceat(rows, first, axis=0, dtype=np.float64)
 
 
 class LogBilinear:
@@ -201,7 +200,8 @@ class LogBilinear:
         return model
 
     def predicted(self, context: np.ndarray) -> np.ndarray:
-        return self.inputs[context // SYMBOLS] @ self.matrices[0] + self.inputs[context % SYMBOLS] @ self.matrices[1]
+        first, second = self.inputs @ self.matrices[0], self.inputs @ self.matrices[1]
+        return first.take(context // SYMBOLS, axis=0) + second.take(context % SYMBOLS, axis=0)
 
     def normalisers(self) -> np.ndarray:
         """log of the sum of exp(score) over all symbols, for every pair of context symbols."""
@@ -217,25 +217,28 @@ class LogBilinear:
         """One AdaGrad step of noise-contrastive estimation on observed (context, target) pairs; `seen` holds the sums
         of squared gradients. Pairs and contexts count as often as they occur; noise is shared by the step."""
         pairs, times = np.unique(context * SYMBOLS + target, return_counts=True)
-        used, place = np.unique(pairs // SYMBOLS, return_inverse=True)
+        used, first, place = np.unique(pairs // SYMBOLS, return_index=True, return_inverse=True)
         target, weight = pairs % SYMBOLS, (times / len(context)).astype(np.float32)
         of_context = np.bincount(place, weight).astype(np.float32)
         h = self.predicted(used)
         drawn = rng.choice(SYMBOLS, DRAWN, p=noise)
         log_noise = np.log(NOISE * noise).astype(np.float32)
-        score = np.einsum("ij,ij->i", h[place], self.outputs[target]) + self.biases[target] - log_noise[target]
+        of_pair, wanted = h.take(place, axis=0), self.outputs.take(target, axis=0)
+        score = np.einsum("ij,ij->i", of_pair, wanted) + self.biases[target] - log_noise[target]
         up = weight / (1 + np.exp(np.clip(score, -30, 30)))
         score = h @ self.outputs[drawn].T + (self.biases[drawn] - log_noise[drawn])
         down = np.float32(-NOISE / DRAWN) * of_context[:, None] / (1 + np.exp(-np.clip(score, -30, 30)))
         step = LogBilinear(np.zeros_like(self.flat))
         back = down @ self.outputs[drawn]
-        add_rows(back, place, up[:, None] * self.outputs[target])
-        add_rows(step.outputs, target, up[:, None] * h[place])
+        back += np.add.reduceat(up[:, None] * wanted, first, axis=0)  # pairs are sorted by context
+        add_rows(step.outputs, target, up[:, None] * of_pair)
         add_rows(step.outputs, drawn, down.T @ h)
         step.biases += np.bincount(target, up, minlength=SYMBOLS) + np.bincount(drawn, down.sum(axis=0), minlength=SYMBOLS)
         for j, symbol in enumerate((used // SYMBOLS, used % SYMBOLS)):
-            step.matrices[j] = self.inputs[symbol].T @ back
-            add_rows(step.inputs, symbol, back @ self.matrices[j].T)
+            of_symbol = np.zeros_like(self.inputs)
+            add_rows(of_symbol, symbol, back)
+            step.matrices[j] = self.inputs.T @ of_symbol
+            step.inputs += of_symbol @ self.matrices[j].T
         seen += step.flat**2
         self.flat += rate * step.flat / np.sqrt(seen + 1e-10)
 

@@ -175,6 +175,44 @@ def test_normalisers_and_words_sum_to_one():
     assert np.allclose(np.exp(scores).sum(axis=1), 1, atol=1e-4)
 
 
+def test_row_sums_do_not_depend_on_other_rows():
+    out = np.zeros((3, 2), np.float32)
+    nce_lm.add_rows(out, np.array([2, 0, 2, 0]), np.array([[1, 2], [1e20, -1e20], [3, 4], [0, 1]], np.float32))
+    assert out.tolist() == [[np.float32(1e20), np.float32(-1e20)], [0, 0], [4, 6]]
+    nce_lm.add_rows(out, np.zeros(0, np.int64), np.zeros((0, 2), np.float32))
+    assert out[2].tolist() == [4, 6]
+
+
+def test_a_step_follows_the_gradient_of_every_pair():
+    """Against a loop over the tokens with the noise of the step."""
+    rng, n, size = np.random.default_rng(5), nce_lm.SYMBOLS, nce_lm.SIZE
+    counts = rng.integers(1, 50, n)
+    noise = counts / counts.sum()
+    context, target = rng.integers(0, 3, 60) * n + rng.integers(0, 3, 60), rng.integers(0, 4, 60)
+    model = nce_lm.LogBilinear.initial(counts)
+    old = nce_lm.LogBilinear(model.flat.astype(np.float64))
+    want = nce_lm.LogBilinear(np.zeros_like(old.flat))
+    drawn = np.random.default_rng(9).choice(n, nce_lm.DRAWN, p=noise)
+    for c, t in zip(context, target):
+        a, b = divmod(c, n)
+        h = old.inputs[a] @ old.matrices[0] + old.inputs[b] @ old.matrices[1]
+        back = np.zeros(size)
+        for w, observed in [(t, True), *((d, False) for d in drawn)]:
+            odds = np.exp(h @ old.outputs[w] + old.biases[w] - np.log(nce_lm.NOISE * noise[w]))
+            g = (1 / (1 + odds) if observed else -nce_lm.NOISE / nce_lm.DRAWN * odds / (1 + odds)) / len(context)
+            want.outputs[w] += g * h
+            want.biases[w] += g
+            back += g * old.outputs[w]
+        for j, s in enumerate((a, b)):
+            want.matrices[j] += np.outer(old.inputs[s], back)
+            want.inputs[s] += old.matrices[j] @ back
+    seen = np.zeros_like(model.flat)
+    model.learn(context, target, noise, seen, np.random.default_rng(9))
+    assert np.allclose(seen, want.flat**2, rtol=1e-3, atol=1e-10)
+    sure = np.abs(want.flat) > 1e-4
+    assert np.allclose((model.flat - old.flat)[sure], (nce_lm.RATE * want.flat / np.sqrt(want.flat**2 + 1e-10))[sure], rtol=1e-3)
+
+
 def test_contexts_begin_anew_with_each_document():
     symbols, cuts = nce_lm.with_ends(np.array([7, 8, 9]), np.array([0, 2, 2, 3]))
     assert symbols.tolist() == [7, 8, nce_lm.END, nce_lm.END, 9, nce_lm.END]
