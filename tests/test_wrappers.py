@@ -1,8 +1,11 @@
 """The wrapper searches fit the learner that they name."""
 
+import threading
+
 import pytest
 from pyspark.ml import classification as C
 
+from tabloom.operators import models as m
 from tabloom.operators import select as sel
 from tabloom.plans import q_select, registry
 
@@ -21,3 +24,38 @@ def test_learners_of_searches(spark, monkeypatch, query, function, place):
         assert isinstance(given[place]["logistic"], C.LogisticRegression) and isinstance(given[place]["forest"], C.RandomForestClassifier)
     else:
         assert isinstance(given[place], C.RandomForestClassifier)
+
+
+@pytest.mark.parametrize("query, function", [("n18_step_forward", "step_forward"), ("n19_step_backward", "step_backward"), ("n20_exhaustive", "exhaustive")])
+def test_deep_forests_keep_the_nodes_of_rows(spark, monkeypatch, query, function):
+    given = []
+    monkeypatch.setattr(sel, function, lambda *args: given.extend(args))
+    monkeypatch.setattr(q_select, "folded", lambda spark, sf: None)
+    registry.QUERIES[query](spark, None)
+    forest = given[3]
+    assert forest.getCacheNodeIds() and forest.getNumTrees() == 100 and forest.getMaxDepth() == 30
+
+
+def folded_rows(spark):
+    rows = [(float(i * 7 % 31), float(i * 5 % 23), int((i * 7 % 31) + (i * 5 % 23) + i % 9 > 30), i % 3) for i in range(300)]
+    return spark.createDataFrame(rows, "a double, b double, y int, fold int").coalesce(2)
+
+
+def test_kept_nodes_give_the_same_forest(spark):
+    rows = folded_rows(spark)
+    plain = m.learner("forest", numTrees=10, maxDepth=30)
+    kept = m.learner("forest", numTrees=10, maxDepth=30, cacheNodeIds=True)
+    first, second = (m.fit(rows, ["a", "b"], "y", forest) for forest in (plain, kept))
+    assert first.toDebugString.split("\n")[1:] == second.toDebugString.split("\n")[1:]
+
+
+def test_fits_of_all_lists_and_folds_run_side_by_side(spark, monkeypatch):
+    meeting = threading.Barrier(4, timeout=60)
+
+    def evaluate(train, test, features, label, estimator, metric):
+        meeting.wait()  # breaks unless two lists and two folds are under way together
+        return {"a": 1.0, "b": 2.0}[features[0]] + test.first()["fold"]
+
+    monkeypatch.setattr(m, "evaluate", evaluate)
+    assert m.cv_scores(folded_rows(spark), [["a"], ["b"]], "y", None, "auc", folds=[0, 2]) == [2.0, 3.0]
+    assert meeting.n_waiting == 0
