@@ -217,7 +217,7 @@ class LogBilinear:
         """One AdaGrad step of noise-contrastive estimation on observed (context, target) pairs; `seen` holds the sums
         of squared gradients. Pairs and contexts count as often as they occur; noise is shared by the step."""
         pairs, times = np.unique(context * SYMBOLS + target, return_counts=True)
-        used, first, place = np.unique(pairs // SYMBOLS, return_index=True, return_inverse=True)
+        used, place = np.unique(pairs // SYMBOLS, return_inverse=True)
         target, weight = pairs % SYMBOLS, (times / len(context)).astype(np.float32)
         of_context = np.bincount(place, weight).astype(np.float32)
         h = self.predicted(used)
@@ -230,15 +230,13 @@ class LogBilinear:
         down = np.float32(-NOISE / DRAWN) * of_context[:, None] / (1 + np.exp(-np.clip(score, -30, 30)))
         step = LogBilinear(np.zeros_like(self.flat))
         back = down @ self.outputs[drawn]
-        back += np.add.reduceat(up[:, None] * wanted, first, axis=0)  # pairs are sorted by context
+        add_rows(back, place, up[:, None] * wanted)
         add_rows(step.outputs, target, up[:, None] * of_pair)
         add_rows(step.outputs, drawn, down.T @ h)
         step.biases += np.bincount(target, up, minlength=SYMBOLS) + np.bincount(drawn, down.sum(axis=0), minlength=SYMBOLS)
         for j, symbol in enumerate((used // SYMBOLS, used % SYMBOLS)):
-            of_symbol = np.zeros_like(self.inputs)
-            add_rows(of_symbol, symbol, back)
-            step.matrices[j] = self.inputs.T @ of_symbol
-            step.inputs += of_symbol @ self.matrices[j].T
+            step.matrices[j] = self.inputs.take(symbol, axis=0).T @ back
+            add_rows(step.inputs, symbol, back @ self.matrices[j].T)
         seen += step.flat**2
         self.flat += rate * step.flat / np.sqrt(seen + 1e-10)
 
