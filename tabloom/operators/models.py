@@ -82,16 +82,17 @@ def with_label(estimator: Estimator, label: str) -> Estimator:
     return estimator.copy({estimator.labelCol: label}) if estimator.hasParam("labelCol") else estimator
 
 
-def fit(df: DataFrame, features: Sequence[str], label: str, estimator: Estimator) -> Model:
-    """Fit on the needed columns. Learners read their input several times, so its vectors
-    are kept for the length of the fit."""
+def fit(df: DataFrame, features: Sequence[str], label: str | None, estimator: Estimator) -> Model:
+    """Fit on the needed columns, without a label for clusters. Learners read their input several times (k-means twice
+    in one task, which a sort-merge join doesn't survive), so its vectors are kept for the length of the fit."""
     est = with_label(estimator, label)
     extra = [
         est.getOrDefault(p)
         for p in ("weightCol", "validationIndicatorCol")
         if est.hasParam(p) and est.isDefined(p) and est.getOrDefault(p)
     ]
-    with held(assemble(df, features).select("features", label, *extra)) as (data,):
+    columns = ["features", *([label] if label else []), *extra]
+    with held(assemble(df, features).select(*columns)) as (data,):
         return est.fit(data)
 
 
