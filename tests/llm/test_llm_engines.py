@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from tabloom.llm import fm_dedup, html_blocks, nce_lm, quality_rules, signature_join, suffix_repeats
+from tabloom.llm import arrays, fm_dedup, html_blocks, nce_lm, quality_rules, repeats, signature_join, suffix_repeats
 from tabloom.llm.arrays import WHITE, Words, byte_hasher, covered, ranges
 from tabloom.llm.repeats import Symbols, Segments, Unit, expand, expand_sorted, sliding_min, squeeze, squeeze_sorted
 
@@ -357,3 +357,29 @@ def test_linked_sentences_inside_a_story_stay():
 def test_quotes_in_attributes(attribute):
     html = f"<article><p {attribute}>{SENTENCES[0]}</p><p>It's {SENTENCES[1]}</p></article>"
     assert html_blocks.main_text(html) == f"{SENTENCES[0]} It's {SENTENCES[1]}"
+
+
+def test_key_lists_and_segments_over_tiles(monkeypatch):
+    """Window names are made a tile at a time; keys are counted once a document, with owners that have none between."""
+    monkeypatch.setattr(arrays, "TILE", 7)
+    monkeypatch.setattr(repeats, "TILE", 7)
+    rng = random.Random(3)
+    unit = Unit("byte", width=12, gram=5, longest=20)
+    texts = ["".join(rng.choice("ab") for _ in range(n)) for n in (40, 3, 0, 33, 12, 11, 60, 40)] + ["b" * 50]
+    symbols = Symbols(unit, *joined(texts))
+    plain = sliding_min(symbols.hasher.windows(5), 8)
+    assert repeats.window_names(symbols).tolist() == plain.tolist()
+    assert byte_hasher(symbols.data).windows(5).tolist() == arrays.SpanHasher(arrays._BYTE_VALUES[symbols.data]).windows(5).tolist()
+    found = Segments(symbols)
+    assert set(found.owner.tolist()) == {0, 3, 4, 6, 7, 8}
+    documents = {}
+    for key, owner in zip(found.key.tolist(), found.owner.tolist()):
+        documents.setdefault(key, set()).add(owner)
+    got = {}
+    for shard, chunk, kind, blob in repeats.key_lists(4, found.key, found.owner, 3, 0):
+        keys, count = repeats.split_parts(blob)
+        keys = expand_sorted(keys)
+        assert (chunk, kind) == (4, 0) and (repeats.shard_of(keys, 3) == shard).all()
+        got |= dict(zip(keys.tolist(), expand(count, np.uint8).tolist()))
+    assert got == {k: len(v) for k, v in documents.items()}
+    assert list(repeats.key_lists(4, found.key[:0], found.owner[:0], 3, 0)) == []
