@@ -3,9 +3,12 @@
 The training side is cut into blocks by nearest pivot and distance ring (the
 pivot-partitioned kNN join of Lu et al., VLDB 2012): ring counts bound each score
 row's k-th distance, the triangle inequality drops blocks that cannot hold a
-neighbour, and every surviving block returns only its k best. Blocks are split to a
-fixed size. A block is sent once for every `ASKED_ROWS` score rows that need it, and
-not at all where none does, so what is sent follows the questions, not the product.
+neighbour, and every surviving block returns only its k best. Small rings of near
+pivots are put together to blocks, large ones split, all to one size, so that a score
+row is sent once for `BLOCK_ROWS` rows it may need. A block is sent once for every
+`ASKED_ROWS` score rows that need it, and not at all where none does, so what is sent
+follows the questions, not the product. Inside a block a matrix product picks the rows
+that rounding can't keep from the k best; their distances are taken by differences.
 """
 
 from __future__ import annotations
@@ -21,8 +24,30 @@ from .core import checkpointed
 PIVOTS = 128
 RINGS = 8
 BLOCK_ROWS = 20_000
-ASKED_ROWS = 80_000
+ASKED_ROWS = 20_000
 WORK_VALUES = 4_000_000
+STRIP = 64
+
+
+def _distances(points: np.ndarray, vecs: np.ndarray) -> np.ndarray:
+    return np.sqrt(((points - vecs) ** 2).sum(axis=-1))
+
+
+def _candidates(part: np.ndarray, size: np.ndarray, vecs: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) pairs with all of the k nearest of each row, by squared distances from a matrix product: what
+    rounding may move, there and in the differences, is allowed for. `size` and `sizes` are the squared lengths."""
+    square = part @ vecs.T
+    square *= -2
+    square += size[:, None]
+    square += sizes
+    strips = len(vecs) // STRIP
+    if strips >= k:  # the k-th smallest of the strips' minima has k values below it or equal
+        least = square[:, : strips * STRIP].reshape(len(part), strips, STRIP).min(axis=2)
+    else:
+        least = square
+    enough = np.partition(least, k - 1, axis=1)[:, k - 1]
+    slack = 32 * (vecs.shape[1] + 8) * np.finfo(float).eps * (size + sizes.max())
+    return np.nonzero(square <= (enough + slack)[:, None])
 
 
 def _top_k(points: np.ndarray, ids: np.ndarray, vecs: np.ndarray, k: int):
@@ -30,10 +55,27 @@ def _top_k(points: np.ndarray, ids: np.ndarray, vecs: np.ndarray, k: int):
     order = np.argsort(ids, kind="stable")
     ids, vecs = ids[order], vecs[order]
     k = min(k, len(ids))
+    if not k:
+        return
+    size, sizes = (points**2).sum(axis=1), (vecs**2).sum(axis=1)
+    if np.isfinite(size).all() and np.isfinite(sizes).all():
+        step = max(1, WORK_VALUES // len(vecs))
+        for start in range(0, len(points), step):
+            part = points[start : start + step]
+            row, place = _candidates(part, size[start : start + step], vecs, sizes, k)
+            dist = np.empty(len(row))
+            some = max(1, WORK_VALUES // max(1, vecs.shape[1]))
+            for at in range(0, len(row), some):
+                dist[at : at + some] = _distances(part[row[at : at + some]], vecs[place[at : at + some]])
+            best = np.lexsort((dist, row))  # stable: places ascend
+            first = np.searchsorted(row, np.arange(len(part)))
+            pick = best[(first[:, None] + np.arange(k)).ravel()]
+            yield start + row[pick], ids[place[pick]], dist[pick]
+        return
     step = max(1, WORK_VALUES // max(1, vecs.size))
     for start in range(0, len(points), step):
         part = points[start : start + step]
-        dist = np.sqrt(((part[:, None, :] - vecs[None, :, :]) ** 2).sum(axis=2))
+        dist = _distances(part[:, None, :], vecs[None, :, :])
         pick = np.argsort(dist, axis=1, kind="stable")[:, :k]
         rows = np.repeat(np.arange(start, start + len(part)), k)
         yield rows, ids[pick].ravel(), np.take_along_axis(dist, pick, axis=1).ravel()
@@ -44,7 +86,8 @@ def _matrix(col: pd.Series) -> np.ndarray:
 
 
 def _asked_blocks(points: np.ndarray, centre: np.ndarray, rings: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, ring, part) of the blocks that may hold a neighbour of the points."""
+    """(row, block, part) of the blocks that may hold a neighbour of the points. A block is a ring, or the rings that
+    one number in a column `block` holds together."""
     cell, near, far, n, parts = (rings[c].to_numpy() for c in ("cell", "near", "far", "n", "parts"))
     to_pivot = np.sqrt(((points[:, None, :] - centre[None, :, :]) ** 2).sum(axis=2))[:, cell]
     most = to_pivot + far
@@ -52,10 +95,39 @@ def _asked_blocks(points: np.ndarray, centre: np.ndarray, rings: pd.DataFrame, k
     enough = np.cumsum(n[order], axis=1) >= min(k, n.sum())
     bound = np.take_along_axis(most, order, 1)[np.arange(len(points)), enough.argmax(axis=1)]
     least = np.maximum(0.0, np.maximum(to_pivot - far, near - to_pivot))
-    row, ring = np.nonzero(least <= bound[:, None] * (1 + 1e-9) + 1e-12)
-    times = parts[ring]
+    asked = least <= bound[:, None] * (1 + 1e-9) + 1e-12
+    if "block" in rings:
+        first = np.flatnonzero(np.diff(rings["block"].to_numpy(), prepend=-1))
+        asked, parts = np.logical_or.reduceat(asked, first, axis=1), parts[first]
+    row, block = np.nonzero(asked)
+    times = parts[block]
     part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    return np.repeat(row, times), np.repeat(ring, times), part
+    return np.repeat(row, times), np.repeat(block, times), part
+
+
+def _chain(centre: np.ndarray) -> np.ndarray:
+    """The place of each pivot in a walk that goes on to the nearest pivot not yet visited."""
+    place = np.zeros(len(centre), dtype=int)
+    left = np.ones(len(centre), dtype=bool)
+    at = 0
+    for i in range(len(centre)):
+        place[at], left[at] = i, False
+        at = np.where(left, _distances(centre, centre[at]), np.inf).argmin()
+    return place
+
+
+def _blocks(rings: pd.DataFrame, centre: np.ndarray, block_rows: int) -> pd.DataFrame:
+    """The rings in the order of blocks, with their `block` and the `parts` it is cut into."""
+    rings = rings.assign(_place=_chain(centre)[rings["cell"].to_numpy(dtype=int)]).sort_values(["_place", "ring"], ignore_index=True).drop(columns="_place")
+    block, number, held = [], -1, block_rows
+    for n in rings["n"]:
+        if held + n > block_rows:
+            number, held = number + 1, 0
+        held += n
+        block.append(number)
+    rings["block"] = np.array(block, dtype=int)
+    rings["parts"] = np.ceil(rings.groupby("block")["n"].transform("sum") / block_rows).astype(int).clip(lower=1)
+    return rings
 
 
 def _routed(batch: pd.DataFrame, centre: np.ndarray, rings: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
@@ -124,7 +196,7 @@ def _against_blocks(
         .orderBy("cell", "ring")
         .toPandas()
     )
-    rings["parts"] = np.ceil(rings["n"] / block_rows).astype(int).clip(lower=1)
+    rings = _blocks(rings, centre.value, block_rows)
     plan, n_train = spark.sparkContext.broadcast(rings), int(rings["n"].sum())
     if not n_train:
         return spark.createDataFrame([], _types(score, train))
@@ -139,7 +211,7 @@ def _against_blocks(
     wanted = asked.groupBy("block", "part").agg(F.ceil(F.count(F.lit(1)) / asked_rows).cast("int").alias("lanes"))
     asked = asked.join(wanted, ["block", "part"]).withColumn("lane", F.pmod(F.xxhash64("id"), F.col("lanes")).cast("int")).drop("lanes")
     index = spark.createDataFrame(
-        [(int(c), int(g), i, int(p)) for i, (c, g, p) in enumerate(zip(rings["cell"], rings["ring"], rings["parts"]))],
+        [tuple(map(int, r)) for r in rings[["cell", "ring", "block", "parts"]].to_numpy()],
         "cell int, ring int, block int, parts int",
     )
     stored = (

@@ -104,3 +104,46 @@ def test_routing_holds_few_values():
     tracemalloc.stop()
     assert (asked == rings["parts"].sum()).all()  # balls as wide as these leave no block out
     assert peak < 300e6
+
+
+def test_a_score_row_is_sent_once_for_many_small_rings(spark, monkeypatch):
+    """Where the triangle inequality leaves nothing out, a row goes to as many blocks as the train rows fill."""
+    rng = np.random.default_rng(2)
+    t = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(900, 24)).tolist())], "id long, vec array<double>")
+    s = spark.createDataFrame([(5000 + i, v) for i, v in enumerate(rng.normal(size=(20, 24)).tolist())], "id long, vec array<double>")
+    written = []
+    plain = neighbours.checkpointed
+    monkeypatch.setattr(neighbours, "checkpointed", lambda df: written.append(plain(df)) or written[-1])
+    assert neighbours.nearest(s, t, 3, block_rows=300).count() == 60
+    assert 20 * 3 <= written[-1].count() <= 20 * 6
+
+
+@pytest.mark.parametrize("case", ["plain", "far", "copies", "few", "nan", "huge"])
+def test_distances_of_a_block_are_exact(case, monkeypatch):
+    rng = np.random.default_rng(4)
+    vecs, points = rng.normal(size=(700, 16)), rng.normal(size=(50, 16))
+    if case == "far":  # squared lengths drown the differences
+        vecs, points = vecs * 1e-3 + 1e5, points * 1e-3 + 1e5
+    elif case == "copies":
+        vecs[::3] = vecs[0]
+        points[:10] = vecs[0]
+    elif case == "few":
+        vecs = vecs[:3]
+    elif case == "nan":
+        vecs[5, 2] = np.nan
+    elif case == "huge":
+        vecs[5] = 1e200
+    ids = rng.permutation(len(vecs))
+    monkeypatch.setattr(neighbours, "WORK_VALUES", 5000)
+    dist = np.sqrt(((points[:, None, :] - vecs[None, :, :]) ** 2).sum(axis=2))
+    want = [sorted(zip(np.nan_to_num(d, nan=np.inf), ids))[:5] for d in dist]
+    got = [[] for _ in points]
+    for row, found, d in neighbours._top_k(points, ids, vecs, 5):
+        for r, i, x in zip(row.tolist(), found.tolist(), d.tolist()):
+            got[r].append((x, i))
+    assert got == want
+
+
+def test_no_train_rows(spark):
+    s = spark.createDataFrame([(1, [1.0])], "id long, vec array<double>")
+    assert neighbours.nearest(s, s.where("id < 0"), 2).count() == 0
