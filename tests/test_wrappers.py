@@ -59,3 +59,21 @@ def test_fits_of_all_lists_and_folds_run_side_by_side(spark, monkeypatch):
     monkeypatch.setattr(m, "evaluate", evaluate)
     assert m.cv_scores(folded_rows(spark), [["a"], ["b"]], "y", None, "auc", folds=[0, 2]) == [2.0, 3.0]
     assert meeting.n_waiting == 0
+
+
+@pytest.mark.parametrize("search, sizes", [("step_forward", (1,)), ("step_backward", (1,)), ("exhaustive", (1, 1))])
+def test_searches_fit_in_few_tasks(spark, monkeypatch, search, sizes):
+    """As many tasks as cores where the rows are few, and not more than the table has."""
+    cores = spark.sparkContext.defaultParallelism
+    seen = set()
+
+    def evaluate(train, test, features, label, estimator, metric):
+        seen.add((train.rdd.getNumPartitions(), train.count() + test.count()))
+        return 0.5
+
+    monkeypatch.setattr(m, "evaluate", evaluate)
+    for parts, rows_a_task, want in ((3 * cores, 1000, cores), (3 * cores, 10, min(3 * cores, max(cores, 30))), (1, 1000, 1)):
+        seen.clear()
+        monkeypatch.setattr(m, "TASK_ROWS", rows_a_task)
+        getattr(sel, search)(folded_rows(spark).repartition(parts), ["a", "b"], "y", None, "auc", *sizes)
+        assert seen == {(want, 300)}
