@@ -63,7 +63,7 @@ def test_fits_of_all_lists_and_folds_run_side_by_side(spark, monkeypatch):
 
 @pytest.mark.parametrize("search, sizes", [("step_forward", (1,)), ("step_backward", (1,)), ("exhaustive", (1, 1))])
 def test_searches_fit_in_few_tasks(spark, monkeypatch, search, sizes):
-    """As many tasks as cores where the rows are few, and not more than the table has."""
+    """As many tasks as cores, or more by the rows, and not more than the table has; a small table stays as it is."""
     cores = spark.sparkContext.defaultParallelism
     seen = set()
 
@@ -72,7 +72,7 @@ def test_searches_fit_in_few_tasks(spark, monkeypatch, search, sizes):
         return 0.5
 
     monkeypatch.setattr(m, "evaluate", evaluate)
-    for parts, rows_a_task, want in ((3 * cores, 1000, cores), (3 * cores, 10, min(3 * cores, max(cores, 30))), (1, 1000, 1)):
+    for parts, rows_a_task, want in ((3 * cores, 200, cores), (3 * cores, 10, min(3 * cores, max(cores, 30))), (1, 200, 1), (3 * cores, 300, 3 * cores)):
         seen.clear()
         monkeypatch.setattr(m, "TASK_ROWS", rows_a_task)
         getattr(sel, search)(folded_rows(spark).repartition(parts), ["a", "b"], "y", None, "auc", *sizes)
